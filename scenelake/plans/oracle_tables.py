@@ -76,6 +76,15 @@ TABLES = {
         unnest(case when is_clean then ['.jpg','_clean.png'] else ['.jpg'] end) as suffix from fx_assets)""",
     "fx_presets": """select * from (values ('smooth-matte',0.35::double,0.75::double,1.5::double,0.0::double,0.03::double,0.8::double),
         ('smooth-glossy',0.35,0.08,1.5,0.0,0.03,0.8)) t(name,albedo,roughness,ior,coat,coat_roughness,delight)""",
+    "fx_point_map": """select image_id, y, x, (x-32.0::double)/20*z as px, (y-25.0::double)/20*z as py, z as pz, valid from fx_depth""",
+    "fx_planes": """select image_id, 0.0::double as c_x, (1+image_id%3)::double as c_y, 4.0::double as c_z, 0.0::double as n_x,
+        (case when image_id%2=0 then -0.8 else -0.6 end)::double as n_y, (case when image_id%2=0 then -0.6 else -0.8 end)::double as n_z,
+        1.0::double as u_x, 0.0::double as u_y, 0.0::double as u_z, 0.0::double as v_x,
+        (case when image_id%2=0 then -0.6 else -0.8 end)::double as v_y, (case when image_id%2=0 then 0.8 else 0.6 end)::double as v_z
+        from fx_images""",
+    "fx_wide_faces": """select f.mesh_id, f.fid, f.v0, f.v1, f.v2, a.x as x0, a.y as y0, a.z as z0, b.x as x1, b.y as y1, b.z as z1,
+        c.x as x2, c.y as y2, c.z as z2 from fx_faces f join fx_vertices a on f.mesh_id=a.mesh_id and f.v0=a.vid
+        join fx_vertices b on f.mesh_id=b.mesh_id and f.v1=b.vid join fx_vertices c on f.mesh_id=c.mesh_id and f.v2=c.vid""",
     "fx_vote_counts": """select image_id, y, (case when mirrored then 63-x else x end)::int as x, count(*) as n_pass,
         count(*) filter (where v) as n_on from fx_votes group by all""",
 }

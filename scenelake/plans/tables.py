@@ -262,3 +262,35 @@ PRESET_SCHEMA = ("name string, albedo double, roughness double, ior double, coat
 
 def presets(spark):
     return spark.createDataFrame(PRESETS, PRESET_SCHEMA)
+
+
+def point_map(spark, sf):
+    """A metric point per pixel, from the depth raster and the camera."""
+    d = depth(spark, sf)
+    return d.select("image_id", "y", "x", ((F.col("x") - CAMERA["cx"]) / CAMERA["fx"] * F.col("z")).alias("px"),
+                    ((F.col("y") - CAMERA["cy"]) / CAMERA["fy"] * F.col("z")).alias("py"), F.col("z").alias("pz"), "valid")
+
+
+def planes(spark, sf):
+    """A given plane per image, tilted one of two ways."""
+    even = F.col("image_id") % 2 == 0
+    ny, nz = F.when(even, -0.8).otherwise(-0.6), F.when(even, -0.6).otherwise(-0.8)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return images(spark, sf).select(
+        "image_id", zero.alias("c_x"), (one + F.col("image_id") % 3).alias("c_y"), F.lit(4.0).alias("c_z"),
+        zero.alias("n_x"), ny.alias("n_y"), nz.alias("n_z"), one.alias("u_x"), zero.alias("u_y"), zero.alias("u_z"),
+        zero.alias("v_x"), nz.alias("v_y"), (-ny).alias("v_z"))
+
+
+def triangles(spark, sf):
+    """Faces of the meshes on a 32-cell grid."""
+    from ..operators.mesh import faces_with_vertices
+    wide = faces_with_vertices(faces(spark, sf), vertices(spark, sf))
+    cols = [c for i in range(3) for c in ((F.col(f"x{i}") * 0.6).alias(f"sx{i}"), (F.col(f"y{i}") * 1.5).alias(f"sy{i}"),
+                                          (F.col(f"z{i}") + 1).alias(f"z{i}"), F.col(f"x{i}").alias(f"q{i}"))]
+    return wide.select("mesh_id", "fid", *cols)
+
+
+def tex_size(spark, sf):
+    """Height of the texture; its width is 32."""
+    return int(read(spark, sf, "part").agg(F.max(F.floor(F.col("p_partkey") / 32))).first()[0]) + 1

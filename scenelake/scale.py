@@ -7,7 +7,7 @@ distributed one that gives the same rows when one key holds a large share of the
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +40,16 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     consumer, and gives the optimiser the real size of the table.
     """
     path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_rows = seen.get["n"]
+    return out
+
+
+def settled_rows(df: DataFrame) -> int | None:
+    """Row count of a table that came straight from `settle`, as observed while it was written."""
+    return getattr(df, "_settled_rows", None)
 
 
 def _hashable(df: DataFrame) -> list[Column]:
@@ -52,12 +60,12 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
            broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """Join per-key statistics back to the rows they were taken from.
 
-    `small` holds one row per key. It is written once and counted: up to `broadcast_rows` it is broadcast, so the big
+    `small` holds one row per key. It is written once and counted while it is written: up to `broadcast_rows` it is broadcast, so the big
     side is not shuffled at all; beyond that both sides are shuffled on (key, salt), so that one key holding a third
     of `big` is spread over `salts` tasks.
     """
-    small = settle(small, "stats")
-    if small.count() <= broadcast_rows:
+    small = small if settled_rows(small) is not None else settle(small, "stats")
+    if settled_rows(small) <= broadcast_rows:
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(*_hashable(big)), F.lit(salts)).cast("int")
@@ -72,7 +80,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     them, so that list alone is broadcast; only those keys are salted, all others join as usual.
     """
     hot = settle(left.groupBy(*on).count().where(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot")), "hot")
-    if hot.isEmpty():
+    if settled_rows(hot) == 0:
         return left.join(right, on, how)
     salt = F.pmod(F.xxhash64(*_hashable(left)), F.lit(salts)).cast("int")
     lhs = (left.join(F.broadcast(hot), on, "left")
@@ -124,15 +132,15 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "ran
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-              group_rows: int = GROUP_ROWS) -> DataFrame:
+              group_rows: int = GROUP_ROWS, largest: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per key and one column per entry of `qs`.
 
     Groups up to `group_rows` use the built-in exact aggregate. Larger ones are narrowed first (see `_narrow`), so no
-    task ever holds all values of a group.
+    task ever holds all values of a group. `largest` is the size of the fullest group where the caller knows a bound.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     plain = [F.percentile("_v", F.lit(p)).alias(n) for n, p in qs.items()]
-    if largest_group(rows, keys) <= group_rows:
+    if (largest_group(rows, keys) if largest is None else largest) <= group_rows:
         return rows.groupBy(*keys).agg(*plain)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     rows = attach(rows, sizes, keys)
@@ -184,3 +192,13 @@ def _narrow(rows: DataFrame, keys: list[str], qs: dict[str, float], group_rows:
     frac = F.col("_pos") - F.floor("_pos")
     value = picked.select(*group, (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias("_x"))
     return value.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == n, F.col("_x"))).alias(n) for n in qs])
+
+
+def sum_before(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str,
+               group_rows: int = GROUP_ROWS) -> DataFrame:
+    """`prefix_sum`, or a running window while every group fits a task."""
+    if largest_group(df, keys) > group_rows:
+        return prefix_sum(df, keys, order, value, name)
+    w = (Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)])).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
