@@ -17,25 +17,41 @@ def _moments(x: str, y: str, z: str) -> list[Column]:
             *[F.covar_pop(a, b).alias(f"_{k}") for k, (a, b) in pairs.items()]]
 
 
-# The closed form in steps; each step only uses names from the steps before it.
-_AXIS_STEPS = [
-    {k: f"{k} / greatest(_xx + _yy + _zz, 1e-300D)" for k in ("_xx", "_xy", "_xz", "_yy", "_yz", "_zz")},
-    {"_a": "_xx - 1D/3D", "_d": "_yy - 1D/3D", "_f": "_zz - 1D/3D"},
-    {"_s": "sqrt((_a*_a + _d*_d + _f*_f + 2D*(_xy*_xy + _xz*_xz + _yz*_yz)) / 6D)",
-     "_det": "_a*(_d*_f - _yz*_yz) - _xy*(_xy*_f - _yz*_xz) + _xz*(_xy*_yz - _d*_xz)"},
-    {"_cos": "least(greatest(_det / greatest(2D*_s*_s*_s, 1e-300D), -1D), 1D)"},
-    {"_l": "1D/3D + 2D*_s*cos(acos(_cos)/3D + 2.0943951023931953D)"},
-    {"_a": "_xx - _l", "_d": "_yy - _l", "_f": "_zz - _l"},
-    {"_k0": "array(_xy*_yz - _xz*_d, _xz*_xy - _a*_yz, _a*_d - _xy*_xy)",
-     "_k1": "array(_xy*_f - _xz*_yz, _xz*_xz - _a*_f, _a*_yz - _xy*_xz)",
-     "_k2": "array(_d*_f - _yz*_yz, _yz*_xz - _xy*_f, _xy*_yz - _d*_xz)"},
-    {"_k": "greatest(" + ", ".join(f"struct(_k{i}[0]*_k{i}[0] + _k{i}[1]*_k{i}[1] + _k{i}[2]*_k{i}[2] as l, _k{i} as k)" for i in range(3)) + ")"},
-    {"_w": "if(_k.k[1] > 0, -1D, 1D) / sqrt(greatest(_k.l, 1e-300D))"},
-    {"n_x": "_k.k[0]*_w", "n_y": "_k.k[1]*_w", "n_z": "_k.k[2]*_w"},
-    {"_w": "greatest(sqrt((1D-n_x*n_x)*(1D-n_x*n_x) + n_y*n_x*n_y*n_x + n_z*n_x*n_z*n_x), 1e-150D)"},
-    {"u_x": "(1D-n_x*n_x)/_w", "u_y": "-n_y*n_x/_w", "u_z": "-n_z*n_x/_w"},
-    {"v_x": "n_y*u_z - n_z*u_y", "v_y": "n_z*u_x - n_x*u_z", "v_z": "n_x*u_y - n_y*u_x"},
-]
+# The closed form as one select list; each line may use the aliases of the lines above it.
+_AXIS = """
+greatest(_xx + _yy + _zz, 1e-300D) as _tr
+_xx/_tr as _qxx
+_xy/_tr as _qxy
+_xz/_tr as _qxz
+_yy/_tr as _qyy
+_yz/_tr as _qyz
+_zz/_tr as _qzz
+_qxx - 1D/3D as _a
+_qyy - 1D/3D as _d
+_qzz - 1D/3D as _f
+sqrt((_a*_a + _d*_d + _f*_f + 2D*(_qxy*_qxy + _qxz*_qxz + _qyz*_qyz)) / 6D) as _s
+_a*(_d*_f - _qyz*_qyz) - _qxy*(_qxy*_f - _qyz*_qxz) + _qxz*(_qxy*_qyz - _d*_qxz) as _det
+acos(least(greatest(_det / greatest(2D*_s*_s*_s, 1e-300D), -1D), 1D)) as _angle
+1D/3D + 2D*_s*cos(_angle/3D + 2.0943951023931953D) as _l
+_qxx - _l as _la
+_qyy - _l as _ld
+_qzz - _l as _lf
+array(_qxy*_qyz - _qxz*_ld, _qxz*_qxy - _la*_qyz, _la*_ld - _qxy*_qxy) as _k0
+array(_qxy*_lf - _qxz*_qyz, _qxz*_qxz - _la*_lf, _la*_qyz - _qxy*_qxz) as _k1
+array(_ld*_lf - _qyz*_qyz, _qyz*_qxz - _qxy*_lf, _qxy*_qyz - _ld*_qxz) as _k2
+greatest(struct(_k0[0]*_k0[0] + _k0[1]*_k0[1] + _k0[2]*_k0[2] as l, _k0 as k), struct(_k1[0]*_k1[0] + _k1[1]*_k1[1] + _k1[2]*_k1[2] as l, _k1 as k), struct(_k2[0]*_k2[0] + _k2[1]*_k2[1] + _k2[2]*_k2[2] as l, _k2 as k)) as _k
+if(_k.k[1] > 0, -1D, 1D) / sqrt(greatest(_k.l, 1e-300D)) as _w
+_k.k[0]*_w as n_x
+_k.k[1]*_w as n_y
+_k.k[2]*_w as n_z
+greatest(sqrt((1D-n_x*n_x)*(1D-n_x*n_x) + n_y*n_x*n_y*n_x + n_z*n_x*n_z*n_x), 1e-150D) as _m
+(1D-n_x*n_x)/_m as u_x
+-n_y*n_x/_m as u_y
+-n_z*n_x/_m as u_z
+n_y*u_z - n_z*u_y as v_x
+n_z*u_x - n_x*u_z as v_y
+n_x*u_y - n_y*u_x as v_z
+""".strip().splitlines()
 
 
 def _plane_of(m: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,9 +61,7 @@ def _plane_of(m: DataFrame, keys: list[str]) -> DataFrame:
     scaled to trace 1, the eigenvalue comes from the trigonometric form, and the vector is the longest cross product of
     two rows of (A - lambda I), since any one of the three products may vanish.
     """
-    for step in _AXIS_STEPS:
-        m = m.withColumns({k: F.expr(e) for k, e in step.items()})
-    return m.select(*keys, "n_points", *PLANE)
+    return m.selectExpr("*", *_AXIS).select(*keys, "n_points", *PLANE)
 
 
 def fit_plane(points: DataFrame, keys=("scene_id",), xyz=P) -> DataFrame:

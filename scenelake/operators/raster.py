@@ -49,4 +49,4 @@ def frame_pixels(images: DataFrame, keep=("image_id",)) -> DataFrame:
     lines = images.select(*keep, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
     return (lines.repartition(*keep, "y")
             .select(*keep, F.col("y").cast("int").alias("y"),
-                    F.explode(F.sequence(F.lit(0), F.col("width") - 1)).cast("int").alias("x")))
+                    F.explode(F.sequence(F.lit(0), F.col("width").cast("int") - 1)).alias("x")))

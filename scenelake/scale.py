@@ -33,23 +33,25 @@ def new_table_path(spark: SparkSession, name: str = "t") -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
+def settle(df: DataFrame, name: str = "t", **metrics: Column) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     This cuts the lineage so that it survives lost executors, stops a statistic from being recomputed by each
-    consumer, and gives the optimiser the real size of the table.
+    consumer, and gives the optimiser the real size of the table. The row count and any further `metrics` are observed
+    during the write and cost no job of their own; see `settled`.
     """
     path = new_table_path(df.sparkSession, name)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    extra = [m.alias(k) for k, m in metrics.items()]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *extra).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._settled_rows = seen.get["n"]
+    out._settled = seen.get
     return out
 
 
-def settled_rows(df: DataFrame) -> int | None:
-    """Row count of a table that came straight from `settle`, as observed while it was written."""
-    return getattr(df, "_settled_rows", None)
+def settled(df: DataFrame) -> dict | None:
+    """What was observed while a table was settled (`rows` and named metrics), or None for any other DataFrame."""
+    return getattr(df, "_settled", None)
 
 
 def _hashable(df: DataFrame) -> list[Column]:
@@ -64,8 +66,8 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     side is not shuffled at all; beyond that both sides are shuffled on (key, salt), so that one key holding a third
     of `big` is spread over `salts` tasks.
     """
-    small = small if settled_rows(small) is not None else settle(small, "stats")
-    if settled_rows(small) <= broadcast_rows:
+    small = small if settled(small) else settle(small, "stats")
+    if settled(small)["rows"] <= broadcast_rows:
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(*_hashable(big)), F.lit(salts)).cast("int")
@@ -73,14 +75,18 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-              hot_rows: int = GROUP_ROWS, salts: int = SALTS) -> DataFrame:
+              hot_rows: int = GROUP_ROWS, salts: int = SALTS, counts: DataFrame | None = None) -> DataFrame:
     """Equi join for two large tables of which `left` may repeat a key very often and `right` holds it once.
 
     Keys with more than `hot_rows` rows are found by a pre-aggregated count. There are at most |left| / hot_rows of
-    them, so that list alone is broadcast; only those keys are salted, all others join as usual.
+    them, so that list alone is broadcast; only those keys are salted, all others join as usual. A caller that has
+    settled the counts already (columns `on`, n; metric `peak` = max n) passes them as `counts`.
     """
-    hot = settle(left.groupBy(*on).count().where(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot")), "hot")
-    if settled_rows(hot) == 0:
+    if counts is not None and (settled(counts)["peak"] or 0) <= hot_rows:
+        return left.join(right, on, how)
+    sizes = left.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = settle(sizes.where(F.col("n") > hot_rows).select(*on, F.lit(True).alias("_hot")), "hot")
+    if settled(hot)["rows"] == 0:
         return left.join(right, on, how)
     salt = F.pmod(F.xxhash64(*_hashable(left)), F.lit(salts)).cast("int")
     lhs = (left.join(F.broadcast(hot), on, "left")
