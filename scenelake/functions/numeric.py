@@ -40,9 +40,9 @@ def u8_trunc(x) -> Column:
     return (clip(x, 0.0, 1.0) * 255).cast("int")
 
 
-def u8_round(x) -> Column:
-    """[0, 1] to 0..255 with the half added first."""
-    return clip(_c(x) * 255 + 0.5, 0.0, 255.0).cast("int")
+def u8_round(x, white: float = 1.0) -> Column:
+    """[0, white] to 0..255 with the half added first."""
+    return clip(_c(x) * (255.0 / white) + 0.5, 0.0, 255.0).cast("int")
 
 
 def r6(x) -> Column:

@@ -25,7 +25,7 @@ def pixel_diff(a: DataFrame, b: DataFrame, thr: int = 2) -> DataFrame:
 
 def _over(o: Column, e: Column, a: Column) -> Column:
     """e over o with weight a, kept in 0..255 and truncated."""
-    return F.least(F.greatest(o * (F.lit(1.0) - a) + e * a, F.lit(0.0)), F.lit(255.0)).cast("int")
+    return F.least(F.greatest(o + (e - o) * a, F.lit(0.0)), F.lit(255.0)).cast("int")
 
 
 def composite(base: DataFrame, edit: DataFrame, alpha: DataFrame) -> DataFrame:

@@ -101,21 +101,23 @@ def vote_agreement(votes: DataFrame, width) -> DataFrame:
         F.bround(F.col("agreed") * 100.0 / F.col("n"), 2).alias("unanimous_pct"))
 
 
-def ensemble_argmax(scores: DataFrame, classes: DataFrame, wanted: list[str]) -> DataFrame:
+def ensemble_argmax(scores: DataFrame, classes: DataFrame, wanted: list[str], extra=()) -> DataFrame:
     """Softmax per model, mean over models, best class per pixel and whether it is one of the wanted names.
 
-    The scores are laid out by pixel once; softmax, mean and argmax then all run on that layout.
+    The scores are laid out by pixel once; softmax, mean and argmax then all run on that layout. `extra` names further
+    key columns, such as the pass of a test-time copy.
     """
-    laid = scores.repartition(*PIXEL)
-    per_model = Window.partitionBy(*PIXEL, "model")
+    at = [*PIXEL, *extra]
+    laid = scores.repartition(*at)
+    per_model = Window.partitionBy(*at, "model")
     e = laid.withColumn("_e", F.exp(F.col("logit") - F.max("logit").over(per_model)))
     soft = e.withColumn("p", F.col("_e") / F.sum("_e").over(per_model))
-    mean = soft.groupBy(*PIXEL, "class_id").agg(F.avg("p").alias("p"))
-    best = mean.groupBy(*PIXEL).agg(F.max(F.struct("p", (-F.col("class_id")).alias("neg"))).alias("b"))
-    picked = best.select(*PIXEL, (-F.col("b.neg")).alias("class_id"), F.col("b.p").alias("p"))
+    mean = soft.groupBy(*at, "class_id").agg(F.avg("p").alias("p"))
+    best = mean.groupBy(*at).agg(F.max(F.struct("p", (-F.col("class_id")).alias("neg"))).alias("b"))
+    picked = best.select(*at, (-F.col("b.neg")).alias("class_id"), F.col("b.p").alias("p"))
     names = classes.select("class_id", first_name("name").alias("name"))
     return attach(picked, names, ["class_id"], "left").select(
-        *PIXEL, "class_id", "p", "name", F.coalesce(F.col("name").isin(wanted), F.lit(False)).alias("is_wanted"))
+        *at, "class_id", "p", "name", F.coalesce(F.col("name").isin(wanted), F.lit(False)).alias("is_wanted"))
 
 
 def instance_union(instances: DataFrame, pixels: DataFrame, threshold: float, keys=("image_id",)) -> DataFrame:

@@ -225,43 +225,50 @@ def open_(mask: DataFrame, element, width, height, keys=("image_id", "mask_id"))
 
 
 # ------------------------------------------------------------------ grey-scale morphology
-def grey(px: DataFrame, value: str, element, kind: str, keys=("image_id",), tile: int = TILE) -> DataFrame:
+def grey(px: DataFrame, channels: list[str], element, kind: str, keys=("image_id",), tile: int = TILE) -> DataFrame:
     """Maximum (`dilate`) or minimum (`erode`) over a symmetric element whose rows get narrower away from the centre.
 
-    Along x one sliding extreme per distinct row width; along y the rows of equal width form frames. No pixel is copied.
+    Along x one sliding extreme per distinct row width; along y the rows of equal width form frames. No pixel is copied,
+    and all channels share the two passes.
     """
     keys = list(keys)
     best, pick = (F.max, F.greatest) if kind == "dilate" else (F.min, F.least)
     widths = sorted({b for _, _, b in element})
     reach_y = max(dy for dy, _, _ in element)
-    px = px.select(*keys, "y", "x", value)
-    wide = _pass(px, "x", max(widths), lambda w: {f"_w{h}": best(value).over(w.rangeBetween(-h, h)) for h in widths}, keys, tile=tile)
+    wide = _pass(px.select(*keys, "y", "x", *channels), "x", max(widths), lambda w: {
+        f"_w{h}_{c}": best(c).over(w.rangeBetween(-h, h)) for h in widths for c in channels}, keys, tile=tile)
 
     def along_y(w):
-        parts = []
-        for h in widths:
-            dys = sorted(dy for dy, _, b in element if b == h and dy >= 0)
-            lo, hi = dys[0], dys[-1]
-            frames = [(-hi, hi)] if lo == 0 else [(-hi, -lo), (lo, hi)]
-            parts += [best(f"_w{h}").over(w.rangeBetween(*f)) for f in frames]
-        return {"_out": pick(*parts) if len(parts) > 1 else parts[0]}
-    return _pass(wide, "y", reach_y, along_y, keys, tile=tile).select(*keys, "y", "x", F.col("_out").alias(value))
-
-
-def grey_close_open(px: DataFrame, value: str, k: int, keys=("image_id",)) -> DataFrame:
+        out = {}
+        for c in channels:
+            parts = []
+            for h in widths:
+                dys = sorted(dy for dy, _, b in element if b == h and dy >= 0)
+                lo, hi = dys[0], dys[-1]
+                frames = [(-hi, hi)] if lo == 0 else [(-hi, -lo), (lo, hi)]
+                parts += [best(f"_w{h}_{c}").over(w.rangeBetween(*f)) for f in frames]
+            out[f"_out_{c}"] = pick(*parts) if len(parts) > 1 else parts[0]
+        return out
+    return _pass(wide, "y", reach_y, along_y, keys, tile=tile).select(*keys, "y", "x", *[F.col(f"_out_{c}").alias(c) for c in channels])
+
+
+def grey_close_open(px: DataFrame, channels: list[str], k: int, keys=("image_id",)) -> DataFrame:
     """Close, then open: thin dark structures go first, then thin bright ones."""
     e = ellipse(k)
     for kind in ("dilate", "erode", "erode", "dilate"):
-        px = grey(px, value, e, kind, keys)
+        px = grey(px, channels, e, kind, keys)
     return px
 
 
-def thin_structure_filter(px: DataFrame, value: str, k: int, rel: float = 0.02, keys=("image_id",)) -> DataFrame:
-    """Replace a value by its closed and opened form only where that moved it by more than `rel`; `thin` marks those."""
-    flat = grey_close_open(px, value, k, keys).withColumnRenamed(value, "_flat")
-    j = px.select(*keys, "y", "x", value).join(flat, [*keys, "y", "x"])
-    thin = F.abs(F.col("_flat") - F.col(value)) > F.greatest(F.col(value), F.lit(1e-3)) * rel
-    return j.select(*keys, "y", "x", F.when(thin, F.col("_flat")).otherwise(F.col(value)).alias(value), thin.alias("thin"))
+def thin_structure_filter(px: DataFrame, channels: list[str], k: int, rel: float = 0.02, keys=("image_id",)) -> DataFrame:
+    """Replace a value by its closed and opened form only where that moved it by more than `rel`; `thin_<c>` marks those."""
+    keys = list(keys)
+    flat = grey_close_open(px, channels, k, keys).withColumnsRenamed({c: f"_f_{c}" for c in channels})
+    j = px.join(flat, [*keys, "y", "x"])
+    for c in channels:
+        thin = F.abs(F.col(f"_f_{c}") - F.col(c)) > F.greatest(F.col(c), F.lit(1e-3)) * rel
+        j = j.withColumn(f"thin_{c}", thin).withColumn(c, F.when(F.col(f"thin_{c}"), F.col(f"_f_{c}")).otherwise(F.col(c)))
+    return j.drop(*[f"_f_{c}" for c in channels])
 
 
 # ------------------------------------------------------------------ low frequencies and gap filling

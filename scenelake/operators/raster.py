@@ -21,12 +21,15 @@ def _dim(size) -> Column:
     return F.col(size) if isinstance(size, str) else F.lit(size)
 
 
-def block_mean(pixels: DataFrame, f: int, channels: list[str], width, height, keys=("image_id",)) -> DataFrame:
-    """Mean of each f x f block; a ragged right or bottom edge is cut off first. `<c>_u8` is the 8-bit form."""
+def block_mean(pixels: DataFrame, f: int, channels: list[str], width, height, keys=("image_id",), white: float = 1.0) -> DataFrame:
+    """Mean of each f x f block; a ragged right or bottom edge is cut off first. `<c>_u8` is the 8-bit form.
+
+    `white` is the value of a full channel: 1 for floats, 255 for 8-bit frames.
+    """
     inside = pixels.where(_whole_blocks(f, _dim(width), _dim(height)))
     block = [floor_div("y", F.lit(f)).alias("y"), floor_div("x", F.lit(f)).alias("x")]
     means = inside.groupBy(*keys, *block).agg(*[F.avg(c).alias(c) for c in channels])
-    return means.select(*keys, "y", "x", *channels, *[u8_round(c).alias(f"{c}_u8") for c in channels])
+    return means.select(*keys, "y", "x", *channels, *[u8_round(c, white).alias(f"{c}_u8") for c in channels])
 
 
 def block_any(mask: DataFrame, f: int, width, height, keys=("image_id", "mask_id")) -> DataFrame:

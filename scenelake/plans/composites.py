@@ -3,18 +3,100 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import registry
+from ..functions.colour import luminance
+from ..operators import components as CC
+from ..operators import frames as FR
 from ..operators import light as L
+from ..operators import masks as M
+from ..operators import neighbourhood as N
 from ..operators import points as P
+from ..operators import raster as R
+from ..operators import regions as RG
 from ..operators import texture as TX
+from ..operators.requests import default_tile_m
 from ..scale import settle
 
+RGB = FR.RGB
 
-def retile(pixels: DataFrame, planes: DataFrame, tex: DataFrame, camera: dict, width_px: int, height_px: int, tile_m: float,
+
+def label_consensus(scores: DataFrame, classes: DataFrame, wanted: list[str], images: DataFrame, width: int, height: int,
+                    close_px: int = 5, frac: float = 0.002) -> tuple[DataFrame, DataFrame]:
+    """Scores of several models and passes to one cleaned mask per image, and how well the passes agree."""
+    best = M.ensemble_argmax(scores, classes, wanted, ["pass_id", "mirrored"])
+    votes = settle(best.select(*M.PIXEL, "pass_id", "mirrored", F.col("is_wanted").alias("v")), "votes")
+    raw = M.majority_vote(votes, width).where("v").select(*M.PIXEL)
+    closed = N.close(raw, N.rect(close_px, close_px), width, height, ["image_id"])
+    labelled = CC.connected_components(closed, 8, ["image_id"])
+    mask = CC.drop_small(labelled, images, frac, ["image_id"]).select(*M.PIXEL)
+    return mask, M.vote_agreement(votes, width)
+
+
+def scene_plane(points: DataFrame, mask: DataFrame, keys=("image_id",)) -> DataFrame:
+    """Plane through the valid points under a mask, with its residual."""
+    inside = points.where("valid").join(mask.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
+    plane = P.fit_plane_trimmed(inside, keys)
+    return plane.join(P.plane_residual_cm(inside, plane, keys), list(keys))
+
+
+def retile(pixels: DataFrame, planes: DataFrame, tex: DataFrame, camera: dict, width_px: int, height_px: int, tile_m: float | None,
            albedo: float, uv_places: int | None = None) -> DataFrame:
     """Albedo of a new surface on each plane: ray and plane give metric coordinates, these a texel of the calibrated texture."""
     calibrated = settle(L.calibrate_mean(tex, albedo, ["pattern_id"]), "albedo")
     uv = P.ray_plane(pixels, planes, camera)
-    tu, tv = TX.tile_uv("pu", "pv", tile_m, F.lit(width_px), F.lit(height_px))
+    size = F.lit(tile_m) if tile_m is not None else default_tile_m(F.lit(width_px))
+    tu, tv = TX.tile_uv("pu", "pv", size, F.lit(width_px), F.lit(height_px))
     if uv_places is not None:
         tu, tv = F.round(tu, uv_places), F.round(tv, uv_places)
     return TX.texture_lookup(uv.withColumns({"tu": tu, "tv": tv}), calibrated, "tu", "tv", width_px, height_px)
+
+
+def field_report(light: DataFrame, environment: DataFrame, k: int, rel: float = 0.02, keys=("image_id",)) -> DataFrame:
+    """Per scene: share of thin structures, reference level, ambient fraction, shadow and lit chromaticity, environment.
+
+    `light` has r, g, b and the flag `inside`; `environment` has valid, on_plane, h and colours.
+    """
+    keys = list(keys)
+    flat = N.thin_structure_filter(light, list(RGB), k, rel, keys)
+    flat = settle(flat.withColumns({c: F.greatest(F.col(c), F.lit(1e-5)) for c in RGB}), "light")
+    thin = (F.col("thin_r").cast("int") + F.col("thin_g").cast("int") + F.col("thin_b").cast("int")) / 3
+    share = flat.where("inside").groupBy(*keys).agg(F.bround(F.avg(thin) * 100, 2).alias("grout_filtered_pct"))
+    lit = settle(L.anchor_mean_one(flat, F.col("inside"), keys).withColumn("lum", luminance()), "anchored")
+    level = lit.groupBy(*keys).agg(F.first("ref").alias("ref_irradiance"))
+    ambient = L.ambient_split(lit, F.col("inside"), keys).groupBy(*keys).agg(F.first("a").alias("ambient_fraction"))
+    chroma = L.quartile_chroma(lit, F.col("inside"), keys)
+    env = P.environment_mean(environment, keys).withColumnsRenamed({c: f"env_{c}" for c in RGB})
+    out = share
+    for other in (level, ambient, chroma, env):
+        out = out.join(other, keys)
+    return out
+
+
+def move_objects(pixels: DataFrame, masks: DataFrame, moves: DataFrame, images: DataFrame, cfg: dict, width: int, height: int,
+                 **options) -> tuple[DataFrame, DataFrame]:
+    """Remove each object, fill the hole, put the object at its target, and audit what changed.
+
+    Returns the frames and the pixels that changed outside the source regions and target footprints.
+    """
+    settings = {**cfg, "width": width, "height": height, **options}
+    radius = int(cfg["dilate_radius"])
+    hole = N.dilate(masks, N.rect(2 * radius + 1, 2 * radius + 1), width, height)
+    regions = RG.edit_region(hole, images, cfg["src_region"], cfg["region_margin"], generative=False)
+    hole_px, region_px = hole.select(*M.PIXEL).distinct(), regions.select(*M.PIXEL).distinct()
+    remove = registry.make("removal", cfg["removal"], settings)
+    insert = registry.make("insertion", cfg["insertion"], settings)
+    background = settle(remove(pixels, hole_px, region_px, images), "background")
+    out, footprint = insert(pixels, background, masks, moves, images)
+    out = settle(out, "moved")
+    allowed = M.union(region_px, footprint)
+    return out, FR.containment_audit(pixels, out, allowed)
+
+
+def multires_merge(original: DataFrame, low_in: DataFrame, low_out: DataFrame, f: int, width: int, height: int,
+                   grow_px: int = 3, feather_px: float = 4.0, thr: int = 2) -> DataFrame:
+    """Bring an edit made at 1/f resolution back: only pixels it changed (grown, feathered) are taken from it."""
+    w, h = width - width % f, height - height % f
+    changed = N.dilate(FR.pixel_diff(low_in, low_out, thr).select(*M.PIXEL), N.rect(2 * grow_px + 1, 2 * grow_px + 1), w // f, h // f, ["image_id"])
+    base = original.where((F.col("x") < w) & (F.col("y") < h))
+    alpha = N.soft_mask(base, R.upsample_nearest(changed, f, ["image_id"]), feather_px * f / 2, width=w, height=h)
+    return FR.composite(original, R.upsample_nearest(low_out, f, ["image_id", *RGB]), alpha)

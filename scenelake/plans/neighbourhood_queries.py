@@ -166,13 +166,13 @@ FLAT = ", ".join([grey_sql("fx_raster", "f1", E5, "max"), grey_sql("f1", "f2", E
 
 @query("w6_grey_close_open", f"with {FLAT} {px(r('v'))} from f4")
 def _(spark, sf):
-    return rounded(N.grey_close_open(X.raster(spark, sf), "v", 5), "v")
+    return rounded(N.grey_close_open(X.raster(spark, sf), ["v"], 5), "v")
 
 
 @query("w7_thin_structure_filter", f"""with {FLAT} select image_id, y, x, round(case when thin then fv else v end, 6) + 0.0::double as v, thin from
 (select a.*, f.v as fv, abs(f.v-a.v) > 0.5*greatest(a.v, 1e-3) as thin from fx_raster a join f4 f using (image_id, y, x))""")
 def _(spark, sf):
-    return rounded(N.thin_structure_filter(X.raster(spark, sf), "v", 5, 0.5), "v")
+    return rounded(N.thin_structure_filter(X.raster(spark, sf), ["v"], 5, 0.5).withColumnRenamed("thin_v", "thin"), "v")
 
 
 def lowfreq_sql(src, name, cols, sigma, w, h):
@@ -410,7 +410,7 @@ FILL = f"""kn as (select image_id, y, x, r0, g0, b0, (not (x between 8 and 13 an
 kv as (select image_id, y, x, h, r0*h as r, g0*h as g, b0*h as b from kn), {blur_sql('kv', 'kb', ['h', 'r', 'g', 'b'], N.gaussian_kernel(3.0), RW, H)}"""
 
 
-@query("f2_fill_from_background", f"""with {FILL} select k.image_id, k.y, k.x, {', '.join(f'(case when k.h=1 then {c}0 else trunc(b.{c}/greatest(b.h,1e-4)+1e-9) end)::int as {c}' for c in 'rgb')}
+@query("f2_fill_from_background", f"""with {FILL} select k.image_id, k.y, k.x, {', '.join(f'(case when k.h=1 then {c}0 else trunc(b.{c}/greatest(b.h,1e-4)+1e-6) end)::int as {c}' for c in 'rgb')}
 from kn k join kb b using (image_id, y, x)""")
 def _(spark, sf):
     hole = X.frames(spark, sf).where(F.col("x").between(8, 13) & F.col("y").between(20, 26)).select("image_id", "y", "x")
