@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.colour import luminance
 from ..functions.numeric import clip, floor_div, guard
-from ..scale import attach, quantiles
+from ..scale import attach, quantiles, settle
 from .raster import upsample_nearest
 
 TILE = 4096
@@ -298,7 +298,7 @@ def normalised_convolution(px: DataFrame, hit: str, channels: list[str], sigma:
     keys = list(keys)
     h = F.col(hit).cast("double")
     known = px.select(*keys, "y", "x", h.alias("_h"), *[(F.coalesce(F.col(c), F.lit(0.0)) * h).alias(c) for c in channels])
-    b = gaussian(known, sigma, ["_h", *channels], keys, width, height, border)
+    b = settle(gaussian(known, sigma, ["_h", *channels], keys, width, height, border), "blur")
     ref = quantiles(b.where("_h > 0"), keys, "_h", {"_ref": 0.75})
     return attach(b, ref, keys, "left").select(
         *keys, "y", "x", *[(F.col(c) / guard("_h", 1e-4)).alias(c) for c in channels],

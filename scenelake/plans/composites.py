@@ -80,7 +80,7 @@ def move_objects(pixels: DataFrame, masks: DataFrame, moves: DataFrame, images:
     """
     settings = {**cfg, "width": width, "height": height, **options}
     radius = int(cfg["dilate_radius"])
-    hole = N.dilate(masks, N.rect(2 * radius + 1, 2 * radius + 1), width, height)
+    hole = settle(N.dilate(masks, N.rect(2 * radius + 1, 2 * radius + 1), width, height), "hole")
     regions = RG.edit_region(hole, images, cfg["src_region"], cfg["region_margin"], generative=False)
     hole_px, region_px = hole.select(*M.PIXEL).distinct(), regions.select(*M.PIXEL).distinct()
     remove = registry.make("removal", cfg["removal"], settings)

@@ -14,6 +14,7 @@ def local_session(cores: str = "8", app: str = "scenelake", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")   # no call-site capture per column expression
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
