@@ -76,33 +76,32 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return [v / sum(w) for v in w]
 
 
+def _weigh(df: DataFrame, axis: str, kernel: list[float], channels: list[str], keys, size, border: str, tile: int) -> DataFrame:
+    """Weighted mean along one axis over the pixels present.
+
+    Lines are brought together once; each pixel is then handed to the places that need it and summed in the same stage,
+    because the sums are grouped by line first. Only the lines are shuffled, not the copies.
+    """
+    r = len(kernel) // 2
+    tile = max(tile, r)
+    line = [*keys, OTHER[axis], "_t"]
+    taps = F.explode(F.array(*[F.struct(F.lit(i - r).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(kernel)]))
+    lines = _tiled(_padded(df, axis, r, size, border), axis, r, tile).repartition(*line)
+    handed = lines.withColumn("_s", taps).select(
+        *line, (F.col(axis) - F.col("_s.d")).alias(axis), F.col("_s.w").alias("_w"), ((F.col("_s.d") == 0) & ~F.col("_pad")).alias("_here"),
+        *[(F.col(c) * F.col("_s.w")).alias(c) for c in channels])
+    own = handed.where(F.col("_t") == F.greatest(floor_div(axis, F.lit(tile)), F.lit(0)))
+    sums = own.groupBy(*line, axis).agg(F.max("_here").alias("_here"), F.sum("_w").alias("_w"), *[F.sum(c).alias(c) for c in channels])
+    return sums.where("_here").select(*keys, "y", "x", *[(F.col(c) / F.col("_w")).alias(c) for c in channels])
+
+
 def gaussian(px: DataFrame, sigma: float, channels: list[str], keys=("image_id",), width=None, height=None,
              border: str = "truncate", tile: int = TILE) -> DataFrame:
     """Gaussian blur. `truncate` renormalises over the pixels present; `reflect101` mirrors around the border pixel."""
     keys, kernel = list(keys), gaussian_kernel(sigma)
-    r = len(kernel) // 2
-    table = F.array(*[F.lit(k) for k in kernel])
-
-    def along(axis):
-        def outputs(w):
-            near = F.collect_list(F.struct(F.col(axis).alias("p"), *[F.col(c) for c in channels])).over(w.rangeBetween(-r, r))
-
-            def weighted(of):
-                return F.aggregate("_near", F.lit(0.0), lambda s, e: s + table[e["p"] - F.col(axis) + r] * of(e))
-            return {"_near": near, **{f"_o_{c}": weighted(lambda e, c=c: e[c]) for c in channels}, "_o": weighted(lambda e: F.lit(1.0))}
-        return outputs
-
-    def one(df, axis, size):
-        cols = df.columns
-        spread = _tiled(_padded(df, axis, r, size, border), axis, r, max(tile, r))
-        w = Window.partitionBy(*keys, OTHER[axis], "_t").orderBy(axis)
-        out = along(axis)(w)
-        done = spread.withColumn("_near", out.pop("_near"))
-        owner = F.greatest(floor_div(axis, F.lit(max(tile, r))), F.lit(0))
-        done = done.where(~F.col("_pad") & (F.col("_t") == owner)).withColumns(out)
-        return done.select(*[c for c in cols if c not in channels], *[(F.col(f"_o_{c}") / F.col("_o")).alias(c) for c in channels])
     base = px.select(*keys, "y", "x", *[F.col(c).cast("double").alias(c) for c in channels])
-    return one(one(base, "x", width), "y", height)
+    rows = _weigh(base, "x", kernel, channels, keys, width, border, tile)
+    return _weigh(rows, "y", kernel, channels, keys, height, border, tile)
 
 
 def guided_filter(px: DataFrame, guide: str, channels: list[str], r: int, eps: float, keys=("image_id",), width=None,
