@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import square_window
 from ..functions.numeric import floor_div
-from ..scale import settle, settled, skew_join
+from ..scale import attach, settle, settled, skew_join
 from .neighbourhood import close, rect
 from .raster import frame_pixels
 
@@ -115,7 +115,7 @@ def drop_small(labelled: DataFrame, images: DataFrame, frac: float = 0.002, keys
     """Pixels of the components larger than a share of the frame."""
     big = component_stats(labelled, keys).join(images.select("image_id", "width", "height"), "image_id").where(
         F.col("area") > F.col("width").cast("double") * F.col("height") * frac)
-    return labelled.join(big.select(*keys, "label"), [*keys, "label"], "left_semi")
+    return attach(labelled, big.select(*keys, "label"), [*keys, "label"], "left_semi")
 
 
 def largest_label(labelled: DataFrame, keys=KEYS) -> DataFrame:
@@ -125,14 +125,14 @@ def largest_label(labelled: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def largest_component(labelled: DataFrame, keys=KEYS) -> DataFrame:
-    return labelled.join(largest_label(labelled, keys), [*keys, "label"], "left_semi")
+    return attach(labelled, largest_label(labelled, keys), [*keys, "label"], "left_semi")
 
 
 def component_at(labelled: DataFrame, points: DataFrame, keys=KEYS) -> DataFrame:
     """Component under the point (keys, py, px) of each mask, or the largest one if the point lies outside."""
     at = labelled.join(points.select(*keys, F.col("py").alias("y"), F.col("px").alias("x")), [*keys, "y", "x"]).select(*keys, F.col("label").alias("_hit"))
     chosen = largest_label(labelled, keys).join(at, list(keys), "left").select(*keys, F.coalesce("_hit", "label").alias("label"))
-    return labelled.join(chosen, [*keys, "label"], "left_semi")
+    return attach(labelled, chosen, [*keys, "label"], "left_semi")
 
 
 def _frames_of(mask: DataFrame, images: DataFrame, keys) -> DataFrame:
@@ -157,7 +157,7 @@ def fill_holes(mask: DataFrame, images: DataFrame, mode: str = "border", keys=KE
     if mode == "corner":
         holes = background.where(F.col("label") != 0)      # label 0 is the component whose first pixel is (0, 0)
     else:
-        holes = background.join(_border_labels(background, images, keys), [*keys, "label"], "left_anti")
+        holes = attach(background, _border_labels(background, images, keys), [*keys, "label"], "left_anti")
     return mask.select(*keys, "y", "x").unionByName(holes.select(*keys, "y", "x"))
 
 
@@ -172,7 +172,7 @@ def clean_mask(mask: DataFrame, points: DataFrame, images: DataFrame, close_px:
 def border_connected(mask: DataFrame, images: DataFrame, conn: int = 4, keys=KEYS, tile: int = TILE) -> DataFrame:
     """Pixels of the components that touch the frame border."""
     labelled = connected_components(mask, conn, keys, tile)
-    return labelled.join(_border_labels(labelled, images, keys), [*keys, "label"], "left_semi").select(*keys, "y", "x")
+    return attach(labelled, _border_labels(labelled, images, keys), [*keys, "label"], "left_semi").select(*keys, "y", "x")
 
 
 def white_matte(pixels: DataFrame, images: DataFrame, width: int, height: int, tol: int = 12, close_px: int = 5) -> DataFrame:
@@ -198,7 +198,7 @@ def windows_per_hole(hole: DataFrame, region: DataFrame, images: DataFrame, fact
     met = (holes.select("image_id", "y", "x", "label").join(areas.withColumnRenamed("label", "_r"), ["image_id", "y", "x"])
            .select("image_id", "label", "_r").distinct())
     boxes = component_stats(areas, keys).select("image_id", F.col("label").alias("_r"), *[F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")])
-    around = met.join(boxes, ["image_id", "_r"]).groupBy("image_id", "label").agg(
+    around = attach(met, boxes, ["image_id", "_r"]).groupBy("image_id", "label").agg(
         F.min("rx0").alias("rx0"), F.min("ry0").alias("ry0"), F.max("rx1").alias("rx1"), F.max("ry1").alias("ry1"))
     own = component_stats(holes, keys).join(around, ["image_id", "label"], "left").join(full, "image_id", "left").join(
         images.select("image_id", "width", "height"), "image_id")

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rint_i
-from ..scale import attach
+from ..scale import attach, settle
 
 RGB = ("r", "g", "b")
 PIXEL = ["image_id", "y", "x"]
@@ -72,16 +72,28 @@ def affine_paste(source: DataFrame, masks: DataFrame, moves: DataFrame, images:
     return hit.join(colours, ["image_id", "_sy", "_sx"]).select("image_id", "move_idx", "y", "x", *RGB)
 
 
-def layer_fold(background: DataFrame, layers: DataFrame, order: str = "move_idx", opaque: bool = False) -> DataFrame:
+def layer_fold(background: DataFrame, layers: DataFrame, order: str = "move_idx", opaque: bool = False, at_once: int = 1000) -> DataFrame:
     """Layers put on the background in order; later layers see earlier ones and every step is quantised.
 
-    Opaque layers only need the last one per pixel. Otherwise the layers of a pixel are folded in order; there is at
-    most one per move of the scene, and the moves of a scene come from one document.
+    Opaque layers only need the last one per pixel. Otherwise the layers of a pixel are folded in order. A layer is one
+    move of a scene and covers a pixel once, so `at_once` moves per round bound what a pixel can collect; a scene with
+    more moves takes several rounds.
     """
     if opaque:
         last = layers.groupBy(*PIXEL).agg(F.max(F.struct(order, *RGB)).alias("l"))
         j = background.select(*PIXEL, *RGB).join(last, PIXEL, "left")
         return j.select(*PIXEL, *[F.coalesce(F.col(f"l.{c}"), F.col(c)).cast("int").alias(c) for c in RGB])
+    first, last = layers.agg(F.min(order), F.max(order)).first()
+    if first is not None and last - first >= at_once:
+        layers = settle(layers, "layers")
+        for lo in range(first, last + 1, at_once):
+            part = layers.where(F.col(order).between(lo, lo + at_once - 1))
+            background = settle(_fold(background, part, order), "folded")
+        return background
+    return _fold(background, layers, order)
+
+
+def _fold(background: DataFrame, layers: DataFrame, order: str) -> DataFrame:
     stack = layers.groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct(order, "alpha", *RGB))).alias("_l"))
     j = background.select(*PIXEL, *[F.col(c).cast("int").alias(c) for c in RGB]).join(stack, PIXEL, "left")
     start = F.struct(*[F.col(c).alias(c) for c in RGB])

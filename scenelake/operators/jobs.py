@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import attach, ranked, sum_before
+from ..scale import attach, ranked, skew_join, sum_before
 from ..sources.runs import normalise_stage_name
 
 # The stage order of each job kind, and the order in which result pictures are shown.
@@ -33,7 +33,7 @@ def queue_position(jobs: DataFrame, queue: str | None = None) -> DataFrame:
     per_time = jobs.where(F.col("status").isin(*ACTIVE)).groupBy(*keys, "created").agg(F.count("*").alias("_n"))
     ahead = sum_before(per_time, keys, [F.col("created")], F.col("_n"), "_ahead").select(*keys, "created", "_ahead")
     queued = F.col("status") == "queued"
-    return (jobs.join(ahead, [*keys, "created"], "left")
+    return (skew_join(jobs, ahead, [*keys, "created"], "left")
             .withColumn("position", F.when(queued, F.coalesce("_ahead", F.lit(0))).otherwise(F.lit(0)).cast("bigint"))
             .drop("_ahead"))
 

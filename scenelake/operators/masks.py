@@ -24,7 +24,7 @@ def union_of_moves(masks: DataFrame, moves: DataFrame, column: str, fallback: st
     """Union over all moves of a scene of the mask each move names in `column`, or else in `fallback`."""
     mask_id = F.coalesce(F.col(column), F.col(fallback)) if fallback else F.col(column)
     wanted = moves.select("image_id", mask_id.alias("mask_id")).distinct()
-    return masks.join(wanted, ["image_id", "mask_id"], "left_semi").select(*PIXEL).distinct()
+    return attach(masks, wanted, ["image_id", "mask_id"], "left_semi").select(*PIXEL).distinct()
 
 
 def label_membership(pixels: DataFrame, label: str, names: list, dictionary: DataFrame | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def label_membership(pixels: DataFrame, label: str, names: list, dictionary: Dat
     if dictionary is None:
         return pixels.where(F.col(label).isin(names))
     wanted = dictionary.where(first_name("name").isin(names)).select(label).distinct()
-    return pixels.join(wanted, label, "left_semi")
+    return attach(pixels, wanted, [label], "left_semi")
 
 
 def first_name(column: str) -> Column:
@@ -65,7 +65,7 @@ def mask_iou(a: DataFrame, b: DataFrame, key=("image_id", "y", "x"), group=("ima
 def touching(labelled: DataFrame, mask: DataFrame, key=("image_id", "y", "x"), label=("image_id", "label")) -> DataFrame:
     """All pixels of the components that share at least one pixel with `mask`."""
     hit = labelled.join(mask.select(*key), list(key), "left_semi").select(*label).distinct()
-    return labelled.join(hit, list(label), "left_semi")
+    return attach(labelled, hit, list(label), "left_semi")
 
 
 def mirrored_back(votes: DataFrame, width) -> DataFrame:
@@ -123,7 +123,7 @@ def ensemble_argmax(scores: DataFrame, classes: DataFrame, wanted: list[str], ex
 def instance_union(instances: DataFrame, pixels: DataFrame, threshold: float, keys=("image_id",)) -> DataFrame:
     """Union of the pixels of all instances whose score exceeds the threshold; an image without any gives no row."""
     kept = instances.where(F.col("score") > threshold).select(*keys, "instance_id").distinct()
-    return pixels.join(kept, [*keys, "instance_id"], "left_semi").select(*keys, "y", "x").distinct()
+    return attach(pixels, kept, [*keys, "instance_id"], "left_semi").select(*keys, "y", "x").distinct()
 
 
 def instance_scores(instances: DataFrame, threshold: float, keys=("image_id",)) -> DataFrame:

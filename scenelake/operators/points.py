@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.numeric import clip, floor_div, rint_i
-from ..scale import attach, quantiles, settle
+from ..scale import GROUP_ROWS, attach, quantiles, settle, skew_join
 
 P, C, N, U, V = (("px", "py", "pz"), ("c_x", "c_y", "c_z"), ("n_x", "n_y", "n_z"), ("u_x", "u_y", "u_z"), ("v_x", "v_y", "v_z"))
 PLANE = [*C, *N, *U, *V]
@@ -136,17 +136,18 @@ def nearest_wins_grid(points: DataFrame, camera: dict, width: int, height: int,
     return zbuffer(project(points, camera, width, height, xyz), [*keys, "y", "x"], xyz[2], payload, tie)
 
 
-def points_in_box(pixels: DataFrame, boxes: DataFrame, tile: int = 64) -> DataFrame:
+def points_in_box(pixels: DataFrame, boxes: DataFrame, tile: int = 64, hot_rows: int = GROUP_ROWS) -> DataFrame:
     """Pixels inside each half-open box of the same image.
 
-    Boxes are cut into tiles and joined on (image, tile), so a frame with many boxes is not compared with all of them.
+    Boxes are cut into tiles and joined on (image, tile), so a frame with many boxes is not compared with all of them. A
+    tile has at most tile x tile pixels; a tile that very many boxes share is salted.
     """
     def tiles(lo, hi):
         return F.sequence(floor_div(lo, F.lit(tile)), floor_div(hi - 1, F.lit(tile)))
     cut = (boxes.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
            .withColumn("_ty", F.explode(tiles(F.col("y0"), F.col("y1")))).withColumn("_tx", F.explode(tiles(F.col("x0"), F.col("x1")))))
     at = pixels.withColumns({"_ty": floor_div("y", F.lit(tile)), "_tx": floor_div("x", F.lit(tile))})
-    hit = at.join(cut, ["image_id", "_ty", "_tx"])
+    hit = skew_join(cut, at, ["image_id", "_ty", "_tx"], hot_rows=hot_rows)
     return hit.where((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))).drop("_ty", "_tx")
 
 

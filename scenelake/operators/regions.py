@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rint_i
 from .masks import mask_stats
 from .neighbourhood import pixels_of, runs
+from .points import points_in_box
 from .raster import frame_pixels
 
 KINDS = ("mask", "dilated", "box", "full")
@@ -94,9 +95,9 @@ def square_crop(pixels: DataFrame, mask: DataFrame, images: DataFrame, ratio: fl
 
 
 def _cut(pixels: DataFrame, mask: DataFrame, win: DataFrame, keys) -> DataFrame:
-    """Pixels inside one window per mask; the window is cut into lines so that the join is on (image, y)."""
-    lines = win.withColumn("y", F.explode(F.sequence(F.col("wy0"), F.col("wy1") - 1)))
-    inside = pixels.join(lines, ["image_id", "y"]).where((F.col("x") >= F.col("wx0")) & (F.col("x") < F.col("wx1")))
+    """Pixels inside one window per mask, re-based to the window."""
+    boxes = win.withColumns({"x0": F.col("wx0"), "y0": F.col("wy0"), "x1": F.col("wx1"), "y1": F.col("wy1")})
+    inside = points_in_box(pixels, boxes).drop("x0", "y0", "x1", "y1")
     on = mask.select(*keys, "y", "x", F.lit(255).alias("alpha"))
     out = inside.join(on, [*keys, "y", "x"], "left").fillna(0, ["alpha"])
     return out.withColumns({"cy": (F.col("y") - F.col("wy0")).cast("int"), "cx": (F.col("x") - F.col("wx0")).cast("int")}).drop("wx0", "wy0", "wx1", "wy1", "y", "x")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scale import skew_join
 from .runs import basename, stem
 
 MAX_UPLOAD_MB = 20
@@ -34,4 +35,4 @@ def asset_inventory(listing: DataFrame, max_mb: int = MAX_UPLOAD_MB) -> DataFram
 def missing_assets(requirements: DataFrame, inventory: DataFrame, wanted: list[str], marker: str = "marker") -> DataFrame:
     """Requirements of the wanted pipelines whose marker file is not there."""
     needed = requirements.where(F.arrays_overlap("tags", F.array(*[F.lit(w) for w in wanted])))
-    return needed.join(inventory.select(marker).distinct(), marker, "left_anti")
+    return skew_join(needed, inventory.select(marker).distinct(), [marker], "left_anti")

@@ -36,7 +36,7 @@ def incremental(df: DataFrame, cache: DataFrame, key: Column, compute: Callable[
     with hot keys salted. `compute` gets one row per missing key and returns `cache_key` plus the result columns.
     """
     keyed = df.withColumn("cache_key", key)
-    misses = keyed.join(cache.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"])
+    misses = keyed.dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
     fresh = settle(compute(misses).select(*cache.columns), "fresh")
     known = cache.withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False)))
     return skew_join(keyed, known, ["cache_key"]), fresh

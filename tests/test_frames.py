@@ -92,6 +92,13 @@ def test_merge_without_edit_is_the_original(spark, scene):
     assert (array(C.multires_merge(px, low, low, 3, W, H)) == a).all()
 
 
+def test_many_layers_fold_in_rounds(spark, scene):
+    _, _, px, _, _ = scene
+    layers = px.where("x < 5").select("image_id", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("move_idx")).select(
+        "*", F.lit(0.6).alias("alpha"), *[((F.col("move_idx") + 1) * k % 256).alias(c) for c, k in zip("rgb", (37, 59, 83))])
+    assert (array(FR.layer_fold(px, layers)) == array(FR.layer_fold(px, layers, at_once=2))).all()
+
+
 def test_backends(spark):
     with pytest.raises(ValueError, match=r"choose from \['background'\]"):
         registry.make("removal", "nothing", {})

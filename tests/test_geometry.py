@@ -164,3 +164,13 @@ def test_noise_is_repeatable_and_has_the_given_spread(spark):
     b = L.augment(px.repartition(5), passes, F.lit(200), seed=4).orderBy("y", "x").toPandas()
     pd.testing.assert_frame_equal(a, b)
     assert a["r_u8"].std() / 255 == pytest.approx(0.1, rel=0.05) and abs(np.corrcoef(a["r_u8"], a["g_u8"])[0, 1]) < 0.03
+
+
+def test_many_boxes_on_one_tile(spark, rng):
+    px = spark.createDataFrame(pd.DataFrame([(0, y, x) for y in range(10) for x in range(12)], columns=["image_id", "y", "x"]))
+    b = pd.DataFrame(rng.integers(0, 8, (300, 2)), columns=["x0", "y0"]).assign(image_id=0, box_id=range(300))
+    b = spark.createDataFrame(b.assign(x1=b.x0 + 3, y1=b.y0 + 2))
+    plain = P.points_in_box(px, b, tile=4).orderBy("box_id", "y", "x").toPandas()
+    hot = P.points_in_box(px, b, tile=4, hot_rows=20).select(*plain.columns).orderBy("box_id", "y", "x").toPandas()
+    pd.testing.assert_frame_equal(plain, hot)
+    assert len(plain) == sum((min(r.x1, 12) - r.x0) * (min(r.y1, 10) - r.y0) for r in b.collect())
