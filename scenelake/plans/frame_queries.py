@@ -203,7 +203,7 @@ def _(spark, sf):
     events = X.job_events(ST.event_stream(spark, sf, "events.parquet"))
     sink, check = new_table_path(spark, "states"), new_table_path(spark, "progress")
     ST.run_available(ST.job_state_stream(events), sink, check, "update")
-    return ST.latest_states(spark, sink).drop("error")
+    return X.plain_times(ST.latest_states(spark, sink).drop("error"))
 
 
 @query("m3_stage_log_stream", "select job_id, seq, ts, stage, time_s from fx_job_events where type='stage'")
@@ -212,7 +212,7 @@ def _(spark, sf):
     again = events.withColumn("twice", F.explode(F.array(F.lit(0), F.lit(1)))).drop("twice")
     sink, check = new_table_path(spark, "stage_log"), new_table_path(spark, "progress")
     ST.run_available(ST.stage_log_stream(again), sink, check)
-    return spark.read.parquet(sink).drop("batch")
+    return X.plain_times(spark.read.parquet(sink).drop("batch"))
 
 
 @query("m4_cache_fill_stream", "select 'seg_'||content_key||'_v1' as cache_key, max(size)::bigint as result from fx_assets group by 1")

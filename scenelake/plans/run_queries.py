@@ -212,7 +212,7 @@ stages_done::bigint as stages_done, created, started, finished from s"""
 
 @query("m1_job_state", JOB_STATE)
 def _(spark, sf):
-    return J.job_state(X.job_events(X.read(spark, sf, "events")))
+    return X.plain_times(J.job_state(X.job_events(X.read(spark, sf, "events"))))
 
 
 @query("m2_fail_unfinished", f"""select job_id, case when status in ('queued','running') then 'failed' else status end as status,
@@ -220,7 +220,7 @@ case when status in ('queued','running') then 'server stopped' end as error,
 case when status in ('queued','running') then timestamp '{NOW}' else finished end as finished from fx_jobs""")
 def _(spark, sf):
     out = J.fail_unfinished(X.jobs(spark, sf), "server stopped", F.lit(NOW).cast("timestamp"))
-    return out.select("job_id", "status", "error", "finished")
+    return X.plain_times(out.select("job_id", "status", "error", "finished"))
 
 
 @query("p4_validate_specs", """

@@ -14,6 +14,11 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def plain_times(df: DataFrame) -> DataFrame:
+    """Timestamps without a zone, as the given tables hold them."""
+    return df.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in df.schema.fields if f.dataType.typeName() == "timestamp"})
+
+
 def _i(c):
     return c.cast("int")
 

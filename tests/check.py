@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from scenelake.session import local_session  # noqa: E402
-from tests.harness import compare  # noqa: E402
+from tests.harness import NOTES, compare  # noqa: E402
 
 if __name__ == "__main__":
     sf, wanted = f"/root/testdata/sf{sys.argv[1]}", tuple(sys.argv[2:])
@@ -25,5 +25,5 @@ if __name__ == "__main__":
             if "-v" in sys.argv:
                 traceback.print_exc()
         bad += err is not None
-        print(f"{'ok ' if err is None else 'BAD'} {took:6.2f}s {n:7d} {name}{'' if name in oracle_sql() else ' (rows only)'}{'' if err is None else '  ' + err}", flush=True)
+        print(f"{'ok ' if err is None else 'BAD'} {took:6.2f}s {n:7d} {name}{'' if name in oracle_sql() else ' (rows only)'}{'' if err is None else '  ' + err} {NOTES.get(name) or ''}", flush=True)
     print("bad", bad)

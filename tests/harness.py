@@ -10,6 +10,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 
 
+NOTES: dict[str, list] = {}     # columns whose types differ in width only
+
+
 def duck(sf: str):
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
@@ -47,6 +50,7 @@ def compare(spark, name, fn, sql, sf):
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}", took, len(got)
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}", took, len(got)
+    NOTES[name] = [(c, str(got[c].dtype), str(want[c].dtype)) for c in got.columns if str(got[c].dtype) != str(want[c].dtype)]
     got, want = canonical(got), canonical(want)
     kinds = [(c, str(got[c].dtype), str(want[c].dtype)) for c in got.columns if _kind(got[c]) != _kind(want[c]) and not got[c].isna().any()]
     if kinds:
