@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.colour import luminance
 from ..functions.numeric import clip, floor_div, guard
 from ..scale import attach, quantiles, settle
-from .raster import upsample_nearest
+from .texture import upsample_linear
 
 TILE = 4096
 OTHER = {"x": "y", "y": "x"}
@@ -272,13 +272,14 @@ def thin_structure_filter(px: DataFrame, channels: list[str], k: int, rel: float
 
 # ------------------------------------------------------------------ low frequencies and gap filling
 def lowfreq(px: DataFrame, channels: list[str], sigma: float, width: int, height: int, keys=("image_id",)) -> DataFrame:
-    """Wide blur through a smaller frame: block means, blur, back by nearest block. Ragged edge blocks are kept."""
+    """Wide blur through a smaller frame: block means, blur, back by linear interpolation. Ragged edge blocks are kept."""
     keys, f = list(keys), max(1, int(sigma / 4))
     if f == 1:
         return gaussian(px, sigma, channels, keys, width, height, "reflect101")
     small = px.groupBy(*keys, floor_div("y", F.lit(f)).alias("y"), floor_div("x", F.lit(f)).alias("x")).agg(*[F.avg(c).alias(c) for c in channels])
-    low = gaussian(small, sigma / f, channels, keys, -(-width // f), -(-height // f), "reflect101")
-    return upsample_nearest(low, f, [*keys, *channels]).where((F.col("y") < height) & (F.col("x") < width)).select(*keys, "y", "x", *channels)
+    w, h = -(-width // f), -(-height // f)
+    low = gaussian(small, sigma / f, channels, keys, w, h, "reflect101")
+    return upsample_linear(px, low, f, w, h, keys, channels)
 
 
 def delight(tex: DataFrame, amount: float, width: int, height: int, keys=("image_id",)) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import registry
 from ..functions.colour import luminance
+from ..functions.numeric import floor_div
 from ..operators import components as CC
 from ..operators import frames as FR
 from ..operators import light as L
@@ -72,11 +73,28 @@ def field_report(light: DataFrame, environment: DataFrame, k: int, rel: float =
     return out
 
 
+def scaled_moves(moves: DataFrame, scale, depth: DataFrame | None = None) -> DataFrame:
+    """Moves with their object scale: a number for all, or with "auto" the depth ratio of source and target."""
+    if scale != "auto":
+        return moves.withColumn("scale", F.lit(float(scale)))
+    if depth is None:
+        return moves
+    anchors = moves.select(F.struct("image_id", "move_idx").alias("move_id"), "image_id", "src_x", "src_y", "dst_x", "dst_y")
+    probed = P.depth_probe(depth, anchors).select("move_id.image_id", "move_id.move_idx", "scale")
+    return moves.drop("scale").join(probed, ["image_id", "move_idx"])
+
+
+def low_resolution_moves(moves: DataFrame, masks: DataFrame, f: int, width, height) -> tuple[DataFrame, DataFrame]:
+    """Moves and masks on the frame reduced by f: points are divided, a block is on when any of its pixels is."""
+    points = {c: floor_div(c, F.lit(f)) for c in ("src_x", "src_y", "dst_x", "dst_y")}
+    return moves.withColumns(points), R.block_any(masks, f, width, height)
+
+
 def move_objects(pixels: DataFrame, masks: DataFrame, moves: DataFrame, images: DataFrame, cfg: dict, width: int, height: int,
-                 **options) -> tuple[DataFrame, DataFrame]:
+                 depth: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """Remove each object, fill the hole, put the object at its target, and audit what changed.
 
-    Returns the frames and the pixels that changed outside the source regions and target footprints.
+    The scale comes from the options, from `depth`, or stays what the moves say. Returns the frames and the pixels that changed outside the source regions and target footprints.
     """
     settings = {**cfg, "width": width, "height": height, **options}
     radius = int(cfg["dilate_radius"])
@@ -86,7 +104,7 @@ def move_objects(pixels: DataFrame, masks: DataFrame, moves: DataFrame, images:
     remove = registry.make("removal", cfg["removal"], settings)
     insert = registry.make("insertion", cfg["insertion"], settings)
     background = settle(remove(pixels, hole_px, region_px, images), "background")
-    out, footprint = insert(pixels, background, masks, moves, images)
+    out, footprint = insert(pixels, background, masks, scaled_moves(moves, cfg["scale"], depth), images)
     out = settle(out, "moved")
     allowed = M.union(region_px, footprint)
     return out, FR.containment_audit(pixels, out, allowed)

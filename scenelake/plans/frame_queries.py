@@ -7,6 +7,7 @@ from ..functions.numeric import r6
 from ..operators import frames as FR
 from ..operators import neighbourhood as N
 from ..operators import raster as R
+from ..operators import regions as RG
 from ..scale import new_table_path
 from ..sources import sinks as SK
 from ..streaming import jobs as ST
@@ -197,6 +198,44 @@ def _(spark, sf):
     return C.multires_merge(b, low, edited, 2, W, H, grow_px=1, feather_px=2.0)
 
 
+@query("c5_depth_scaled_moves", """
+with mv as (select image_id, i::int as move_idx, 5+i as sx, 10+i*3 as sy, 40-i*20 as dx, 25+i*10 as dy from fx_images, unnest(range(2)) t(i)),
+e as (select *, 'src' as e, sx as ax, sy as ay from mv union all select *, 'dst', dx, dy from mv),
+m as (select e.image_id, move_idx, e, coalesce(median(z) filter (where valid), median(z)) as z from e join fx_depth d on d.image_id = e.image_id
+and d.x between ax-6 and ax+6 and d.y between ay-6 and ay+6 group by 1, 2, 3),
+p as (select image_id, move_idx, max(case when e='src' then z end) as zs, max(case when e='dst' then z end) as zd from m group by 1, 2)
+select image_id, move_idx, sx::int as src_x, sy::int as src_y, dx::int as dst_x, dy::int as dst_y, round(least(greatest(zs/greatest(zd, 1e-3), 0.25), 4), 6) as scale
+from mv join p using (image_id, move_idx)""")
+def _(spark, sf):
+    i = F.col("move_idx")
+    moves = X.images(spark, sf).select("image_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("move_idx")).select(
+        "image_id", "move_idx", (5 + i).alias("src_x"), (10 + i * 3).alias("src_y"), (40 - i * 20).alias("dst_x"), (25 + i * 10).alias("dst_y"))
+    return C.scaled_moves(moves, "auto", X.depth(spark, sf)).withColumn("scale", r6("scale"))
+
+
+@query("c6_low_resolution_task", f"""with {PASTE.format(thr=160)}, o as (select image_id, 0::int as mask_id, y, x from fx_frames where r0 > 160 and y < 50-50%4 and x < 22-22%4),
+lm as (select image_id, mask_id, count(distinct (y//4, x//4))::bigint as mask_px from o group by 1, 2)
+select image_id, move_idx, (sx//4)::int as src_x, (sy//4)::int as src_y, (dx//4)::int as dst_x, (dy//4)::int as dst_y, mask_px from mv join lm using (image_id)""")
+def _(spark, sf):
+    moves, masks = C.low_resolution_moves(_moves(spark, sf), _object(spark, sf), 4, W, H)
+    px = masks.groupBy("image_id", "mask_id").agg(F.count("*").alias("mask_px"))
+    return moves.join(px, ["image_id", "mask_id"]).select("image_id", "move_idx", "src_x", "src_y", "dst_x", "dst_y", "mask_px")
+
+
+@query("a27_subject_on_white", f"""with m as (select image_id, (y//12)*10 + x//12 as mask_id, y, x from fx_frames where r0 > 160),
+b as (select image_id, mask_id, min(x) as x0, min(y) as y0, max(x)+1 as x1, max(y)+1 as y1 from m group by 1, 2)
+select b.image_id, b.mask_id::int as mask_id, greatest(x1-x0, y1-y0)::int as side, (f.y-y0+floor((greatest(x1-x0, y1-y0)-(y1-y0))/2.0))::int as cy,
+(f.x-x0+floor((greatest(x1-x0, y1-y0)-(x1-x0))/2.0))::int as cx, {', '.join(f'(case when m.x is null then 255 else {c}0 end)::int as {c}' for c in 'rgb')}
+from b join fx_frames f on f.image_id=b.image_id and f.x >= x0 and f.x < x1 and f.y >= y0 and f.y < y1
+left join m on m.image_id=b.image_id and m.mask_id=b.mask_id and m.y=f.y and m.x=f.x""")
+def _(spark, sf):
+    px = X.frame_before(spark, sf)
+    cell = (F.floor(F.col("y") / 12) * 10 + F.floor(F.col("x") / 12)).cast("int")
+    objects = px.where("r > 160").select("image_id", cell.alias("mask_id"), "y", "x")
+    out = RG.on_white(RG.square_crop(px, objects, X.rgb_images(spark, sf), 1.0))
+    return out.select("image_id", "mask_id", "side", "cy", "cx", "r", "g", "b")
+
+
 # ---- streams
 @query("m1_job_state_stream", JOB_STATE)
 def _(spark, sf):

@@ -179,7 +179,9 @@ def lowfreq_sql(src, name, cols, sigma, w, h):
     f = max(1, int(sigma / 4))
     small = f"{name}_s as (select image_id, (y//{f})::int as y, (x//{f})::int as x, {', '.join(f'avg({c}) as {c}' for c in cols)} from {src} group by all)"
     return f"""{small}, {blur_sql(name + '_s', name + '_b', cols, N.gaussian_kernel(sigma / f), -(-w // f), -(-h // f), 'reflect101')},
-{name} as (select p.image_id, p.y, p.x, {', '.join('b.' + c for c in cols)} from {src} p join {name}_b b on p.image_id=b.image_id and b.y=p.y//{f} and b.x=p.x//{f})"""
+{name}_p as (select image_id, y, x, least(greatest((x+0.5::double)/{f}-0.5, 0), {-(-w // f) - 1}) as u, least(greatest((y+0.5::double)/{f}-0.5, 0), {-(-h // f) - 1}) as vv from {src}),
+{name} as (select p.image_id, p.y, p.x, {', '.join(f'sum(b.{c}*(case dy when 1 then vv-floor(vv) else 1-(vv-floor(vv)) end)*(case dx when 1 then u-floor(u) else 1-(u-floor(u)) end)) as {c}' for c in cols)}
+from {name}_p p, unnest(range(2)) a(dy), unnest(range(2)) c(dx), {name}_b b where b.image_id=p.image_id and b.y=least(floor(vv)+dy, {-(-h // f) - 1}) and b.x=least(floor(u)+dx, {-(-w // f) - 1}) group by 1, 2, 3)"""
 
 
 @query("w8_lowfreq", f"with {lowfreq_sql('fx_raster', 'l', ['v'], 8.0, W, H)} {px(r('v'))} from l")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000      # statistics rows are a handful of doubles, so this stays in the tens of MB
 GROUP_ROWS = 1_000_000        # largest group that may be sorted by, or held in, one task
+QUANTILE_ROWS = 200_000       # above this the built-in exact quantile, which keeps every distinct value, is the slower way
 SALTS = 32
 
 _local_dirs: dict[str, str] = {}
@@ -138,7 +139,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "ran
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-              group_rows: int = GROUP_ROWS, largest: int | None = None) -> DataFrame:
+              group_rows: int = QUANTILE_ROWS, largest: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per key and one column per entry of `qs`.
 
     Groups up to `group_rows` use the built-in exact aggregate. Larger ones are narrowed first (see `_narrow`), so no
