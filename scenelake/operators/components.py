@@ -19,29 +19,36 @@ KEYS = ("image_id", "mask_id")
 TILE = 256
 
 
-def _first_of_group(y: np.ndarray, x: np.ndarray, conn: int) -> np.ndarray:
-    """For sorted pixels (by y, then x): index of the first pixel of the component each belongs to."""
-    new_run = np.r_[True, (np.diff(y) != 0) | (np.diff(x) != 1)]
-    run = np.cumsum(new_run) - 1
-    start = np.flatnonzero(new_run)
-    end = np.r_[start[1:], len(y)] - 1
-    ry, x0, x1 = y[start].astype(np.int64), x[start].astype(np.int64), x[end].astype(np.int64)
-    reach, line = (1 if conn == 8 else 0), int(x1.max()) + 4
-    lo = np.searchsorted(ry * line + x1, (ry + 1) * line + x0 - reach, "left")
-    hi = np.searchsorted(ry * line + x0, (ry + 1) * line + x1 + reach, "right")
-    n = np.maximum(hi - lo, 0)
-    a = np.repeat(np.arange(len(start)), n)
-    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    label = np.arange(len(start))
-    while len(a):
-        m = np.minimum(label[a], label[b])
-        if (label[a] == label[b]).all():
-            break
-        np.minimum.at(label, label[a], m)
-        np.minimum.at(label, label[b], m)
-        while (label[label] != label).any():
-            label = label[label]
-    return start[label][run]
+def _tile_labeller(keys: list[str], conn: int):
+    """The function that labels one tile. It is self-contained, so workers need not have this package installed."""
+    def first_of_group(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """For pixels sorted by (y, x): index of the first pixel of the component each belongs to."""
+        new_run = np.r_[True, (np.diff(y) != 0) | (np.diff(x) != 1)]
+        run = np.cumsum(new_run) - 1
+        start = np.flatnonzero(new_run)
+        end = np.r_[start[1:], len(y)] - 1
+        ry, x0, x1 = y[start], x[start], x[end]
+        # runs of the next line that touch a run are neighbours in the sorted order
+        reach, line = (1 if conn == 8 else 0), int(x1.max()) + 4
+        lo = np.searchsorted(ry * line + x1, (ry + 1) * line + x0 - reach, "left")
+        hi = np.searchsorted(ry * line + x0, (ry + 1) * line + x1 + reach, "right")
+        n = np.maximum(hi - lo, 0)
+        a = np.repeat(np.arange(len(start)), n)
+        b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        group = np.arange(len(start))
+        while (group[a] != group[b]).any():
+            low = np.minimum(group[a], group[b])
+            np.minimum.at(group, group[a], low)
+            np.minimum.at(group, group[b], low)
+            while (group[group] != group).any():
+                group = group[group]
+        return start[group][run]
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
+        y, x = pdf["y"].to_numpy().astype(np.int64), pdf["x"].to_numpy().astype(np.int64)
+        return pdf[[*keys, "y", "x"]].assign(label=(y * (1 << 32) + x)[first_of_group(y, x)])
+    return label
 
 
 def connected_components(mask: DataFrame, conn: int = 8, keys=KEYS, tile: int = TILE) -> DataFrame:
@@ -50,14 +57,8 @@ def connected_components(mask: DataFrame, conn: int = 8, keys=KEYS, tile: int =
     group = [*keys, "_ty", "_tx"]
     px = mask.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in px.schema.fields)
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
-        first = _first_of_group(pdf["y"].to_numpy(), pdf["x"].to_numpy(), conn)
-        big = pdf["y"].to_numpy().astype(np.int64) * (1 << 32) + pdf["x"].to_numpy()
-        return pdf[[*keys, "y", "x"]].assign(label=big[first])
     tiled = px.withColumns({"_ty": floor_div("y", F.lit(tile)), "_tx": floor_div("x", F.lit(tile))})
-    local = settle(tiled.groupBy(*group).applyInPandas(label, f"{kinds}, label bigint"), "tiles")
+    local = settle(tiled.groupBy(*group).applyInPandas(_tile_labeller(keys, conn), f"{kinds}, label bigint"), "tiles")
     edges = _across_tiles(local, conn, keys, tile)
     if edges is None:
         return local

@@ -107,3 +107,9 @@ def on_white(crop: DataFrame, channels=("r", "g", "b")) -> DataFrame:
     """Composite a cut-out on white."""
     a = F.col("alpha") / 255
     return crop.withColumns({c: (F.col(c) * a + (F.lit(1.0) - a) * 255).cast("int") for c in channels})
+
+
+def empty_masks(wanted: DataFrame, mask: DataFrame, keys=("image_id", "mask_id")) -> DataFrame:
+    """Error rows for the masks that were asked for but have no pixel, so that no crop came out."""
+    seen = mask.select(*keys).distinct()
+    return wanted.select(*keys).distinct().join(seen, list(keys), "left_anti").withColumn("error", F.lit("mask is empty"))

@@ -222,6 +222,15 @@ def _(spark, sf):
     return moves.join(px, ["image_id", "mask_id"]).select("image_id", "move_idx", "src_x", "src_y", "dst_x", "dst_y", "mask_px")
 
 
+@query("a27_empty_masks", """select image_id, m::int as mask_id, 'mask is empty' as error from fx_images, unnest(range(2)) t(m)
+where not exists (select 1 from fx_raster r where r.image_id = fx_images.image_id and r.v > 0.31::double + m*0.04::double)""")
+def _(spark, sf):
+    wanted = X.images(spark, sf).select("image_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("mask_id"))
+    px = X.raster(spark, sf)
+    which = F.filter(F.array(F.when(F.col("v") > 0.31, 0), F.when(F.col("v") > F.lit(0.31) + 0.04, 1)), lambda m: m.isNotNull())
+    return RG.empty_masks(wanted, px.select("image_id", F.explode(which).alias("mask_id")))
+
+
 @query("a27_subject_on_white", f"""with m as (select image_id, (y//12)*10 + x//12 as mask_id, y, x from fx_frames where r0 > 160),
 b as (select image_id, mask_id, min(x) as x0, min(y) as y0, max(x)+1 as x1, max(y)+1 as y1 from m group by 1, 2)
 select b.image_id, b.mask_id::int as mask_id, greatest(x1-x0, y1-y0)::int as side, (f.y-y0+floor((greatest(x1-x0, y1-y0)-(y1-y0))/2.0))::int as cy,

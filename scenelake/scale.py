@@ -26,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
-        root = _local_dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if app not in _local_dirs:
+            _local_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = _local_dirs[app]
     return f"{root.rstrip('/')}/scenelake/{app}"
 
 

@@ -1,5 +1,7 @@
 """Run documents: nested JSON, one document per run, whose layout drifted over time."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,8 @@ def read_runs(spark: SparkSession, root: str, multi_line: bool = True) -> DataFr
     """
     docs = (spark.read.schema(RUN_SCHEMA).option("multiLine", multi_line).option("recursiveFileLookup", True)
             .option("pathGlobFilter", "*.json").json(root))
-    inner = F.regexp_extract(F.input_file_name(), f"{root.rstrip('/').split('/')[-1]}/(.+)/[^/]+$", 1)
+    below = re.escape(root.removeprefix("file:").strip("/"))
+    inner = F.regexp_extract(F.input_file_name(), f"{below}/(.+)/[^/]+$", 1)
     parts = F.transform(F.split(inner, "/"), lambda p: F.regexp_replace(p, "^[a-z]+=", ""))
 
     def part(i):

@@ -21,13 +21,6 @@ def event_stream(spark: SparkSession, path: str, glob: str = "*.parquet", files_
     return (spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
 
 
-def _after(kind: str, stage: str | None) -> str | None:
-    order = STAGE_ORDER.get(kind, [])
-    name = RENAMED_STAGES.get(stage, stage)
-    i = order.index(name) if name in order else -1
-    return order[i + 1] if 0 <= i < len(order) - 1 else None
-
-
 def job_state_stream(events: DataFrame, idle_timeout: str | None = None, reason: str = "no progress") -> DataFrame:
     """State of each job after each micro-batch that has events for it.
 
@@ -36,6 +29,12 @@ def job_state_stream(events: DataFrame, idle_timeout: str | None = None, reason:
     needs a watermark on ts.
     """
     millis = int(pd.Timedelta(idle_timeout).total_seconds() * 1000) if idle_timeout else None
+    orders, renamed = STAGE_ORDER, RENAMED_STAGES
+
+    def after(kind: str, stage: str | None) -> str | None:
+        order, name = orders.get(kind, []), renamed.get(stage, stage)
+        i = order.index(name) if name in order else -1
+        return order[i + 1] if 0 <= i < len(order) - 1 else None
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old = state.get if state.exists else ("queued", None, 0, None, None, None, None)
@@ -55,9 +54,9 @@ def job_state_stream(events: DataFrame, idle_timeout: str | None = None, reason:
                     status, stage, finished = e.type, None, ts
                 elif e.type in ("started", "stage"):
                     if started is None:
-                        status, started, stage = "running", ts, STAGE_ORDER.get(e.kind, [None])[0]
+                        status, started, stage = "running", ts, orders.get(e.kind, [None])[0]
                     if e.type == "stage":
-                        done, stage = done + 1, _after(e.kind, e.stage)
+                        done, stage = done + 1, after(e.kind, e.stage)
             if millis and status in ("queued", "running"):
                 state.setTimeoutTimestamp(int(rows["ts"].iloc[-1].timestamp() * 1000) + millis)
         now = (status, stage, done, created, started, finished, error)
