@@ -223,11 +223,11 @@ def _(spark, sf):
 
 
 @query("a27_empty_masks", """select image_id, m::int as mask_id, 'mask is empty' as error from fx_images, unnest(range(2)) t(m)
-where not exists (select 1 from fx_raster r where r.image_id = fx_images.image_id and r.v > 0.31::double + m*0.04::double)""")
+where not exists (select 1 from fx_raster r where r.image_id = fx_images.image_id and r.v > 0.4::double + m*0.06::double)""")
 def _(spark, sf):
     wanted = X.images(spark, sf).select("image_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("mask_id"))
     px = X.raster(spark, sf)
-    which = F.filter(F.array(F.when(F.col("v") > 0.31, 0), F.when(F.col("v") > F.lit(0.31) + 0.04, 1)), lambda m: m.isNotNull())
+    which = F.filter(F.array(F.when(F.col("v") > 0.4, 0), F.when(F.col("v") > F.lit(0.4) + 0.06, 1)), lambda m: m.isNotNull())
     return RG.empty_masks(wanted, px.select("image_id", F.explode(which).alias("mask_id")))
 
 

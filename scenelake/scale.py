@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000      # statistics rows are a handful of doubles, so this stays in the tens of MB
 GROUP_ROWS = 1_000_000        # largest group that may be sorted by, or held in, one task
-QUANTILE_ROWS = 200_000       # above this the built-in exact quantile, which keeps every distinct value, is the slower way
+QUANTILE_ROWS = 500_000       # above this the built-in exact quantile, which keeps every distinct value, is the slower way
 SALTS = 32
 
 _local_dirs: dict[str, str] = {}
