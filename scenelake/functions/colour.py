@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import _c, clip, guard, u8_trunc
+from .numeric import _c, guard, u8_trunc
 
 # Encoding exponent, luminance weights of linear colour, luma weights of encoded colour, and the
 # constant of the first spherical-harmonics band.
@@ -62,4 +62,4 @@ def safe_ratio(num, den, weak, otherwise, floor: float = 0.05) -> Column:
 
 
 __all__ = ["GAMMA", "LUMINANCE", "LUMA", "SH_BAND0", "to_linear", "to_srgb", "luminance", "luma", "f0_of_ior",
-           "grazing_reflectance", "sigmoid", "sh_to_u8", "jitter_contrast", "safe_ratio", "clip"]
+           "grazing_reflectance", "sigmoid", "sh_to_u8", "jitter_contrast", "safe_ratio"]
