@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from . import contamination, mixing, sharding, token_files, topk  # noqa: F401
+from . import contamination, mixing, quality, sharding, token_files, topk  # noqa: F401
 from .catalog import ORACLE, QUERIES  # noqa: F401
