@@ -14,6 +14,9 @@ unpacking the rest.
 """
 
 
+import os
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,8 +26,9 @@ from scenelake.scale import attach, new_table_path, settle
 
 from .catalog import mapped, query, table, utf8
 
-MAGIC, FILE_IDS, STRIDE = 0x544F4B_454631, 4 << 20, 512
+MAGIC, FILE_IDS, STRIDE = 0x544F4B_454631, 2 << 20, 512
 END_ID = 2
+_KEPT: dict[str, "WordTokens"] = {}
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint32)
 
 
@@ -103,7 +107,8 @@ class TokenFile:
         return self.flat[lo:hi]
 
 
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+"
+_SIMPLE = re.compile("[!-~ß-öø-ɏ]+")             # signs and letters that the tokenizer's normal form leaves alone
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\\sa-z0-9ß-öø-ɏ]+")   # its borders within these
 
 
 class WordTokens:
@@ -115,10 +120,7 @@ class WordTokens:
     Words kept are bounded by `keep`.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
-        import os
-        import re
-
+    def __init__(self, path: str, keep: int = 250_000):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.keep, self.known, self.pieces = Tokenizer.from_file(path), keep, {}, {}
@@ -126,7 +128,14 @@ class WordTokens:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
-        self.split = re.compile(_SPLIT)
+
+    @classmethod
+    def of(cls, path: str) -> "WordTokens":
+        """One for all tasks of a worker."""
+        if path not in _KEPT:
+            _KEPT.clear()
+            _KEPT[path] = cls(path)
+        return _KEPT[path]
 
     def _pack(self, ids) -> bytes:
         return np.asarray(ids, "<u4").tobytes()
@@ -135,23 +144,21 @@ class WordTokens:
         return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, words: set) -> None:
-        import unicodedata
-        parts, letters = {}, set()
+        parts, letters, pieces = [], set(), self.pieces
         for w in words:
-            s = raw = w.decode(errors="replace")
-            if not s.isascii():
-                s = unicodedata.normalize("NFC", s).lower()
-            cut = self.split.findall(s)
-            if not s.isascii() and (max(s) > "ɏ" or not all(c.isascii() or c.isalpha() for c in s)) or sum(map(len, cut)) != len(s):
-                self.known[w] = self.whole(raw)
+            s = w.decode(errors="replace")
+            low = s if s.isascii() else s.lower()
+            if not _SIMPLE.fullmatch(low):
+                self.known[w] = self.whole(s)
                 continue
-            parts[w] = cut
+            cut = _SPLIT.findall(low)
+            parts.append((w, cut))
             for p in cut:
-                if p not in self.pieces:
+                if p not in pieces:
                     if p.isalpha():
                         letters.add(p)
                     else:
-                        self.pieces[p] = self.whole(p)
+                        pieces[p] = self.whole(p)
         letters = sorted(letters)
         for lo in range(0, len(letters), 2000):
             some = letters[lo:lo + 2000]
@@ -161,7 +168,7 @@ class WordTokens:
                 self.pieces.update(zip(some, (ids[a:b].tobytes() for a, b in zip([0, *stops.tolist()], stops.tolist()))))
             else:
                 self.pieces.update((p, self.whole(p)) for p in some)
-        for w, cut in parts.items():
+        for w, cut in parts:
             self.known[w] = self.pieces[cut[0]] if len(cut) == 1 else b"".join(map(self.pieces.__getitem__, cut))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -181,7 +188,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int, step: int =
     def run(batches):
         from pyarrow import fs as pafs
         from pyspark import TaskContext
-        enc, (fs, root), wide = WordTokens(tokenizer), pafs.FileSystem.from_uri(folder), False
+        enc, (fs, root), wide = WordTokens.of(tokenizer), pafs.FileSystem.from_uri(folder), False
         wide = enc.tok.get_vocab_size() > 65_536 or end_id > 65_535
         task, seq = TaskContext.get(), 0
         end, doc_ids, ids, held = np.array([end_id], "<u4").tobytes(), [], [], 0
