@@ -126,7 +126,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bat
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of `docs` of which less than a twentieth of the words are hit."""
-    return contamination(docs, benchmark, width).where("not hit.contaminated").drop("hit")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
+    return contamination(whole, benchmark, width).where("not hit.contaminated").select("__row.*")
 
 
 SQL = r"""

@@ -111,7 +111,7 @@ def _signer(width: int):
                 c2.append(d[1])
                 regs.append(registers(h).tobytes() if len(h) else None)
                 own.append(None if key.is_valid else t)
-            return [batch.column("doc_id"), n, c1, c2, regs, own]
+            return [batch.column("doc_id"), batch.column("rid"), n, c1, c2, regs, own]
         return step
     return start
 
@@ -188,16 +188,10 @@ def _second_look(crowd: DataFrame, bands: DataFrame, roots: DataFrame | None, do
     return settle(pairs.join(done, ["u", "v"], "left_anti"), "pairs")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of `docs` (doc_id, text).
-
-    Documents are linked if their sets' intersection is at least `percent` of the union; component_id is the smallest doc_id
-    that links lead to. Null and empty texts and texts of white space have no shingles and stand alone; a text with fewer
-    than `width` words is one shingle. Rows that share a doc_id are separate documents, so of two equal rows both have
-    kept = true. A row with a null id is linked like any other but gives no component its name: component_id is null where
-    all ids are, and kept is false where another row has an id, else true. An empty table gives no rows.
-    """
-    signed = settle(mapped(docs.select("doc_id", utf8().alias("__utf8")), _signer(width), "doc_id long, n long, c1 long, c2 long, regs binary, own binary"), "signed")
+def _members(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of `docs` (doc_id, rid, text) with the fingerprint (c1, c2) of their set, and for each fingerprint the root of its
+    component and the smallest doc_id there. Equal 128-bit fingerprints count as equal sets."""
+    signed = settle(mapped(docs.select("doc_id", "rid", utf8().alias("__utf8")), _signer(width), "doc_id long, rid long, n long, c1 long, c2 long, regs binary, own binary"), "signed")
     some = signed.where("n > 0")
     classes = settle(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("own").alias("own")).withColumnRenamed("c1", "node"), "classes")
     bands = settle(mapped(classes.select("node", "regs"), _bander, "key long, node long"), "bands")
@@ -220,10 +214,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     joined = node.join(roots.select(F.col("label").alias("node"), "root"), "node", "left") if roots is not None else node.withColumn("root", F.lit(None).cast("long"))
     joined = joined.withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    member = settle(joined.join(least, "root").select(F.col("node").alias("c1"), "c2", "component_id"), "members")
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2").join(member, ["c1", "c2"], "left")
-    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"))
+    return signed, settle(joined.join(least, "root").select(F.col("node").alias("c1"), "c2", "root", "component_id"), "members")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of `docs` (doc_id, text).
+
+    Documents are linked if their sets' intersection is at least `percent` of the union; component_id is the smallest doc_id
+    that links lead to. Null and empty texts and texts of white space have no shingles and stand alone; a text with fewer
+    than `width` words is one shingle. Rows that share a doc_id are separate documents, so of two equal rows both have
+    kept = true. A row with a null id is linked like any other but gives no component its name: component_id is null where
+    all ids are, and kept is false where another row has an id, else true. An empty table gives no rows.
+    """
+    signed, members = _members(docs.select("doc_id", F.lit(None).cast("long").alias("rid"), "text"), width, percent)
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2").join(members, ["c1", "c2"], "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all their columns, less all but one of each component: the one with the smallest doc_id
+    (a null only where all are null), and of rows that share it one. Rows without shingles all stay."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    whole = settle(docs.select(row, "doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "rows")
+    signed, members = _members(whole.select("doc_id", "rid", "text"), width, percent)
+    rows = signed.where("n > 0").select("doc_id", "rid", "c1", "c2").join(members.select("c1", "c2", "root"), ["c1", "c2"])
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")).select("first.rid")
+    keep = first.union(signed.where("n = 0").select("rid"))
+    return whole.join(keep, "rid", "left_semi").select("__row.*")
 
 
 def _same_set(width: int):
