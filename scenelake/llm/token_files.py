@@ -115,15 +115,16 @@ class WordTokens:
     """Ids of whole texts by way of their words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words one after another,
-    and a word that comes up again is looked up. Words of letters up to U+024F are split at the tokenizer's own borders and
-    encoded many at a time; a word with anything else is encoded as it is, and so is a text with a special token in it.
+    and a word that comes up again is looked up. New words are encoded many at a time and told apart by how many pieces each
+    has at the tokenizer's own borders. A word with anything but ASCII signs and letters up to U+024F is encoded by itself,
+    and so is a text with a special token in it.
     Words kept are bounded by `keep`.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok, self.keep, self.known, self.pieces = Tokenizer.from_file(path), keep, {}, {}
+        self.tok, self.keep, self.known = Tokenizer.from_file(path), keep, {}
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -143,44 +144,42 @@ class WordTokens:
     def whole(self, text: str) -> bytes:
         return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, words: set) -> None:
-        parts, letters, pieces = [], set(), self.pieces
-        for w in words:
-            s = w.decode(errors="replace")
-            low = s if s.isascii() else s.lower()
-            if not _SIMPLE.fullmatch(low):
-                self.known[w] = self.whole(s)
-                continue
-            cut = _SPLIT.findall(low)
-            parts.append((w, cut))
-            for p in cut:
-                if p not in pieces:
-                    if p.isalpha():
-                        letters.add(p)
-                    else:
-                        pieces[p] = self.whole(p)
-        letters = sorted(letters)
-        for lo in range(0, len(letters), 2000):
-            some = letters[lo:lo + 2000]
-            ids = np.asarray(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.last[ids]) + 1
-            if len(stops) == len(some) and stops[-1] == len(ids):
-                self.pieces.update(zip(some, (ids[a:b].tobytes() for a, b in zip([0, *stops.tolist()], stops.tolist()))))
+    def _learn(self, words: list[bytes]) -> None:
+        known = self.known
+        for lo in range(0, len(words), 4000):
+            some, text, pieces = [], [], []
+            for w in words[lo:lo + 4000]:
+                n = 1
+                if w.isalpha():                  # ASCII letters only, as these are bytes
+                    s = w.decode()
+                else:
+                    s = w.decode(errors="replace")
+                    low = s if s.isascii() else s.lower()
+                    if not _SIMPLE.fullmatch(low):
+                        known[w] = self.whole(s)
+                        continue
+                    n = len(_SPLIT.findall(low))
+                some.append(w)
+                text.append(s)
+                pieces.append(n)
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join(text)], add_special_tokens=False)[0].ids, "<u4")
+            ends, last = np.flatnonzero(self.last[ids]) + 1, np.cumsum(pieces)
+            if some and len(ends) == last[-1] and ends[-1] == len(ids):
+                stops, flat = (4 * ends[last - 1]).tolist(), ids.tobytes()
+                known.update(zip(some, map(flat.__getitem__, map(slice, [0, *stops], stops))))
             else:
-                self.pieces.update((p, self.whole(p)) for p in some)
-        for w, cut in parts:
-            self.known[w] = self.pieces[cut[0]] if len(cut) == 1 else b"".join(map(self.pieces.__getitem__, cut))
+                known.update((w, self.whole(s)) for w, s in zip(some, text))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         if len(self.known) > self.keep:
-            self.known, self.pieces = {}, {}
+            self.known = {}
         split = [None if b"<|" in t and any(s in t for s in self.special) else t.lower().split() for t in texts]
         new = set()
         for ws in split:
             if ws:
                 new.update(ws)
-        self._learn(new.difference(self.known))
+        self._learn(list(new.difference(self.known)))
         return [self.whole(t.decode(errors="replace")) if ws is None else b"".join(map(self.known.__getitem__, ws)) for t, ws in zip(texts, split)]
 
 
