@@ -19,6 +19,7 @@ ARTIFACTS = {
                "background.png", "output_lowres.png", "output_sr_full.png"],
     "image3d": ["subject.png", "input_processed.png", "preview.png"],
 }
+STAGE_AFTER = {(kind, a): b for kind, order in STAGE_ORDER.items() for a, b in zip(order, order[1:])}
 ACTIVE = ("queued", "running")
 TERMINAL = ("done", "failed")
 
@@ -40,8 +41,7 @@ def queue_position(jobs: DataFrame, queue: str | None = None) -> DataFrame:
 
 def next_stage(kind: Column, stage: Column) -> Column:
     """The stage that runs after a finished one; null after the last or an unknown one."""
-    pairs = [(f"{k}/{a}", b) for k, order in STAGE_ORDER.items() for a, b in zip(order, order[1:])]
-    table = F.create_map(*[F.lit(v) for pair in pairs for v in pair])
+    table = F.create_map(*[F.lit(v) for (k, a), b in STAGE_AFTER.items() for v in (f"{k}/{a}", b)])
     return F.try_element_at(table, F.concat_ws("/", kind, normalise_stage_name(stage)))
 
 
@@ -94,7 +94,7 @@ def job_state(events: DataFrame) -> DataFrame:
         F.col("end").isNull() | (at <= F.struct(F.col("end.ts"), F.col("end.seq"))))
     is_stage, is_start = F.col("type") == "stage", F.col("type").isin("started", "stage")
     s = live.groupBy("job_id").agg(
-        F.first("end").alias("end"), F.first("kind").alias("kind"), F.min("ts").alias("created"),
+        F.first("end").alias("end"), F.min("kind").alias("kind"), F.min("ts").alias("created"),
         F.min(F.when(is_start, F.col("ts"))).alias("started"), F.count_if(is_stage).alias("stages_done"),
         F.max(F.when(is_stage, F.struct("ts", "seq", "stage"))).alias("last"))
     status = (F.when(F.col("end").isNotNull(), F.col("end.type")).when(F.col("started").isNotNull(), "running").otherwise("queued"))

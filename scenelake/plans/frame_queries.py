@@ -246,21 +246,33 @@ def _(spark, sf):
 
 
 # ---- streams
+def _in_files(spark, df, files=5):
+    """The rows of a table in a few files that follow no order, as a folder for a stream that takes one file at a time."""
+    path = new_table_path(spark, "files")
+    df.repartition(files, F.xxhash64("event_id")).write.parquet(path)
+    return path
+
+
 @query("m1_job_state_stream", JOB_STATE)
 def _(spark, sf):
-    events = X.job_events(ST.event_stream(spark, sf, "events.parquet"))
+    files = _in_files(spark, X.read(spark, sf, "events"))
+    events = X.job_events(ST.event_stream(spark, files, files_per_trigger=1))
     sink, check = new_table_path(spark, "states"), new_table_path(spark, "progress")
     ST.run_available(ST.job_state_stream(events), sink, check, "update")
     return X.plain_times(ST.latest_states(spark, sink).drop("error"))
 
 
-@query("m3_stage_log_stream", "select job_id, seq, ts, stage, time_s from fx_job_events where type='stage'")
+@query("m3_stage_log_stream", """select user_id as job_id, event_id as seq, ts, stage, case when k%3 > 0 then 'm'||k%3 end as model, value as time_s,
+case when k%5=0 then value/2 end as gen_s, case when k%2=0 then k/4.0::double end as gpu_peak_gb
+from (select e.*, (props->>'k')::int as k, j.stage from events e join fx_job_events j on e.event_id = j.seq and e.user_id = j.job_id where j.type='stage')""")
 def _(spark, sf):
-    events = X.job_events(ST.event_stream(spark, sf, "events.parquet"))
+    raw = X.read(spark, sf, "events")
+    files = _in_files(spark, raw.unionByName(raw.where("event_id % 3 = 0").withColumn("event_id", F.col("event_id"))), 3)
+    events = X.job_events(ST.event_stream(spark, files, files_per_trigger=1))
     again = events.withColumn("twice", F.explode(F.array(F.lit(0), F.lit(1)))).drop("twice")
     sink, check = new_table_path(spark, "stage_log"), new_table_path(spark, "progress")
-    ST.run_available(ST.stage_log_stream(again), sink, check)
-    return X.plain_times(spark.read.parquet(sink).drop("batch"))
+    ST.stage_log(again, sink, check)
+    return X.plain_times(spark.read.parquet(sink).drop("batch", "bucket"))
 
 
 @query("m4_cache_fill_stream", "select 'seg_'||content_key||'_v1' as cache_key, max(size)::bigint as result from fx_assets group by 1")
@@ -268,7 +280,6 @@ def _(spark, sf):
     docs = ST.event_stream(spark, sf, "documents.parquet")
     a = docs.select(SK.content_key(F.col("text")).alias("content_key"), F.col("n_chars").alias("size"))
     cache, schema = new_table_path(spark, "cache"), "cache_key string, result bigint"
-    spark.createDataFrame([], schema).write.parquet(f"{cache}/part=none")
     for name in ("first", "again"):      # the second stream over the same assets finds everything cached
         ST.cache_fill_stream(a, cache, SK.cache_key("seg", F.col("content_key"), "v1"),
                              lambda miss: miss.select("cache_key", F.col("size").cast("bigint").alias("result")),

@@ -201,7 +201,8 @@ def job_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"),
                          F.col("ts").cast("timestamp").alias("ts"), kind.alias("type"),
                          F.when(kind == "stage", stage).alias("stage"), F.lit("floor").alias("kind"),
-                         F.when(kind == "stage", F.col("value")).alias("time_s"))
+                         F.when(kind == "stage", F.col("value")).alias("time_s"), F.when(k % 3 > 0, F.concat(F.lit("m"), k % 3)).alias("model"),
+                         F.when(k % 5 == 0, F.col("value") / 2).alias("gen_s"), F.when(k % 2 == 0, k / 4).alias("gpu_peak_gb"))
 
 
 def moves(spark, sf):

@@ -28,6 +28,12 @@ def cache_key(kind: str, key: Column, *params) -> Column:
     return F.concat_ws("_", F.lit(kind), key, *[p if isinstance(p, Column) else F.lit(str(p)) for p in params])
 
 
+def compute_missing(keyed: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """Results for the keys of `keyed` that the cache lacks, one row a key."""
+    misses = keyed.dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
+    return compute(misses).select(*columns)
+
+
 def incremental(df: DataFrame, cache: DataFrame, key: Column, compute: Callable[[DataFrame], DataFrame],
                 ) -> tuple[DataFrame, DataFrame]:
     """Rows of `df` with their results, and the new cache rows to append.
@@ -36,8 +42,7 @@ def incremental(df: DataFrame, cache: DataFrame, key: Column, compute: Callable[
     with hot keys salted. `compute` gets one row per missing key and returns `cache_key` plus the result columns.
     """
     keyed = df.withColumn("cache_key", key)
-    misses = keyed.dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
-    fresh = settle(compute(misses).select(*cache.columns), "fresh")
+    fresh = settle(compute_missing(keyed, cache, compute, cache.columns), "fresh")
     known = cache.withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False)))
     return skew_join(keyed, known, ["cache_key"]), fresh
 

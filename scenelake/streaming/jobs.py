@@ -2,17 +2,22 @@
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.jobs import STAGE_ORDER
+from ..operators.jobs import STAGE_AFTER, STAGE_ORDER
 from ..sources.runs import RENAMED_STAGES
-from ..sources.sinks import incremental
+from ..sources.sinks import compute_missing
 
-STATE = "status string, stage string, stages_done bigint, created timestamp, started timestamp, finished timestamp, error string"
-OUTPUT = f"job_id bigint, {STATE}"
+FACTS = """kind string, created timestamp, start_ts timestamp, start_seq bigint, end_ts timestamp, end_seq bigint, end_type string,
+    stage_us array<bigint>, stage_seq array<bigint>, stage array<string>, stopped timestamp"""
+OUTPUT = """job_id bigint, status string, stage string, stages_done bigint, created timestamp, started timestamp, finished timestamp,
+    error string"""
+BUCKETS = 64                                      # folders by key in a sink, so that a micro-batch reads those of its own keys
+STAGE_FIELDS = ("stage", "model", "time_s", "gen_s", "gpu_peak_gb")      # fixed values: the public fields of a finished stage
 
 
 def event_stream(spark: SparkSession, path: str, glob: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
@@ -21,55 +26,100 @@ def event_stream(spark: SparkSession, path: str, glob: str = "*.parquet", files_
     return (spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
 
 
+def _earliest(rows: pd.DataFrame, old: tuple) -> tuple:
+    """The smaller of `old` (ts, seq, ...) and the first of `rows` by (ts, seq); `old` starts with None if there is none."""
+    if rows.empty:
+        return old
+    r = rows.sort_values(["ts", "seq"]).iloc[0]
+    new = (r["ts"].to_pydatetime(), int(r["seq"]), r["type"])[:len(old)]
+    return new if old[0] is None or new[:2] < old[:2] else old
+
+
 def job_state_stream(events: DataFrame, idle_timeout: str | None = None, reason: str = "no progress") -> DataFrame:
     """State of each job after each micro-batch that has events for it.
 
-    created -> queued, started or a stage -> running, done or failed -> final: whatever comes later is ignored. With
-    `idle_timeout` (for example "1 hour" of event time) a job that stays open is failed with `reason`; the stream then
-    needs a watermark on ts.
+    The state is a set of facts that are merged by comparison: the earliest event, the earliest start, the earliest end and
+    the stages not later than that end. So the last row of a job is the same in whatever files and order its events
+    arrive, and equals the batch result. What is kept of a job grows with its stages only. With `idle_timeout` (for example
+    "1 hour" of event time) a job that stays open is failed with `reason`, and that is final; the stream then needs a
+    watermark on ts.
     """
     millis = int(pd.Timedelta(idle_timeout).total_seconds() * 1000) if idle_timeout else None
-    orders, renamed = STAGE_ORDER, RENAMED_STAGES
-
-    def after(kind: str, stage: str | None) -> str | None:
-        order, name = orders.get(kind, []), renamed.get(stage, stage)
-        i = order.index(name) if name in order else -1
-        return order[i + 1] if 0 <= i < len(order) - 1 else None
+    firsts, following, renamed = {k: v[0] for k, v in STAGE_ORDER.items()}, STAGE_AFTER, RENAMED_STAGES
+
+    def merge(rows: pd.DataFrame, f: dict) -> None:
+        kinds = rows["kind"].dropna()
+        if len(kinds) and (f["kind"] is None or kinds.min() < f["kind"]):
+            f["kind"] = kinds.min()
+        low = rows["ts"].min().to_pydatetime()
+        f["created"] = low if f["created"] is None else min(low, f["created"])
+        f["start"] = _earliest(rows[rows["type"].isin(["started", "stage"])], f["start"])
+        f["end"] = _earliest(rows[rows["type"].isin(["done", "failed"])], f["end"])
+        stages = rows[rows["type"] == "stage"]
+        for name, new in (("us", stages["ts"].to_numpy("datetime64[us]").astype(np.int64)), ("seq", stages["seq"].to_numpy(np.int64)), ("stage", stages["stage"].to_numpy(object))):
+            f[name] = np.concatenate([f[name], new])
+        if f["end"][0] is not None:
+            end = pd.Timestamp(f["end"][0]).value // 1000
+            keep = (f["us"] < end) | (f["us"] == end) & (f["seq"] <= f["end"][1])
+            f.update({name: f[name][keep] for name in ("us", "seq", "stage")})
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else ("queued", None, 0, None, None, None, None)
-        status, stage, done, created, started, finished, error = old
+        kind, created, s_ts, s_seq, e_ts, e_seq, e_type, us, seq, stage, stopped = state.get if state.exists else (None,) * 7 + ([], [], [], None)
+        f = {"kind": kind, "created": created, "start": (s_ts, s_seq), "end": (e_ts, e_seq, e_type), "us": np.array(us, np.int64), "seq": np.array(seq, np.int64), "stage": np.array(stage, object)}
+        latest = None
         if state.hasTimedOut:
-            if status in ("queued", "running"):
-                status, stage, error = "failed", None, reason
-                finished = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms").to_pydatetime()
+            if f["end"][0] is None:
+                stopped = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms").to_pydatetime()
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "seq"])     # one job, one micro-batch
-            for e in rows.itertuples(index=False):
-                if status in ("done", "failed"):
-                    break
-                ts = e.ts.to_pydatetime()
-                created = created or ts
-                if e.type in ("done", "failed"):
-                    status, stage, finished = e.type, None, ts
-                elif e.type in ("started", "stage"):
-                    if started is None:
-                        status, started, stage = "running", ts, orders.get(e.kind, [None])[0]
-                    if e.type == "stage":
-                        done, stage = done + 1, after(e.kind, e.stage)
-            if millis and status in ("queued", "running"):
-                state.setTimeoutTimestamp(int(rows["ts"].iloc[-1].timestamp() * 1000) + millis)
-        now = (status, stage, done, created, started, finished, error)
-        state.update(now)
-        yield pd.DataFrame([(key[0], *now)], columns=["job_id", "status", "stage", "stages_done", "created", "started", "finished", "error"])
+            for rows in batches:
+                if stopped is None:
+                    merge(rows, f)
+                latest = rows["ts"].max() if latest is None else max(latest, rows["ts"].max())
+        ended, started = f["end"][0] is not None, f["start"][0]
+        if started is not None and ended and f["start"] > f["end"][:2]:
+            started = None
+        running = started is not None and not ended and stopped is None
+        now = None
+        if running:
+            now = firsts.get(f["kind"])
+            if len(f["us"]):
+                name = f["stage"][np.lexsort((f["seq"], f["us"]))[-1]]
+                now = following.get((f["kind"], renamed.get(name, name)))
+        status = "failed" if stopped is not None else f["end"][2] if ended else "running" if running else "queued"
+        if millis and not ended and stopped is None and latest is not None:
+            state.setTimeoutTimestamp(int(latest.timestamp() * 1000) + millis)
+        state.update((f["kind"], f["created"], *f["start"], *f["end"], f["us"].tolist(), f["seq"].tolist(), f["stage"].tolist(), stopped))
+        yield pd.DataFrame([(key[0], status, now, len(f["us"]), f["created"], started, stopped or f["end"][0], reason if stopped is not None else None)],
+                           columns=["job_id", "status", "stage", "stages_done", "created", "started", "finished", "error"])
     timeout = GroupStateTimeout.EventTimeTimeout if millis else GroupStateTimeout.NoTimeout
-    return events.groupBy("job_id").applyInPandasWithState(step, OUTPUT, STATE, "update", timeout)
+    return events.groupBy("job_id").applyInPandasWithState(step, OUTPUT, FACTS, "update", timeout)
+
+
+def stage_log(events: DataFrame, sink: str, checkpoint: str) -> None:
+    """Append finished stages with their public fields to `sink`, one row a (job, seq), however late or often it arrives.
 
+    A micro-batch reads only the folders of the sink that can hold its keys, and replaces its own folder when repeated.
+    """
+    rows = events.where("type = 'stage'").select("job_id", "seq", "ts", *STAGE_FIELDS)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        keyed = batch.dropDuplicates(["job_id", "seq"]).withColumn("bucket", F.pmod(F.xxhash64("job_id", "seq"), F.lit(BUCKETS)).cast("int"))
+        known = others_in_buckets(keyed, sink, batch_id)
+        fresh = keyed if known is None else keyed.join(known.select("job_id", "seq"), ["job_id", "seq"], "left_anti")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/batch={batch_id}")
+    rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
-def stage_log_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Finished stages with their public fields; a repeated (job, seq) within the watermark is dropped."""
-    rows = events.where("type = 'stage'").withWatermark("ts", late)
-    return rows.dropDuplicatesWithinWatermark(["job_id", "seq"]).select("job_id", "seq", "ts", "stage", "time_s")
+
+def others_in_buckets(keyed: DataFrame, sink: str, batch) -> DataFrame | None:
+    """Rows of `sink` that other micro-batches wrote to the buckets of `keyed`; None while the sink is empty."""
+    spark = keyed.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    mine = [r.bucket for r in keyed.select("bucket").distinct().collect()]               # at most BUCKETS numbers
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields)
+    rows = spark.read.schema(f"{schema}, batch string").option("basePath", sink).parquet(sink)
+    return rows.where(F.col("bucket").isin(mine) & (F.col("batch") != str(batch)))
 
 
 def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
@@ -93,13 +143,18 @@ def cache_fill_stream(assets: DataFrame, cache: str, key: Column, compute: Calla
     """Compute what the cache lacks for newly arrived assets and append it, once per key.
 
     Each micro-batch of the stream called `name` owns one folder of the cache. What an earlier attempt at the same
-    micro-batch left there does not count as known and is replaced.
+    micro-batch left there does not count as known and is replaced. Only folders that can hold keys of the micro-batch are
+    read; columns are those of `cache_schema`.
     """
+    bucket = F.pmod(F.xxhash64("cache_key"), F.lit(BUCKETS)).cast("int")
+
     def fill(batch: DataFrame, batch_id: int) -> None:
         part = f"{name}-{batch_id}"
-        known = (batch.sparkSession.read.schema(f"{cache_schema}, part string").option("basePath", cache).parquet(cache)
-                 .where(F.col("part") != part).drop("part"))
-        _, fresh = incremental(batch, known, key, compute)
-        fresh.write.mode("overwrite").parquet(f"{cache}/part={part}")
+        keyed = batch.withColumn("cache_key", key)
+        empty = batch.sparkSession.createDataFrame([], cache_schema).withColumn("bucket", bucket)
+        mine = keyed.select(bucket.alias("bucket")).distinct()
+        known = others_in_buckets(empty.unionByName(mine, allowMissingColumns=True), cache, part)
+        fresh = compute_missing(keyed, empty if known is None else known, compute, empty.columns[:-1])
+        fresh.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{cache}/batch={part}")
     q = assets.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(fill).start()
     q.awaitTermination()

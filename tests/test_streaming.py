@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from scenelake.operators import jobs as J
 from scenelake.streaming import jobs as ST
 
-SCHEMA = "job_id bigint, seq bigint, ts timestamp, type string, stage string, kind string, time_s double"
+SCHEMA = "job_id bigint, seq bigint, ts timestamp, type string, stage string, kind string, time_s double, model string, gen_s double, gpu_peak_gb double"
 
 
 def events(spark, rows):
     base = pd.Timestamp("2024-01-01")
-    return spark.createDataFrame([(j, s, (base + pd.Timedelta(seconds=t)).to_pydatetime(), ty, st, "floor", 1.0) for j, s, t, ty, st in rows], SCHEMA)
+    return spark.createDataFrame([(j, s, (base + pd.Timedelta(seconds=t)).to_pydatetime(), ty, st, "floor", 1.0, "m", None, 2.5) for j, s, t, ty, st in rows], SCHEMA)
 
 
 def feed(spark, folder, batches):
@@ -48,25 +48,33 @@ def test_idle_jobs_fail(spark, tmp_path):
     assert got == {1: ("failed", "stopped"), 2: ("done", None)}
 
 
-def test_stage_log_drops_repeats(spark, tmp_path):
-    twice = BATCHES[1] + BATCHES[1]
-    stream = feed(spark, tmp_path, [twice, BATCHES[1], BATCHES[2]])
-    ST.run_available(ST.stage_log_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+def test_any_order_of_files_gives_the_batch_row(spark, tmp_path):
+    want = J.job_state(events(spark, sum(BATCHES, []))).orderBy("job_id").collect()
+    for k, order in enumerate(([3, 2, 1, 0], [1, 3, 0, 2])):
+        stream = feed(spark, tmp_path / str(k), [BATCHES[i] for i in order])
+        ST.run_available(ST.job_state_stream(stream), str(tmp_path / f"out{k}"), str(tmp_path / f"cp{k}"), "update")
+        assert ST.latest_states(spark, str(tmp_path / f"out{k}")).drop("error").orderBy("job_id").collect() == want
+
+
+def test_stage_log_drops_repeats_and_keeps_late_rows(spark, tmp_path):
+    twice, late = BATCHES[1] + BATCHES[1], [(9, 1, -10**7, "stage", "render")]
+    stream = feed(spark, tmp_path, [twice, BATCHES[1], BATCHES[2], late])
+    ST.stage_log(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     rows = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted((r.job_id, r.seq) for r in rows.collect()) == [(1, 4), (1, 6)]
+    assert sorted((r.job_id, r.seq) for r in rows.collect()) == [(1, 4), (1, 6), (9, 1)]
+    assert set(ST.STAGE_FIELDS) <= set(rows.columns)
 
 
 def test_repeated_micro_batch_changes_nothing(spark, tmp_path):
-    ST.run_available(ST.stage_log_stream(feed(spark, tmp_path, BATCHES)), str(tmp_path / "out"), str(tmp_path / "cp1"))
+    ST.stage_log(feed(spark, tmp_path, BATCHES), str(tmp_path / "out"), str(tmp_path / "cp1"))
     again = (spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    ST.run_available(ST.stage_log_stream(again), str(tmp_path / "out"), str(tmp_path / "cp2"))
+    ST.stage_log(again, str(tmp_path / "out"), str(tmp_path / "cp2"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
 def test_cache_stream_computes_once(spark, tmp_path):
     spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "text string, n int").coalesce(1).write.parquet(str(tmp_path / "in/0"))
     spark.createDataFrame([("b", 2), ("c", 3)], "text string, n int").coalesce(1).write.parquet(str(tmp_path / "in/1"))
-    spark.createDataFrame([], "cache_key string, n int").write.parquet(str(tmp_path / "cache/part=none"))
     src = (spark.readStream.schema("text string, n int").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     ST.cache_fill_stream(src, str(tmp_path / "cache"), F.col("text"), lambda m: m.select("cache_key", "n"), str(tmp_path / "cp"), "cache_key string, n int", "s")
     rows = spark.read.parquet(str(tmp_path / "cache")).select("cache_key", "n").collect()
