@@ -12,31 +12,36 @@ RGB = ("r", "g", "b")
 
 def percentile_normalise(px: DataFrame, value: str, inside: Column, keys=("image_id",), q: float = 0.9,
                          lo: float = 1e-3, hi: float = 1.15, out: str = "norm") -> DataFrame:
-    """Value over its q-quantile inside a mask, limited to [0, hi]."""
+    """Value over its q-quantile inside a mask, limited to [0, hi]; null where the mask of the image is empty."""
     ref = quantiles(px.where(inside), list(keys), value, {"_ref": q})
-    return attach(px, ref, list(keys)).withColumn(out, clip(F.col(value) / guard("_ref", lo), 0.0, hi)).drop("_ref")
+    norm = F.when(F.col("_ref").isNotNull(), clip(F.col(value) / guard("_ref", lo), 0.0, hi))
+    return attach(px, ref, list(keys), "left").withColumn(out, norm).drop("_ref")
 
 
 def anchor_mean_one(px: DataFrame, inside: Column, keys=("image_id",)) -> DataFrame:
-    """Scale colours so that mean luminance inside the mask is 1; `ref` is the level that was divided out."""
+    """Scale colours so that mean luminance inside the mask is 1; `ref` is the level that was divided out.
+
+    An image whose mask is empty keeps its rows, with null colours and level.
+    """
     ref = px.where(inside).groupBy(*keys).agg(F.avg(luminance()).alias("ref"))
-    j = attach(px, ref, list(keys))
-    return j.withColumns({c: F.col(c) / guard("ref", 1e-5) for c in RGB})
+    j = attach(px, ref, list(keys), "left")
+    return j.withColumns({c: F.when(F.col("ref").isNotNull(), F.col(c) / guard("ref", 1e-5)) for c in RGB})
 
 
 def ambient_split(px: DataFrame, inside: Column, keys=("image_id",), ambient: float | None = None, y="lum") -> DataFrame:
-    """Ambient share a of the light, given or read off the darkest part, and the direct term S of each pixel."""
+    """Ambient share a of the light, given or read off the darkest part, and the direct term S of each pixel; both are
+    null where the mask of the image is empty."""
     if ambient is not None:
         j = px.withColumn("a", F.lit(float(ambient)))
     else:
         p = quantiles(px.where(inside), list(keys), y, {"_p3": 0.03, "_p95": 0.95})
         a = clip(F.col("_p3") / guard("_p95", 1e-5), 0.05, 0.6)
-        j = attach(px, p.select(*keys, a.alias("a")), list(keys))
-    return j.withColumn("s", F.greatest((F.col(y) - F.col("a")) / guard(F.lit(1.0) - F.col("a"), 1e-5), F.lit(0.0)))
+        j = attach(px, p.select(*keys, a.alias("a")), list(keys), "left")
+    return j.withColumn("s", F.when(F.col("a").isNotNull(), F.greatest((F.col(y) - F.col("a")) / guard(F.lit(1.0) - F.col("a"), 1e-5), F.lit(0.0))))
 
 
 def quartile_chroma(px: DataFrame, inside: Column, keys=("image_id",), min_rows: int = 50) -> DataFrame:
-    """Mean chromaticity of the darkest and the brightest quarter, at unit luminance; white when there are few pixels."""
+    """Mean chromaticity of the darkest and the brightest quarter, at unit luminance; white when there are few pixels or none."""
     lit = px.withColumn("_y", luminance()).where(inside)
     q = quantiles(lit, list(keys), "_y", {"_lo": 0.25, "_hi": 0.75})
     j = attach(lit, q, list(keys))
@@ -44,11 +49,11 @@ def quartile_chroma(px: DataFrame, inside: Column, keys=("image_id",), min_rows:
     for side, sel in (("amb", F.col("_y") <= F.col("_lo")), ("dir", F.col("_y") >= F.col("_hi"))):
         aggs.append(F.count_if(sel).alias(f"_n{side}"))
         aggs += [F.avg(F.when(sel, F.col(c) / guard("_y", 1e-5))).alias(f"_{side}_{c}") for c in RGB]
-    m = j.groupBy(*keys).agg(*aggs)
+    m = px.select(*keys).distinct().join(j.groupBy(*keys).agg(*aggs), list(keys), "left")
     out = []
     for side in ("amb", "dir"):
         unit = guard(luminance(*[f"_{side}_{c}" for c in RGB]), 1e-5)
-        out += [F.when(F.col(f"_n{side}") < min_rows, F.lit(1.0)).otherwise(F.col(f"_{side}_{c}") / unit).alias(f"{side}_{c}") for c in RGB]
+        out += [F.when(F.coalesce(f"_n{side}", F.lit(0)) < min_rows, F.lit(1.0)).otherwise(F.col(f"_{side}_{c}") / unit).alias(f"{side}_{c}") for c in RGB]
     return m.select(*keys, *out)
 
 

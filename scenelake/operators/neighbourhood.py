@@ -31,13 +31,22 @@ def _tiled(df: DataFrame, axis: str, reach: int, tile: int) -> DataFrame:
 
 
 def _padded(df: DataFrame, axis: str, reach: int, size, border: str) -> DataFrame:
-    """Add mirrored copies of border pixels outside the frame; `_pad` marks them."""
+    """Add mirrored copies of pixels outside the frame; `_pad` marks them.
+
+    Where the reach is below the size a pixel has at most one copy beyond each border. Else the frame is mirrored again and
+    again: positions repeat with a period of twice the size, less the two border pixels that `reflect101` doesn't double.
+    """
     if border == "truncate":
         return df.withColumn("_pad", F.lit(False))
     a, n, edge = F.col(axis), _size(size), 1 if border == "reflect101" else 0
     before, after = -a - 1 + edge, n * 2 - 1 - a - edge
-    places = F.filter(F.array(a, F.when((before < 0) & (before >= -reach), before), F.when((after >= n) & (after < n + reach), after)),
-                      lambda p: p.isNotNull())
+    once = F.filter(F.array(a, F.when((before < 0) & (before >= -reach), before), F.when((after >= n) & (after < n + reach), after)),
+                    lambda p: p.isNotNull())
+    period = F.greatest(n * 2 - 2 * edge, F.lit(1)).cast("int")
+    turns = F.sequence(-F.ceil(F.lit(reach) / period).cast("int") - 1, F.ceil(F.lit(reach) / period).cast("int") + 1)
+    every = F.flatten(F.transform(turns, lambda k: F.array((a + k * period).cast("int"), (before + k * period).cast("int"))))
+    many = F.array_distinct(F.filter(every, lambda p: (p >= -reach) & (p < n + reach)))
+    places = F.when(F.lit(reach) < n - edge, once.cast("array<int>")).otherwise(many.cast("array<int>"))
     return (df.withColumn("_p", F.explode(places)).withColumn("_pad", F.col("_p") != F.col(axis))
             .withColumn(axis, F.col("_p").cast("int")).drop("_p"))
 

@@ -154,18 +154,22 @@ def points_in_box(pixels: DataFrame, boxes: DataFrame, tile: int = 64, hot_rows:
 def depth_probe(depth: DataFrame, anchors: DataFrame, r: int = 6) -> DataFrame:
     """Median depth in a (2r+1)^2 window around the source and target of each move, and the resulting scale.
 
-    Valid pixels decide if there are any. A window holds at most (2r+1)^2 rows, whatever the size of the frame.
+    Valid pixels decide if there are any. Every move has a row: an end without any depth in its window leaves depth and
+    scale null, and `error` says so. A window holds at most (2r+1)^2 pixels; they are joined one by one on (image, y, x).
     """
     ends = anchors.select("move_id", "image_id", F.explode(F.array(
         F.struct(F.lit("src").alias("end"), F.col("src_x").alias("ax"), F.col("src_y").alias("ay")),
         F.struct(F.lit("dst").alias("end"), F.col("dst_x").alias("ax"), F.col("dst_y").alias("ay")))).alias("e"))
-    boxes = ends.select("move_id", "image_id", "e.end", (F.col("e.ax") - r).alias("x0"), (F.col("e.ay") - r).alias("y0"),
-                        (F.col("e.ax") + r + 1).alias("x1"), (F.col("e.ay") + r + 1).alias("y1"))
-    seen = points_in_box(depth, boxes)
+    steps = lambda c: F.explode(F.sequence(F.col(c) - r, F.col(c) + r))
+    wanted = ends.select("move_id", "image_id", "e.end", "e.ax", steps("e.ay").alias("y")).select("move_id", "image_id", "end", steps("ax").alias("x"), "y")
+    seen = wanted.join(depth, ["image_id", "y", "x"])
     med = seen.groupBy("move_id", "end").agg(F.median(F.when(F.col("valid"), F.col("z"))).alias("mv"), F.median("z").alias("ma"))
     z = F.coalesce("mv", "ma")
     both = med.groupBy("move_id").agg(F.max(F.when(F.col("end") == "src", z)).alias("z_src"), F.max(F.when(F.col("end") == "dst", z)).alias("z_dst"))
-    return both.withColumn("scale", clip(F.col("z_src") / F.greatest("z_dst", F.lit(1e-3)), 0.25, 4.0))
+    all_ = anchors.select("move_id").join(both, "move_id", "left")
+    known = F.col("z_src").isNotNull() & F.col("z_dst").isNotNull()
+    return all_.withColumns({"scale": F.when(known, clip(F.col("z_src") / F.greatest("z_dst", F.lit(1e-3)), 0.25, 4.0)),
+                             "error": F.when(~known, "no depth at an end of the move")})
 
 
 def environment_mean(pixels: DataFrame, keys=("scene_id",), channels=("r", "g", "b"), min_h: float = 0.3, min_rows: int = 100,

@@ -61,7 +61,7 @@ def field_report(light: DataFrame, environment: DataFrame, k: int, rel: float =
     flat = N.thin_structure_filter(light, list(RGB), k, rel, keys)
     flat = settle(flat.withColumns({c: F.greatest(F.col(c), F.lit(1e-5)) for c in RGB}), "light")
     thin = (F.col("thin_r").cast("int") + F.col("thin_g").cast("int") + F.col("thin_b").cast("int")) / 3
-    share = flat.where("inside").groupBy(*keys).agg(F.bround(F.avg(thin) * 100, 2).alias("grout_filtered_pct"))
+    share = flat.groupBy(*keys).agg(F.bround(F.avg(F.when(F.col("inside"), thin)) * 100, 2).alias("grout_filtered_pct"))
     lit = settle(L.anchor_mean_one(flat, F.col("inside"), keys).withColumn("lum", luminance()), "anchored")
     level = lit.groupBy(*keys).agg(F.first("ref").alias("ref_irradiance"))
     ambient = L.ambient_split(lit, F.col("inside"), keys).groupBy(*keys).agg(F.first("a").alias("ambient_fraction"))
@@ -69,19 +69,20 @@ def field_report(light: DataFrame, environment: DataFrame, k: int, rel: float =
     env = P.environment_mean(environment, keys).withColumnsRenamed({c: f"env_{c}" for c in RGB})
     out = share
     for other in (level, ambient, chroma, env):
-        out = out.join(other, keys)
+        out = out.join(other, keys, "left")
     return out
 
 
 def scaled_moves(moves: DataFrame, scale, depth: DataFrame | None = None) -> DataFrame:
-    """Moves with their object scale: a number for all, or with "auto" the depth ratio of source and target."""
+    """Moves with their object scale: a number for all, or with "auto" the depth ratio of source and target, null where there
+    is no depth at one of them."""
     if scale != "auto":
         return moves.withColumn("scale", F.lit(float(scale)))
     if depth is None:
         return moves
     anchors = moves.select(F.struct("image_id", "move_idx").alias("move_id"), "image_id", "src_x", "src_y", "dst_x", "dst_y")
     probed = P.depth_probe(depth, anchors).select("move_id.image_id", "move_id.move_idx", "scale")
-    return moves.drop("scale").join(probed, ["image_id", "move_idx"])
+    return moves.drop("scale").join(probed, ["image_id", "move_idx"], "left")
 
 
 def low_resolution_moves(moves: DataFrame, masks: DataFrame, f: int, width, height) -> tuple[DataFrame, DataFrame]:
@@ -94,7 +95,9 @@ def move_objects(pixels: DataFrame, masks: DataFrame, moves: DataFrame, images:
                  depth: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """Remove each object, fill the hole, put the object at its target, and audit what changed.
 
-    The scale comes from the options, from `depth`, or stays what the moves say. Returns the frames and the pixels that changed outside the source regions and target footprints.
+    The scale comes from the options, from `depth`, or stays what the moves say. Returns the frames and the pixels that changed
+    where they mustn't: outside the source regions when the objects were removed, or outside these and the target
+    footprints in the end.
     """
     settings = {**cfg, "width": width, "height": height, **options}
     radius = int(cfg["dilate_radius"])
@@ -107,7 +110,8 @@ def move_objects(pixels: DataFrame, masks: DataFrame, moves: DataFrame, images:
     out, footprint = insert(pixels, background, masks, scaled_moves(moves, cfg["scale"], depth), images)
     out = settle(out, "moved")
     allowed = M.union(region_px, footprint)
-    return out, FR.containment_audit(pixels, out, allowed)
+    leaked = FR.containment_audit(pixels, background, region_px)
+    return out, leaked.unionByName(FR.containment_audit(pixels, out, allowed)).distinct()
 
 
 def multires_merge(original: DataFrame, low_in: DataFrame, low_out: DataFrame, f: int, width: int, height: int,

@@ -204,8 +204,8 @@ e as (select *, 'src' as e, sx as ax, sy as ay from mv union all select *, 'dst'
 m as (select e.image_id, move_idx, e, coalesce(median(z) filter (where valid), median(z)) as z from e join fx_depth d on d.image_id = e.image_id
 and d.x between ax-6 and ax+6 and d.y between ay-6 and ay+6 group by 1, 2, 3),
 p as (select image_id, move_idx, max(case when e='src' then z end) as zs, max(case when e='dst' then z end) as zd from m group by 1, 2)
-select image_id, move_idx, sx::int as src_x, sy::int as src_y, dx::int as dst_x, dy::int as dst_y, round(least(greatest(zs/greatest(zd, 1e-3), 0.25), 4), 6) as scale
-from mv join p using (image_id, move_idx)""")
+select image_id, move_idx, sx::int as src_x, sy::int as src_y, dx::int as dst_x, dy::int as dst_y, case when zs is not null and zd is not null then round(least(greatest(zs/greatest(zd, 1e-3), 0.25), 4), 6) end as scale
+from mv left join p using (image_id, move_idx)""")
 def _(spark, sf):
     i = F.col("move_idx")
     moves = X.images(spark, sf).select("image_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("move_idx")).select(

@@ -29,7 +29,7 @@ TABLES = {
     "fx_points": """select l_returnflag as scene_id, l_quantity as px, l_extendedprice/1000 as py, l_discount*100+1 as pz,
         l_tax<0.07 as valid, l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey as point_id from lineitem""",
     "fx_depth": "select image_id, y, x, 3+v as z, v<0.2 as valid from fx_raster",
-    "fx_anchors": """select s_suppkey as move_id, s_suppkey%10 as image_id, (s_nationkey*2)::int as src_x,
+    "fx_anchors": """select s_suppkey as move_id, s_suppkey%(select count(distinct vec_id//50) from embeddings) as image_id, (s_nationkey*2)::int as src_x,
         (s_suppkey%50)::int as src_y, (63-s_nationkey)::int as dst_x, ((s_suppkey*7)%50)::int as dst_y from supplier""",
     "fx_vertices": """select p_partkey//50 as mesh_id, p_partkey%50 as vid, p_size::double as x, p_retailprice/100 as y,
         (p_partkey%37)::double as z from part""",
@@ -60,7 +60,7 @@ TABLES = {
     "fx_masks_present": """select p_partkey as mask_id, greatest(p_size-3,0)::int as n_px,
         (case when p_size=50 then 320 else 640 end)::int as mask_w, 480::int as mask_h from part""",
     "fx_scenes_present": "select o_orderkey as scene_id, 640::int as width, 480::int as height from orders",
-    "fx_boxes": """select c_custkey as box_id, c_custkey%10 as image_id, ((c_custkey%70)-3)::int as x0, ((c_nationkey*2)-4)::int as y0,
+    "fx_boxes": """select c_custkey as box_id, c_custkey%(select count(distinct vec_id//50) from embeddings) as image_id, ((c_custkey%70)-3)::int as x0, ((c_nationkey*2)-4)::int as y0,
         ((c_custkey%70)-3+(c_custkey%13))::int as x1, (c_nationkey*2+(c_custkey%11))::int as y1, 64::int as w, 50::int as h
         from customer""",
     "fx_specs": """select c_custkey as spec_id, case c_custkey%4 when 0 then 'floor' when 1 then 'object' when 2 then 'image3d'

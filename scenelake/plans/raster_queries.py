@@ -141,11 +141,11 @@ def _(spark, sf):
 
 
 @query("u1_mask_union", """
-with m as (select l_suppkey % 40 as image_id, l_linenumber % 2 as tight, case when l_quantity > 25 then (l_linenumber+1) % 2 end as region from lineitem)
+with m as (select l_suppkey % (select count(distinct vec_id//50) from embeddings) as image_id, l_linenumber % 2 as tight, case when l_quantity > 25 then (l_linenumber+1) % 2 end as region from lineitem)
 select distinct k.image_id, k.y, k.x from fx_mask k join m on k.image_id = m.image_id and k.mask_id = coalesce(m.region, m.tight)""")
 def _(spark, sf):
     li = X.read(spark, sf, "lineitem")
-    moves = li.select((F.col("l_suppkey") % 40).alias("image_id"), (F.col("l_linenumber") % 2).alias("tight"),
+    moves = li.select((F.col("l_suppkey") % X.image_count(spark, sf)).alias("image_id"), (F.col("l_linenumber") % 2).alias("tight"),
                       F.when(F.col("l_quantity") > 25, (F.col("l_linenumber") + 1) % 2).alias("region"))
     return M.union_of_moves(X.mask(spark, sf), moves, "region", "tight")
 

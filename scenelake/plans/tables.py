@@ -134,7 +134,7 @@ def depth(spark, sf):
 def anchors(spark, sf):
     s = read(spark, sf, "supplier")
     k = F.col("s_suppkey")
-    return s.select(k.alias("move_id"), (k % 10).alias("image_id"), _i(F.col("s_nationkey") * 2).alias("src_x"),
+    return s.select(k.alias("move_id"), (k % image_count(spark, sf)).alias("image_id"), _i(F.col("s_nationkey") * 2).alias("src_x"),
                     _i(k % 50).alias("src_y"), _i(63 - F.col("s_nationkey")).alias("dst_x"), _i((k * 7) % 50).alias("dst_y"))
 
 
@@ -190,6 +190,11 @@ def jobs(spark, sf):
                     F.when(t.isin("purchase", "error"), end).alias("finished"))
 
 
+def image_count(spark, sf) -> int:
+    """Number of frames, so that what refers to frames refers to all of them at any scale."""
+    return read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 50)).distinct().count()
+
+
 def job_events(events: DataFrame) -> DataFrame:
     """Progress events of long-lived jobs, from the raw event rows (batch or stream): one job per user."""
     t = F.col("event_type")
@@ -229,7 +234,7 @@ def boxes(spark, sf):
     c = read(spark, sf, "customer")
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     x0, y0 = _i(k % 70 - 3), _i(n * 2 - 4)
-    return c.select(k.alias("box_id"), (k % 10).alias("image_id"), x0.alias("x0"), y0.alias("y0"),
+    return c.select(k.alias("box_id"), (k % image_count(spark, sf)).alias("image_id"), x0.alias("x0"), y0.alias("y0"),
                     _i(x0 + k % 13).alias("x1"), _i(n * 2 + k % 11).alias("y1"), F.lit(WIDTH).alias("w"), F.lit(HEIGHT).alias("h"))
 
 

@@ -4,6 +4,7 @@ A backend is made by a factory from the checked options. A remover is called as
 an inserter as insert(original, background, masks, moves, images); both return pixels of the same frames.
 """
 
+import difflib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -23,11 +24,14 @@ _BACKENDS: dict[str, dict[str, Callable]] = {}
 
 
 def config(**overrides) -> dict:
-    """The options with overrides; an unknown name is an error, so a typo does not pass."""
-    unknown = sorted(set(overrides) - set(DEFAULTS))
-    if unknown:
-        raise KeyError(f"unknown options: {unknown}")
-    return {**DEFAULTS, **overrides}
+    """The options, some of them replaced. A name that is no option is refused, with the closest ones."""
+    chosen = dict(DEFAULTS)
+    for name, value in overrides.items():
+        if name not in chosen:
+            near = difflib.get_close_matches(name, chosen) or list(chosen)
+            raise KeyError(f"{name} is no option here; did you mean {' or '.join(near)}?")
+        chosen[name] = value
+    return chosen
 
 
 def register(kind: str, name: str, factory: Callable) -> None:
