@@ -50,16 +50,3 @@ def ray(y, x, fx, fy, cx, cy) -> Vec:
 def ray_plane_depth(r: Vec, c: Vec, n: Vec) -> Column:
     slope = dot(r, n)
     return dot(c, n) / F.when(F.abs(slope) < 1e-6, F.lit(1e-6)).otherwise(slope)
-
-
-def rotation(yaw: float = 0.0, pitch: float = 0.0, roll: float = 0.0, scale: float = 1.0) -> list[list[float]]:
-    """Yaw about y, then pitch about x, then roll about z, in degrees, as one 3x3 matrix of literals."""
-    def c(a): return math.cos(math.radians(a))
-    def s(a): return math.sin(math.radians(a))
-    about_y = [[c(yaw), 0, s(yaw)], [0, 1, 0], [-s(yaw), 0, c(yaw)]]
-    about_x = [[1, 0, 0], [0, c(pitch), -s(pitch)], [0, s(pitch), c(pitch)]]
-    about_z = [[c(roll), -s(roll), 0], [s(roll), c(roll), 0], [0, 0, 1]]
-
-    def times(a, b):
-        return [[sum(a[i][k] * b[k][j] for k in range(3)) for j in range(3)] for i in range(3)]
-    return [[v * scale for v in row] for row in times(times(about_y, about_x), about_z)]

@@ -48,8 +48,3 @@ def u8_round(x, white: float = 1.0) -> Column:
 def r6(x) -> Column:
     """Six decimals without a negative zero, for comparing float results across engines."""
     return F.round(_c(x), 6) + F.lit(0.0)
-
-
-def pixel_key(y, x) -> Column:
-    """(y, x) as one sortable number in raster order."""
-    return _c(y).cast("bigint") * F.lit(4294967296).cast("bigint") + _c(x).cast("bigint")

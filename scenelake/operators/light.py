@@ -97,8 +97,3 @@ def augment(px: DataFrame, passes: list[dict], width: Column, seed: int = 0, out
     shade = {c: u8_trunc(jitter_contrast(c, "contrast", "brightness") + noise(c)) for c in RGB}
     return j.select("image_id", "pass_id", "mirrored", "y", F.when(F.col("mirrored"), width - 1 - F.col("x")).otherwise(F.col("x")).cast("int").alias("x"),
                     *[v.alias(f"{c}_{out}") for c, v in shade.items()])
-
-
-def describe_pass(brightness: Column, contrast: Column, mirrored: Column) -> Column:
-    return F.concat(F.when(mirrored, F.lit("mirror, ")).otherwise(F.lit("")),
-                    F.format_string("brightness%+.3f, contrast x%.3f", brightness, contrast))

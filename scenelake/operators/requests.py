@@ -70,11 +70,13 @@ def clamp_boxes(boxes: DataFrame) -> DataFrame:
 def resolve_refs(moves: DataFrame, masks: DataFrame, scenes: DataFrame) -> DataFrame:
     """Moves with their scene and mask, and what is wrong with the reference, if anything.
 
-    Many moves may name one mask or one scene, so both joins salt hot ids.
+    Many moves may name one mask or one scene, so both joins deal out hot ids. How often they come is counted on `moves`, which
+    the first join leaves as many as they were.
     """
+    counts = lambda c: moves.groupBy(c).agg(F.count("*").alias("n"))
     known_mask = masks.select("mask_id", "n_px", "mask_w", "mask_h", F.lit(True).alias("_mask"))
     known_scene = scenes.select("scene_id", "width", "height", F.lit(True).alias("_scene"))
-    both = skew_join(skew_join(moves, known_scene, ["scene_id"], "left"), known_mask, ["mask_id"], "left")
+    both = skew_join(skew_join(moves, known_scene, ["scene_id"], "left", counts=counts("scene_id")), known_mask, ["mask_id"], "left", counts=counts("mask_id"))
     error = (F.when(F.col("_scene").isNull(), "unknown scene").when(F.col("_mask").isNull(), "unknown mask")
              .when((F.col("mask_w") != F.col("width")) | (F.col("mask_h") != F.col("height")), "mask size differs")
              .when(F.col("n_px") == 0, "mask is empty"))

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 200_000      # statistics rows are a handful of doubles, so this stays in the tens of MB
 GROUP_ROWS = 1_000_000        # largest group that may be sorted by, or held in, one task
 QUANTILE_ROWS = 500_000       # above this the built-in exact quantile, which keeps every distinct value, is the slower way
-SALTS = 32
 
 _local_dirs: dict[str, str] = {}
 
@@ -57,46 +56,40 @@ def settled(df: DataFrame) -> dict | None:
     return getattr(df, "_settled", None)
 
 
-def _hashable(df: DataFrame) -> list[Column]:
-    return [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-
-
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-           broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+           broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = GROUP_ROWS) -> DataFrame:
     """Join per-key statistics back to the rows they were taken from.
 
     `small` holds one row per key. It is written once and counted while it is written: up to `broadcast_rows` it is broadcast, so the big
-    side is not shuffled at all; beyond that both sides are shuffled on (key, salt), so that one key holding a third
-    of `big` is spread over `salts` tasks.
+    side is not shuffled at all; beyond that the two are joined as in `skew_join`.
     """
     small = small if settled(small) else settle(small, "stats")
     if settled(small)["rows"] <= broadcast_rows:
         return big.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64(*_hashable(big)), F.lit(salts)).cast("int")
-    return big.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")
+    return skew_join(big, small, on, how, hot_rows)
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-              hot_rows: int = GROUP_ROWS, salts: int = SALTS, counts: DataFrame | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot_rows: int = GROUP_ROWS,
+              counts: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Equi join for two large tables of which `left` may repeat a key very often and `right` holds it once.
 
-    Keys with more than `hot_rows` rows are found by a pre-aggregated count. There are at most |left| / hot_rows of
-    them, so that list alone is broadcast; only those keys are salted, all others join as usual. A caller that has
-    settled the counts already (columns `on`, n; metric `peak` = max n) passes them as `counts`.
+    Keys with more than `hot_rows` rows are found by a pre-aggregated count; without any this is a plain join. The rows of
+    such keys are written and numbered, and each key is dealt out by row number over as many tasks as its count asks for, so
+    that equal rows part as well. The list of these keys is broadcast up to `broadcast_rows` only. A caller that has the
+    counts already (columns `on`, n; if settled also the metric `peak` = max n) passes them as `counts`.
     """
-    if counts is not None and (settled(counts)["peak"] or 0) <= hot_rows:
+    if counts is not None and settled(counts) and (settled(counts)["peak"] or 0) <= hot_rows:
         return left.join(right, on, how)
     sizes = left.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts
-    hot = settle(sizes.where(F.col("n") > hot_rows).select(*on, F.lit(True).alias("_hot")), "hot")
+    hot = settle(sizes.where(F.col("n") > hot_rows).select(*on, F.ceil(F.col("n") / hot_rows).cast("int").alias("_salts")), "hot")
     if settled(hot)["rows"] == 0:
         return left.join(right, on, how)
-    salt = F.pmod(F.xxhash64(*_hashable(left)), F.lit(salts)).cast("int")
-    lhs = (left.join(F.broadcast(hot), on, "left")
-           .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    rhs = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return lhs.join(rhs, [*on, "_salt"], how).drop("_salt")
+    listed = F.broadcast(hot) if settled(hot)["rows"] <= broadcast_rows else hot
+    numbered = settle(left.join(listed, on).withColumn("_salt", F.monotonically_increasing_id()), "hot-rows")
+    dealt = numbered.withColumn("_salt", F.pmod("_salt", "_salts").cast("int")).drop("_salts")
+    copies = right.join(listed, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    cold = left.join(listed, on, "left_anti").join(right, on, how)
+    return cold.unionByName(dealt.join(copies, [*on, "_salt"], how).drop("_salt"))
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -132,9 +125,10 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[Column], value: Colum
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank",
            group_rows: int = GROUP_ROWS) -> DataFrame:
-    """1-based position of each row in its group; a plain window while every group fits a task, ranges beyond that."""
-    if largest_group(df, keys) <= group_rows:
-        w = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)])).orderBy(*order)
+    """1-based position of each row in its group; a plain window while every group fits a task, ranges beyond that and always
+    for one order of the whole table."""
+    if keys and largest_group(df, keys) <= group_rows:
+        w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w).cast("bigint"))
     ranks = prefix_sum(df, keys, order, F.lit(1).cast("bigint"), name)
     return ranks.withColumn(name, F.col(name) + 1)
@@ -151,6 +145,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
     plain = [F.percentile("_v", F.lit(p)).alias(n) for n, p in qs.items()]
     if (largest_group(rows, keys) if largest is None else largest) <= group_rows:
         return rows.groupBy(*keys).agg(*plain)
+    rows = settle(rows, "values")                # read several times below
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     rows = attach(rows, sizes, keys)
     cold = rows.where(F.col("_n") <= group_rows).groupBy(*keys).agg(*plain)
@@ -205,9 +200,9 @@ def _narrow(rows: DataFrame, keys: list[str], qs: dict[str, float], group_rows:
 
 def sum_before(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str,
                group_rows: int = GROUP_ROWS) -> DataFrame:
-    """`prefix_sum`, or a running window while every group fits a task."""
-    if largest_group(df, keys) > group_rows:
+    """`prefix_sum`, or a running window while every group of a keyed table fits a task."""
+    if not keys or largest_group(df, keys) > group_rows:
         return prefix_sum(df, keys, order, value, name)
-    w = (Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)])).orderBy(*order)
+    w = (Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))

@@ -5,17 +5,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import settle, skew_join
+from ..scale import attach, settle, skew_join
 
 RESULT_KEYS = ("scene", "pattern", "seg", "material")
 
 
-def write_result(df: DataFrame, root: str, keys=RESULT_KEYS) -> None:
+def write_result(df: DataFrame, root: str, keys=RESULT_KEYS, rows_per_task: int = 1_000_000) -> None:
     """Write partitioned by `keys`; a rerun replaces the partitions it produces and leaves the others.
 
-    Rows are spread by key and a hash, so that a scene with very many rows is written by several tasks.
+    A scene is written by as many tasks as its row count asks for; rows go to them by their hash.
     """
-    spread = df.repartition(*keys, F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(16)))
+    tasks = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("_tasks"))
+    spread = attach(df, tasks, list(keys)).repartition(*keys, F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.col("_tasks"))).drop("_tasks")
     (spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(root))
 
 

@@ -21,7 +21,7 @@ def skewed(spark):
 def test_attach_salted_equals_broadcast(spark, skewed):
     df, pdf = skewed
     means = df.groupBy("k").agg(F.avg("v").alias("m"))
-    salted = S.attach(df, means, ["k"], broadcast_rows=0, salts=5).toPandas()
+    salted = S.attach(df, means, ["k"], broadcast_rows=0, hot_rows=300).toPandas()
     want = pdf.merge(pdf.groupby("k", as_index=False)["v"].mean().rename(columns={"v": "m"}))
     assert len(salted) == len(want)
     np.testing.assert_allclose(salted.sort_values("i")["m"], want.sort_values("i")["m"])
@@ -40,10 +40,20 @@ def test_skew_join_equals_join(spark, skewed, how):
     df, _ = skewed
     right = df.where("k < 30").groupBy("k").agg(F.max("v").alias("top"))
     want = df.join(right, ["k"], how).orderBy("i").toPandas()
-    got = S.skew_join(df, right, ["k"], how, hot_rows=200, salts=6).select(*want.columns).orderBy("i").toPandas()
+    got = S.skew_join(df, right, ["k"], how, hot_rows=200).select(*want.columns).orderBy("i").toPandas()
     pd.testing.assert_frame_equal(got, want)
 
 
+def test_equal_rows_of_a_hot_key_are_dealt_out(spark):
+    same = spark.range(1000).select(F.lit(1).alias("k"), F.lit("x").alias("v"))
+    right = spark.createDataFrame([(1, "r"), (2, "s")], "k int, w string")
+    for listed in (0, 10):
+        out = S.skew_join(same, right, ["k"], hot_rows=100, broadcast_rows=listed)
+        assert out.count() == 1000
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 1000 or spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+
+
 @pytest.mark.parametrize("limit", [300, 10**9])
 def test_quantiles_exact(spark, skewed, limit):
     df, pdf = skewed
