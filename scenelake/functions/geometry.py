@@ -1,7 +1,5 @@
 """Planes, cameras and rigid transforms as column arithmetic."""
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 

@@ -16,24 +16,33 @@ M_PER_1000PX = 5.0
 MATERIAL_FIELDS = ("albedo", "roughness", "ior", "coat", "coat_roughness", "delight")
 
 
-def validate_specs(specs: DataFrame) -> DataFrame:
-    """Each request with the names of the fields that break a rule; a missing field takes its default and is fine."""
-    kind = F.col("kind")
-
-    def bad(of, field, ok):
-        applies = (kind == of) if isinstance(of, str) else F.lit(True)
-        return F.when(applies & F.col(field).isNotNull() & ~ok, F.lit(field))
-    rules = [
-        F.when(kind.isNull() | ~kind.isin(*KINDS), F.lit("kind")),
-        bad("floor", "material", F.col("material").isin(*FINISHES)),
-        bad("floor", "m_per_1000px", (F.col("m_per_1000px") > 0) & (F.col("m_per_1000px") <= 100)),
-        F.when((kind == "object") & (F.coalesce("n_moves", F.lit(0)) < 1), F.lit("moves")),
-        bad("object", "src_region", F.col("src_region").isin(*REGIONS)),
-        bad("object", "region_margin", F.col("region_margin").between(0, 2)),
-        bad("object", "sr_factor", F.col("sr_factor").isin(1, 2, 3, 4)),
-        bad("object", "omnipaint_res", F.col("omnipaint_res").between(256, 1536)),
-        F.when((kind != "floor") & F.col("steps").isNotNull() & ~F.col("steps").between(1, 50), F.lit("steps")),
-    ]
+def validate_specs(specs: DataFrame, removals: list[str] | None = None, insertions: list[str] | None = None) -> DataFrame:
+    """Each request with the names of the fields that break a rule of its kind.
+
+    Ids are required. Any other field may be missing, as a column or as a value, and then takes its default. Backends must
+    be among `removals` and `insertions`, by default those that are registered.
+    """
+    from .. import registry                      # the registry imports operators that import this module
+    have, kind = set(specs.columns), F.col("kind")
+    among = lambda *v: (lambda c: c.isin(*v))
+    between = lambda lo, hi: (lambda c: c.between(lo, hi))
+    required = {"floor": ("scene_id", "pattern_id"), "object": ("scene_id",), "image3d": ("scene_id", "mask_id")}
+    ranges = {
+        "floor": {"material": among(*FINISHES), "m_per_1000px": lambda c: (c > 0) & (c <= 100)},
+        "object": {"removal": among(*(removals or registry.names("removal"))), "insertion": among(*(insertions or registry.names("insertion"))),
+                   "src_region": among(*REGIONS), "dst_region": among(*REGIONS), "region_margin": between(0, 2), "sr_factor": among(1, 2, 3, 4),
+                   "omnipaint_mode": among("window", "full"), "omnipaint_res": between(256, 1536), "omnipaint_steps": between(1, 50)},
+        "image3d": {"ss_steps": between(1, 50), "slat_steps": between(1, 50)},
+    }
+
+    def value(field):
+        return F.col(field) if field in have else F.lit(None)
+    rules = [F.when(kind.isNull() | ~kind.isin(*KINDS), F.lit("kind"))]
+    for of in KINDS:
+        rules += [F.when((kind == of) & value(f).isNull(), F.lit(f)) for f in required[of]]
+        if of == "object":
+            rules.append(F.when((kind == of) & (F.coalesce(value("n_moves"), F.lit(0)) < 1), F.lit("moves")))
+        rules += [F.when((kind == of) & F.col(f).isNotNull() & ~ok(F.col(f)), F.lit(f)) for f, ok in ranges[of].items() if f in have]
     errors = F.filter(F.array(*rules), lambda e: e.isNotNull())
     return specs.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
 

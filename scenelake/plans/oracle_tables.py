@@ -68,7 +68,12 @@ TABLES = {
         (c_custkey%6)::int as sr_factor, (c_custkey%60)::int as steps,
         case c_custkey%5 when 0 then 'smooth-matte' when 1 then 'smooth-glossy' else 'satin' end as material,
         (c_custkey%3)::int as n_moves, (c_custkey%2000)::int as omnipaint_res,
-        case c_custkey%3 when 0 then 'full' when 1 then 'box' else 'halo' end as src_region from customer""",
+        case c_custkey%3 when 0 then 'full' when 1 then 'box' else 'halo' end as src_region,
+        case when c_custkey%7 > 0 then 's'||c_custkey%7 end as scene_id, case when c_custkey%8 > 0 then 'p'||c_custkey%9 end as pattern_id,
+        case when c_custkey%10 <> 2 then 'm'||c_custkey end as mask_id, case when c_custkey%11 < 8 then 'background' when c_custkey%11 < 9 then 'lasso' end as removal,
+        case when c_custkey%13 < 10 then 'paste' else 'glue' end as insertion, case when c_custkey%4 < 3 then 'mask' else 'halo' end as dst_region,
+        case when c_custkey%9 < 4 then 'window' when c_custkey%9 < 7 then 'full' else 'tile' end as omnipaint_mode, (c_custkey*7%60)::int as omnipaint_steps,
+        case when c_custkey%3 > 0 then (c_custkey*11%60)::int end as ss_steps, (c_custkey*13%60)::int as slat_steps from customer""",
     "fx_assets": """select doc_id as asset_id, source as kind, substr(sha1(text),1,16) as content_key, n_chars as size,
         doc_id%3=0 as is_clean from documents""",
     "fx_listing": """select root||suffix as path, size*4096 as length from (

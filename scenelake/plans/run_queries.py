@@ -226,14 +226,25 @@ def _(spark, sf):
 @query("p4_validate_specs", """
 with e as (select spec_id, list_filter([
 case when kind not in ('floor','object','image3d') then 'kind' end,
+case when kind='floor' and scene_id is null then 'scene_id' end,
+case when kind='floor' and pattern_id is null then 'pattern_id' end,
 case when kind='floor' and material not in ('smooth-matte','smooth-glossy') then 'material' end,
 case when kind='floor' and not (m_per_1000px > 0 and m_per_1000px <= 100) then 'm_per_1000px' end,
+case when kind='object' and scene_id is null then 'scene_id' end,
 case when kind='object' and n_moves < 1 then 'moves' end,
+case when kind='object' and removal <> 'background' then 'removal' end,
+case when kind='object' and insertion <> 'paste' then 'insertion' end,
 case when kind='object' and src_region not in ('mask','dilated','box','full') then 'src_region' end,
+case when kind='object' and dst_region not in ('mask','dilated','box','full') then 'dst_region' end,
 case when kind='object' and not region_margin between 0 and 2 then 'region_margin' end,
 case when kind='object' and sr_factor not in (1,2,3,4) then 'sr_factor' end,
+case when kind='object' and omnipaint_mode not in ('window','full') then 'omnipaint_mode' end,
 case when kind='object' and not omnipaint_res between 256 and 1536 then 'omnipaint_res' end,
-case when kind<>'floor' and not steps between 1 and 50 then 'steps' end], lambda x: x is not null) as errors from fx_specs)
+case when kind='object' and not omnipaint_steps between 1 and 50 then 'omnipaint_steps' end,
+case when kind='image3d' and scene_id is null then 'scene_id' end,
+case when kind='image3d' and mask_id is null then 'mask_id' end,
+case when kind='image3d' and not ss_steps between 1 and 50 then 'ss_steps' end,
+case when kind='image3d' and not slat_steps between 1 and 50 then 'slat_steps' end], lambda x: x is not null) as errors from fx_specs)
 select spec_id, array_to_string(errors, ',') as errors, len(errors) = 0 as valid from e""")
 def _(spark, sf):
     return Q.validate_specs(X.specs(spark, sf)).select("spec_id", F.array_join("errors", ",").alias("errors"), "valid")

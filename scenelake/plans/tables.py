@@ -246,7 +246,12 @@ def specs(spark, sf):
                     (F.col("c_acctbal") / 4000).alias("region_margin"), _i(k % 6).alias("sr_factor"), _i(k % 60).alias("steps"),
                     F.when(k % 5 == 0, "smooth-matte").when(k % 5 == 1, "smooth-glossy").otherwise("satin").alias("material"),
                     _i(k % 3).alias("n_moves"), _i(k % 2000).alias("omnipaint_res"),
-                    F.when(k % 3 == 0, "full").when(k % 3 == 1, "box").otherwise("halo").alias("src_region"))
+                    F.when(k % 3 == 0, "full").when(k % 3 == 1, "box").otherwise("halo").alias("src_region"),
+                    F.when(k % 7 > 0, F.concat(F.lit("s"), k % 7)).alias("scene_id"), F.when(k % 8 > 0, F.concat(F.lit("p"), k % 9)).alias("pattern_id"),
+                    F.when(k % 10 != 2, F.concat(F.lit("m"), k)).alias("mask_id"), F.when(k % 11 < 8, "background").when(k % 11 < 9, "lasso").alias("removal"),
+                    F.when(k % 13 < 10, "paste").otherwise("glue").alias("insertion"), F.when(k % 4 < 3, "mask").otherwise("halo").alias("dst_region"),
+                    F.when(k % 9 < 4, "window").when(k % 9 < 7, "full").otherwise("tile").alias("omnipaint_mode"), _i(k * 7 % 60).alias("omnipaint_steps"),
+                    F.when(k % 3 > 0, _i(k * 11 % 60)).alias("ss_steps"), _i(k * 13 % 60).alias("slat_steps"))
 
 
 def assets(spark, sf):

@@ -38,12 +38,15 @@ def register(kind: str, name: str, factory: Callable) -> None:
     _BACKENDS.setdefault(kind, {})[name] = factory
 
 
+def names(kind: str) -> list[str]:
+    return sorted(_BACKENDS.get(kind, {}))
+
+
 def make(kind: str, name: str, cfg: dict):
     """The backend called `name`, or an error that lists the choices."""
-    choices = _BACKENDS.get(kind, {})
-    if name not in choices:
-        raise ValueError(f"unknown {kind} backend {name!r}; choose from {sorted(choices)}")
-    return choices[name](cfg)
+    if name not in names(kind):
+        raise ValueError(f"unknown {kind} backend {name!r}; choose from {names(kind)}")
+    return _BACKENDS[kind][name](cfg)
 
 
 def checked_removal(remover: Callable, pixels: DataFrame, hole: DataFrame, region: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:

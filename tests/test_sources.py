@@ -82,14 +82,20 @@ def test_cache_computes_each_missing_key_once(spark):
 
 
 def test_request_checks(spark):
-    rows = [(0, "floor", "smooth-matte", 5.0, None, None, None, None, None, None), (1, "floor", "satin", 0.0, None, None, None, None, None, None),
-            (2, "object", None, None, 0, "halo", 2.5, 5, 2000, 51), (3, "object", None, None, 1, "full", 2.0, 4, 256, 1),
-            (4, "image3d", None, None, None, None, None, None, None, 0), (5, None, None, None, None, None, None, None, None, None)]
-    df = spark.createDataFrame(rows, "id int, kind string, material string, m_per_1000px double, n_moves int, src_region string, "
-                                     "region_margin double, sr_factor int, omnipaint_res int, steps int")
+    cols = ("kind", "scene_id", "pattern_id", "mask_id", "material", "m_per_1000px", "n_moves", "removal", "src_region", "omnipaint_mode", "region_margin", "sr_factor",
+            "omnipaint_res", "omnipaint_steps", "ss_steps")
+    given = [dict(kind="floor", scene_id="s", pattern_id="p", material="smooth-matte", m_per_1000px=5.0), dict(kind="floor", material="satin", m_per_1000px=0.0),
+             dict(kind="object", n_moves=0, removal="none", src_region="halo", omnipaint_mode="tile", region_margin=2.5, sr_factor=5, omnipaint_res=2000, omnipaint_steps=51),
+             dict(kind="object", scene_id="s", n_moves=1, removal="background", src_region="full", region_margin=2.0, sr_factor=4, omnipaint_res=256, omnipaint_steps=1),
+             dict(kind="image3d", ss_steps=0), dict()]
+    df = spark.createDataFrame([(i, *[g.get(c) for c in cols]) for i, g in enumerate(given)],
+                               "id int, kind string, scene_id string, pattern_id string, mask_id string, material string, m_per_1000px double, n_moves int, removal string, "
+                               "src_region string, omnipaint_mode string, region_margin double, sr_factor int, omnipaint_res int, omnipaint_steps int, ss_steps int")
     got = {r.id: r.errors for r in Q.validate_specs(df).collect()}
-    assert got == {0: [], 1: ["material", "m_per_1000px"], 2: ["moves", "src_region", "region_margin", "sr_factor", "omnipaint_res", "steps"],
-                   3: [], 4: ["steps"], 5: ["kind"]}
+    assert got == {0: [], 1: ["scene_id", "pattern_id", "material", "m_per_1000px"],
+                   2: ["scene_id", "moves", "removal", "src_region", "region_margin", "sr_factor", "omnipaint_mode", "omnipaint_res", "omnipaint_steps"],
+                   3: [], 4: ["scene_id", "mask_id", "ss_steps"], 5: ["kind"]}
+    assert [r.errors for r in Q.validate_specs(df.where("id = 2"), removals=["none"]).collect()][0].count("removal") == 0
 
 
 def test_material_without_parameters(spark):
