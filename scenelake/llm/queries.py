@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from . import contamination, context_tree, mixing, near_dups, quality, sharding, token_files, topk  # noqa: F401
+from . import contamination, context_tree, html_text, licences, mixing, near_dups, quality, sharding, token_files, topk  # noqa: F401
 from .catalog import ORACLE, QUERIES  # noqa: F401
