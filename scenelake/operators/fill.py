@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scale import attach
 from .frames import PIXEL, RGB
 from .neighbourhood import normalised_convolution
 
@@ -16,7 +17,8 @@ def fill_from_background(pixels: DataFrame, hole: DataFrame, sigma: float = 3.0)
     marked = marked.withColumn("_known", F.col("_hole").isNull())
     near = normalised_convolution(marked, "_known", list(RGB), sigma)
     frame = marked.where("_known").groupBy("image_id").agg(*[F.avg(c).alias(f"_m{c}") for c in RGB])
-    j = marked.join(near.select(*PIXEL, "confidence", *[F.col(c).alias(f"_f{c}") for c in RGB]), PIXEL).join(frame, "image_id", "left")
+    j = marked.join(near.select(*PIXEL, "confidence", *[F.col(c).alias(f"_f{c}") for c in RGB]), PIXEL)
+    j = attach(j, frame, ["image_id"], "left")
     filled = {c: F.when(F.col("_known"), F.col(c)).when(F.col("confidence") > 1e-4, F.col(f"_f{c}")).otherwise(F.col(f"_m{c}")) for c in RGB}
     # the hair keeps a mean of equal whole numbers from being truncated to the number below
     return j.select(*PIXEL, *[(F.coalesce(e, F.lit(0)) + 1e-6).cast("int").alias(c) for c, e in filled.items()])

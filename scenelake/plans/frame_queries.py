@@ -102,7 +102,7 @@ def _(spark, sf):
 @query("f3_paste_inserter", f"""with {PASTE.format(thr=200)}, l as (select image_id, y, x, arg_max(r, move_idx) as r, arg_max(g, move_idx) as g, arg_max(b, move_idx) as b from foot group by 1, 2, 3)
 select f.image_id, f.y, f.x, coalesce(l.r, r1)::int as r, coalesce(l.g, g1)::int as g, coalesce(l.b, b1)::int as b from fx_frames f left join l using (image_id, y, x)""")
 def _(spark, sf):
-    insert = registry.make("insertion", "paste", registry.config(insertion="paste"))
+    insert = registry.make("insertion", "paste", registry.config(insertion="paste", feather_px=0))
     out, _footprint = insert(X.frame_before(spark, sf), X.frame_after(spark, sf), _object(spark, sf, 200), _moves(spark, sf), X.rgb_images(spark, sf))
     return out
 
@@ -174,7 +174,7 @@ bg as (select k.image_id, k.y, k.x, {', '.join(f'(case when k.h=1 then {c}0 else
 
 @query("c5_move_objects", f"""with {C5} select bg.image_id, bg.y, bg.x, {', '.join(f'coalesce(l.{c}, bg.{c})::int as {c}' for c in 'rgb')}, 0::bigint as violations from bg left join l using (image_id, y, x)""")
 def _(spark, sf):
-    cfg = registry.config(dilate_radius=1, src_region="mask")
+    cfg = registry.config(dilate_radius=1, src_region="mask", feather_px=0)
     out, audit = C.move_objects(X.frame_before(spark, sf), _object(spark, sf, 200), _moves(spark, sf), X.rgb_images(spark, sf), cfg, W, H)
     bad = audit.groupBy("image_id").agg(F.count("*").alias("violations"))
     return out.join(bad, "image_id", "left").fillna(0, ["violations"])

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import fill, frames
-from .operators.neighbourhood import dilate, rect, soft_mask
+from .operators.neighbourhood import dilate, gaussian_kernel, rect, soft_mask
 
 # Option names and their usual values. The two backends default to the model-free ones.
 DEFAULTS = {
     "scale": "auto", "dilate_radius": 6, "removal": "background", "insertion": "paste", "prompt": "", "bg_prompt": "empty scene",
     "start_step": 15, "end_scale": 0.0, "src_region": "full", "dst_region": "full", "region_margin": 0.35, "preclean": False,
     "sr_factor": 1, "sr_steps": 15, "sr_noise": 0.01, "omnipaint_steps": 28, "omnipaint_grow": 8, "omnipaint_mode": "full",
-    "omnipaint_res": 1024, "seed": 42,
+    "omnipaint_res": 1024, "seed": 42, "grow_px": 15, "feather_px": 4.0, "fill_sigma": 3.0,
 }
 _BACKENDS: dict[str, dict[str, Callable]] = {}
 
@@ -57,23 +57,27 @@ def checked_removal(remover: Callable, pixels: DataFrame, hole: DataFrame, regio
 
 def _background(cfg):
     def remove(pixels, hole, region, images):
-        return fill.fill_from_background(pixels, hole, sigma=float(cfg.get("fill_sigma", 3.0)))
+        return fill.fill_from_background(pixels, hole, sigma=float(cfg["fill_sigma"]))
     return remove
 
 
 def _paste(cfg):
-    grow, feather = int(cfg.get("grow_px", 0)), float(cfg.get("feather_px", 0))
+    grow, feather = int(cfg["grow_px"]), float(cfg["feather_px"])
 
     def insert(original, background, masks, moves, images):
-        """Copy each object to its place; with a feather its alpha fades out around the grown footprint."""
+        """Copy each object to its place; with a feather its alpha fades out around the grown footprint.
+
+        A move touches its footprint, grown, and what the feather's kernel reaches from there, never the whole frame.
+        """
         footprint = frames.affine_paste(original, masks, moves, images)
         if not feather:
             return frames.layer_fold(background, footprint, opaque=True), footprint
         keys = ["image_id", "move_idx"]
         # the layer shows the object where it is and the background around it, faded over the grown footprint
         wide = dilate(footprint.select(*keys, "y", "x"), rect(2 * grow + 1, 2 * grow + 1), cfg["width"], cfg["height"], keys)
-        frame = footprint.select(*keys).distinct().join(background.select("image_id", "y", "x"), "image_id")
-        alpha = soft_mask(frame, wide, feather, keys, cfg["width"], cfg["height"]).where("alpha > 0")
+        reach = len(gaussian_kernel(feather)) // 2
+        near = dilate(wide, rect(2 * reach + 1, 2 * reach + 1), cfg["width"], cfg["height"], keys)
+        alpha = soft_mask(near, wide, feather, keys, cfg["width"], cfg["height"]).where("alpha > 0")
         own = footprint.select(*keys, "y", "x", *[F.col(c).alias(f"_{c}") for c in frames.RGB])
         layer = alpha.join(background.select("image_id", "y", "x", *frames.RGB), ["image_id", "y", "x"]).join(own, [*keys, "y", "x"], "left")
         layer = layer.select(*keys, "y", "x", "alpha", *[F.coalesce(f"_{c}", c).alias(c) for c in frames.RGB])

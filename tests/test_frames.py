@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scenelake import registry
 from scenelake.operators import fill
 from scenelake.operators import frames as FR
+from scenelake.operators import neighbourhood as N
 from scenelake.plans import composites as C
 
 H, W = 20, 30
@@ -70,7 +71,7 @@ def test_audit_finds_changes_and_missing_pixels(spark, scene):
 
 def test_move_objects_changes_only_what_it_may(spark, scene):
     a, m, px, mask, images = scene
-    cfg = registry.config(dilate_radius=1, src_region="full")        # 'full' falls back to the box for this filler
+    cfg = registry.config(dilate_radius=1, src_region="full", feather_px=0)        # 'full' falls back to the box for this filler
     out, audit = C.move_objects(px, mask, move(spark, 1.0), images, cfg, W, H)
     assert audit.count() == 0
     got = array(out)
@@ -86,6 +87,25 @@ def test_feathered_paste_is_contained_and_blends(spark, scene):
     assert (got[0:5] == a[0:5]).all() and FR.containment_audit(px, out, layer).count() == 0
 
 
+def test_feather_by_default_equals_a_blur_of_the_whole_frame(spark, scene):
+    a, m, px, mask, images = scene
+    cfg = {**registry.config(grow_px=2, feather_px=0.8), "width": W, "height": H}
+    assert registry.config()["grow_px"] == 15 and registry.config()["feather_px"] == 4
+    dark = px.withColumns({c: (F.col(c) / 3).cast("int") for c in "rgb"})
+    got = array(registry.make("insertion", "paste", cfg)(px, dark, mask, move(spark, 1.0), images)[0])
+    hit = np.zeros((H, W), bool)
+    hit[10:14, 18:24] = True
+    wide = np.zeros((H, W), bool)
+    wide[8:16, 16:26] = True
+    k = np.array(N.gaussian_kernel(0.8))
+    pad = np.pad(wide.astype(float), len(k) // 2, mode="reflect")
+    blur = np.apply_along_axis(np.convolve, 1, np.apply_along_axis(np.convolve, 0, pad, k, "valid"), k, "valid")
+    low = (a // 3)
+    layer = np.where(hit[..., None], np.roll(a, (5, 14), (0, 1)), low)
+    want = layer * blur[..., None] + low * (1 - blur[..., None])
+    assert np.abs(got - want).max() <= 1
+
+
 def test_merge_without_edit_is_the_original(spark, scene):
     a, _, px, _, _ = scene
     low = px.groupBy("image_id", F.floor(F.col("y") / 3).cast("int").alias("y"), F.floor(F.col("x") / 3).cast("int").alias("x")).agg(*[F.avg(c).cast("int").alias(c) for c in "rgb"]).where("y < 6")

@@ -204,3 +204,14 @@ def test_box_region_and_shadow_match_definition(spark):
     assert on(RG.edit_region(df, images, "full")).all() and (on(RG.edit_region(df, images, "full", generative=False)) == box).all()
     with pytest.raises(ValueError, match="choose from"):
         RG.edit_region(df, images, "halo")
+
+
+@pytest.mark.parametrize("border,mode", [("reflect", "symmetric"), ("reflect101", "reflect")])
+@pytest.mark.parametrize("shape", [(5, 4), (3, 9), (1, 6)])
+def test_kernels_wider_than_the_frame_mirror_again(spark, rng, border, mode, shape):
+    a = rng.random(shape)
+    k = np.array(N.gaussian_kernel(2.0))
+    pad = np.pad(a, len(k) // 2, mode=mode)
+    want = np.apply_along_axis(np.convolve, 1, np.apply_along_axis(np.convolve, 0, pad, k, "valid"), k, "valid")
+    got = N.gaussian(spark.createDataFrame(frame(a)), 2.0, ["v"], width=shape[1], height=shape[0], border=border).toPandas()
+    assert np.allclose(want[got["y"], got["x"]], got["v"], atol=1e-9) and len(got) == a.size
