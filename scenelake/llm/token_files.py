@@ -108,6 +108,8 @@ class TokenFile:
 
 
 _SIMPLE = re.compile("[!-~ß-öø-ɏ]+")             # signs and letters that the tokenizer's normal form leaves alone
+_LETTERS = re.compile("[a-zß-öø-ɏ]+")
+_ENDING = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\\sa-z0-9ß-öø-ɏ]+")   # its borders within these
 
 
@@ -121,7 +123,7 @@ class WordTokens:
     Words kept are bounded by `keep`.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 450_000):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.keep, self.known = Tokenizer.from_file(path), keep, {}
@@ -145,15 +147,26 @@ class WordTokens:
         return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, words: list[bytes]) -> None:
-        known = self.known
-        for lo in range(0, len(words), 4000):
+        """New words. One of letters with signs behind it is known by its letters and its signs, which others share."""
+        known, need, parts = self.known, set(), []
+        for w in words:
+            m = None if w.isalpha() else _ENDING.fullmatch(w)
+            if m and (m[1].isalpha() or _LETTERS.fullmatch(m[1].decode(errors="replace"))):
+                parts.append((w, m[1], m[2]))
+                need.add(m[1])
+                need.add(m[2])
+            else:
+                need.add(w)
+        need.difference_update(known)
+        plain, rest = [w for w in need if w.isalpha()], [w for w in need if not w.isalpha()]     # ASCII letters only, as these are bytes
+        for lo in range(0, len(plain), 4000):
+            some = plain[lo:lo + 4000]
+            self._learn_block(some, b" ".join(some).decode(), np.ones(len(some), np.int64))
+        for lo in range(0, len(rest), 4000):
             some, text, pieces = [], [], []
-            for w in words[lo:lo + 4000]:
-                n = 1
-                if w.isalpha():                  # ASCII letters only, as these are bytes
-                    s = w.decode()
-                else:
-                    s = w.decode(errors="replace")
+            for w in rest[lo:lo + 4000]:
+                s, n = w.decode(errors="replace"), 1
+                if not _LETTERS.fullmatch(s):
                     low = s if s.isascii() else s.lower()
                     if not _SIMPLE.fullmatch(low):
                         known[w] = self.whole(s)
@@ -162,13 +175,21 @@ class WordTokens:
                 some.append(w)
                 text.append(s)
                 pieces.append(n)
-            ids = np.asarray(self.tok.encode_batch_fast([" ".join(text)], add_special_tokens=False)[0].ids, "<u4")
-            ends, last = np.flatnonzero(self.last[ids]) + 1, np.cumsum(pieces)
-            if some and len(ends) == last[-1] and ends[-1] == len(ids):
-                stops, flat = (4 * ends[last - 1]).tolist(), ids.tobytes()
-                known.update(zip(some, map(flat.__getitem__, map(slice, [0, *stops], stops))))
-            else:
-                known.update((w, self.whole(s)) for w, s in zip(some, text))
+            self._learn_block(some, " ".join(text), np.array(pieces, np.int64))
+        for w, letters, signs in parts:
+            known[w] = known[letters] + known[signs]
+
+    def _learn_block(self, words: list[bytes], text: str, pieces: np.ndarray) -> None:
+        """`text` is the words with spaces between, each of which has so many pieces."""
+        if not words:
+            return
+        ids, last = np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"), np.cumsum(pieces)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == last[-1] and ends[-1] == len(ids):
+            stops, flat = (4 * ends[last - 1]).tolist(), ids.tobytes()
+            self.known.update(zip(words, map(flat.__getitem__, map(slice, [0, *stops], stops))))
+        else:
+            self.known.update((w, self.whole(w.decode(errors="replace"))) for w in words)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
