@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rint_i
+from ..scale import attach, settle
 from .masks import mask_stats
 from .neighbourhood import pixels_of, runs
 from .points import points_in_box
@@ -29,7 +30,7 @@ def shadow_region(mask: DataFrame, images: DataFrame, frac: float = 0.35, up: fl
         return mask.select(*keys, "y", "x")
     m = (_boxes(mask, keys).withColumn("_m", F.greatest(_margin(frac), F.lit(0))).join(images.select("image_id", "width", "height"), "image_id")
          .select(*keys, "_m", rint_i(F.col("_m") * up).alias("_u"), rint_i(F.col("_m") * down).alias("_d"), "width", "height"))
-    grown = runs(mask, keys).join(m, keys).select(
+    grown = attach(runs(mask, keys), m, keys).select(
         *keys, F.explode(F.sequence(F.greatest(F.col("y") - F.col("_u"), F.lit(0)), F.least(F.col("y") + F.col("_d"), F.col("height") - 1))).alias("y"),
         F.greatest(F.col("x0") - F.col("_m"), F.lit(0)).alias("x0"), F.least(F.col("x1") + F.col("_m"), F.col("width") - 1).alias("x1"))
     return pixels_of(grown, keys)
@@ -65,7 +66,8 @@ def edit_region(mask: DataFrame, images: DataFrame, kind: str, margin: float = 0
 
 def edit_regions(mask: DataFrame, images: DataFrame, kinds: DataFrame, margin: float = 0.35, keys=("image_id", "mask_id")) -> DataFrame:
     """The same with the kind per mask in a table (keys, kind)."""
-    parts = [edit_region(mask.join(kinds.where(F.col("kind") == k).select(*keys), list(keys), "left_semi"), images, k, margin, keys=keys) for k in KINDS]
+    named = settle(attach(mask, kinds.select(*keys, F.col("kind").alias("_kind")), list(keys)), "kinds")
+    parts = [edit_region(named.where(F.col("_kind") == k).drop("_kind"), images, k, margin, keys=keys) for k in KINDS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -16,11 +16,16 @@ def run_totals(facts: DataFrame, run="run_id") -> DataFrame:
     return facts.groupBy(run).agg(F.count("*").alias("n_stages"), F.bround(F.sum("seconds"), 2).alias("total_s"))
 
 
-def stage_profile(facts: DataFrame) -> DataFrame:
-    """Count, total, mean and peak by (stage, cached) with subtotals per stage and overall."""
-    return facts.rollup("stage", "cached").agg(
+def stage_profile(facts: DataFrame, by=("stage", "cached")) -> DataFrame:
+    """Count, total, mean and longest time by stage and whether it was cached, with subtotals and an overall row.
+
+    `by` may name other columns, such as kind, stage, model, cached. Facts with gpu_peak_gb also give the peak memory, which
+    is null where no stage reports it.
+    """
+    peak = [F.max("gpu_peak_gb").alias("gpu_peak_gb")] if "gpu_peak_gb" in facts.columns else []
+    return facts.rollup(*by).agg(
         F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum("seconds").alias("total_s"),
-        F.avg("seconds").alias("mean_s"), F.max("seconds").alias("max_s"))
+        F.avg("seconds").alias("mean_s"), F.max("seconds").alias("max_s"), *peak)
 
 
 def cold_cached_ratio(facts: DataFrame) -> DataFrame:

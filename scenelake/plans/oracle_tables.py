@@ -42,7 +42,9 @@ TABLES = {
         case event_type when 'view' then 'segmentation' when 'click' then 'geometry' when 'signup' then 'illumination'
         when 'purchase' then 'render' else 'load' end as stage,
         case when user_id%2=0 then value end as gen_s, case when user_id%2=1 then value end as time_s,
-        (props->>'k')::int as k, (props->>'k')::int < 50 as cached, props from events""",
+        (props->>'k')::int as k, (props->>'k')::int < 50 as cached, props, ['floor','object','image3d'][user_id%3+1] as kind,
+        case when (props->>'k')::int%5 > 0 then 'm'||(props->>'k')::int%5 end as model,
+        case when (props->>'k')::int%2 = 0 then (props->>'k')::int/4.0::double end as gpu_peak_gb from events""",
     "fx_jobs": """select event_id as job_id, user_id as queue_id, ts as created, event_id%4=0 as interactive,
         case event_type when 'view' then 'running' when 'click' then 'queued' when 'signup' then 'queued'
         when 'purchase' then 'done' else 'failed' end as status,

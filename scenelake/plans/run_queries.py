@@ -122,11 +122,20 @@ def _(spark, sf):
 round(sum(seconds), 4) as total_s, round(avg(seconds), 6) as mean_s, max(seconds) as max_s from facts group by rollup(stage, cached)""")
 def _(spark, sf):
     every = F.lit("all")
-    return R.stage_profile(_facts(spark, sf)).withColumns({
+    return R.stage_profile(_facts(spark, sf).drop("gpu_peak_gb")).withColumns({
         "stage": F.coalesce("stage", every), "cached": F.coalesce(F.col("cached").cast("string"), every),
         "total_s": F.round("total_s", 4), "mean_s": r6("mean_s")})
 
 
+@query("a23_stage_profile_models", f"""with {FACTS}, f as (select f.*, s.kind, coalesce(s.model, 'none') as model, s.gpu_peak_gb from facts f join fx_stages s using (event_id))
+select kind, stage, model, cached::varchar as cached, grouping(kind, stage, model, cached)::bigint as level, count(*)::bigint as n, round(sum(seconds), 4) as total_s,
+round(avg(seconds), 6) as mean_s, max(seconds) as max_s, max(gpu_peak_gb) as gpu_peak_gb from f group by rollup(kind, stage, model, cached)""")
+def _(spark, sf):
+    facts = _facts(spark, sf).fillna("none", ["model"])
+    out = R.stage_profile(facts, ("kind", "stage", "model", "cached"))
+    return out.withColumns({"cached": F.col("cached").cast("string"), "total_s": F.round("total_s", 4), "mean_s": r6("mean_s")})
+
+
 @query("a23_cold_cached_ratio", f"""with {FACTS}, m as (select stage, avg(case when not cached then seconds end) as cold_s,
 avg(case when cached then seconds end) as cached_s from facts group by 1)
 select stage, round(cold_s, 6) as cold_s, round(cached_s, 6) as cached_s, round(cold_s/greatest(cached_s, 1e-9), 6) as ratio from m""")

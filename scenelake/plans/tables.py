@@ -176,7 +176,8 @@ def stages(spark, sf):
     return e.select("event_id", F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")).alias("run_id"), "ts",
                     name.alias("stage"), F.when(F.col("user_id") % 2 == 0, F.col("value")).alias("gen_s"),
                     F.when(F.col("user_id") % 2 == 1, F.col("value")).alias("time_s"), k.alias("k"),
-                    (k < 50).alias("cached"), "props")
+                    (k < 50).alias("cached"), "props", F.element_at(F.array(*[F.lit(s) for s in ("floor", "object", "image3d")]), (F.col("user_id") % 3 + 1).cast("int")).alias("kind"),
+                    F.when(k % 5 > 0, F.concat(F.lit("m"), k % 5)).alias("model"), F.when(k % 2 == 0, k / 4).alias("gpu_peak_gb"))
 
 
 def jobs(spark, sf):
