@@ -39,6 +39,17 @@ def utf8(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more, so that a job's disk holds what is still needed only."""
+    for t in tables:
+        files = t.inputFiles()
+        folder = files[0].rsplit("/", 1)[0] if files else ""
+        if "/scenelake/" in folder:              # only what `settle` has written
+            context = t.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mapped(df: DataFrame, worker: Callable, schema: T.StructType | str) -> DataFrame:
     """`mapInArrow` with a worker that turns each record batch into columns (a list of arrays) of `schema`.
 

@@ -4,7 +4,7 @@ A document is its set of distinct word shingles. One pass over the text gives a
 into 320 buckets and the smallest hash in each is kept in 16 bits: its number of leading zeros and ten bits of mantissa (Yu
 and Weber, 2017). Documents with equal sets are one class, and classes go on alone, so groups of copies cost nothing.
 
-Five neighbouring registers are a band. Two sets of similarity 0.8 agree in a band with probability about a third, so that
+Empty buckets borrow from full ones for the purpose of banding. Five neighbouring registers are a band. Two sets of similarity 0.8 agree in a band with probability about a third, so that
 they share none of 64 bands with probability below 1e-11. Classes that share a band are compared in two steps:
 
 1. each class with the smallest class of every band it is in. This is linear, and it joins large groups of near copies;
@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from scenelake.operators.components import _stars
 from scenelake.scale import attach, settle, settled
 
-from .catalog import mapped, query, table, utf8
+from .catalog import discard, mapped, query, table, utf8
 
 BANDS, ROWS, MANTISSA = 64, 5, 10
 REGISTERS = BANDS * ROWS
 CROWDED = 64                                     # classes in a band above which it is cut finer
 SIGMAS = 6.0
+ATTEMPTS = 64
 _U = np.uint64
+_WALK = np.random.default_rng(20_170).integers(0, REGISTERS, (ATTEMPTS, REGISTERS))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -85,9 +87,26 @@ def corrected(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> t
     return (share - by_chance) / (1 - by_chance), used
 
 
+def densified(regs: np.ndarray) -> np.ndarray:
+    """Registers without empty ones: an empty bucket takes the value of the first full one on its own fixed random walk
+    (Shrivastava, 2017), after ATTEMPTS steps that of the next full one in order. So a register of a short document, too,
+    agrees with probability equal to the similarity, and its bands are as selective as those of a long one."""
+    full, out = regs, regs.copy()
+    for step in range(ATTEMPTS):
+        row, col = np.nonzero(out == 0)
+        if not len(row):
+            return out
+        out[row, col] = full[row, _WALK[step][col]]
+    here = np.where(full > 0, np.arange(REGISTERS), 1 << 20)
+    after = np.minimum.accumulate(np.concatenate([here, here + REGISTERS], 1)[:, ::-1], 1)[:, ::-1][:, :REGISTERS] % REGISTERS
+    row, col = np.nonzero(out == 0)
+    out[row, col] = full[row, after[row, col]]
+    return out
+
+
 def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every band that isn't empty."""
-    r = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    """(row, key) of every band of the densified registers."""
+    r = densified(regs).reshape(-1, BANDS, ROWS).astype(np.uint64)
     acc = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), r.shape[:2]).copy()
     with np.errstate(over="ignore"):
         for j in range(ROWS):
@@ -164,8 +183,11 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     sized = pairs.join(end("u"), "u").join(end("v"), "v").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     likely = settle(mapped(sized, _plausible(percent / 100), "u long, v long"), "likely")
     needed = texts.join(likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct(), "node", "left_semi")
+    needed = mapped(needed, _same_set(width), "node long, t binary").dropDuplicates(["node"])
     full = likely.join(needed.select(F.col("node").alias("u"), F.col("t").alias("tu")), "u").join(needed.select(F.col("node").alias("v"), F.col("t").alias("tv")), "v")
-    return settle(mapped(full, _confirmer(width, percent), "u long, v long"), "links")
+    links = settle(mapped(full, _confirmer(width, percent), "u long, v long"), "links")
+    discard(likely)
+    return links
 
 
 def _second_look(crowd: DataFrame, bands: DataFrame, roots: DataFrame | None, done: DataFrame) -> DataFrame:
@@ -185,7 +207,9 @@ def _second_look(crowd: DataFrame, bands: DataFrame, roots: DataFrame | None, do
         cells = cells.unionByName(finer)
     left, right = cells.select("key", F.col("node").alias("u"), F.col("part").alias("pu")), cells.select("key", F.col("node").alias("v"), F.col("part").alias("pv"))
     pairs = left.join(right, "key").where("u > v and pu <> pv").select("u", "v").distinct()
-    return settle(pairs.join(done, ["u", "v"], "left_anti"), "pairs")
+    out = settle(pairs.join(done, ["u", "v"], "left_anti"), "pairs")
+    discard(at, open_)
+    return out
 
 
 def _members(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -200,11 +224,11 @@ def _members(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     by_rep = docs.select(F.col("doc_id").alias("rep"), utf8().alias("t"))
     named = classes.where("rep is not null").select("node", "c2", "rep")
     texts = by_rep.join(named, "rep").select("node", "c2", "t").unionByName(classes.where("rep is null").select("node", "c2", F.col("own").alias("t")))
-    texts = mapped(texts, _same_set(width), "node long, t binary").dropDuplicates(["node"])
     stars = settle(crowd.where("node > lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).distinct(), "stars")
     links = _linked(stars, classes, texts, width, percent)
     roots = _stars(links, []) if settled(links)["rows"] else None
     rest = _second_look(crowd, bands, roots, stars)
+    discard(crowd, bands, stars)
     if settled(rest)["rows"]:
         more = _linked(rest, classes, texts, width, percent)
         if settled(more)["rows"]:
@@ -214,7 +238,9 @@ def _members(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     joined = node.join(roots.select(F.col("label").alias("node"), "root"), "node", "left") if roots is not None else node.withColumn("root", F.lit(None).cast("long"))
     joined = joined.withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return signed, settle(joined.join(least, "root").select(F.col("node").alias("c1"), "c2", "root", "component_id"), "members")
+    members = settle(joined.join(least, "root").select(F.col("node").alias("c1"), "c2", "root", "component_id"), "members")
+    discard(classes, rest)
+    return signed, members
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
