@@ -66,7 +66,7 @@ def scanned(docs: DataFrame, known: DataFrame) -> DataFrame:
     key = [F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id")]
     t = F.col("text")
     unit = lambda kind: lambda s: F.struct(F.lit(kind).alias("whole"), s.alias("text"))
-    units = F.concat(F.array(unit(True)(t)), F.transform(F.array_distinct(F.concat(F.split(t, r"\n[\x09-\x0D\x20]*\n", -1), F.split(t, "\n", -1))), unit(False)))
+    units = F.concat(F.array(unit(True)(t)), F.transform(F.array_except(F.concat(F.split(t, r"\n[\x09-\x0D\x20]*\n", -1), F.split(t, "\n", -1)), F.array(t)), unit(False)))
     parts = docs.where(t.isNotNull()).select(*key, F.explode(units).alias("u")).select("__none", "__id", "u.whole", digest(F.col("u.text")).alias("digest"))
     found = attach(parts, table_, ["digest"]).groupBy("__none", "__id").agg(F.array_sort(F.collect_set("licence")).alias("licences"), F.max("whole").alias("whole"))
     rows = attach(docs.select("doc_id", *key), found, ["__none", "__id"], "left")
