@@ -2,7 +2,9 @@
 
 import random
 import re
+import textwrap
 from html.parser import HTMLParser
+from pathlib import Path
 
 import pytest
 
@@ -101,3 +103,32 @@ def test_licences(spark):
     assert LI.scanned(docs.limit(0), LI.known_texts(spark)).count() == 0
     odd = spark.createDataFrame([("X", None), ("X", "!!!"), (None, "nothing here")], "licence string, text string")
     assert LI.scanned(docs, odd).where("size(licences) > 0").count() == 0
+
+
+@pytest.mark.parametrize("name, file", [("MIT", "MIT"), ("ISC", "ISC"), ("Apache-2.0", "Apache-2.0"), ("BSD-3-Clause", "BSD-3-Clause"), ("GPL-2.0", "GPL-2.0"), ("MPL-2.0", "MPL-2.0")])
+def test_published_licence_files(spark, name, file):
+    text = (Path(LI.__file__).parent / "licence_texts" / f"{file}.txt").read_text()
+    wrapped = "\n\n".join(p if re.search(r"copyright (\(c\)|\d)", p, re.I) else "\n".join(textwrap.wrap(p, 61, break_on_hyphens=False)) for p in re.split(r"\n\s*\n", text))
+    got = LI.scanned(spark.createDataFrame([(1, text), (2, wrapped)], "doc_id long, text string"), LI.known_texts(spark)).collect()
+    assert [(r.licences, r.whole) for r in got] == [([name], True)] * 2
+
+
+def test_titles_headers_and_identifiers(spark):
+    gnu = """/* Copyright (C) 2020 A
+
+   This program is free software: you can redistribute it and/or modify
+   it under the terms of the GNU General Public License as published by
+   the Free Software Foundation, either version 3 of the License, or
+   (at your option) any later version.
+
+   more */"""
+    apache = "\n".join(f"# {s}" for s in """Copyright 2020 A\nAll rights reserved.\n
+Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at
+\n    http://www.apache.org/licenses/LICENSE-2.0\n
+Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.""".split("\n"))
+    texts = {"MIT License\n\nCopyright (c) 2020 A\n\n" + LI.MIT: ["MIT"], "ISC License\n\nCopyright 2020 A\n\n" + LI.ISC.replace("above copyright", "above\ncopyright"): ["ISC"], gnu: ["GPL-3.0-or-later"],
+             apache + "\n\nimport x": ["Apache-2.0"], "x = 1  \n# SPDX-License-Identifier: BSD-3-Clause\n": ["BSD-3-Clause"], "SPDX-License-Identifier: GPL-2.0+": ["GPL-2.0-or-later"],
+             "SPDX-License-Identifier: GPL-2.0": ["GPL-2.0"], "// SPDX-License-Identifier: GPL-3.0-or-later\nint x;": ["GPL-3.0-or-later"], "SPDX-License-Identifier: none such": []}
+    got = LI.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), LI.known_texts(spark)).collect()
+    assert [r.licences for r in sorted(got, key=lambda r: r.doc_id)] == list(texts.values())
