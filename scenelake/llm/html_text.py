@@ -29,7 +29,9 @@ CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("d
 SCOPE = frozenset("table td th caption html".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|type\s*=\s*["']?hidden""", re.I)
+_MAYBE = re.compile(r"hidden|display|visibility|&", re.I)     # only tags with one of these can hide their element
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?""")
+_PART = re.compile(r"""((?:"[^"]*"?|'[^']*'?|\([^)]*\)?|[^;"'(])*);?""")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -40,6 +42,29 @@ class Node:
         self.name, self.kids, self.seen = name, [], seen
 
 
+def attributes(tag: str) -> dict[str, str]:
+    """Names and values in a start tag; of a repeated name the first counts."""
+    out = {}
+    for name, *values in _ATTR.findall(tag):
+        out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
+
+
+def _hides(tag: str) -> bool:
+    given = attributes(tag)
+    if "hidden" in given:
+        return True
+    style, fixed = {}, set()
+    for part in _PART.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", given.get("style", ""), flags=re.S)):
+        name, _, value = part.partition(":")
+        name, value, mark = name.strip().lower(), *value.lower().partition("!")[:2]
+        if mark or name not in fixed:
+            style[name] = value.strip()
+        if mark:
+            fixed.add(name)
+    return style.get("display") == "none" or style.get("visibility") == "hidden"
+
+
 def tree(page: str) -> Node:
     root = Node("html", True)
     stack, at, end = [root], 0, len(page)
@@ -82,7 +107,7 @@ def tree(page: str) -> Node:
             close(("p",), SCOPE)
         if name in CLOSES:
             close(*CLOSES[name])
-        node = Node(name, name not in UNSEEN and not (m[3] and _HIDDEN.search(m[3])))
+        node = Node(name, name not in UNSEEN and not (m[3] and _MAYBE.search(m[3]) and _hides(m[3])))
         stack[-1].kids.append(node)
         if name in RAW:
             stop = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(page, at)

@@ -54,6 +54,15 @@ def test_layout(page, text):
     assert HT.text_of(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<a title='the hidden truth'>x</a>", "x"), ("<div class='nav hidden lg:flex'>x</div>", "x"), ("<p data-note=\"use display: none\">x", "x"), ("<p alt='type=hidden'>x", "x"), ("<b title=hidden>x</b>", "x"),
+    ("<p style='--note: \"display: none; \"; color: red'>x", "x"), ("<p style='display:none;display:block'>x", "x"), ("<p hidden=''>x</p><p HIDDEN>y</p>z", "z"), ("<p a=1 hidden>x</p>y", "y"),
+    ("<p style=display:none>x</p>y", "y"), ("<p style='color:red; DISPLAY : none !important'>x</p>y", "y"), ("<p style='display&#58;none'>x</p>y", "y"), ("<p style='/* a */visibility:hidden'>x</p>y", "y"),
+])
+def test_only_attributes_hide(page, text):
+    assert HT.text_of(page) == text
+
+
 def test_deep_and_long_pages():
     assert HT.text_of("<div>" * 3000 + "x") == "x" and HT.text_of("<b>" * 3000 + "x") == "x"
     assert len(HT.text_of("<p>word " * 50_000).split()) == 50_000
