@@ -24,8 +24,11 @@ BLOCK = frozenset("""address article aside blockquote body center dd details dia
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl table pre figure fieldset".split())
 # what a start tag closes, up to the element that bounds the search
 CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
-          "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
-          "thead": (("thead", "tbody", "tfoot", "tr"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "tr"), ("table",)), "tfoot": (("thead", "tbody", "tfoot", "tr"), ("table",))}
+          "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)), "td": (("td", "th", "caption", "colgroup"), ("tr", "table")), "th": (("td", "th", "caption", "colgroup"), ("tr", "table")),
+          "thead": (("thead", "tbody", "tfoot", "tr", "caption", "colgroup"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "tr", "caption", "colgroup"), ("table",)), "tfoot": (("thead", "tbody", "tfoot", "tr", "caption", "colgroup"), ("table",)),
+          "caption": (("caption", "colgroup"), ("table",)), "colgroup": (("caption", "colgroup"), ("table",))}
+SECTIONS = frozenset("thead tbody tfoot colgroup".split())
+FOREIGN = frozenset("svg math".split())
 SCOPE = frozenset("table td th caption html".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -36,10 +39,10 @@ _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
-    __slots__ = ("name", "kids", "seen")
+    __slots__ = ("name", "kids", "seen", "cells")
 
     def __init__(self, name: str, seen: bool):
-        self.name, self.kids, self.seen = name, [], seen
+        self.name, self.kids, self.seen, self.cells = name, [], seen, False     # cells: rows or cells of the table around are inside
 
 
 def attributes(tag: str) -> dict[str, str]:
@@ -108,12 +111,17 @@ def tree(page: str) -> Node:
         if name in CLOSES:
             close(*CLOSES[name])
         node = Node(name, name not in UNSEEN and not (m[3] and _MAYBE.search(m[3]) and _hides(m[3])))
+        if name in ("tr", "td", "th"):
+            for above in reversed(stack):
+                if above.name == "table" or above.cells:
+                    break
+                above.cells = True
         stack[-1].kids.append(node)
         if name in RAW:
             stop = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(page, at)
             at = stop.start() if stop else end
             stack.append(node)
-        elif name not in VOID and not m[3].endswith("/"):
+        elif name not in VOID and not (m[3].endswith("/") and (name in FOREIGN or any(n.name in FOREIGN for n in stack))):
             stack.append(node)
     return root
 
@@ -158,17 +166,45 @@ def _trim(lines: list[str]) -> list[str]:
     return lines[lo:hi]
 
 
-def _rows(node: Node):
-    for k in node.kids:
-        if isinstance(k, Node) and k.seen:
-            if k.name == "tr":
-                yield [c for c in k.kids if isinstance(c, Node) and c.seen and c.name in ("td", "th")]
-            elif k.name in ("thead", "tbody", "tfoot"):
-                yield from _rows(k)
-
+def _parts(table: Node) -> tuple[Node, list[list[Node]]]:
+    """What a table holds outside its cells (captions, and text or elements in rows and sections), and the cells of each row.
 
-def _grid(node: Node, depth: int) -> list[str]:
-    rows = [[_trim(render(c, depth + 1)) or [""] for c in row] for row in _rows(node)]
+    Cells are found through sections, rows and whatever else is put around them; cells outside any row make up one.
+    """
+    note, rows, group, row = Node("div", True), [], None, None
+    todo = [(table, iter(table.kids))]
+    while todo:
+        for k in todo[-1][1]:
+            if isinstance(k, str) or not (k.name in SECTIONS or k.cells or k.name in ("tr", "td", "th")):
+                if group is None:
+                    group = Node("div", True)
+                    note.kids.append(group)
+                group.kids.append(k)
+            elif k.seen and k.name in ("td", "th"):
+                if row is None:
+                    row = []
+                    rows.append(row)
+                row.append(k)
+                group = None
+            elif k.seen:
+                if k.name == "tr":
+                    row = []
+                    rows.append(row)
+                elif k.name in SECTIONS:
+                    row = None
+                group = None
+                todo.append((k, iter(k.kids)))
+                break
+        else:
+            node, _ = todo.pop()
+            group = None
+            if node.name == "tr" or node.name in SECTIONS:
+                row = None
+    return note, rows
+
+
+def _grid(cells: list[list[Node]], depth: int) -> list[str]:
+    rows = [[_trim(render(c, depth + 1)) or [""] for c in row] for row in cells]
     width = [0] * max(map(len, rows), default=0)
     for row in rows:
         for i, cell in enumerate(row):
@@ -180,11 +216,6 @@ def _grid(node: Node, depth: int) -> list[str]:
     return out
 
 
-def _stray(node: Node) -> list[Node | str]:
-    """What a table holds outside its cells, such as its caption."""
-    return [k for k in node.kids if isinstance(k, str) or k.name not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col")]
-
-
 def render(node: Node, depth: int = 0) -> list[str]:
     """Lines of what is inside a node. Nesting beyond 200 levels is rendered as inline text."""
     out, number = _Lines(), 0
@@ -212,9 +243,8 @@ def render(node: Node, depth: int = 0) -> list[str]:
                     if k.name == "hr":
                         out.end()
                     elif k.name == "table":
-                        note = Node("div", True)
-                        note.kids = _stray(k)
-                        out.block(_trim(render(note, depth + 1)) + _grid(k, depth), True)
+                        note, rows = _parts(k)
+                        out.block(_trim(render(note, depth + 1)) + _grid(rows, depth), True)
                     elif k.name == "li":
                         number += 1
                         mark = f"{number}. " if node.name == "ol" else "- "

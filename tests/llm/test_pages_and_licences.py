@@ -63,6 +63,17 @@ def test_only_attributes_hide(page, text):
     assert HT.text_of(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><colgroup><col><col><tr><td>a<td>b</table>", "a  b"), ("<table><colgroup><col><tbody><tr><td>a</table>", "a"), ("<table><caption>cap<tr><td>a</table>", "cap\na"),
+    ("<table><tr><form><td>a<td>b</form></table>", "a  b"), ("<table><form><tr><td>a<tr><td>b</form></table>", "a\nb"), ("<table><tr><div>x<td>a</div></table>", "x\na"),
+    ("<table><tr>one<td>a<tr>two<td>b</table>", "one\ntwo\na\nb"),
+    ("<table><tbody>x<b>y</b><tr><td>a</table>", "xy\na"), ("<table><tr><td/>a<td/>b</table>", "a  b"), ("<table><td>a<td>b</table>c", "a  b\n\nc"), ("<table>x</table>", "x"),
+    ("<table><tr><td>a</td>after</tr><tr><p>p</p><td>b</table>", "after\np\na\nb"), ("<table><tr hidden><td>a<tr><td>b</table>", "b"), ("<div hidden/>a</div>b", "b"),
+])
+def test_all_of_a_table(page, text):
+    assert HT.text_of(page) == text
+
+
 def test_deep_and_long_pages():
     assert HT.text_of("<div>" * 3000 + "x") == "x" and HT.text_of("<b>" * 3000 + "x") == "x"
     assert len(HT.text_of("<p>word " * 50_000).split()) == 50_000
