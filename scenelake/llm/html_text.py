@@ -7,6 +7,8 @@ rendered from the inside out. One page is one row, so pages are spread by Spark
 
 import html
 import re
+from collections import Counter, deque
+from collections.abc import Generator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +17,8 @@ from pyspark.sql import types as T
 
 from .catalog import mapped, query, table
 
-# Kinds of HTML elements.
+# Levels of lists that still indent, and of tables that still align; and kinds of HTML elements.
+INDENTED, ALIGNED = 200, 50
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math select datalist textarea".split())
@@ -70,16 +73,20 @@ def _hides(tag: str) -> bool:
 
 def tree(page: str) -> Node:
     root = Node("html", True)
-    stack, at, end = [root], 0, len(page)
+    stack, at, end, opened = [root], 0, len(page), Counter()
+
+    def cut(i: int) -> None:
+        opened.subtract(n.name for n in stack[i:])
+        del stack[i:]
 
     def close(names, bounds) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return close(names, bounds)
-            if stack[i].name in bounds:
-                return None
-        return None
+        while any(opened[n] for n in names):                     # so deep pages aren't searched for what isn't open
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name in names:
+                    cut(i)
+                    break
+                if stack[i].name in bounds:
+                    return
     while at < end:
         m = _TOKEN.search(page, at)
         text = page[at:m.start() if m else end]
@@ -92,11 +99,11 @@ def tree(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            if name == "p" and all(n.name != "p" for n in stack):
+            if not opened[name]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].name in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
                     break
@@ -121,8 +128,10 @@ def tree(page: str) -> Node:
             stop = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(page, at)
             at = stop.start() if stop else end
             stack.append(node)
-        elif name not in VOID and not (m[3].endswith("/") and (name in FOREIGN or any(n.name in FOREIGN for n in stack))):
+            opened[name] += 1
+        elif name not in VOID and not (m[3].endswith("/") and (name in FOREIGN or any(opened[n] for n in FOREIGN))):
             stack.append(node)
+            opened[name] += 1
     return root
 
 
@@ -130,7 +139,7 @@ class _Lines:
     """Lines of a block; words of inline text gather on the last one."""
 
     def __init__(self):
-        self.lines, self.open, self.glue = [], "", False
+        self.lines, self.open, self.glue = deque(), "", False
 
     def text(self, s: str) -> None:
         flat = _SPACE.sub(" ", s)
@@ -147,23 +156,27 @@ class _Lines:
             self.lines.append(self.open)
         self.open, self.glue = "", False
 
-    def block(self, lines: list[str], spaced: bool) -> None:
+    def block(self, lines: deque[str], spaced: bool) -> None:
+        """Takes the lines over; the longer side stays in place, so deep nesting doesn't copy a page at every level."""
         self.end()
         if lines:
             if spaced and self.lines and self.lines[-1]:
                 self.lines.append("")
-            self.lines += lines
+            if len(lines) > len(self.lines):
+                lines.extendleft(reversed(self.lines))
+                self.lines = lines
+            else:
+                self.lines.extend(lines)
             if spaced:
                 self.lines.append("")
 
 
-def _trim(lines: list[str]) -> list[str]:
-    lo, hi = 0, len(lines)
-    while lo < hi and not lines[lo]:
-        lo += 1
-    while hi > lo and not lines[hi - 1]:
-        hi -= 1
-    return lines[lo:hi]
+def _trim(lines: deque[str]) -> deque[str]:
+    while lines and not lines[0]:
+        lines.popleft()
+    while lines and not lines[-1]:
+        lines.pop()
+    return lines
 
 
 def _parts(table: Node) -> tuple[Node, list[list[Node]]]:
@@ -203,66 +216,96 @@ def _parts(table: Node) -> tuple[Node, list[list[Node]]]:
     return note, rows
 
 
-def _grid(cells: list[list[Node]], depth: int) -> list[str]:
-    rows = [[_trim(render(c, depth + 1)) or [""] for c in row] for row in cells]
+def _grid(rows: list[list[deque[str]]]) -> deque[str]:
     width = [0] * max(map(len, rows), default=0)
     for row in rows:
         for i, cell in enumerate(row):
             width[i] = max(width[i], *map(len, cell))
-    out = []
+    out = deque()
     for row in rows:
+        row = [list(cell) for cell in row]
         for k in range(max(map(len, row), default=0)):
             out.append("  ".join((cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(row, width)).rstrip())
     return out
 
 
-def render(node: Node, depth: int = 0) -> list[str]:
-    """Lines of what is inside a node. Nesting beyond 200 levels is rendered as inline text."""
-    out, number = _Lines(), 0
-
-    def inside(kids, pre: bool) -> None:
-        nonlocal number
-        todo = [iter(kids)]
-        while todo:                                              # inline elements, however deep, are walked here
-            for k in todo[-1]:
-                if isinstance(k, str):
-                    if pre:
-                        first, *more = k.split("\n")
-                        out.open += first
-                        for line in more:
-                            out.lines.append(out.open)
-                            out.open = line
-                    else:
-                        out.text(k)
-                elif not k.seen:
-                    continue
-                elif k.name == "br":
-                    out.lines.append(out.open)
-                    out.open, out.glue = "", False
-                elif k.name in BLOCK and depth < 200:
-                    if k.name == "hr":
-                        out.end()
-                    elif k.name == "table":
-                        note, rows = _parts(k)
-                        out.block(_trim(render(note, depth + 1)) + _grid(rows, depth), True)
-                    elif k.name == "li":
-                        number += 1
-                        mark = f"{number}. " if node.name == "ol" else "- "
-                        lines = _trim(render(k, depth + 1))
-                        out.block([(mark if i == 0 else " " * len(mark)) + s if s or i == 0 else s for i, s in enumerate(lines)], False)
+def _lines(node: Node, lists: int, tables: int) -> Generator[tuple[Node, int, int], deque[str], deque[str]]:
+    """Lines of what is inside a node; yields the blocks it needs the lines of."""
+    out, number, pre = _Lines(), 0, node.name == "pre"
+    todo = [iter(node.kids)]
+    while todo:                                                  # inline elements, however deep, are walked here
+        for k in todo[-1]:
+            if isinstance(k, str):
+                if pre:
+                    first, *more = k.split("\n")
+                    out.open += first
+                    for line in more:
+                        out.lines.append(out.open)
+                        out.open = line
+                else:
+                    out.text(k)
+            elif not k.seen:
+                continue
+            elif k.name == "br":
+                out.lines.append(out.open)
+                out.open, out.glue = "", False
+            elif k.name in BLOCK:
+                if k.name == "hr":
+                    out.end()
+                elif k.name == "table":
+                    note, cells = _parts(k)
+                    lines, rows = _trim((yield note, lists, tables + 1)), []
+                    for row in cells:
+                        rows.append([])
+                        for c in row:
+                            rows[-1].append(_trim((yield c, lists, tables + 1)) or deque([""]))
+                    whole = _Lines()
+                    whole.block(lines, False)
+                    if tables < ALIGNED:
+                        whole.block(_grid(rows), False)
                     else:
-                        nested = k.name in ("ul", "ol", "dl") and node.name in ("li", "dd")
-                        out.block(_trim(render(k, depth + 1)) if k.name != "pre" else render(k, depth + 1), k.name in SPACED and not nested)
+                        for cell in (c for row in rows for c in row):
+                            whole.block(_trim(cell), False)
+                    out.block(whole.lines, True)
+                elif k.name == "li":
+                    number += 1
+                    mark = f"{number}. " if node.name == "ol" else "- "
+                    lines = _trim((yield k, lists + 1, tables))
+                    if lists < INDENTED:
+                        lines = deque([(mark if i == 0 else " " * len(mark)) + s if s or i == 0 else s for i, s in enumerate(lines)])
+                    elif lines:
+                        lines[0] = mark + lines[0]
+                    out.block(lines, False)
                 else:
-                    todo.append(iter(k.kids))
-                    break
+                    nested = k.name in ("ul", "ol", "dl") and node.name in ("li", "dd")
+                    lines = yield k, lists, tables
+                    out.block(lines if k.name == "pre" else _trim(lines), k.name in SPACED and not nested)
             else:
-                todo.pop()
-    inside(node.kids, node.name == "pre")
+                todo.append(iter(k.kids))
+                break
+        else:
+            todo.pop()
     out.end()
     return out.lines
 
 
+def render(node: Node) -> deque[str]:
+    """Lines of what is inside a node, nested however deep.
+
+    Only white space depends on depth: from 200 lists inside each other on a list no longer indents the rest of an item, and
+    from 50 tables on the cells are put below each other. Text, line breaks and list marks are the same at any depth.
+    """
+    open_, lines = [_lines(node, 0, 0)], None
+    while open_:
+        try:
+            open_.append(_lines(*open_[-1].send(lines)))
+            lines = None
+        except StopIteration as done:
+            open_.pop()
+            lines = done.value
+    return lines
+
+
 def text_of(page: str) -> str:
     return "\n".join(_trim(render(tree(page))))
 

@@ -3,6 +3,7 @@
 import random
 import re
 import textwrap
+import time
 from html.parser import HTMLParser
 from pathlib import Path
 
@@ -82,6 +83,19 @@ def test_deep_and_long_pages():
         HT.text_of("".join(rng.choice(["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<b", "'", "\"", ">", "x ", "&amp", "<!--", "-->", "<pre>", "\n", "</"]) for _ in range(60)))
 
 
+@pytest.mark.parametrize("outer", ["<div>", "<blockquote>", "<ul>", "<ul><li>", "<table><tr><td>", "<table><tr>x<td>y<td>", "<dl><dd>"])
+def test_blocks_stay_apart_at_any_depth(outer):
+    inner = "<div>a</div><div>b</div><ol><li>c<li>d</ol><table><tr><td>e<td>f</table>"
+    lines = [s.strip("- ") for s in HT.text_of(outer * 700 + inner).split("\n") if s.strip()]
+    assert [w for s in lines for w in s.split() if w not in "xy-"] == ["a", "b", "1.", "c", "2.", "d", "e", "f"]
+
+
+def test_deep_pages_take_linear_time():
+    page = "<div>w<ul><p>v" * 30_000
+    start = time.time()
+    assert HT.text_of(page).split() == ["w", "v"] * 30_000 and time.time() - start < 20
+
+
 def test_null_pages_and_other_columns(spark):
     df = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (3, "<p>a", None), (3, "<p>a", None)], "page_id long, html string, text string")
     got = HT.extracted(df)
