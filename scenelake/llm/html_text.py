@@ -21,10 +21,19 @@ from .catalog import mapped, query, table
 INDENTED, ALIGNED = 200, 50
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math select datalist textarea".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes audio video canvas datalist".split())
+# in svg and math: what is not drawn, what draws text in svg, and parts of formulas that stand apart
+UNDRAWN = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split()), "math": frozenset("annotation annotation-xml".split())}
+DRAWN = frozenset("text foreignobject".split())
+HOSTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())           # these may hold HTML; elsewhere it ends svg and math
+BREAKS_OUT = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s
+    small span strong strike sub sup table tt u ul var""".split())
+APART = frozenset("mfrac msup msub msubsup munder mover munderover mroot mtable mtr mlabeledtr mmultiscripts".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
     header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption""".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl table pre figure fieldset".split())
+LINES = BLOCK | DRAWN | frozenset("xmp textarea".split())        # rendered as blocks, though they leave paragraphs open
+KEPT = frozenset("pre xmp textarea".split())                     # white space stays
 # what a start tag closes, up to the element that bounds the search
 CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
           "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)), "td": (("td", "th", "caption", "colgroup"), ("tr", "table")), "th": (("td", "th", "caption", "colgroup"), ("tr", "table")),
@@ -42,10 +51,11 @@ _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
-    __slots__ = ("name", "kids", "seen", "cells")
+    __slots__ = ("name", "kids", "seen", "cells", "mute", "chosen")
 
-    def __init__(self, name: str, seen: bool):
-        self.name, self.kids, self.seen, self.cells = name, [], seen, False     # cells: rows or cells of the table around are inside
+    def __init__(self, name: str, seen: bool, mute: bool = False):
+        self.name, self.kids, self.seen, self.mute = name, [], seen, mute       # mute: text directly inside isn't shown
+        self.cells, self.chosen = False, None    # rows or cells of the table around are inside; of a select: its option, or True if all show
 
 
 def attributes(tag: str) -> dict[str, str]:
@@ -90,7 +100,7 @@ def tree(page: str) -> Node:
     while at < end:
         m = _TOKEN.search(page, at)
         text = page[at:m.start() if m else end]
-        if text:
+        if text and not stack[-1].mute:
             stack[-1].kids.append(html.unescape(text))
         if not m:
             break
@@ -108,6 +118,16 @@ def tree(page: str) -> Node:
                 if stack[i].name in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
                     break
             continue
+        if name in BREAKS_OUT and any(opened[n] for n in FOREIGN):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name in HOSTS:
+                    break
+                if stack[i].name in FOREIGN:
+                    cut(i)
+        if name in ("select", "input", "textarea") and opened["select"]:
+            close(("select",), SCOPE)
+            if name == "select":
+                continue
         if name in ("html", "body"):
             if name == "body":
                 close(("head",), ())
@@ -117,19 +137,47 @@ def tree(page: str) -> Node:
             close(("p",), SCOPE)
         if name in CLOSES:
             close(*CLOSES[name])
-        node = Node(name, name not in UNSEEN and not (m[3] and _MAYBE.search(m[3]) and _hides(m[3])))
+        above = stack[-1]
+        node = Node(name, name not in UNSEEN and not (m[3] and _MAYBE.search(m[3]) and _hides(m[3])), above.mute)
+        foreign = name in FOREIGN or any(opened[n] for n in FOREIGN)
+        if foreign:
+            node.seen &= not any(opened[n] and name in names for n, names in UNDRAWN.items())
+            node.mute = name == "svg" or (above.mute and name not in DRAWN)
+            if above.name in APART and above.kids:
+                above.kids.append(" ")
+        elif name == "select":
+            given, node.mute = attributes(m[3]), True
+            size = re.match(r"\s*(\d+)", given.get("size", ""))
+            node.chosen = True if "multiple" in given or (size and int(size[1]) > 1) else None
+        elif name == "option" and opened["select"]:
+            box = next(n for n in reversed(stack) if n.name == "select")
+            node.mute = False
+            if box.chosen is not True:
+                if "selected" in attributes(m[3]):
+                    if box.chosen:
+                        box.chosen.seen = False                  # the last one counts
+                    box.chosen = node
+                else:
+                    node.seen = False
+            if node.seen:
+                above.kids.append(" ")
         if name in ("tr", "td", "th"):
-            for above in reversed(stack):
-                if above.name == "table" or above.cells:
+            for n in reversed(stack):
+                if n.name == "table" or n.cells:
                     break
-                above.cells = True
-        stack[-1].kids.append(node)
+                n.cells = True
+        above.kids.append(node)
+        if foreign and m[3].endswith("/"):
+            continue
         if name in RAW:
             stop = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(page, at)
+            if name in KEPT:
+                text = page[at:stop.start() if stop else end]
+                node.kids.append(text if name == "xmp" else html.unescape(text.removeprefix("\r").removeprefix("\n")))
             at = stop.start() if stop else end
             stack.append(node)
             opened[name] += 1
-        elif name not in VOID and not (m[3].endswith("/") and (name in FOREIGN or any(opened[n] for n in FOREIGN))):
+        elif name not in VOID:
             stack.append(node)
             opened[name] += 1
     return root
@@ -231,7 +279,7 @@ def _grid(rows: list[list[deque[str]]]) -> deque[str]:
 
 def _lines(node: Node, lists: int, tables: int) -> Generator[tuple[Node, int, int], deque[str], deque[str]]:
     """Lines of what is inside a node; yields the blocks it needs the lines of."""
-    out, number, pre = _Lines(), 0, node.name == "pre"
+    out, number, pre = _Lines(), 0, node.name in KEPT
     todo = [iter(node.kids)]
     while todo:                                                  # inline elements, however deep, are walked here
         for k in todo[-1]:
@@ -249,7 +297,7 @@ def _lines(node: Node, lists: int, tables: int) -> Generator[tuple[Node, int, in
             elif k.name == "br":
                 out.lines.append(out.open)
                 out.open, out.glue = "", False
-            elif k.name in BLOCK:
+            elif k.name in LINES:
                 if k.name == "hr":
                     out.end()
                 elif k.name == "table":
@@ -279,7 +327,7 @@ def _lines(node: Node, lists: int, tables: int) -> Generator[tuple[Node, int, in
                 else:
                     nested = k.name in ("ul", "ol", "dl") and node.name in ("li", "dd")
                     lines = yield k, lists, tables
-                    out.block(lines if k.name == "pre" else _trim(lines), k.name in SPACED and not nested)
+                    out.block(lines if k.name in KEPT else _trim(lines), k.name in SPACED and not nested)
             else:
                 todo.append(iter(k.kids))
                 break

@@ -83,6 +83,19 @@ def test_deep_and_long_pages():
         HT.text_of("".join(rng.choice(["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<b", "'", "\"", ">", "x ", "&amp", "<!--", "-->", "<pre>", "\n", "</"]) for _ in range(60)))
 
 
+@pytest.mark.parametrize("page, text", [
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b", "a x=2 b"), ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>", "1 2"), ("<math><semantics><mi>x</mi><annotation>TeX</annotation></semantics></math>", "x"),
+    ("<p>a<svg><title>t</title><desc>d</desc>no<text>one</text><text>two <tspan>three</tspan></text></svg>b", "a\none\ntwo three\nb"), ("<svg><style/><path d='M0'/><text>x</text></svg>y", "x\ny"),
+    ("<svg><foreignObject><p>in</p></foreignObject><defs><text>no</text></defs></svg>", "in"), ("<p>a<textarea>\nx &lt; <b>\n  y</textarea>b", "a\nx < <b>\n  y\nb"), ("<xmp><b>&lt;</xmp>c", "<b>&lt;\nc"),
+    ("<p>size <select>no<option>S<option selected>M<option>L</select> only", "size M only"), ("<select><option selected>a<option selected>b</select>", "b"),
+    ("<select multiple><option>a<option>b</select>", "a b"), ("<select size=2><optgroup label=g><option>a</option><option>b</option></optgroup></select>", "a b"), ("<object data=x><p>fallback</p></object>", "fallback"),
+    ("<svg><g><p>out", "out"), ("<math><mi>x<div>out", "x\nout"), ("<select><option>a<input>out", "out"),
+    ("<textarea>never closed", "never closed"), ("<noscript>n</noscript><video>v</video><canvas>c</canvas><datalist><option>d</datalist>s", "s"), ("<textarea hidden>x</textarea>y", "y"),
+])
+def test_elements_that_browsers_show(page, text):
+    assert HT.text_of(page) == text
+
+
 @pytest.mark.parametrize("outer", ["<div>", "<blockquote>", "<ul>", "<ul><li>", "<table><tr><td>", "<table><tr>x<td>y<td>", "<dl><dd>"])
 def test_blocks_stay_apart_at_any_depth(outer):
     inner = "<div>a</div><div>b</div><ol><li>c<li>d</ol><table><tr><td>e<td>f</table>"
