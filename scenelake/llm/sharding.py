@@ -45,7 +45,8 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def _shuffler(schema, seed: int, bucket_bytes: int):
-    """Rows come ordered by bucket. A bucket above its size, as repeated rows can make it, is shuffled piece by piece."""
+    """Rows come ordered by bucket and in it by a seeded hash. A bucket above its size, as repeated rows or very long texts can
+    make it, is shuffled piece by piece; a piece is then a random part of the bucket."""
     def run(batches):
         held, at, piece, size = [], None, 0, 0
 
@@ -83,10 +84,10 @@ def two_pass_shuffle(docs: DataFrame, shards: int = 40, seed: int = 17, bucket_b
     shuffled in pieces, so memory stays bounded. An empty table gives no rows. The same rows give the same order again.
     """
     total = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    subs = max(1, -(-total // (shards * bucket_bytes)))
+    subs = max(1, -(-2 * total // (shards * bucket_bytes)))       # half the size on average, so few buckets exceed it
     sub = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")), F.lit(subs)).cast("int")
     put = docs.withColumns({"shard": shard_of(shards, seed), "__sub": sub}).repartition("shard", "__sub")
-    put = put.sortWithinPartitions("shard", "__sub", "doc_id", "text")
+    put = put.sortWithinPartitions("shard", "__sub", F.xxhash64(F.lit(seed + 2), F.col("doc_id"), F.col("text")), "doc_id", "text")
     schema = T.StructType([*put.schema.fields, T.StructField("__piece", T.IntegerType()), T.StructField("__pos", T.LongType())])
     path = new_table_path(docs.sparkSession, "shards")
     put.mapInArrow(_shuffler(to_arrow_schema(schema), seed, bucket_bytes), schema).write.partitionBy("shard").parquet(path)

@@ -310,3 +310,17 @@ def test_digest_of_no_items(spark, docs):
     bench = spark.createDataFrame([(1, "nowhere to be found")], "item_id long, text string")
     assert CO.contamination(docs.drop("hit"), bench).where(F.size("hit.items") > 0).count() == 0
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.array_join(F.array().cast("array<string>"), ",").cast("binary"), 256)).first()[0]
+
+
+def test_pieces_of_a_large_bucket_are_random(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        docs = spark.range(4000).selectExpr("id as doc_id", "cast(null as string) as text")
+        rows = SH.two_pass_shuffle(docs, 1, bucket_bytes=1000).orderBy("slot").collect()
+    finally:
+        spark.conf.set(key, before)
+    ids = [r.doc_id for r in rows]
+    assert sorted(ids) == list(range(4000)) and [r.slot for r in rows] == list(range(4000))
+    assert abs(sum(ids[:2000]) / 2000 - 2000) < 150 and abs(sum(ids[2000:]) / 2000 - 2000) < 150
