@@ -34,6 +34,13 @@ def id_crc(col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression for the unsigned crc32 of a text's UTF-8 bytes, ASCII only: it has no such function."""
+    shift = "case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+    entries = f"list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {shift}, i))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda s: ascii(s)::bigint), lambda c, b: xor(c >> 8, ({entries})[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295)"
+
+
 def utf8(col: str = "text") -> Column:
     """A text as bytes, null as none: workers then need no decoding, and ASCII case and white space are bytes methods."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
