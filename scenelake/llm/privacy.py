@@ -220,7 +220,50 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s.kind), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-@query("op12_personal_data")
+def _sql(disclosure: float = DISCLOSURE, support: int = SUPPORT) -> str:
+    patterns = {"email": rf"[{_LOCAL}]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def digits(v):
+        return f"regexp_replace({v}, '[^0-9]', '', 'g')"
+
+    def passes(kind, v):
+        d = digits(v)
+        luhn = f"list_sum(list_transform(range(1, length({d}) + 1), lambda p: case when p % 2 = 0 then [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][{d}[length({d}) - p + 1]::int + 1] else {d}[length({d}) - p + 1]::int end)) % 10 = 0"
+        return {"email": "true", "ip": rf"regexp_full_match({v}, '{_BYTE}(?:\.{_BYTE}){{3}}')", "card": f"case when length({d}) between 14 and 19 then {luhn} else false end", "phone": f"length({d}) between 10 and 15"}[kind]
+
+    def places(gaps, hits):
+        return f"list_sum(list_transform({gaps}[1:i], lambda g: length(g)))::bigint + coalesce(list_sum(list_transform({hits}[1:i - 1], lambda h: length(h))), 0)::bigint"
+    out = ["t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents)",
+           f"x0 as (select rid, translate(text, '{OPEN}{CLOSE}', '{OTHER * 2}') as text from t)"]
+    for k, kind in enumerate(KINDS[:4]):
+        plain = {"email": "lower({})", "ip": "{}"}.get(kind, digits("{}")).format("hits[i]")
+        cut = f"regexp_extract_all(text, '{patterns[kind]}') as hits, regexp_split_to_array(text, '{patterns[kind]}') as gaps"
+        out += [f"b{k} as (select rid, {k} as kind, {places('gaps', 'hits')} as start, hits[i] as value from (select rid, hits, gaps, unnest(range(1, len(hits) + 1)) as i from (select rid, {cut} from t)) where {passes(kind, 'hits[i]')})",
+                f"x{k + 1} as (select rid, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || case when i > len(hits) then '' when {passes(kind, 'hits[i]')} "
+                f"then '{OPEN}{'abcd'[k]}' || translate(md5({plain}), '0123456789', 'ghijklmnop') || '{CLOSE}' else hits[i] end), '') as text from (select rid, {cut} from x{k}))"]
+    forms = f"list_distinct(list_concat(list_filter(w, lambda t: not starts_with(t, '{OPEN}')), list_transform(list_filter(w, lambda t: not starts_with(t, '{OPEN}') and length(t) > {STEM}), lambda t: t[1:{STEM}] || '*'), ['']))"
+    out += ["base as (select rid, kind, start, start + length(value) as stop, value from (" + " union all ".join(f"select * from b{k}" for k in range(4)) + "))",
+            f"w as (select rid, list_transform(regexp_extract_all(text, '{TERM}|{OPEN}[^{CLOSE}]*{CLOSE}'), lambda x: lower(x)) as ts from x4)",
+            f"blocks as (select rid, b, {forms} as forms from (select rid, b, ts[{BLOCK} * b + 1:{BLOCK} * b + {BLOCK}] as w from (select rid, ts, unnest(range(0, greatest(len(ts) - 1, 0) // {BLOCK} + 1)) as b from w)))",
+            f"mentions as (select rid, ts[i] as entity, i, (i - 1) // {BLOCK} as b, not list_contains(ts[{BLOCK} * ((i - 1) // {BLOCK}) + 1:i - 1], ts[i]) as first, ts[greatest(i - {NEAR}, 1):greatest(i - {NEAR}, 1) + {2 * NEAR}] as near "
+            f"from (select rid, ts, unnest(range(1, len(ts) + 1)) as i from w) where starts_with(ts[i], '{OPEN}'))",
+            f"pairs as (select entity, form, count(*) filter (first) as n, count(distinct near) as support from (select m.entity, m.first, m.near, unnest(k.forms) as form from mentions m join blocks k using (rid, b)) group by all having count(distinct near) >= {support})",
+            "forms as (select form, count(*) as n_form from (select unnest(forms) as form from blocks) group by 1)",
+            "n as (select n_form as n from forms where form = '')",
+            "reveal as (select distinct p.form from pairs p join pairs c on c.entity = p.entity and c.form = '' join forms f on f.form = p.form, n "
+            f"where p.form <> '' and c.n < n.n and log2(p.n * n.n::double / (c.n * f.n_form)) / log2(n.n::double / c.n) >= {disclosure})",
+            f"terms as (select form as term, length(form) > {STEM} and form[1:{STEM}] || '*' not in (select form from reveal) as general from reveal where form not like '%*')",
+            f"held as (select distinct rid from (select rid, unnest(ts) as term from w) join terms using (term))",
+            f"cut as (select rid, regexp_extract_all(text, '{TERM}') as hits, regexp_split_to_array(text, '{TERM}') as gaps from t join held using (rid))",
+            f"more as (select rid, case when general then 4 else 5 end as kind, {places('gaps', 'hits')} as start, hits[i] as value from (select rid, hits, gaps, unnest(range(1, len(hits) + 1)) as i from cut) join terms on term = lower(hits[i]))",
+            "spans as (select rid, kind, start, stop from base union all select rid, kind, start, start + length(value) from more m where not exists (select 1 from base b where b.rid = m.rid and b.start < m.start + length(m.value) and m.start < b.stop))"]
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    text = f"coalesce(string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' order by start, kind)"
+    return ("with " + ",\n".join(out) + "\nselect doc_id, " + ", ".join(f"(count(*) filter (kind = {k}))::bigint as n_{kind}" for k, kind in enumerate(KINDS[:4])) +
+            f", sha256({text} filter (kind < 4), '')) as base_sha256, {text}, '') as spans from t left join spans using (rid) group by rid, doc_id")
+
+
+@query("op12_personal_data", _sql())
 def op12_personal_data(spark, sf_dir):
     found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("private.base", lambda s: s.kind)
