@@ -16,8 +16,7 @@ from scenelake.scale import attach, settle, settled
 
 from .catalog import ASCII_LOWER, ASCII_UPPER, crc32_sql, query, table
 
-ARITY, HEIGHT = 8, 4
-BLOCK = ARITY ** HEIGHT                          # nodes of a superblock, which is what one task holds at a time
+ARITY, HEIGHT = 8, 4                             # a task holds the 8^4 nodes of one superblock at a time
 
 
 def field(value: Column) -> Column:
@@ -34,11 +33,11 @@ def joined(digests) -> str:
     return sha256("".join(digests).encode()).hexdigest()
 
 
-def levels_of(nodes: list[str], size: int) -> list[list[str]]:
+def levels_of(nodes: list[str], size: int, height: int = HEIGHT) -> list[list[str]]:
     """The nodes of a superblock, level by level up to its top; `size` is the number of nodes in the whole tree. In a tree of
     several superblocks all have the full height, so that a last run of one node is hashed like any other."""
     out = [list(nodes)]
-    while len(out) <= HEIGHT if size > BLOCK else len(out[-1]) > 1:
+    while len(out) <= height if size > ARITY ** height else len(out[-1]) > 1:
         out.append([joined(out[-1][i:i + ARITY]) for i in range(0, len(out[-1]), ARITY)])
     return out
 
@@ -68,34 +67,39 @@ def unpacked(path: str) -> list[tuple[str, str]]:
     return [tuple(level.split(",")) for level in path.split(";")[:-1]]
 
 
-def _top(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
-    size = int(nodes["size"].iloc[0])
-    top = levels_of(nodes.sort_values("pos")["digest"].tolist(), size)[-1][0]
-    return pd.DataFrame({"tree": [key[0]], "pos": [key[1]], "size": [-(-size // BLOCK)], "digest": [top]})
+def _top(height: int):
+    def run(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
+        size = int(nodes["size"].iloc[0])
+        top = levels_of(nodes.sort_values("pos")["digest"].tolist(), size, height)[-1][0]
+        return pd.DataFrame({"tree": [key[0]], "pos": [key[1]], "size": [-(-size // ARITY ** height)], "digest": [top]})
+    return run
 
 
-def _reduced(nodes: pd.DataFrame, outer: pd.DataFrame):
+def _reduced(nodes: pd.DataFrame, outer: pd.DataFrame, height: int):
     """A superblock's rows in order, their levels, and what the outer row adds: path, subroot and root."""
     nodes = nodes.sort_values("pos")
-    above = outer.iloc[0]
-    return nodes, levels_of(nodes["digest"].tolist(), int(nodes["size"].iloc[0])), above
+    return nodes, levels_of(nodes["digest"].tolist(), int(nodes["size"].iloc[0]), height), outer.iloc[0]
 
 
-def _paths(key: tuple, nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    nodes, levels, above = _reduced(nodes, outer)
-    return pd.DataFrame({"tree": key[0], "pos": nodes["pos"], "path": [packed(path_of(levels, i)) + above["path"] for i in range(len(nodes))],
-                         "subroot": above["subroot"], "root": above["root"]})
+def _paths(height: int):
+    def run(key: tuple, nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+        nodes, levels, above = _reduced(nodes, outer, height)
+        return pd.DataFrame({"tree": key[0], "pos": nodes["pos"], "path": [packed(path_of(levels, i)) + above["path"] for i in range(len(nodes))],
+                             "subroot": above["subroot"], "root": above["root"]})
+    return run
 
 
-def _proofs(key: tuple, leaves: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    leaves, levels, above = _reduced(leaves, outer)
-    rest, proof, root = unpacked(above["path"]), [], []
-    for i, claimed in enumerate(leaves["claimed"]):
-        path = path_of(levels, i) + rest
-        proof.append("".join(a + b for a, b in path))
-        root.append(folded(claimed, path))
-    return pd.DataFrame({"tree": key[0], "key": leaves["key"], "leaf": leaves["digest"], "position": leaves["pos"], "subroot": above["subroot"], "root": above["root"],
-                         "proof": proof, "folded_root": root})
+def _proofs(height: int):
+    def run(key: tuple, leaves: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+        leaves, levels, above = _reduced(leaves, outer, height)
+        rest, proof, root = unpacked(above["path"]), [], []
+        for i, claimed in enumerate(leaves["claimed"]):
+            path = path_of(levels, i) + rest
+            proof.append("".join(a + b for a, b in path))
+            root.append(folded(claimed, path))
+        return pd.DataFrame({"tree": key[0], "key": leaves["key"], "leaf": leaves["digest"], "position": leaves["pos"], "subroot": above["subroot"],
+                             "root": above["root"], "proof": proof, "folded_root": root})
+    return run
 
 
 def placed(nodes: DataFrame, order: list[str]) -> DataFrame:
@@ -114,38 +118,39 @@ def placed(nodes: DataFrame, order: list[str]) -> DataFrame:
     return out, settled(ranges)["largest"] or 0
 
 
-def _blocks(nodes: DataFrame):
-    return nodes.withColumn("block", F.floor(F.col("pos") / BLOCK)).groupBy("tree", "block")
+def _blocks(nodes: DataFrame, height: int):
+    return nodes.withColumn("block", F.floor(F.col("pos") / ARITY ** height)).groupBy("tree", "block")
 
 
-def _below(nodes: DataFrame, outer: DataFrame):
-    return _blocks(nodes).cogroup(outer.withColumnRenamed("pos", "block").groupBy("tree", "block"))
+def _below(nodes: DataFrame, outer: DataFrame, height: int):
+    return _blocks(nodes, height).cogroup(outer.withColumnRenamed("pos", "block").groupBy("tree", "block"))
 
 
-def _up(nodes: DataFrame, largest: int) -> list[DataFrame]:
+def _up(nodes: DataFrame, largest: int, height: int) -> list[DataFrame]:
     """`nodes` and the layers of tops above them, the last one with one node a tree."""
     layers = [nodes]
     while largest > 1 or len(layers) == 1:
-        tops = _blocks(layers[-1].select("tree", "pos", "size", "digest")).applyInPandas(_top, "tree string, pos long, size long, digest string")
+        tops = _blocks(layers[-1].select("tree", "pos", "size", "digest"), height).applyInPandas(_top(height), "tree string, pos long, size long, digest string")
         layers.append(settle(tops, "tops"))
-        largest = -(-largest // BLOCK)
+        largest = -(-largest // ARITY ** height)
     return layers
 
 
-def _down(layers: list[DataFrame], outer: DataFrame) -> DataFrame:
+def _down(layers: list[DataFrame], outer: DataFrame, height: int) -> DataFrame:
     """Paths of the nodes of layers[0], from those of the nodes of the last layer."""
     for nodes in reversed(layers[:-1]):
-        outer = settle(_below(nodes.select("tree", "pos", "size", "digest"), outer).applyInPandas(_paths, "tree string, pos long, path string, subroot string, root string"), "paths")
+        lower = _below(nodes.select("tree", "pos", "size", "digest"), outer, height)
+        outer = settle(lower.applyInPandas(_paths(height), "tree string, pos long, path string, subroot string, root string"), "paths")
     return outer
 
 
-def merkle_manifest(rows: DataFrame, key: str, group: str, fields: list[Column], claimed: list[Column] | None = None) -> DataFrame:
+def merkle_manifest(rows: DataFrame, key: str, group: str, fields: list[Column], claimed: list[Column] | None = None, height: int = HEIGHT) -> DataFrame:
     """`key`, `group`, leaf, position, subroot, root, proof and folded_root of every row of `rows`.
 
     `fields` make the leaf. The trees are the values of `group`, ordered null first, then UTF-8 bytewise; in a tree rows ascend
     by `key`, nulls first, then by leaf. `proof` holds all sibling digests from the leaf's level to the root's, 64 characters
     each. `folded_root` is where the fields `claimed` (by default `fields`) lead with these siblings: it equals `root` where
-    nothing was changed.
+    nothing was changed. A superblock holds 8^`height` nodes.
 
     Null fields and a null group are values of their own, an empty text differs from null, and texts of any length are hashed in
     whole. Equal rows are separate leaves with equal digests, and as many rows come out as went in. A tree of one row has its
@@ -156,15 +161,15 @@ def merkle_manifest(rows: DataFrame, key: str, group: str, fields: list[Column],
     tree = F.when(F.col(group).isNull(), "").otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
     leaves = settle(rows.select(tree.alias("tree"), F.col(key).alias("at"), F.col(key).cast("string").alias("key"), leaf(*fields).alias("digest"), leaf(*(claimed or fields)).alias("claimed")), "leaves")
     leaves, largest = placed(leaves, ["at", "digest"])
-    lower = _up(leaves, largest)
+    lower = _up(leaves, largest, height)
     subroots, trees = placed(lower[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), ["name"])
-    upper = _up(subroots, trees)
+    upper = _up(subroots, trees, height)
     root = upper[-1].select("tree", "pos", F.lit("").alias("path"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
-    paths = _down(upper, root)
+    paths = _down(upper, root, height)
     named = attach(subroots.select("tree", "pos", "name", "digest"), paths.select("tree", "pos", "path", "root"), ["tree", "pos"])
     outer = named.select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("pos"), "path", F.col("digest").alias("subroot"), "root")
-    outer = _down(lower[1:], outer)
-    proofs = _below(leaves.drop("at"), outer).applyInPandas(_proofs, "tree string, key string, leaf string, position long, subroot string, root string, proof string, folded_root string")
+    outer = _down(lower[1:], outer, height)
+    proofs = _below(leaves.drop("at"), outer, height).applyInPandas(_proofs(height), "tree string, key string, leaf string, position long, subroot string, root string, proof string, folded_root string")
     value = F.when(F.col("tree") != "", F.expr("substring(tree, 2)"))
     return proofs.select(F.col("key").cast(types[key]).alias(key), value.cast(types[group]).alias(group), "leaf", "position", "subroot", "root", "proof", "folded_root")
 
