@@ -13,7 +13,6 @@ from ..functions.boxes import square_window
 from ..functions.numeric import floor_div
 from ..scale import attach, settle, settled, skew_join
 from .neighbourhood import close, rect
-from .raster import frame_pixels
 
 KEYS = ("image_id", "mask_id")
 TILE = 256
@@ -136,40 +135,12 @@ def component_at(labelled: DataFrame, points: DataFrame, keys=KEYS) -> DataFrame
     return attach(labelled, chosen, [*keys, "label"], "left_semi")
 
 
-def _frames_of(mask: DataFrame, images: DataFrame, keys) -> DataFrame:
-    return mask.select(*keys).distinct().join(images.select("image_id", "width", "height"), "image_id")
-
-
 def _border_labels(labelled: DataFrame, images: DataFrame, keys) -> DataFrame:
     s = component_stats(labelled, keys).join(images.select("image_id", "width", "height"), "image_id")
     touches = (F.col("x0") == 0) | (F.col("y0") == 0) | (F.col("x1") == F.col("width") - 1) | (F.col("y1") == F.col("height") - 1)
     return s.where(touches).select(*keys, "label")
 
 
-def fill_holes(mask: DataFrame, images: DataFrame, mode: str = "border", keys=KEYS, tile: int = TILE) -> DataFrame:
-    """Mask plus every background pixel that is not 4-connected to the outside.
-
-    `border` floods from the whole frame border. `corner` floods from pixel (0, 0) alone: a background pocket cut off
-    from it is filled even at another border, and if (0, 0) is in the mask everything is.
-    """
-    keys = list(keys)
-    frame = frame_pixels(_frames_of(mask, images, keys), keys)
-    background = connected_components(frame.join(mask.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti"), 4, keys, tile)
-    if mode == "corner":
-        holes = background.where(F.col("label") != 0)      # label 0 is the component whose first pixel is (0, 0)
-    else:
-        holes = attach(background, _border_labels(background, images, keys), [*keys, "label"], "left_anti")
-    return mask.select(*keys, "y", "x").unionByName(holes.select(*keys, "y", "x"))
-
-
-def clean_mask(mask: DataFrame, points: DataFrame, images: DataFrame, close_px: int = 7, width=None, height=None,
-               mode: str = "corner", keys=KEYS) -> DataFrame:
-    """Close gaps, keep the component under the point (or the largest), fill its holes."""
-    closed = close(mask, rect(close_px, close_px), width, height, keys)
-    kept = component_at(connected_components(closed, 8, keys), points, keys).select(*keys, "y", "x")
-    return fill_holes(kept, images, mode, keys)
-
-
 def border_connected(mask: DataFrame, images: DataFrame, conn: int = 4, keys=KEYS, tile: int = TILE) -> DataFrame:
     """Pixels of the components that touch the frame border."""
     labelled = connected_components(mask, conn, keys, tile)
@@ -211,5 +182,5 @@ def windows_per_hole(hole: DataFrame, region: DataFrame, images: DataFrame, fact
     return own.select("image_id", "label", "area", *[v.alias(k) for k, v in win.items()])
 
 
-__all__ = ["connected_components", "component_stats", "drop_small", "largest_component", "component_at", "fill_holes", "clean_mask",
+__all__ = ["connected_components", "component_stats", "drop_small", "largest_component", "component_at",
            "border_connected", "white_matte", "windows_per_hole"]

@@ -164,6 +164,21 @@ def pixels_of(intervals: DataFrame, keys) -> DataFrame:
     return left.select(*keys, F.col("y").cast("int").alias("y"), F.explode(F.sequence(F.col("x0").cast("int"), F.col("x1").cast("int"))).alias("x"))
 
 
+def swept(intervals: DataFrame, keys, *others: str) -> DataFrame:
+    """Disjoint intervals (y, x0, x1) of each line with `_n`, how many of the given ones cover them, where any does.
+
+    Each interval is two events, +1 where it begins and -1 behind its end; a running sum along the line gives the count from one event to
+    the next. What is shuffled is two rows an interval, however long it is. `others` are 0/1 columns that are counted as `_n_<name>` alongside.
+    """
+    one = F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("d")))
+    events = intervals.select(*keys, "y", *others, F.explode(one).alias("e"))
+    line = Window.partitionBy(*keys, "y").orderBy("e.x")
+    upto = line.rangeBetween(Window.unboundedPreceding, 0)
+    counts = {"_n": F.sum("e.d").over(upto), **{f"_n_{c}": F.sum(F.col("e.d") * F.col(c)).over(upto) for c in others}}
+    return events.withColumns({**counts, "_next": F.lead("e.x").over(line)}).where("_n > 0 and _next > e.x").select(
+        *keys, "y", F.col("e.x").alias("x0"), (F.col("_next") - 1).alias("x1"), *counts)
+
+
 def _as_rect(element) -> tuple[int, int, int, int] | None:
     """(from y, to y, from x, to x) if all rows of the element are alike and without gaps."""
     dys = sorted(dy for dy, _, _ in element)
@@ -201,7 +216,8 @@ def dilate(mask: DataFrame, element, width, height, keys=("image_id", "mask_id")
 def erode(mask: DataFrame, element, width, height, keys=("image_id", "mask_id")) -> DataFrame:
     """Pixels whose whole neighbourhood is set; what lies outside the frame does not count against a pixel.
 
-    For each row of the element a run survives as a shorter interval; a pixel stays if it lies in one interval per row.
+    For each row of the element a run survives as a shorter interval; a pixel stays if it lies in one interval per row, which a
+    sweep along the line finds without spelling the intervals out.
     """
     box = _as_rect(element)
     if box and len(element) > 1:
@@ -215,13 +231,13 @@ def erode(mask: DataFrame, element, width, height, keys=("image_id", "mask_id"))
         *keys, (F.col("y") - F.col("e.dy")).alias("y"), F.greatest(F.col("_o0") - F.col("e.a"), F.lit(0)).alias("x0"),
         F.least(F.col("_o1") - F.col("e.b"), _size(width) - 1).alias("x1"))
         .where((F.col("y") >= 0) & (F.col("y") < _size(height)) & (F.col("x0") <= F.col("x1"))))
-    # rows of the element that fall outside the frame at this y are fulfilled by definition
-    votes = kept.select(*keys, F.col("y").cast("int").alias("y"), F.explode(F.sequence(F.col("x0").cast("int"), F.col("x1").cast("int"))).alias("x"))
     if n_rows == 1:
-        return votes
+        return pixels_of(kept, keys)
+    # rows of the element that fall outside the frame at this y are fulfilled by definition
     dys = F.array(*[F.lit(dy) for dy, _, _ in element])
-    outside = F.size(F.filter(dys, lambda d: (F.col("y") + d < 0) | (F.col("y") + d >= _size(height))))
-    return votes.groupBy(*keys, "y", "x").agg(F.count("*").alias("_n")).where(F.col("_n") + outside == n_rows).drop("_n")
+    wanted = F.lit(n_rows) - F.size(F.filter(dys, lambda d: (F.col("y") + d < 0) | (F.col("y") + d >= _size(height))))
+    full = swept(kept, keys).where(F.col("_n") == wanted)
+    return full.select(*keys, F.col("y").cast("int").alias("y"), F.explode(F.sequence(F.col("x0").cast("int"), F.col("x1").cast("int"))).alias("x"))
 
 
 def close(mask: DataFrame, element, width, height, keys=("image_id", "mask_id")) -> DataFrame:

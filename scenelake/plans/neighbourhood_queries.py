@@ -6,6 +6,7 @@ from ..operators import components as CC
 from ..operators import fill
 from ..operators import neighbourhood as N
 from ..operators import regions as RG
+from ..operators import run_graph as RN
 from ..operators.proposals import keep_proposals, pick_proposal
 from . import tables as X
 from .catalog import query
@@ -337,18 +338,18 @@ def _thick(spark, sf):
 
 @query("g4_fill_holes", f"with {THICK}, {holes_sql('thick', 'border')} select * from filled", recursive=True)
 def _(spark, sf):
-    return CC.fill_holes(_thick(spark, sf), X.images(spark, sf))
+    return RN.fill_holes(_thick(spark, sf), X.images(spark, sf))
 
 
 @query("g4_fill_holes_from_corner", f"with {THICK}, {holes_sql('thick', 'corner')} select * from filled", recursive=True)
 def _(spark, sf):
-    return CC.fill_holes(_thick(spark, sf), X.images(spark, sf), "corner")
+    return RN.fill_holes(_thick(spark, sf), X.images(spark, sf), "corner")
 
 
 @query("g3_clean_mask", f"""with {close_sql('fx_mask', 'cl', N.rect(3, 3), W, H)}, {cc_sql('cl', 'c')}, {LARGEST}, {PT}, {AT},
 kept as (select image_id, mask_id, y, x from c join ch using (image_id, mask_id, label)), {holes_sql('kept', 'corner')} select * from filled""", recursive=True)
 def _(spark, sf):
-    return CC.clean_mask(X.mask(spark, sf), _points(spark, sf), X.images(spark, sf), 3, W, H)
+    return RN.clean_mask(X.mask(spark, sf), _points(spark, sf), X.images(spark, sf), 3, W, H)
 
 
 @query("g5_border_connected", f"""with {THICK}, {cc_sql('thick', 'c', 4)} select image_id, mask_id, y, x from c

@@ -9,6 +9,7 @@ from scenelake.operators import components as CC
 from scenelake.operators import neighbourhood as N
 from scenelake.operators import raster as R
 from scenelake.operators import regions as RG
+from scenelake.operators import run_graph as RN
 
 H, W = 23, 31
 
@@ -133,11 +134,11 @@ def test_fill_holes_modes(spark):
     m[15:, 20] = m[15, 20:] = True                     # a pocket cut off in the corner
     images = spark.createDataFrame([(0, W, H)], "image_id bigint, width int, height int")
     df = spark.createDataFrame(sparse(m))
-    border, corner = on(CC.fill_holes(df, images)), on(CC.fill_holes(df, images, "corner"))
+    border, corner = on(RN.fill_holes(df, images)), on(RN.fill_holes(df, images, "corner"))
     assert border[6:8, 6:8].all() and not border[20, 25] and border.sum() == m.sum() + 4
     assert corner[20, 25] and corner[16:, 21:].all()
     m[0, 0] = True
-    assert on(CC.fill_holes(spark.createDataFrame(sparse(m)), images, "corner")).all()
+    assert on(RN.fill_holes(spark.createDataFrame(sparse(m)), images, "corner")).all()
 
 
 def pad(a, r, mode):
@@ -202,7 +203,7 @@ def test_box_region_and_shadow_match_definition(spark):
     shadow[8 - 1:13 + 4, 10 - 3:20 + 3] = True         # up 0.9 -> 1, down 4.5 -> 4
     assert (on(RG.edit_region(df, images, "dilated")) == shadow).all()
     assert on(RG.edit_region(df, images, "full")).all() and (on(RG.edit_region(df, images, "full", generative=False)) == box).all()
-    with pytest.raises(ValueError, match="choose from"):
+    with pytest.raises(ValueError, match="one of mask, dilated, box, full"):
         RG.edit_region(df, images, "halo")
 
 
