@@ -4,14 +4,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rint_i
-from ..scale import attach, settle
+from ..scale import attach
 from .masks import mask_stats
 from .neighbourhood import pixels_of, runs
 from .points import points_in_box
-from .raster import frame_pixels
-
-# What an edit may change.
-KINDS = ("mask", "dilated", "box", "full")
+from .region_rows import KINDS, pixels, region_rows
 
 
 def _boxes(mask: DataFrame, keys) -> DataFrame:
@@ -36,42 +33,24 @@ def shadow_region(mask: DataFrame, images: DataFrame, frac: float = 0.35, up: fl
     return pixels_of(grown, keys)
 
 
-def box_region(mask: DataFrame, images: DataFrame, margin: float, keys=("image_id", "mask_id")) -> DataFrame:
-    """The bounding box grown by a share of its larger side. Lines are spread before they are expanded."""
-    keys = list(keys)
-    b = _boxes(mask, keys).withColumn("_m", _margin(margin)).join(images.select("image_id", "width", "height"), "image_id")
-    lines = b.select(*keys, "bx0", "bx1", "_m", "width", F.explode(F.sequence(
-        F.greatest(F.col("by0") - F.col("_m"), F.lit(0)), F.least(F.col("by1") + F.col("_m"), F.col("height") - 1))).alias("y"))
-    return lines.repartition(*keys, "y").select(*keys, F.col("y").cast("int").alias("y"), F.explode(F.sequence(
-        F.greatest(F.col("bx0") - F.col("_m"), F.lit(0)), F.least(F.col("bx1") + F.col("_m"), F.col("width") - 1))).alias("x"))
+def edit_region_rows(mask: DataFrame, images: DataFrame, kind: str, margin: float = 0.35, generative: bool = True,
+                     keys=("image_id", "mask_id")) -> DataFrame:
+    """Rectangles of what an edit may change: the mask, its shadow band, its box or the whole frame; only a generative filler can use the frame."""
+    if kind not in KINDS:
+        raise ValueError(f"an edit may change one of {', '.join(KINDS)}, not {kind!r}")
+    return region_rows(mask, images, "box" if kind == "full" and not generative else kind, margin, keys=keys)
 
 
 def edit_region(mask: DataFrame, images: DataFrame, kind: str, margin: float = 0.35, generative: bool = True,
                 keys=("image_id", "mask_id")) -> DataFrame:
-    """Pixels an edit may change: the mask, its shadow band, its box or the whole frame; only a generative filler can use the frame."""
-    keys = list(keys)
-    if kind == "full" and not generative:
-        kind = "box"
-    if kind == "mask":
-        return mask.select(*keys, "y", "x")
-    if kind == "dilated":
-        return shadow_region(mask, images, margin, keys=keys)
-    if kind == "box":
-        return box_region(mask, images, margin, keys)
-    if kind == "full":
-        named = mask.select(*keys).distinct().join(images.select("image_id", "width", "height"), "image_id")
-        return frame_pixels(named, keys)
-    raise ValueError(f"an edit may change one of {', '.join(KINDS)}, not {kind!r}")
+    """The same as pixels."""
+    return pixels(edit_region_rows(mask, images, kind, margin, generative, keys), keys)
 
 
 def edit_regions(mask: DataFrame, images: DataFrame, kinds: DataFrame, margin: float = 0.35, keys=("image_id", "mask_id")) -> DataFrame:
-    """The same with the kind per mask in a table (keys, kind)."""
-    named = settle(attach(mask, kinds.select(*keys, F.col("kind").alias("_kind")), list(keys)), "kinds")
-    parts = [edit_region(named.where(F.col("_kind") == k).drop("_kind"), images, k, margin, keys=keys) for k in KINDS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rectangles, with the kind per mask in a table (keys, kind)."""
+    named = attach(mask, kinds.select(*keys, F.col("kind").alias("_of")), list(keys))
+    return region_rows(named, images, F.col("_of"), margin, keys=keys)
 
 
 def subject_crop(pixels: DataFrame, mask: DataFrame, images: DataFrame, margin: float = 0.15, keys=("image_id", "mask_id")) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import components as CC
 from ..operators import fill
 from ..operators import neighbourhood as N
+from ..operators import region_rows as RR
 from ..operators import regions as RG
 from ..operators import run_graph as RN
 from ..operators.proposals import keep_proposals, pick_proposal
@@ -227,20 +228,35 @@ def _(spark, sf):
     return RG.shadow_region(_small(spark, sf), X.images(spark, sf))
 
 
-@query("w11_edit_region", f"""with {SMALL}, {BB}, k as (select image_id, mask_id, ['mask','dilated','box','full'][(image_id+mask_id)%4+1] as kind,
+REGIONS = f"""{SMALL}, {BB}, k as (select image_id, mask_id, ['mask','dilated','box','full'][(image_id+mask_id)%4+1] as kind,
 round_even(0.35::double*greatest(x1-x0, y1-y0), 0)::int as m, x0, y0, x1, y1 from bb),
-g as (select *, round_even(0.3::double*m, 0)::int as u, round_even(1.5::double*m, 0)::int as d from k)
-select image_id, mask_id, y, x from small join k using (image_id, mask_id) where kind='mask'
-union all select distinct s.image_id, s.mask_id, (s.y+dy)::int, (s.x+dx)::int from small s join g using (image_id, mask_id), unnest(range(-10, 11)) a(dy), unnest(range(-10, 11)) b(dx)
-where kind='dilated' and dy between -u and d and dx between -m and m and s.y+dy between 0 and 49 and s.x+dx between 0 and 63
-union all select k.image_id, k.mask_id, p.y, p.x from k join fx_raster p on p.image_id=k.image_id where (kind='box' and p.x between x0-m and x1+m and p.y between y0-m and y1+m) or kind='full'""")
-def _(spark, sf):
+g as (select *, round_even(0.3::double*m, 0)::int as u, round_even(1.5::double*m, 0)::int as d from k),
+ln as (select image_id, mask_id, y, min(x) as x0, max(x) as x1 from (select *, x - row_number() over (partition by image_id, mask_id, y order by x) as i from small) group by image_id, mask_id, y, i),
+iv as (select image_id, mask_id, y, ln.x0, ln.x1 from ln join k using (image_id, mask_id) where kind='mask'
+union all select image_id, mask_id, unnest(range(greatest(y-u, 0), least(y+d, 49)+1)) as y, greatest(ln.x0-m, 0), least(ln.x1+m, 63) from ln join g using (image_id, mask_id) where kind='dilated'
+union all select image_id, mask_id, unnest(range(greatest(y0-m, 0), least(y1+m, 49)+1)) as y, greatest(x0-m, 0), least(x1+m, 63) from k where kind='box'
+union all select image_id, mask_id, unnest(range(0, 50)) as y, 0, 63 from k where kind='full'),
+tops as (select image_id, mask_id, y, x0, max(x1) as x1 from iv group by all),
+cut as (select *, coalesce(greatest(x0, 1 + max(x1) over (partition by image_id, mask_id, y order by x0 rows between unbounded preceding and 1 preceding)), x0) as f from tops)"""
+
+
+def _regions(spark, sf):
     small = _small(spark, sf)
     names = F.array(*[F.lit(k) for k in RG.KINDS])
     kinds = small.select("image_id", "mask_id").distinct().withColumn("kind", F.element_at(names, ((F.col("image_id") + F.col("mask_id")) % 4 + 1).cast("int")))
     return RG.edit_regions(small, X.images(spark, sf), kinds)
 
 
+@query("w11_edit_region", f"""with {REGIONS} select image_id, mask_id, y::int as y, unnest(range(f, x1+1))::int as x from cut where f <= x1""")
+def _(spark, sf):
+    return RR.pixels(_regions(spark, sf))
+
+
+@query("w11_edit_region_area", f"""with {REGIONS} select image_id, mask_id, sum(greatest(x1-f+1, 0))::bigint as area from cut group by 1, 2""")
+def _(spark, sf):
+    return RR.area(_regions(spark, sf))
+
+
 @query("w14_soft_mask", f"with d as (select image_id, y, x, (v > 0.05)::int::double as alpha from fx_raster), {blur_sql('d', 'b', ['alpha'], G1, W, H, 'reflect101')} {px(r('alpha'))} from b")
 def _(spark, sf):
     return rounded(N.soft_mask(X.raster(spark, sf), X.one_mask(spark, sf), 1.0, width=W, height=H), "alpha")

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from scenelake.operators import neighbourhood as N
+from scenelake.operators import region_rows as RR
 from scenelake.operators import run_graph as RN
 from tests.test_rasters import H, W, brute_dilate, brute_erode, flood, on, sparse
 
@@ -88,3 +89,27 @@ def test_sweep_counts(spark):
         assert (got[0, r.y, r.x0:r.x1 + 1] == 0).all()
         got[0, r.y, r.x0:r.x1 + 1], got[1, r.y, r.x0:r.x1 + 1] = r["_n"], r["_n_s"]
     assert (got == want).all()
+
+
+def test_region_algebra(spark):
+    rng = np.random.default_rng(6)
+
+    def some(n):
+        y, x = rng.integers(0, H - 6, n), rng.integers(0, W - 8, n)
+        return [(0, int(a), int(a + h), int(b), int(b + w)) for a, b, h, w in zip(y, x, rng.integers(0, 6, n), rng.integers(0, 8, n))]
+
+    def dense(rows):
+        m = np.zeros((H, W), bool)
+        for _, y0, y1, x0, x1 in rows:
+            m[y0:y1 + 1, x0:x1 + 1] = True
+        return m
+    kinds, keys = "image_id bigint, y0 int, y1 int, x0 int, x1 int", ["image_id"]
+    a, b = some(9), some(9)
+    da, db = (spark.createDataFrame(r, kinds) for r in (a, b))
+    ma, mb = dense(a), dense(b)
+    for got, want in ((RR.union(da, db, keys), ma | mb), (RR.intersection(da, db, keys), ma & mb), (RR.difference(da, db, keys), ma & ~mb)):
+        assert (on(RR.pixels(got, keys)) == want).all()
+    assert RR.area(da, keys).first().area == ma.sum()
+    px = spark.createDataFrame(sparse(np.ones((H, W), bool)))
+    left = RR.outside(px, da)
+    assert left.columns == px.columns and (on(left) == ~ma).all()
