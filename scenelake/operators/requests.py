@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.boxes import clamp_box, is_degenerate
 from ..functions.colour import f0_of_ior, grazing_reflectance
 from ..functions.numeric import _c
-from ..scale import attach, skew_join
+from ..scale import GROUP_ROWS, attach, hot_keys, hot_metric, settle, settled, skew_join
 
 # Literals and ranges of the request model.
 KINDS = ("floor", "object", "image3d")
@@ -76,17 +76,20 @@ def clamp_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns(c).withColumn("degenerate", is_degenerate("x0", "y0", "x1", "y1"))
 
 
-def resolve_refs(moves: DataFrame, masks: DataFrame, scenes: DataFrame) -> DataFrame:
+def resolve_refs(moves: DataFrame, masks: DataFrame, scenes: DataFrame, hot_rows: int = GROUP_ROWS) -> DataFrame:
     """Moves with their scene and mask, and what is wrong with the reference, if anything.
 
-    Many moves may name one mask or one scene, so both joins deal out hot ids. How often they come is counted on `moves`, which
-    the first join leaves as many as they were.
+    Many moves may name one mask or one scene, or none, so both joins deal out hot and null ids. The moves are written once and both kinds
+    of id are sketched while that is done; the row numbers they get serve both joins.
     """
-    counts = lambda c: moves.groupBy(c).agg(F.count("*").alias("n"))
     known_mask = masks.select("mask_id", "n_px", "mask_w", "mask_h", F.lit(True).alias("_mask"))
     known_scene = scenes.select("scene_id", "width", "height", F.lit(True).alias("_scene"))
-    both = skew_join(skew_join(moves, known_scene, ["scene_id"], "left", counts=counts("scene_id")), known_mask, ["mask_id"], "left", counts=counts("mask_id"))
+    once = settle(moves, "moves", scene=hot_metric(["scene_id"]), mask=hot_metric(["mask_id"]))
+    hot = {c: hot_keys(settled(once)[c], hot_rows) for c in ("scene", "mask")}
+    numbered = once.withColumn("_move", F.monotonically_increasing_id())
+    both = skew_join(numbered, known_scene, ["scene_id"], "left", hot_rows, hot=hot["scene"], row="_move")
+    both = skew_join(both, known_mask, ["mask_id"], "left", hot_rows, hot=hot["mask"], row="_move")
     error = (F.when(F.col("_scene").isNull(), "unknown scene").when(F.col("_mask").isNull(), "unknown mask")
              .when((F.col("mask_w") != F.col("width")) | (F.col("mask_h") != F.col("height")), "mask size differs")
              .when(F.col("n_px") == 0, "mask is empty"))
-    return both.withColumn("error", error).drop("_mask", "_scene")
+    return both.withColumn("error", error).drop("_mask", "_scene", "_move")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000      # statistics rows are a handful of doubles, so this stays in the tens of MB
 GROUP_ROWS = 1_000_000        # largest group that may be sorted by, or held in, one task
+SKETCH, LISTED = 131_072, 10_000   # counters of the sketch of frequent keys, and how many keys it lists
 QUANTILE_ROWS = 500_000       # above this the built-in exact quantile, which keeps every distinct value, is the slower way
 
 _local_dirs: dict[str, str] = {}
@@ -69,27 +70,69 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     return skew_join(big, small, on, how, hot_rows)
 
 
+def key_hash(on: list[str]) -> Column:
+    return F.xxhash64(*on)
+
+
+def hot_metric(on: list[str]) -> Column:
+    """A mergeable sketch of the most frequent keys, to be observed while a table is written: it costs no pass and no shuffle of its own.
+
+    Keys go in by their hash. Of SKETCH counters, every key with more than a 7/SKETCH share of the rows is sure to be listed.
+    """
+    return F.call_function("approx_top_k", key_hash(on), F.lit(LISTED), F.lit(SKETCH))
+
+
+def hot_keys(sketch, hot_rows: int = GROUP_ROWS) -> dict[int, int]:
+    """Hash and number of tasks of the keys that a sketch counts more than `hot_rows` times; at most LISTED of them."""
+    return {item["item"]: -(-item["count"] // hot_rows) for item in sketch or [] if item["count"] > hot_rows}
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot_rows: int = GROUP_ROWS,
-              counts: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Equi join for two large tables of which `left` may repeat a key very often and `right` holds it once.
+              counts: DataFrame | None = None, hot: dict[int, int] | None = None, row: str | None = None) -> DataFrame:
+    """Equi join (inner, left, left_semi, left_anti) for two large tables of which `left` may repeat a key very often and `right` holds it once.
 
-    Keys with more than `hot_rows` rows are found by a pre-aggregated count; without any this is a plain join. The rows of
-    such keys are written and numbered, and each key is dealt out by row number over as many tasks as its count asks for, so
-    that equal rows part as well. The list of these keys is broadcast up to `broadcast_rows` only. A caller that has the
-    counts already (columns `on`, n; if settled also the metric `peak` = max n) passes them as `counts`.
+    The left side is written once, and a sketch of its frequent keys observed with it; a left side that `settle` wrote is only
+    sketched by its keys. Keys above `hot_rows` are dealt out by row number over as many tasks as their count asks for, so
+    that equal rows part as well, and the right side's row is copied to these. The list of them has LISTED rows at most and is broadcast. A null
+    matches nothing: rows with one are left out or, where the join keeps them, dealt out likewise. Without hot keys and nulls this is a plain join.
+
+    A caller may know more: `counts` (columns `on`, n; if settled also the metric `peak` = max n), or `hot` as by `hot_keys`, together
+    with `row`, a column of `left` that numbers its rows and stays the same when a task is run again.
     """
-    if counts is not None and settled(counts) and (settled(counts)["peak"] or 0) <= hot_rows:
-        return left.join(right, on, how)
-    sizes = left.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts
-    hot = settle(sizes.where(F.col("n") > hot_rows).select(*on, F.ceil(F.col("n") / hot_rows).cast("int").alias("_salts")), "hot")
-    if settled(hot)["rows"] == 0:
+    spark, null = left.sparkSession, F.lit(False)
+    for c in on:
+        null = null | F.col(c).isNull()
+    keeps = how in ("left", "left_anti")
+    nulls = keeps
+    if counts is not None:
+        if settled(counts) and (settled(counts)["peak"] or 0) <= hot_rows:
+            return left.join(right, on, how)
+        top = counts.where(F.col("n") > hot_rows).orderBy(F.desc("n")).limit(LISTED)
+        hot = {r["h"]: -(-r["n"] // hot_rows) for r in top.select(key_hash(on).alias("h"), "n").collect()}
+    elif hot is None:
+        seen = settled(left)
+        if not seen:
+            left = settle(left, "left", hot=hot_metric(on), nulls=F.count_if(null))
+            seen = settled(left)
+            hot, nulls = hot_keys(seen["hot"], hot_rows), keeps and seen["nulls"] > hot_rows
+        elif seen["rows"] <= hot_rows:
+            return left.join(right, on, how)
+        else:
+            got = left.agg(hot_metric(on).alias("hot"), F.count_if(null).alias("nulls")).first()
+            hot, nulls = hot_keys(got["hot"], hot_rows), keeps and got["nulls"] > hot_rows
+    if not hot and not nulls:
         return left.join(right, on, how)
-    listed = F.broadcast(hot) if settled(hot)["rows"] <= broadcast_rows else hot
-    numbered = settle(left.join(listed, on).withColumn("_salt", F.monotonically_increasing_id()), "hot-rows")
-    dealt = numbered.withColumn("_salt", F.pmod("_salt", "_salts").cast("int")).drop("_salts")
-    copies = right.join(listed, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    cold = left.join(listed, on, "left_anti").join(right, on, how)
-    return cold.unionByName(dealt.join(copies, [*on, "_salt"], how).drop("_salt"))
+    if row is None and not settled(left):
+        left = settle(left, "left")              # row numbers of a written table are the same in every attempt
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    listed = F.broadcast(spark.createDataFrame(list(hot.items()) or [(0, 1)], "_h long, _salts int"))
+    numbered = left.withColumns({"_row": number, "_h": key_hash(on)}).join(listed, "_h", "left")
+    salt = F.when(null, F.pmod("_row", F.lit(1 << 20))).otherwise(F.pmod("_row", F.coalesce("_salts", F.lit(1)))).cast("int")
+    dealt = numbered.withColumn("_salt", salt).drop("_h", "_salts", "_row")
+    if not keeps:
+        dealt = dealt.where(~null)
+    copies = right.withColumn("_h", key_hash(on)).join(listed, "_h", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    return dealt.join(copies.drop("_h", "_salts"), [*on, "_salt"], how).drop("_salt")
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:

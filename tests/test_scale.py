@@ -44,14 +44,51 @@ def test_skew_join_equals_join(spark, skewed, how):
     pd.testing.assert_frame_equal(got, want)
 
 
-def test_equal_rows_of_a_hot_key_are_dealt_out(spark):
+@pytest.fixture
+def plain_partitions(spark):
+    """As many tasks as partitions, and no broadcast joins, so that a hot task shows."""
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_equal_rows_of_a_hot_key_are_dealt_out(spark, plain_partitions):
     same = spark.range(1000).select(F.lit(1).alias("k"), F.lit("x").alias("v"))
     right = spark.createDataFrame([(1, "r"), (2, "s")], "k int, w string")
-    for listed in (0, 10):
-        out = S.skew_join(same, right, ["k"], hot_rows=100, broadcast_rows=listed)
+    for left in (same, S.settle(same)):
+        out = S.skew_join(left, right, ["k"], hot_rows=50)
         assert out.count() == 1000
-        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
-        assert max(sizes) < 1000 or spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+        assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 500
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_null_keys_are_dealt_out(spark, plain_partitions, how):
+    """A third of the rows has no key; one scan of the left side."""
+    scans = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(i):
+        scans.add(1)
+        return i
+    left = spark.range(3000).select(seen(F.col("id").cast("int")).alias("i"), F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("k"))
+    right = spark.createDataFrame([(i, f"r{i}") for i in range(40)], "k long, w string")
+    out = S.skew_join(left, right, ["k"], how, hot_rows=100)
+    parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert scans.value == 3000 and max(parts) < 1000
+    want = left.join(right, ["k"], how)
+    assert out.columns == want.columns and sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+
+
+def test_sketch_lists_hot_keys(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") % 4 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    once = S.settle(df, hot=S.hot_metric(["k"]))
+    hot = S.hot_keys(S.settled(once)["hot"], 10_000)
+    assert list(hot.values()) == [5] or list(hot.values()) == [6]
+    assert S.hot_keys(S.settled(once)["hot"], 10**6) == {}
 
 
 @pytest.mark.parametrize("limit", [300, 10**9])
