@@ -1,4 +1,4 @@
-"""Meshes as vertex and face tables, splat clouds, and sparse voxel grids."""
+"""Meshes as vertex and face tables, and splat clouds."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,49 +138,6 @@ def splat_filter_report(splats: DataFrame, min_opacity: float = 0.1, keys=("asse
     return splats.groupBy(*keys).agg(F.count_if(keep).alias("points"), F.count_if(~keep).alias("dropped"))
 
 
-VOXEL = ["batch", "x", "y", "z"]
-
-
-def _offsets(k: int) -> Column:
-    r = range(-((k - 1) // 2), k - (k - 1) // 2)
-    cells = [(dx, dy, dz) for dx in r for dy in r for dz in r]
-    return F.array(*[F.struct(F.lit(i).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for i, (dx, dy, dz) in enumerate(cells)])
-
-
-def voxel_neighbours(vox: DataFrame, k: int = 3) -> DataFrame:
-    """(voxel, kernel index, neighbour's feat) for every active neighbour of the same batch.
-
-    Each voxel is sent to the at most k^3 places that may ask for it; keys are unique per voxel, so no key is hot.
-    """
-    sent = vox.select(*VOXEL, "feat", F.explode(_offsets(k)).alias("o")).select(
-        "batch", *[(F.col(a) - F.col(f"o.d{a}")).cast("int").alias(a) for a in XYZ], F.col("o.k").alias("k"), F.col("feat").alias("nfeat"))
-    return sent.join(vox.select(*VOXEL), VOXEL, "left_semi")
-
-
-def submanifold_aggregate(vox: DataFrame, weights: list, k: int = 3, bias: float = 0.0) -> DataFrame:
-    """out[p] = sum over active neighbours of W[i] * in[p + offset_i]; k=1 needs no neighbours at all.
-
-    With scalar features `weights` is a list of k^3 numbers. With array features each entry is a [c_out][c_in] matrix
-    and the result is an array.
-    """
-    if not isinstance(weights[0], (list, tuple)):
-        w = F.array(*[F.lit(float(v)) for v in weights])
-        if k == 1:
-            return vox.select(*VOXEL, (F.col("feat") * float(weights[0]) + bias).alias("feat"))
-        n = voxel_neighbours(vox, k)
-        return n.groupBy(*VOXEL).agg((F.sum(w[F.col("k")] * F.col("nfeat")) + bias).alias("feat"))
-    c_out = len(weights[0])
-    w = F.array(*[F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in m]) for m in weights])
-
-    def term(o, kernel, feat):
-        return F.aggregate(F.zip_with(w[kernel][o], feat, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    if k == 1:
-        return vox.select(*VOXEL, F.array(*[term(o, F.lit(0), F.col("feat")) + bias for o in range(c_out)]).alias("feat"))
-    n = voxel_neighbours(vox, k)
-    sums = n.groupBy(*VOXEL).agg(*[F.sum(term(o, F.col("k"), F.col("nfeat"))).alias(f"_{o}") for o in range(c_out)])
-    return sums.select(*VOXEL, F.array(*[F.col(f"_{o}") + bias for o in range(c_out)]).alias("feat"))
-
-
 def mesh_report(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Per mesh: vertex and face counts, extent and the number of vertices without a direction."""
     v = vertices.groupBy("mesh_id").agg(F.count("*").alias("vertices"), *[(F.max(a) - F.min(a)).alias(f"extent_{a}") for a in XYZ])

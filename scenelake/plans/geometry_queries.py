@@ -8,6 +8,7 @@ from ..operators import light as L
 from ..operators import mesh as ME
 from ..operators import points as P
 from ..operators import texture as TX
+from ..operators import voxel_blocks as VB
 from ..sources.sinks import to_yup
 from . import tables as X
 from .catalog import query
@@ -423,24 +424,24 @@ nb as (select p.batch, p.x, p.y, p.z, o.k, o.w, q.feat from fx_vox p, off o, fx_
 
 @query("j7_voxel_neighbours", f"with {OFFS} select batch, x, y, z, k, round(feat, 6) as nfeat from nb")
 def _(spark, sf):
-    return rounded(ME.voxel_neighbours(X.vox(spark, sf)), "nfeat")
+    return rounded(VB.voxel_neighbours(X.vox(spark, sf)), "nfeat")
 
 
 @query("j7_submanifold", f"with {OFFS} select batch, x, y, z, round(sum(w*feat) + 0.5, 6) + 0.0::double as feat from nb group by 1, 2, 3, 4")
 def _(spark, sf):
-    return ME.submanifold_aggregate(X.vox(spark, sf), KERNEL, 3, 0.5).withColumn("feat", F.round("feat", 6) + F.lit(0.0))
+    return VB.submanifold_aggregate(X.vox(spark, sf), KERNEL, 3, 0.5).withColumn("feat", F.round("feat", 6) + F.lit(0.0))
 
 
 @query("j7_submanifold_channels", f"with {OFFS} select batch, x, y, z, round(sum(w*feat - w*w*sqrt(feat)), 5) + 0.0::double as f0, round(sum(2*w*sqrt(feat)), 5) + 0.0::double as f1 from nb group by 1, 2, 3, 4")
 def _(spark, sf):
     vox = X.vox(spark, sf).withColumn("feat", F.array("feat", F.sqrt("feat")))
-    out = ME.submanifold_aggregate(vox, [[[w, -w * w], [0.0, 2 * w]] for w in KERNEL])
+    out = VB.submanifold_aggregate(vox, [[[w, -w * w], [0.0, 2 * w]] for w in KERNEL])
     return out.select("batch", "x", "y", "z", *[(F.round(F.col("feat")[i], 5) + F.lit(0.0)).alias(f"f{i}") for i in (0, 1)])
 
 
 @query("j7_linear_map", "select batch, x, y, z, round(feat*1.5 - 2, 6) as feat from fx_vox")
 def _(spark, sf):
-    return rounded(ME.submanifold_aggregate(X.vox(spark, sf), [1.5], 1, -2.0), "feat")
+    return rounded(VB.submanifold_aggregate(X.vox(spark, sf), [1.5], 1, -2.0), "feat")
 
 
 @query("c7_mesh_report", f"""with {VN}, v as (select mesh_id, count(*)::bigint as vertices, max(x)-min(x) as extent_x, max(y)-min(y) as extent_y, max(z)-min(z) as extent_z from fx_vertices group by 1),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scenelake.operators import light as L
 from scenelake.operators import mesh as ME
+from scenelake.operators import voxel_blocks as VB
 from scenelake.operators import points as P
 from scenelake.operators import texture as TX
 from scenelake.operators.proposals import keep_proposals, pick_proposal
@@ -67,14 +68,14 @@ def test_voxel_sum_on_full_grid_is_a_dense_convolution(spark, rng):
     p = np.pad(g, 1)
     k = w.reshape(3, 3, 3)
     want = sum(k[i, j, m] * p[i:i + 4, j:j + 5, m:m + 6] for i in range(3) for j in range(3) for m in range(3))
-    got = ME.submanifold_aggregate(df, list(w)).toPandas()
+    got = VB.submanifold_aggregate(df, list(w)).toPandas()
     np.testing.assert_allclose(got["feat"], want[got["x"], got["y"], got["z"]], atol=1e-12)
     # at 30 % occupancy the result is the masked dense one
     keep = rng.random(g.shape) < 0.3
     some = df.join(spark.createDataFrame(pd.DataFrame(np.argwhere(keep).astype("int32"), columns=["x", "y", "z"])), ["x", "y", "z"])
     p = np.pad(g * keep, 1)
     want = sum(k[i, j, m] * p[i:i + 4, j:j + 5, m:m + 6] for i in range(3) for j in range(3) for m in range(3))
-    got = ME.submanifold_aggregate(some, list(w)).toPandas()
+    got = VB.submanifold_aggregate(some, list(w)).toPandas()
     assert len(got) == keep.sum()
     np.testing.assert_allclose(got["feat"], want[got["x"], got["y"], got["z"]], atol=1e-12)
 
@@ -174,3 +175,28 @@ def test_many_boxes_on_one_tile(spark, rng):
     hot = P.points_in_box(px, b, tile=4, hot_rows=20).select(*plain.columns).orderBy("box_id", "y", "x").toPandas()
     pd.testing.assert_frame_equal(plain, hot)
     assert len(plain) == sum((min(r.x1, 12) - r.x0) * (min(r.y1, 10) - r.y0) for r in b.collect())
+
+
+@pytest.mark.parametrize("k,side", [(3, 16), (3, 8), (2, 4), (5, 3), (3, 1)])
+def test_voxel_blocks_match_brute_force(spark, k, side):
+    """Kernels of even and odd size, blocks smaller than the margin, positions below zero, features that are scalars, arrays and texts."""
+    rng = np.random.default_rng(k * side)
+    cells = {(int(b), *map(int, p)) for b, p in zip(rng.integers(0, 2, 500), rng.integers(-6, 7, (500, 3)))}
+    feat = {c: [float(i), float(i % 7)] for i, c in enumerate(sorted(cells))}
+    offsets = range(-((k - 1) // 2), k - (k - 1) // 2)
+    cube = [(i, j, m) for i in offsets for j in offsets for m in offsets]
+    want = sorted((*c, n, feat[q]) for c in cells for n, o in enumerate(cube) for q in [(c[0], *(a + d for a, d in zip(c[1:], o)))] if q in feat)
+    df = spark.createDataFrame([(*c, f) for c, f in feat.items()], "batch int, x int, y int, z int, feat array<double>").repartition(4)
+    got = VB.voxel_neighbours(df, k, side)
+    assert sorted((r.batch, r.x, r.y, r.z, r.k, r.nfeat) for r in got.collect()) == want
+    named = VB.voxel_neighbours(df.withColumn("feat", F.concat_ws("|", F.transform("feat", lambda v: v.cast("string")))), k, side)
+    assert sorted(r.nfeat for r in named.collect()) == sorted("|".join(map(str, w[-1])) for w in want)
+    weights = rng.normal(0, 1, (len(cube), 3, 2))
+    out = {(r.batch, r.x, r.y, r.z): r.feat for r in VB.submanifold_aggregate(df, weights.tolist(), k, 0.5, side).collect()}
+    assert set(out) == cells
+    sums = {c: np.full(3, 0.5) for c in cells}
+    for *c, n, f in want:
+        sums[tuple(c)] = sums[tuple(c)] + weights[n] @ f
+    assert all(np.allclose(out[c], sums[c]) for c in cells)
+    copies = VB.in_blocks(df, k, side).count() / len(cells)
+    assert copies <= (1 + (k - 1) / side) ** 3 + 0.6
