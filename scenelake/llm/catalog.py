@@ -1,6 +1,6 @@
 """Where the queries of this subpackage are registered, and small helpers that its operators share."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,3 +73,16 @@ def mapped(df: DataFrame, worker: Callable, schema: T.StructType | str) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(cols, fields)], schema=fields)
     return df.mapInArrow(run, schema)
+
+
+def computed(worker: Callable, kind: str):
+    """A column function: `worker()` is called once a task and returns the function from an Arrow array to an Arrow array.
+
+    Only the argument goes to Python and only the result comes back; the other columns of a row wait in the JVM, which can spill them.
+    """
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        step = worker()
+        for b in batches:
+            yield step(b)
+    return run

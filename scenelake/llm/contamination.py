@@ -6,14 +6,15 @@ patterns to compare word by word. Windows of one length are searched together.
 """
 
 from collections import defaultdict
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from scenelake.scale import settle
+from scenelake.scale import attach, settle
 
-from .catalog import mapped, query, table, utf8
+from .catalog import computed, query, table, utf8
 
 WIDTH, BLOCK = 13, 3
 BATCH_BYTES = 4 << 20                            # benchmark text that one pass over the documents searches for
@@ -75,59 +76,77 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-HITS = "__utf8 binary, __n long, __spans array<struct<lo:long,hi:long>>, __items array<string>"
+FOUND = "struct<n:long,spans:array<struct<lo:long,hi:long>>,items:array<string>>"
+_FOUND = pa.struct([("n", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
-def _searcher(items, width: int, docs: list[str], first: bool):
+def _searcher(items, width: int):
     def start():
         searchers = windows_of(items.value, width)
 
-        def step(batch):
-            n_words, spans, names = [], [], []
-            before = None if first else (batch.column("__spans").to_pylist(), batch.column("__items").to_pylist())
-            for i, text in enumerate(batch.column("__utf8")):
-                words = words_of(text.as_py())
-                at, found = ([], set()) if first else ([(s["lo"], s["hi"]) for s in before[0][i]], set(before[1][i]))
+        def step(texts):
+            out = []
+            for text in texts:
+                words, at, found = words_of(text.as_py()), [], set()
                 for s in searchers:
                     for lo, who in s.search(words):
                         at.append((lo, lo + s.length))
                         found.update(who)
-                n_words.append(len(words))
-                spans.append([{"lo": a, "hi": b} for a, b in merged(at)])
-                names.append(sorted(found))
-            return [*(batch.column(c) for c in docs), batch.column("__utf8"), n_words, spans, names]
+                out.append({"n": len(words), "spans": [{"lo": a, "hi": b} for a, b in merged(at)], "items": sorted(found)})
+            return pa.array(out, _FOUND)
         return step
     return start
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans without overlaps."""
+    none = F.array().cast("array<struct<lo:long,hi:long>>")
+
+    def step(a, s):
+        last = F.element_at(a, -1)
+        joined = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last.lo.alias("lo"), F.greatest(last.hi, s.hi).alias("hi"))))
+        return F.when((F.size(a) > 0) & (s.lo <= F.get(a, F.size(a) - 1).hi), joined).otherwise(F.concat(a, F.array(s)))
+    return F.aggregate(F.array_sort(spans), none, step)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The rows of `docs` with n_words, n_hit, spans (word ranges that are hit), items and contaminated in a struct `hit`.
 
-    Items go to the executors in batches of `batch_bytes`, one pass over the documents each, so what is broadcast is
-    bounded for any benchmark. Null and empty texts have no words and no hits; null and empty items have no windows; a null
-    item_id is named "null"; repeated items count once. `hit` is the only column name that `docs` must not have.
+    Items go to the executors in batches of `batch_bytes`, so what is broadcast is bounded for any benchmark (one item is never cut). The documents
+    are read once a batch; all but the last pass keep only what was found, by the digest of the text, and that is joined to the
+    documents in the end. Only the text goes to Python and only what was found comes back.
+
+    Null and empty texts have no words and no hits; texts of any length are searched in whole; null and empty items have no windows; a null
+    item_id is named "null"; repeated items count once and repeated documents each get their own row. Without items nothing is
+    hit, and an empty table gives no rows. A column `hit` of `docs` is replaced; others may have any name.
     """
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), utf8().alias("t")).distinct()
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     passes = max(1, -(-total // batch_bytes))
-    out = docs.withColumn("__utf8", utf8())
+    context, found = docs.sparkSession.sparkContext, []
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "hit"]).alias("row"), utf8().alias("t"))
     for k in range(passes):
         part = rows.where(F.pmod(F.xxhash64("item", "t"), F.lit(passes)) == k).collect()
-        items = docs.sparkSession.sparkContext.broadcast(sorted((r.item, bytes(r.t)) for r in part))
-        schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(HITS).fields])
-        out = mapped(out, _searcher(items, width, docs.columns, k == 0), schema)
-        if k + 1 < passes:
-            out = settle(out, "hits")
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s.hi - s.lo)
-    hit = F.struct(F.col("__n").alias("n_words"), n_hit.alias("n_hit"), F.col("__spans").alias("spans"), F.col("__items").alias("items"),
-                   ((n_hit > 0) & (20 * n_hit >= F.col("__n"))).alias("contaminated"))
-    return out.select(*docs.columns, hit.alias("hit"))
+        search = computed(_searcher(context.broadcast(sorted((r.item, bytes(r.t)) for r in part)), width), FOUND)
+        if k + 1 == passes:
+            out = whole.select("row", F.md5("t").alias("key"), search("t").alias("f")) if found else whole.select("row", search("t").alias("f"))
+        else:
+            hits = whole.select(F.md5("t").alias("key"), search("t").alias("f")).where(F.size("f.spans") > 0).select("key", "f.spans", "f.items")
+            found.append(settle(hits.groupBy("key").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "hits"))
+    if found:
+        before = reduce(DataFrame.unionByName, found).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        more = lambda c: F.coalesce(F.col(c), F.array())
+        out = attach(out, before, ["key"], "left").select("row", F.struct("f.n", _merged(F.concat("f.spans", more("spans"))).alias("spans"),
+                                                                          F.array_sort(F.array_union("f.items", more("items"))).alias("items")).alias("f"))
+    n_hit = F.aggregate("f.spans", F.lit(0).cast("long"), lambda a, s: a + s.hi - s.lo)
+    hit = F.struct(F.col("f.n").alias("n_words"), n_hit.alias("n_hit"), "f.spans", "f.items", ((n_hit > 0) & (20 * n_hit >= F.col("f.n"))).alias("contaminated"))
+    return out.select("row.*", hit.alias("hit"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of `docs` of which less than a twentieth of the words are hit."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
-    return contamination(whole, benchmark, width).where("not hit.contaminated").select("__row.*")
+    """The rows of `docs` of which less than a twentieth of the words are hit. Columns may have any name."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    return contamination(whole, benchmark, width).where("not hit.contaminated").select("doc.*")
 
 
 SQL = r"""

@@ -10,12 +10,12 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.scale import settle
 
-from .catalog import id_crc, mapped, query, table, utf8
+from .catalog import computed, id_crc, mapped, query, table, utf8
 
 FEATURE_BITS, SAMPLE, ROUNDS = 18, 12_000, 4
 HELD_OUT_OF, HELD_OUT = 3, 1
@@ -92,33 +92,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     return np.frombuffer(bytes(model["weights"]), "<f4") if model else np.zeros((1 << FEATURE_BITS) + 1, "<f4")
 
 
-def _scorer(weights, cols):
+def _scorer(weights):
     def start():
         feats, w = Featuriser(), weights.value
 
-        def step(batch):
+        def step(texts):
             scores = []
-            for t in batch.column("__utf8"):
+            for t in texts:
                 at, x = feats(t.as_py())
                 scores.append(1 / (1 + np.exp(-np.clip(float(w[at] @ x) + float(w[-1]), -35, 35))))
-            return [*(batch.column(c) for c in cols), pa.array(scores, pa.float64())]
+            return pa.array(scores, pa.float64())
         return step
     return start
 
 
+def score(spark, weights: np.ndarray, text: str = "text") -> Column:
+    """How likely label 1 is. Only the text counts, in whole at any length; null is as empty, which gets the bias alone. The weights, 2^18 numbers,
+    are the only thing broadcast."""
+    return computed(_scorer(spark.sparkContext.broadcast(weights)), "double")(utf8(text))
+
+
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """`docs` with a column `quality_score`: how likely label 1 is. Only the text counts; null is as empty, which gets the
-    bias alone. The weights, 2^18 numbers, are the only thing broadcast."""
-    from pyspark.sql import types as T
-    model = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
-    return mapped(docs.withColumn("__utf8", utf8()), _scorer(model, docs.columns), schema)
+    """`docs` with a column `quality_score`, in place of one of that name. An empty table gives no rows; repeated rows get equal scores."""
+    return docs.withColumn("quality_score", score(docs.sparkSession, weights))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows that the classifier, trained on these rows, doesn't reject."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
-    return scored(whole, train(docs, labels)).where(F.col("quality_score") >= least).select("__row.*")
+    """The rows that the classifier, trained on these rows, doesn't reject. Columns may have any name."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score(docs.sparkSession, train(docs, labels)).alias("score"))
+    return rows.where(F.col("score") >= least).select("row.*")
 
 
 @query("op5_quality_classifier")
