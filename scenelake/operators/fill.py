@@ -8,14 +8,14 @@ from .frames import PIXEL, RGB
 from .neighbourhood import normalised_convolution
 
 
-def fill_from_background(pixels: DataFrame, hole: DataFrame, sigma: float = 3.0) -> DataFrame:
-    """Hole pixels become the weighted mean of the known pixels around them; all other pixels stay as they are.
+def fill_from_background(pixels: DataFrame, hole: DataFrame, sigma: float, width, height) -> DataFrame:
+    """Hole pixels become the weighted mean of the known pixels around them, frames being mirrored at their border; all other pixels stay.
 
     Where the hole is wider than the kernel no known pixel is near, and the mean colour of the frame's known pixels is used.
     """
     marked = pixels.select(*PIXEL, *RGB).join(hole.select(*PIXEL, F.lit(True).alias("_hole")).distinct(), PIXEL, "left")
     marked = marked.withColumn("_known", F.col("_hole").isNull())
-    near = normalised_convolution(marked, "_known", list(RGB), sigma)
+    near = normalised_convolution(marked, "_known", list(RGB), sigma, width=width, height=height)
     frame = marked.where("_known").groupBy("image_id").agg(*[F.avg(c).alias(f"_m{c}") for c in RGB])
     j = marked.join(near.select(*PIXEL, "confidence", *[F.col(c).alias(f"_f{c}") for c in RGB]), PIXEL)
     j = attach(j, frame, ["image_id"], "left")

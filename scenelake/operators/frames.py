@@ -1,10 +1,11 @@
 """Frames as pixel tables: differences, compositing, pasting and audits."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rint_i
-from ..scale import attach, settle
+from ..scale import GROUP_ROWS, attach, hot_keys, hot_metric, settle, settled, skew_join
+from .region_rows import RECT, outside
 
 RGB = ("r", "g", "b")
 PIXEL = ["image_id", "y", "x"]
@@ -37,12 +38,31 @@ def composite(base: DataFrame, edit: DataFrame, alpha: DataFrame) -> DataFrame:
 
 
 def containment_audit(before: DataFrame, after: DataFrame, region: DataFrame) -> DataFrame:
-    """Pixels outside the region that are not identical; a pixel that only one frame has counts as changed."""
+    """Pixels outside the region that are not identical; a pixel that only one frame has counts as changed.
+
+    The region is a pixel table or rectangles (image_id, y0, y1, x0, x1), which are never spelled out.
+    """
     j = before.select(*PIXEL, *RGB).join(_other(after, "_"), PIXEL, "full")
     same = F.lit(True)
     for c in RGB:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return j.where(~same).select(*PIXEL).join(region.select(*PIXEL), PIXEL, "left_anti")
+    changed = j.where(~same).select(*PIXEL)
+    return outside(changed, region) if set(RECT) <= set(region.columns) else changed.join(region.select(*PIXEL), PIXEL, "left_anti")
+
+
+def checked_moves(moves: DataFrame, masks: DataFrame, images: DataFrame, hot_rows: int = GROUP_ROWS) -> DataFrame:
+    """`moves` (image_id, mask_id, …) with `error`: which reference leads nowhere, or null where the move can be made.
+
+    Moves are written once, with their frequent and null ids sketched, and keep their number through both joins.
+    """
+    pair = ["image_id", "mask_id"]
+    once = settle(moves, "moves", image=hot_metric(["image_id"]), mask=hot_metric(pair))
+    hot = {c: hot_keys(settled(once)[c], hot_rows) for c in ("image", "mask")}
+    numbered = once.withColumn("_move", F.monotonically_increasing_id())
+    both = skew_join(numbered, images.select("image_id", F.lit(True).alias("_image")).distinct(), ["image_id"], "left", hot_rows, hot=hot["image"], row="_move")
+    both = skew_join(both, masks.select(*pair, F.lit(True).alias("_mask")).distinct(), pair, "left", hot_rows, hot=hot["mask"], row="_move")
+    error = F.when(F.col("_image").isNull(), "unknown image").when(F.col("_mask").isNull(), "unknown or empty mask")
+    return both.select(*moves.columns, error.alias("error"))
 
 
 def affine_paste(source: DataFrame, masks: DataFrame, moves: DataFrame, images: DataFrame) -> DataFrame:
@@ -75,22 +95,23 @@ def affine_paste(source: DataFrame, masks: DataFrame, moves: DataFrame, images:
 def layer_fold(background: DataFrame, layers: DataFrame, order: str = "move_idx", opaque: bool = False, at_once: int = 1000) -> DataFrame:
     """Layers put on the background in order; later layers see earlier ones and every step is quantised.
 
-    Opaque layers only need the last one per pixel. Otherwise the layers of a pixel are folded in order. A layer is one
-    move of a scene and covers a pixel once, so `at_once` moves per round bound what a pixel can collect; a scene with
-    more moves takes several rounds.
+    Opaque layers only need the last one per pixel. Otherwise the layers of a pixel are folded in order. Where a pixel has more than
+    `at_once` of them they are numbered per pixel and folded in rounds, each with the next `at_once` of every pixel; the values of the
+    order column don't matter.
     """
     if opaque:
         last = layers.groupBy(*PIXEL).agg(F.max(F.struct(order, *RGB)).alias("l"))
         j = background.select(*PIXEL, *RGB).join(last, PIXEL, "left")
         return j.select(*PIXEL, *[F.coalesce(F.col(f"l.{c}"), F.col(c)).cast("int").alias(c) for c in RGB])
     first, last = layers.agg(F.min(order), F.max(order)).first()
-    if first is not None and last - first >= at_once:
-        layers = settle(layers, "layers")
-        for lo in range(first, last + 1, at_once):
-            part = layers.where(F.col(order).between(lo, lo + at_once - 1))
-            background = settle(_fold(background, part, order), "folded")
-        return background
-    return _fold(background, layers, order)
+    if first is None or last - first < at_once:          # a layer covers a pixel once, so no stack is deeper
+        return _fold(background, layers, order)
+    nth = F.floor((F.row_number().over(Window.partitionBy(*PIXEL).orderBy(order)) - 1) / at_once)
+    numbered = settle(layers.withColumn("_round", nth), "layers", rounds=F.max("_round"))
+    for k in range(settled(numbered)["rounds"] + 1):
+        part = numbered.where(F.col("_round") == k).drop("_round")
+        background = settle(_fold(background, part, order), "folded") if settled(numbered)["rounds"] else _fold(background, part, order)
+    return background
 
 
 def _fold(background: DataFrame, layers: DataFrame, order: str) -> DataFrame:

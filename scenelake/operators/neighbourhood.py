@@ -318,8 +318,13 @@ def delight(tex: DataFrame, amount: float, width: int, height: int, keys=("image
 
 
 def normalised_convolution(px: DataFrame, hit: str, channels: list[str], sigma: float, keys=("image_id",), width=None, height=None,
-                           border: str = "truncate") -> DataFrame:
-    """Blur known values over the gaps: blur(value * hit) / blur(hit), and blur(hit) over its upper quartile as confidence."""
+                           border: str = "reflect101") -> DataFrame:
+    """Blur known values over the gaps: blur(value * hit) / blur(hit), and blur(hit) over its upper quartile as confidence.
+
+    Frames are mirrored at their border, which needs their size; `truncate` leaves out what lies beyond.
+    """
+    if border != "truncate" and (width is None or height is None):
+        raise ValueError("mirrored borders need the width and height of the frames")
     keys = list(keys)
     h = F.col(hit).cast("double")
     known = px.select(*keys, "y", "x", h.alias("_h"), *[(F.coalesce(F.col(c), F.lit(0.0)) * h).alias(c) for c in channels])

@@ -13,6 +13,7 @@ from ..operators import masks as M
 from ..operators import neighbourhood as N
 from ..operators import points as P
 from ..operators import raster as R
+from ..operators import region_rows as RR
 from ..operators import regions as RG
 from ..operators import texture as TX
 from ..operators.requests import default_tile_m
@@ -92,26 +93,29 @@ def low_resolution_moves(moves: DataFrame, masks: DataFrame, f: int, width, heig
 
 
 def move_objects(pixels: DataFrame, masks: DataFrame, moves: DataFrame, images: DataFrame, cfg: dict, width: int, height: int,
-                 depth: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+                 depth: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Remove each object, fill the hole, put the object at its target, and audit what changed.
 
-    The scale comes from the options, from `depth`, or stays what the moves say. Returns the frames and the pixels that changed
-    where they mustn't: outside the source regions when the objects were removed, or outside these and the target
-    footprints in the end.
+    References are resolved first: a move whose image or mask isn't there is not made. The scale comes from the options, from `depth`,
+    or stays what the moves say. Returns the frames; the pixels that changed where they mustn't, outside the source regions
+    when the objects were removed, or outside these and the target footprints in the end; and the rejected moves with their error.
     """
     settings = {**cfg, "width": width, "height": height, **options}
     radius = int(cfg["dilate_radius"])
+    resolved = settle(FR.checked_moves(moves, masks, images), "resolved")
+    moves, rejected = resolved.where("error is null").drop("error"), resolved.where("error is not null")
     hole = settle(N.dilate(masks, N.rect(2 * radius + 1, 2 * radius + 1), width, height), "hole")
-    regions = RG.edit_region(hole, images, cfg["src_region"], cfg["region_margin"], generative=False)
-    hole_px, region_px = hole.select(*M.PIXEL).distinct(), regions.select(*M.PIXEL).distinct()
+    allowed = RG.edit_region_rows(hole, images, cfg["src_region"], cfg["region_margin"], generative=False)
+    allowed = settle(allowed.select("image_id", *RR.RECT), "region")
+    hole_px = hole.select(*M.PIXEL).distinct()
     remove = registry.make("removal", cfg["removal"], settings)
     insert = registry.make("insertion", cfg["insertion"], settings)
-    background = settle(remove(pixels, hole_px, region_px, images), "background")
+    background = settle(remove(pixels, hole_px, allowed, images), "background")
     out, footprint = insert(pixels, background, masks, scaled_moves(moves, cfg["scale"], depth), images)
     out = settle(out, "moved")
-    allowed = M.union(region_px, footprint)
-    leaked = FR.containment_audit(pixels, background, region_px)
-    return out, leaked.unionByName(FR.containment_audit(pixels, out, allowed)).distinct()
+    leaked = FR.containment_audit(pixels, background, allowed)
+    strayed = FR.containment_audit(pixels, out, allowed).join(footprint.select(*M.PIXEL), M.PIXEL, "left_anti")
+    return out, leaked.unionByName(strayed).distinct(), rejected
 
 
 def multires_merge(original: DataFrame, low_in: DataFrame, low_out: DataFrame, f: int, width: int, height: int,

@@ -62,13 +62,14 @@ def _(spark, sf):
     return FR.affine_paste(X.frame_before(spark, sf), _object(spark, sf), _moves(spark, sf), X.rgb_images(spark, sf))
 
 
-INSIDE = "x between 5 and 12 and y between 10 and 25"
+INSIDE = "x between 5 and 12 and y between 12 and 25"              # the edit began two lines higher
 
 
-@query("j9_containment_audit", "select image_id, y, x from fx_frames where (r0<>r1 or g0<>g1 or b0<>b1) and not (x between 5 and 12 and y between 10 and 25)")
+@query("j9_containment_audit", f"select image_id, y, x from fx_frames where (r0<>r1 or g0<>g1 or b0<>b1) and not ({INSIDE})")
 def _(spark, sf):
     b = X.frame_before(spark, sf)
-    return FR.containment_audit(b, X.frame_after(spark, sf), b.where(INSIDE))
+    region = b.select("image_id").distinct().selectExpr("image_id", "12 as y0", "25 as y1", "5 as x0", "12 as x1")
+    return FR.containment_audit(b, X.frame_after(spark, sf), region)
 
 
 @query("j9_containment_audit_violations", "select image_id, y, x from fx_frames where (r0<>r1 or g0<>g1 or b0<>b1) and not (x between 6 and 11 and y between 11 and 24)")
@@ -107,6 +108,28 @@ def _(spark, sf):
     return out
 
 
+def feathered_sql(bg, r, g, b, grow=15, feather=4.0):
+    """Tables up to `fd`: two layers, each the object over the background, faded by the blurred, grown footprint, folded one after the other."""
+    side = f"select f.image_id, f.move_idx, p.y, p.x, (f.y is not null)::int::double as alpha"
+    near = f"w.image_id=p.image_id and w.move_idx=p.move_idx and abs(w.y-p.y) <= {grow} and abs(w.x-p.x) <= {grow}"
+    layer = {c: f"coalesce(l{{k}}.{c}, n.{v})" for c, v in zip("rgb", (r, g, b))}
+
+    def step(k, c, below):
+        return f"(case when al{k}.alpha is null then {below} else {over(below, layer[c].format(k=k), f'al{k}.alpha')} end)"
+    folded = ", ".join(f"{step(1, c, step(0, c, f'n.{v}'))}::int as {c}" for c, v in zip("rgb", (r, g, b)))
+    both = " ".join(f"left join al al{k} on al{k}.image_id=n.image_id and al{k}.move_idx={k} and al{k}.y=n.y and al{k}.x=n.x left join foot l{k} on l{k}.image_id=n.image_id and l{k}.move_idx={k} and l{k}.y=n.y and l{k}.x=n.x" for k in (0, 1))
+    return f"""pl as (select distinct f.image_id, f.move_idx, p.y, p.x from (select distinct image_id, move_idx from foot) f join fx_frames p using (image_id)),
+gl as (select p.*, exists (select 1 from foot w where {near})::int::double as alpha from pl p),
+{blur_sql('gl', 'al', ['alpha'], N.gaussian_kernel(feather), W, H, 'reflect101', 'image_id,move_idx')}, fd as (select n.image_id, n.y, n.x, {folded} from {bg} n {both})"""
+
+
+@query("f3_paste_feathered", f"""with {PASTE.format(thr=200)}, {feathered_sql('fx_frames', 'r1', 'g1', 'b1')} select * from fd""")
+def _(spark, sf):
+    insert = registry.make("insertion", "paste", {**registry.config(insertion="paste"), "width": W, "height": H})
+    out, _layer = insert(X.frame_before(spark, sf), X.frame_after(spark, sf), _object(spark, sf, 200), _moves(spark, sf), X.rgb_images(spark, sf))
+    return out
+
+
 # ---- composite jobs
 C1 = f"""s3 as (select *, p::int as pass_id, p=2 as mirrored from fx_scores, unnest(range(3)) t(p)),
 sm as (select image_id, model, y, (case when mirrored then 7-x else x end)::int as x, class_id, pass_id, mirrored, logit*(1+3*pass_id) as logit from s3),
@@ -167,7 +190,7 @@ def _(spark, sf):
 
 C5 = f"""ob as (select image_id, 0 as mask_id, y, x from fx_frames where r0 > 200), {dilate_sql('ob', 'hole', N.rect(3, 3), W, H)},
 kn as (select f.image_id, f.y, f.x, r0, g0, b0, (h.x is null)::int::double as h from fx_frames f left join hole h using (image_id, y, x)),
-kv as (select image_id, y, x, h, r0*h as r, g0*h as g, b0*h as b from kn), {blur_sql('kv', 'kb', ['h', 'r', 'g', 'b'], N.gaussian_kernel(3.0), W, H)},
+kv as (select image_id, y, x, h, r0*h as r, g0*h as g, b0*h as b from kn), {blur_sql('kv', 'kb', ['h', 'r', 'g', 'b'], N.gaussian_kernel(3.0), W, H, 'reflect101')},
 bg as (select k.image_id, k.y, k.x, {', '.join(f'(case when k.h=1 then {c}0 else trunc(b.{c}/greatest(b.h,1e-4)+1e-6) end)::int as {c}' for c in 'rgb')} from kn k join kb b using (image_id, y, x)),
 {PASTE.format(thr=200)}, l as (select image_id, y, x, arg_max(r, move_idx) as r, arg_max(g, move_idx) as g, arg_max(b, move_idx) as b from foot group by 1, 2, 3)"""
 
@@ -175,11 +198,38 @@ bg as (select k.image_id, k.y, k.x, {', '.join(f'(case when k.h=1 then {c}0 else
 @query("c5_move_objects", f"""with {C5} select bg.image_id, bg.y, bg.x, {', '.join(f'coalesce(l.{c}, bg.{c})::int as {c}' for c in 'rgb')}, 0::bigint as violations from bg left join l using (image_id, y, x)""")
 def _(spark, sf):
     cfg = registry.config(dilate_radius=1, src_region="mask", feather_px=0)
-    out, audit = C.move_objects(X.frame_before(spark, sf), _object(spark, sf, 200), _moves(spark, sf), X.rgb_images(spark, sf), cfg, W, H)
+    out, audit, _rejected = C.move_objects(X.frame_before(spark, sf), _object(spark, sf, 200), _moves(spark, sf), X.rgb_images(spark, sf), cfg, W, H)
+    return _with_violations(out, audit)
+
+
+def _with_violations(out, audit):
     bad = audit.groupBy("image_id").agg(F.count("*").alias("violations"))
     return out.join(bad, "image_id", "left").fillna(0, ["violations"])
 
 
+@query("c5_move_objects_feathered", f"""with {C5}, {feathered_sql('bg', 'r', 'g', 'b')} select *, 0::bigint as violations from fd""")
+def _(spark, sf):
+    cfg = registry.config(dilate_radius=1, src_region="mask")
+    out, audit, _rejected = C.move_objects(X.frame_before(spark, sf), _object(spark, sf, 200), _moves(spark, sf), X.rgb_images(spark, sf), cfg, W, H)
+    return _with_violations(out, audit)
+
+
+REFERENCES = """mv as (select f.image_id + 100000 * (i // 2) as image_id, i::int as move_idx, (7 * (i % 2))::int as mask_id from fx_rgb_images f, unnest(range(4)) t(i)),
+ob as (select distinct image_id from fx_frames where r0 > 200)"""
+
+
+def _references(spark, sf):
+    i = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    m = X.rgb_images(spark, sf).select(F.col("image_id").alias("f"), i.alias("move_idx"))
+    return m.select((F.col("f") + 100000 * F.floor(F.col("move_idx") / 2)).alias("image_id"), "move_idx", (F.col("move_idx") % 2 * 7).cast("int").alias("mask_id"))
+
+
+@query("c5_move_references", f"""with {REFERENCES} select mv.*, case when mv.image_id not in (select image_id from fx_rgb_images) then 'unknown image'
+when mask_id <> 0 or image_id not in (select image_id from ob) then 'unknown or empty mask' end as error from mv""")
+def _(spark, sf):
+    return FR.checked_moves(_references(spark, sf), _object(spark, sf, 200), X.rgb_images(spark, sf))
+
+
 C6 = f"""{BEFORE}, li as (select image_id, (y//2)::int as y, (x//2)::int as x, {', '.join(f'trunc(avg({c})+0.5)::int as {c}' for c in 'rgb')} from before group by all),
 lo as (select image_id, y, x, (case when x between 3 and 5 and y between 8 and 12 then 255-r else r end)::int as r, g, b from li),
 ch as (select image_id, y, x from li a join lo b using (image_id, y, x) where abs(a.r-b.r) > 2), {dilate_sql('ch', 'gr', N.rect(3, 3), 11, 25, 'image_id')},

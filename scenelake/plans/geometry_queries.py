@@ -241,27 +241,27 @@ def _(spark, sf):
 
 
 # ---- light
-@query("a13_percentile_normalise", f"""with q as (select image_id, quantile_cont(v, 0.9) as ref from fx_raster where v > 0.05 and image_id % 7 <> 3 group by 1)
+@query("a13_percentile_normalise", f"""with q as (select image_id, quantile_cont(v, 0.9) as ref from fx_raster where v > 0.05 group by 1)
 select image_id, y, x, {r('case when ref is not null then least(greatest(v/greatest(ref, 1e-3), 0), 1.15) end', 'norm')} from fx_raster left join q using (image_id)""")
 def _(spark, sf):
-    out = L.percentile_normalise(X.raster(spark, sf), "v", (F.col("v") > 0.05) & (F.col("image_id") % 7 != 3))
+    out = L.percentile_normalise(X.raster(spark, sf), "v", F.col("v") > 0.05)
     return out.select("image_id", "y", "x", r6("norm").alias("norm"))
 
 
-@query("a14_anchor_mean_one", f"""with q as (select image_id, avg({LUM}) as ref from fx_rgb where r > 0.5 and image_id % 7 <> 3 group by 1)
+@query("a14_anchor_mean_one", f"""with q as (select image_id, avg({LUM}) as ref from fx_rgb where r > 0.5 group by 1)
 select image_id, y, x, {', '.join(r(f'case when ref is not null then {c}/greatest(ref,1e-5) end', c) for c in 'rgb')}, {r('ref')} from fx_rgb left join q using (image_id)""")
 def _(spark, sf):
-    out = L.anchor_mean_one(X.rgb(spark, sf), (F.col("r") > 0.5) & (F.col("image_id") % 7 != 3))
+    out = L.anchor_mean_one(X.rgb(spark, sf), F.col("r") > 0.5)
     return rounded(out.select("image_id", "y", "x", "r", "g", "b", "ref"), "r", "g", "b", "ref")
 
 
 @query("a15_ambient_split", f"""
 with l as (select image_id, y, x, r, {LUM} as lum from fx_rgb),
-q as (select image_id, least(greatest(quantile_cont(lum, 0.03)/greatest(quantile_cont(lum, 0.95), 1e-5), 0.05), 0.6) as a from l where r > 0.4 and image_id % 7 <> 3 group by 1)
+q as (select image_id, least(greatest(quantile_cont(lum, 0.03)/greatest(quantile_cont(lum, 0.95), 1e-5), 0.05), 0.6) as a from l where r > 0.4 group by 1)
 select image_id, y, x, {r('a')}, {r('case when a is not null then greatest((lum-a)/greatest(1-a, 1e-5), 0) end', 's')} from l left join q using (image_id)""")
 def _(spark, sf):
     px = X.rgb(spark, sf).withColumn("lum", K.luminance())
-    return rounded(L.ambient_split(px, (F.col("r") > 0.4) & (F.col("image_id") % 7 != 3)).select("image_id", "y", "x", "a", "s"), "a", "s")
+    return rounded(L.ambient_split(px, F.col("r") > 0.4).select("image_id", "y", "x", "a", "s"), "a", "s")
 
 
 CHROMA = f"""
@@ -275,10 +275,10 @@ CHROMA_OUT = ", ".join(
     for n in ("amb", "dir") for c in "rgb")
 
 
-@query("a16_quartile_chroma", f"with {CHROMA.replace('where r > 0.3', 'where r > 0.3 and image_id % 7 <> 3')}, o as (select image_id, {CHROMA_OUT} from c) select image_id, " + ", ".join(
+@query("a16_quartile_chroma", f"with {CHROMA}, o as (select image_id, {CHROMA_OUT} from c) select image_id, " + ", ".join(
     f"coalesce({s}_{c}, 1) as {s}_{c}" for s in ("amb", "dir") for c in "rgb") + " from fx_images left join o using (image_id)")
 def _(spark, sf):
-    out = L.quartile_chroma(X.rgb(spark, sf), (F.col("r") > 0.3) & (F.col("image_id") % 7 != 3))
+    out = L.quartile_chroma(X.rgb(spark, sf), F.col("r") > 0.3)
     return rounded(out, *[c for c in out.columns if c != "image_id"])
 
 

@@ -199,14 +199,14 @@ def _(spark, sf):
     return rounded(N.delight(X.rgb(spark, sf), 0.8, RW, H), "r", "g", "b")
 
 
-NC = f"""hv as (select image_id, y, x, (v>0.1)::int::double as h, v*(v>0.1)::int as v from fx_raster), {blur_sql('hv', 'c', ['h', 'v'], N.gaussian_kernel(1.0), W, H)},
+NC = f"""hv as (select image_id, y, x, (v>0.1)::int::double as h, v*(v>0.1)::int as v from fx_raster), {blur_sql('hv', 'c', ['h', 'v'], N.gaussian_kernel(1.0), W, H, 'reflect101')},
 q as (select image_id, quantile_cont(h, 0.75) as ref from c where h > 0 group by 1)"""
 
 
 @query("w9_normalised_convolution", f"with {NC} select image_id, y, x, {r('v/greatest(h,1e-4)', 'v')}, {r('least(greatest(h/greatest(ref,1e-4),0),1)', 'confidence')} from c join q using (image_id)")
 def _(spark, sf):
     src = X.raster(spark, sf).withColumn("hit", F.col("v") > 0.1)
-    return rounded(N.normalised_convolution(src, "hit", ["v"], 1.0), "v", "confidence")
+    return rounded(N.normalised_convolution(src, "hit", ["v"], 1.0, width=W, height=H), "v", "confidence")
 
 
 BB = "bb as (select image_id, mask_id, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from small group by 1, 2)"
@@ -426,14 +426,14 @@ def _(spark, sf):
 
 # ---- filling
 FILL = f"""kn as (select image_id, y, x, r0, g0, b0, (not (x between 8 and 13 and y between 20 and 26))::int::double as h from fx_frames),
-kv as (select image_id, y, x, h, r0*h as r, g0*h as g, b0*h as b from kn), {blur_sql('kv', 'kb', ['h', 'r', 'g', 'b'], N.gaussian_kernel(3.0), RW, H)}"""
+kv as (select image_id, y, x, h, r0*h as r, g0*h as g, b0*h as b from kn), {blur_sql('kv', 'kb', ['h', 'r', 'g', 'b'], N.gaussian_kernel(3.0), RW, H, 'reflect101')}"""
 
 
 @query("f2_fill_from_background", f"""with {FILL} select k.image_id, k.y, k.x, {', '.join(f'(case when k.h=1 then {c}0 else trunc(b.{c}/greatest(b.h,1e-4)+1e-6) end)::int as {c}' for c in 'rgb')}
 from kn k join kb b using (image_id, y, x)""")
 def _(spark, sf):
     hole = X.frames(spark, sf).where(F.col("x").between(8, 13) & F.col("y").between(20, 26)).select("image_id", "y", "x")
-    return fill.fill_from_background(X.frame_before(spark, sf), hole, 3.0)
+    return fill.fill_from_background(X.frame_before(spark, sf), hole, 3.0, RW, H)
 
 
 

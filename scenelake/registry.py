@@ -1,6 +1,7 @@
 """Named backends: how removal and insertion methods are plugged into `move_objects`.
 
-A backend is made by a factory from the checked options. A remover is called as remove(pixels, hole, region, images) and
+A backend is made by a factory from the checked options. A remover is called as remove(pixels, hole, region, images), with the hole as pixels
+and the region it may change as rectangles (image_id, y0, y1, x0, x1), and
 an inserter as insert(original, background, masks, moves, images); both return pixels of the same frames.
 """
 
@@ -45,19 +46,13 @@ def names(kind: str) -> list[str]:
 def make(kind: str, name: str, cfg: dict):
     """The backend called `name`, or an error that lists the choices."""
     if name not in names(kind):
-        raise ValueError(f"unknown {kind} backend {name!r}; choose from {names(kind)}")
+        raise ValueError(f"no backend for {kind} is registered as {name!r}, only {', '.join(names(kind)) or 'none at all'}")
     return _BACKENDS[kind][name](cfg)
 
 
-def checked_removal(remover: Callable, pixels: DataFrame, hole: DataFrame, region: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Run a remover and return its frame with the violations of its contract: changed pixels outside the region."""
-    after = remover(pixels, hole, region, images)
-    return after, frames.containment_audit(pixels, after, region)
-
-
 def _background(cfg):
     def remove(pixels, hole, region, images):
-        return fill.fill_from_background(pixels, hole, sigma=float(cfg["fill_sigma"]))
+        return fill.fill_from_background(pixels, hole, float(cfg["fill_sigma"]), cfg["width"], cfg["height"])
     return remove
 
 
@@ -76,7 +71,7 @@ def _paste(cfg):
         # the layer shows the object where it is and the background around it, faded over the grown footprint
         wide = dilate(footprint.select(*keys, "y", "x"), rect(2 * grow + 1, 2 * grow + 1), cfg["width"], cfg["height"], keys)
         reach = len(gaussian_kernel(feather)) // 2
-        near = dilate(wide, rect(2 * reach + 1, 2 * reach + 1), cfg["width"], cfg["height"], keys)
+        near = dilate(wide, rect(4 * reach + 1, 4 * reach + 1), cfg["width"], cfg["height"], keys)   # all that the kernel reads at a touched pixel
         alpha = soft_mask(near, wide, feather, keys, cfg["width"], cfg["height"]).where("alpha > 0")
         own = footprint.select(*keys, "y", "x", *[F.col(c).alias(f"_{c}") for c in frames.RGB])
         layer = alpha.join(background.select("image_id", "y", "x", *frames.RGB), ["image_id", "y", "x"]).join(own, [*keys, "y", "x"], "left")

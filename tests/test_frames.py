@@ -56,10 +56,10 @@ def test_paste_maps_back(spark, scene, scale, dst):
 def test_fill_leaves_the_rest_alone_and_reaches_deep_holes(spark, scene):
     a, m, px, mask, images = scene
     wide = px.where("x < 28").select("image_id", "y", "x")
-    out = array(fill.fill_from_background(px, wide, sigma=1.0))
+    out = array(fill.fill_from_background(px, wide, 1.0, W, H))
     assert (out[:, 28:] == a[:, 28:]).all() and (out >= 0).all()
     flat = px.select("image_id", "y", "x", *[F.lit(77).alias(c) for c in "rgb"])
-    assert (array(fill.fill_from_background(flat, mask, sigma=2.0)) == 77).all()
+    assert (array(fill.fill_from_background(flat, mask, 2.0, W, H)) == 77).all()
 
 
 def test_audit_finds_changes_and_missing_pixels(spark, scene):
@@ -72,8 +72,12 @@ def test_audit_finds_changes_and_missing_pixels(spark, scene):
 def test_move_objects_changes_only_what_it_may(spark, scene):
     a, m, px, mask, images = scene
     cfg = registry.config(dilate_radius=1, src_region="full", feather_px=0)        # 'full' falls back to the box for this filler
-    out, audit = C.move_objects(px, mask, move(spark, 1.0), images, cfg, W, H)
+    moves = move(spark, 1.0)
+    for idx, image, name in ((1, 0, 9), (2, 5, 0), (3, 0, None)):              # an unknown mask, an unknown image, no mask
+        moves = moves.union(move(spark, 1.0, idx=idx).withColumns({"image_id": F.lit(image).cast("bigint"), "mask_id": F.lit(name).cast("bigint")}))
+    out, audit, rejected = C.move_objects(px, mask, moves, images, cfg, W, H)
     assert audit.count() == 0
+    assert sorted((r.move_idx, r.error) for r in rejected.collect()) == [(1, "unknown or empty mask"), (2, "unknown image"), (3, "unknown or empty mask")]
     got = array(out)
     assert (got[10:14, 18:24] == a[5:9, 4:10]).all() and (got[:3] == a[:3]).all()
 
@@ -119,15 +123,25 @@ def test_many_layers_fold_in_rounds(spark, scene):
     assert (array(FR.layer_fold(px, layers)) == array(FR.layer_fold(px, layers, at_once=2))).all()
 
 
+def test_rounds_follow_the_stack_not_the_order_column(spark, scene, monkeypatch):
+    _, _, px, _, _ = scene
+    far = F.explode(F.array(F.lit(1), F.lit(10**9)))
+    layers = px.where("x < 5").select("image_id", "y", "x", far.alias("move_idx")).select("*", F.lit(0.6).alias("alpha"), *[(F.col("move_idx") % 251).cast("int").alias(c) for c in "rgb"])
+    rounds, fold = [], FR._fold
+    monkeypatch.setattr(FR, "_fold", lambda *a: rounds.append(1) or fold(*a))
+    got = array(FR.layer_fold(px, layers))
+    assert len(rounds) == 1 and (got == array(fold(px, layers, "move_idx"))).all()
+
+
 def test_backends(spark):
-    with pytest.raises(ValueError, match=r"choose from \['background'\]"):
+    with pytest.raises(ValueError, match="only background"):
         registry.make("removal", "nothing", {})
     with pytest.raises(KeyError, match="sr_faktor"):
         registry.config(sr_faktor=2)
     registry.register("removal", "leak", lambda cfg: lambda px, hole, region, images: px.withColumn("r", F.lit(0)))
     try:
         px = spark.createDataFrame([(0, 0, 0, 9, 9, 9), (0, 0, 1, 9, 9, 9)], "image_id bigint, y int, x int, r int, g int, b int")
-        _, bad = registry.checked_removal(registry.make("removal", "leak", {}), px, px.where("x = 0"), px.where("x = 0"), None)
+        bad = FR.containment_audit(px, registry.make("removal", "leak", {})(px, px.where("x = 0"), px.where("x = 0"), None), px.where("x = 0"))
         assert [(r.y, r.x) for r in bad.collect()] == [(0, 1)]
     finally:
         registry._BACKENDS["removal"].pop("leak")

