@@ -105,23 +105,44 @@ def heights(points: DataFrame, planes: DataFrame, keys=("scene_id",)) -> DataFra
     return out.withColumns(dict(zip(("mx", "my", "mz"), G.mirror(G.vec(*P), F.col("h"), G.vec(*N))))).drop(*PLANE, "n_points")
 
 
-def project(points: DataFrame, camera: dict, width, height, xyz=P, near: float = 1e-3) -> DataFrame:
-    """Points in front of the camera that fall on the frame, with their pixel (x, y)."""
-    p = G.vec(*xyz)
-    front = points.where(p[2] > near)
-    fx, fy = G.project(p, camera["fx"], camera["fy"], camera["cx"], camera["cy"])
-    on = front.withColumns({"x": rint_i(fx), "y": rint_i(fy)})
-    return on.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
-
-
-def ray_plane(pixels: DataFrame, planes: DataFrame, camera: dict, keys=("image_id",)) -> DataFrame:
-    """Where the ray of each pixel meets the plane: depth t and metric plane coordinates (pu, pv)."""
-    j = attach(pixels, planes, list(keys))
-    r = G.ray("y", "x", camera["fx"], camera["fy"], camera["cx"], camera["cy"])
+LENS, FRAME = ("fx", "fy", "cx", "cy"), ("width", "height")
+
+
+def with_camera(rows: DataFrame, camera: dict | DataFrame, keys=("scene_id",), width=None, height=None) -> tuple[DataFrame, dict[str, Column]]:
+    """`rows` and where to find what they are seen by: numbers that hold for all of them, or columns joined from a table.
+
+    A table of cameras has one row a scene: `keys`, fx, fy, cx, cy and, unless given here, the frame's width and height. Its columns are
+    attached under names of their own, broadcast while the table is small. Rows of scenes without a camera are left out.
+    """
+    if isinstance(camera, dict):
+        given = {**{c: F.lit(float(camera[c])) for c in LENS}, **{c: F.lit(v) for c, v in zip(FRAME, (width, height)) if v is not None}}
+        return rows, given
+    names = [*LENS, *[c for c in FRAME if c in camera.columns]]
+    seen = attach(rows, camera.select(*keys, *[F.col(c).alias(f"_cam_{c}") for c in names]), list(keys))
+    given = {c: F.lit(v) for c, v in zip(FRAME, (width, height)) if v is not None}
+    return seen, {**{c: F.col(f"_cam_{c}") for c in names}, **given}
+
+
+def _without_camera(df: DataFrame) -> DataFrame:
+    return df.drop(*[f"_cam_{c}" for c in (*LENS, *FRAME)])
+
+
+def project(points: DataFrame, camera: dict | DataFrame, width=None, height=None, xyz=P, near: float = 1e-3, keys=("scene_id",)) -> DataFrame:
+    """Points in front of their camera that fall on the frame, with their pixel (x, y); see `with_camera`."""
+    seen, cam = with_camera(points.where(F.col(xyz[2]) > near), camera, keys, width, height)
+    fx, fy = G.project(G.vec(*xyz), *[cam[c] for c in LENS])
+    on = seen.withColumns({"x": rint_i(fx), "y": rint_i(fy)})
+    return _without_camera(on.where((F.col("x") >= 0) & (F.col("x") < cam["width"]) & (F.col("y") >= 0) & (F.col("y") < cam["height"])))
+
+
+def ray_plane(pixels: DataFrame, planes: DataFrame, camera: dict | DataFrame, keys=("image_id",)) -> DataFrame:
+    """Where the ray of each pixel meets the plane: depth t and metric plane coordinates (pu, pv); see `with_camera`."""
+    j, cam = with_camera(attach(pixels, planes, list(keys)), camera, keys)
+    r = G.ray("y", "x", *[cam[c] for c in LENS])
     c = G.vec(*C)
     j = j.withColumn("t", G.ray_plane_depth(r, c, G.vec(*N)))
     rel = tuple(a * F.col("t") - b for a, b in zip(r, c))
-    return j.withColumns({"pu": G.dot(rel, G.vec(*U)), "pv": G.dot(rel, G.vec(*V))}).drop(*PLANE, "n_points")
+    return _without_camera(j.withColumns({"pu": G.dot(rel, G.vec(*U)), "pv": G.dot(rel, G.vec(*V))}).drop(*PLANE, "n_points"))
 
 
 def zbuffer(cells: DataFrame, keys: list[str], depth: str, payload: list[str], tie: list[str]) -> DataFrame:
@@ -130,10 +151,10 @@ def zbuffer(cells: DataFrame, keys: list[str], depth: str, payload: list[str], t
     return best.select(*keys, F.col(f"b.{depth}").alias(depth), *[F.col(f"b.{p}").alias(p) for p in dict.fromkeys([*tie, *payload])])
 
 
-def nearest_wins_grid(points: DataFrame, camera: dict, width: int, height: int, payload: list[str], tie: list[str],
+def nearest_wins_grid(points: DataFrame, camera: dict | DataFrame, width, height, payload: list[str], tie: list[str],
                       xyz=P, keys=("scene_id",)) -> DataFrame:
     """Project points to pixels and keep the nearest of each pixel."""
-    return zbuffer(project(points, camera, width, height, xyz), [*keys, "y", "x"], xyz[2], payload, tie)
+    return zbuffer(project(points, camera, width, height, xyz, keys=keys), [*keys, "y", "x"], xyz[2], payload, tie)
 
 
 def points_in_box(pixels: DataFrame, boxes: DataFrame, tile: int = 64, hot_rows: int = GROUP_ROWS) -> DataFrame:

@@ -41,9 +41,12 @@ def scene_plane(points: DataFrame, mask: DataFrame, keys=("image_id",)) -> DataF
     return plane.join(P.plane_residual_cm(inside, plane, keys), list(keys))
 
 
-def retile(pixels: DataFrame, planes: DataFrame, tex: DataFrame, camera: dict, width_px: int, height_px: int, tile_m: float | None,
+def retile(pixels: DataFrame, planes: DataFrame, tex: DataFrame, camera: dict | DataFrame, width_px: int, height_px: int, tile_m: float | None,
            albedo: float, uv_places: int | None = None) -> DataFrame:
-    """Albedo of a new surface on each plane: ray and plane give metric coordinates, these a texel of the calibrated texture."""
+    """Albedo of a new surface on each plane: ray and plane give metric coordinates, these a texel of the calibrated texture.
+
+    `camera` holds for all frames, or is a table with one row an image (image_id, fx, fy, cx, cy).
+    """
     calibrated = settle(L.calibrate_mean(tex, albedo, ["pattern_id"]), "albedo")
     uv = P.ray_plane(pixels, planes, camera)
     size = F.lit(tile_m) if tile_m is not None else default_tile_m(F.lit(width_px))

@@ -96,6 +96,42 @@ def _(spark, sf):
     return rounded(out.select("image_id", "y", "x", "t", "pu", "pv"), "t", "pu", "pv")
 
 
+CAMERAS = "cam as (select distinct scene_id, (case scene_id when 'A' then 20 else 14 end)::double as fx, 18.0::double as fy, (case scene_id when 'N' then 30 else 32 end)::double as cx, 25.0::double as cy, (case scene_id when 'R' then 40 else 64 end)::int as width, 50::int as height from fx_points)"
+SEEN = f"""{CAMERAS}, proj as (select scene_id, point_id, px, py, pz, width, height, round_even(px/10/pz*fx+cx, 0)::int as x, round_even(py/20/pz*fy+cy, 0)::int as y from fx_points join cam using (scene_id) where pz > 1e-3)"""
+
+
+def _cameras(spark, sf):
+    """A camera and a frame size for each scene."""
+    s = X.points(spark, sf).select("scene_id").distinct()
+    of = lambda which, a, b: F.when(F.col("scene_id") == which, a).otherwise(b)
+    return s.select("scene_id", of("A", 20.0, 14.0).alias("fx"), F.lit(18.0).alias("fy"), of("N", 30.0, 32.0).alias("cx"), F.lit(25.0).alias("cy"), of("R", 40, 64).alias("width"), F.lit(50).alias("height"))
+
+
+@query("p8_project_cameras", f"with {SEEN} select scene_id, point_id, x, y from proj where x between 0 and width-1 and y between 0 and height-1")
+def _(spark, sf):
+    return P.project(_scaled(spark, sf), _cameras(spark, sf), xyz=("qx", "qy", "pz")).select("scene_id", "point_id", "x", "y")
+
+
+@query("j14_nearest_wins_cameras", f"""with {SEEN} select scene_id, y, x, min(pz) as pz, arg_min(point_id, (pz, point_id)) as point_id, arg_min(px, (pz, point_id)) as px
+from proj where x between 0 and width-1 and y between 0 and height-1 group by 1, 2, 3""")
+def _(spark, sf):
+    return P.nearest_wins_grid(_scaled(spark, sf), _cameras(spark, sf), None, None, ["px"], ["point_id"], ("qx", "qy", "pz"))
+
+
+RAYS_SEEN = RAYS.replace("(x-32)/20.0::double as rx, (y-25)/20.0::double as ry", "(x-(30+image_id%2*2))/(16+image_id%2*4)::double as rx, (y-25)/18.0::double as ry")
+
+
+def _image_cameras(spark, sf):
+    odd = F.col("image_id") % 2
+    return X.images(spark, sf).select("image_id", (16 + odd * 4).cast("double").alias("fx"), F.lit(18.0).alias("fy"), (30 + odd * 2).cast("double").alias("cx"), F.lit(25.0).alias("cy"))
+
+
+@query("p9_ray_plane_cameras", f"with {RAYS_SEEN} select image_id, y, x, {r('t')}, {r('pu')}, {r('pv')} from plane_uv")
+def _(spark, sf):
+    out = P.ray_plane(X.raster(spark, sf), X.planes(spark, sf), _image_cameras(spark, sf))
+    return rounded(out.select("image_id", "y", "x", "t", "pu", "pv"), "t", "pu", "pv")
+
+
 @query("p10_height_mirror", f"""
 with h as (select m.image_id, y, x, px, py, pz, (px-c_x)*n_x+(py-c_y)*n_y+(pz-c_z)*n_z as h, n_x, n_y, n_z from fx_point_map m join fx_planes using (image_id))
 select image_id, y, x, {r('h')}, {r('px-h*2*n_x', 'mx')}, {r('py-h*2*n_y', 'my')}, {r('pz-h*2*n_z', 'mz')} from h""")
@@ -356,6 +392,14 @@ def _(spark, sf):
     return rounded(out.select("image_id", "y", "x", "r", "g", "b"), "r", "g", "b")
 
 
+@query("c3_retile_cameras", f"with {UV.replace(RAYS, RAYS_SEEN)}, tex1 as (select *, 1 as pattern_id from fx_tex), {calibrate_sql('tex1', 'pattern_id', 'cal', '0.35::double')}, {BILINEAR.format(tex='cal3')} select image_id, y, x, {r('r')}, {r('g')}, {r('b')} from lk")
+def _(spark, sf):
+    from .composites import retile
+    tex = X.tex(spark, sf).withColumn("pattern_id", F.lit(1))
+    out = retile(X.raster(spark, sf), X.planes(spark, sf), tex, _image_cameras(spark, sf), 32, X.tex_size(spark, sf), tile_m=0.7, albedo=0.35, uv_places=9)
+    return rounded(out.select("image_id", "y", "x", "r", "g", "b"), "r", "g", "b")
+
+
 # ---- meshes, splats, voxels
 @query("s7_to_yup", "select mesh_id, vid, x, z as y, -y as z from fx_vertices")
 def _(spark, sf):
