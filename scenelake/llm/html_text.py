@@ -7,8 +7,10 @@ rendered from the inside out. One page is one row, so pages are spread by Spark
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Generator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,11 +53,12 @@ _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
-    __slots__ = ("name", "kids", "seen", "cells", "mute", "chosen")
+    __slots__ = ("name", "kids", "seen", "cells", "mute", "chosen", "span")
 
     def __init__(self, name: str, seen: bool, mute: bool = False):
         self.name, self.kids, self.seen, self.mute = name, [], seen, mute       # mute: text directly inside isn't shown
         self.cells, self.chosen = False, None    # rows or cells of the table around are inside; of a select: its option, or True if all show
+        self.span = (1, 1)                       # columns and rows of a table cell
 
 
 def attributes(tag: str) -> dict[str, str]:
@@ -153,20 +156,29 @@ def tree(page: str) -> Node:
             box = next(n for n in reversed(stack) if n.name == "select")
             node.mute = False
             if box.chosen is not True:
-                if "selected" in attributes(m[3]):
+                given = attributes(m[3])
+                if "selected" in given or (box.chosen is None and "disabled" not in given):
                     if box.chosen:
-                        box.chosen.seen = False                  # the last one counts
+                        box.chosen.seen = False                  # the last selected one counts, without any the first one that can be chosen
                     box.chosen = node
                 else:
                     node.seen = False
             if node.seen:
                 above.kids.append(" ")
+        if above.name == "details" and above.mute:               # a closed one shows its summary only
+            node.seen &= name == "summary"
+            node.mute = False
+        elif name == "details" and "open" not in attributes(m[3]):
+            node.mute = True
+        if name in ("td", "th") and "span" in m[3].lower():
+            given = attributes(m[3])
+            node.span = tuple(min(max(int(re.match(r"\s*(\d{0,6})", given.get(a, ""))[1] or 1), least), most) for a, least, most in (("colspan", 1, 1000), ("rowspan", 0, 65_534)))
         if name in ("tr", "td", "th"):
             for n in reversed(stack):
                 if n.name == "table" or n.cells:
                     break
                 n.cells = True
-        above.kids.append(node)
+        above.kids += [" ", node, " "] if name == "select" else [node]
         if foreign and m[3].endswith("/"):
             continue
         if name in RAW:
@@ -264,16 +276,38 @@ def _parts(table: Node) -> tuple[Node, list[list[Node]]]:
     return note, rows
 
 
-def _grid(rows: list[list[deque[str]]]) -> deque[str]:
-    width = [0] * max(map(len, rows), default=0)
-    for row in rows:
-        for i, cell in enumerate(row):
-            width[i] = max(width[i], *map(len, cell))
+def _grid(rows: list[list[deque[str]]], spans: list[list[tuple[int, int]]]) -> deque[str]:
+    """Cells one beside the other, each column as wide as its widest cell. A cell over several columns or rows keeps the cells after it and
+    below it in their columns; one over more columns than it has room in widens the last. Columns in which no cell begins take no room."""
+    taken, placed = {}, []                       # column: rows below that a cell still covers
+    for cells, sizes in zip(rows, spans):
+        at, line, covered = 0, [], {c: n for c, n in taken.items() if n}
+        taken = {c: n - 1 for c, n in covered.items()}
+        for cell, (wide, high) in zip(cells, sizes):
+            while covered.get(at):
+                at += 1
+            line.append((at, at + wide, cell))
+            if high != 1:
+                taken.update(dict.fromkeys(range(at, at + wide), high - 1 if high else len(rows)))
+            at += wide
+        placed.append(line)
+    column = {c: i for i, c in enumerate(sorted({c for line in placed for c, _, _ in line}))}
+    starts = list(column)
+    width = [0] * len(starts)
+    within = lambda lo, hi: (column[lo], bisect_left(starts, hi))
+    placed = [[(*within(lo, hi), cell) for lo, hi, cell in line] for line in placed]
+    for lo, hi, cell in sorted((c for line in placed for c in line), key=lambda c: c[1] - c[0]):
+        width[hi - 1] += max(0, max(map(len, cell)) - sum(width[lo:hi]) - 2 * (hi - lo - 1))
+    offset = [0, *accumulate(w + 2 for w in width)]
     out = deque()
-    for row in rows:
-        row = [list(cell) for cell in row]
-        for k in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(row, width)).rstrip())
+    for line in placed:
+        cells = [(lo, list(cell)) for lo, _, cell in line]
+        for k in range(max((len(cell) for _, cell in cells), default=0)):
+            flat = ""
+            for lo, cell in cells:
+                if k < len(cell) and cell[k]:
+                    flat = flat.ljust(offset[lo]) + cell[k]
+            out.append(flat.rstrip())
     return out
 
 
@@ -310,7 +344,7 @@ def _lines(node: Node, lists: int, tables: int) -> Generator[tuple[Node, int, in
                     whole = _Lines()
                     whole.block(lines, False)
                     if tables < ALIGNED:
-                        whole.block(_grid(rows), False)
+                        whole.block(_grid(rows, [[c.span for c in row] for row in cells]), False)
                     else:
                         for cell in (c for row in rows for c in row):
                             whole.block(_trim(cell), False)

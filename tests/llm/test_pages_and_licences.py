@@ -46,7 +46,7 @@ def test_all_visible_words_in_order(spark):
     ("<ul><li>a<li>b<ol><li>c<li>d</ol><li>e</ul>", "- a\n- b\n  1. c\n  2. d\n- e"), ("<ol><li>" * 2 + "x", "1. 1. x"),
     ("<table><tr><td>aa<td>b<tr><td>c<td><p>d<p>e</table>f", "aa  b\nc   d\n\n    e\n\nf"), ("<table><thead><tr><th>h</thead><tbody><tr><td>v</table>", "h\nv"),
     ("<table><caption>cap</caption><tr><td><table><tr><td>in</table><td>out</table>", "cap\nin  out"),
-    ("<pre>\n a\n  b</pre>", "a\n  b".replace("a", " a", 1)), ("<dl><dt>t<dd>d<dt>u</dl>", "t\nd\nu"), ("<select><option>a<option>b</select>c", "c"),
+    ("<pre>\n a\n  b</pre>", "a\n  b".replace("a", " a", 1)), ("<dl><dt>t<dd>d<dt>u</dl>", "t\nd\nu"), ("<select><option>a<option>b</select>c", "a c"), ("<select><option disabled>a<option>b</select>c", "b c"),
     ("<div hidden>x</div><span style='display: none'>y</span><p style=\"Visibility:hidden\">z</p><input type=hidden value=v>w", "w"),
     ("<script>if (a < b) '</p>'</script><style>p{}</style><template>t</template><!-- <p>n</p> -->s", "s"), ("<title>t</title><body>b", "b"), ("<script>never closed", ""),
     ("<p>cut off &am", "cut off &am"), ("<a href='x>y'>z</a", "z"), ("< 5 and > 3", "< 5 and > 3"), ("<head><title>t</title><h1>x</h1>", "x"),
@@ -89,7 +89,10 @@ def test_deep_and_long_pages():
     ("<svg><foreignObject><p>in</p></foreignObject><defs><text>no</text></defs></svg>", "in"), ("<p>a<textarea>\nx &lt; <b>\n  y</textarea>b", "a\nx < <b>\n  y\nb"), ("<xmp><b>&lt;</xmp>c", "<b>&lt;\nc"),
     ("<p>size <select>no<option>S<option selected>M<option>L</select> only", "size M only"), ("<select><option selected>a<option selected>b</select>", "b"),
     ("<select multiple><option>a<option>b</select>", "a b"), ("<select size=2><optgroup label=g><option>a</option><option>b</option></optgroup></select>", "a b"), ("<object data=x><p>fallback</p></object>", "fallback"),
-    ("<svg><g><p>out", "out"), ("<math><mi>x<div>out", "x\nout"), ("<select><option>a<input>out", "out"),
+    ("<table><tr><td colspan=2>wide one<td>x<tr><td>a<td>b<td>c</table>", "wide one  x\na  b      c"), ("<table><tr><td rowspan=2>r<td>1<tr><td>2<tr><td>q<td>3</table>", "r  1\n   2\nq  3"),
+    ("<table><tr><td colspan=1000>t<tr><td>a<td>b</table>", "t\na  b"), ("<table><tr><td rowspan=0>r<td>1<tr><td>2</table>", "r  1\n   2"), ("<table><tr><td colspan=x>a<td>b</table>", "a  b"),
+    ("<details><summary>s</summary>gone<p>gone too</details>k", "s\nk"), ("<details open><summary>s</summary>here</details>k", "s\nhere\nk"),
+    ("<svg><g><p>out", "out"), ("<math><mi>x<div>out", "x\nout"), ("<select><option>a<input>out", "a out"),
     ("<textarea>never closed", "never closed"), ("<noscript>n</noscript><video>v</video><canvas>c</canvas><datalist><option>d</datalist>s", "s"), ("<textarea hidden>x</textarea>y", "y"),
 ])
 def test_elements_that_browsers_show(page, text):
