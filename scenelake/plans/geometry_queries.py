@@ -446,21 +446,32 @@ def _(spark, sf):
     return ME.splat_filter_report(X.splats(spark, sf))
 
 
-@query("a26_grid_raster", """
-with t as (select mesh_id, fid, x0*0.6::double as sx0, y0*1.5::double as sy0, z0+1 as z0, x1*0.6::double as sx1, y1*1.5::double as sy1, z1+1 as z1, x2*0.6::double as sx2, y2*1.5::double as sy2, z2+1 as z2,
+def grid_sql(kx, ky, res):
+    return f"""
+with t as (select mesh_id, fid, x0*{kx}::double as sx0, y0*{ky}::double as sy0, z0+1 as z0, x1*{kx}::double as sx1, y1*{ky}::double as sy1, z1+1 as z1, x2*{kx}::double as sx2, y2*{ky}::double as sy2, z2+1 as z2,
 x0 as q0, x1 as q1, x2 as q2 from fx_wide_faces),
 a as (select *, (sx1-sx0)*(sy2-sy0)-(sx2-sx0)*(sy1-sy0) as area from t),
-b as (select *, greatest(0,least(31,floor(least(sx0,sx1,sx2))))::int as xlo, greatest(0,least(31,ceil(greatest(sx0,sx1,sx2))))::int as xhi,
-greatest(0,least(31,floor(least(sy0,sy1,sy2))))::int as ylo, greatest(0,least(31,ceil(greatest(sy0,sy1,sy2))))::int as yhi from a where abs(area) > 1e-12 and least(z0,z1,z2) > 0),
+b as (select *, greatest(0,least({res - 1},floor(least(sx0,sx1,sx2))))::int as xlo, greatest(0,least({res - 1},ceil(greatest(sx0,sx1,sx2))))::int as xhi,
+greatest(0,least({res - 1},floor(least(sy0,sy1,sy2))))::int as ylo, greatest(0,least({res - 1},ceil(greatest(sy0,sy1,sy2))))::int as yhi from a where abs(area) > 1e-12 and least(z0,z1,z2) > 0),
 c as (select *, unnest(range(xlo, xhi+1))::int as x from b), d as (select *, unnest(range(ylo, yhi+1))::int as y from c),
 e as (select *, ((sx1-sx0)*((y+0.5::double)-sy0)-((x+0.5::double)-sx0)*(sy1-sy0))/area as l2, (((x+0.5::double)-sx0)*(sy2-sy0)-(sx2-sx0)*((y+0.5::double)-sy0))/area as l1 from d),
 f as (select *, 1-l1-l2 as l0 from e), g as (select *, l0*z0+l1*z1+l2*z2 as depth, l0*q0+l1*q1+l2*q2 as q from f where l0>=0 and l1>=0 and l2>=0)
-select mesh_id, y, x, arg_min(fid, (depth, fid)) as fid, round(min(depth), 6) as depth, round(arg_min(q, (depth, fid)), 6) as q from g group by 1, 2, 3""")
+select mesh_id, y, x, arg_min(fid, (depth, fid)) as fid, round(min(depth), 6) as depth, round(arg_min(q, (depth, fid)), 6) as q from g group by 1, 2, 3"""
+
+
+@query("a26_grid_raster", grid_sql(0.6, 1.5, 32))
 def _(spark, sf):
     out = ME.grid_raster(X.triangles(spark, sf), 32, attrs=["q"], block=16)
     return rounded(out.select("mesh_id", "y", "x", "fid", "depth", "q"), "depth", "q")
 
 
+@query("a26_grid_raster_fine", grid_sql(9.7, 24.1, 512))
+def _(spark, sf):
+    """Triangles that lie over several blocks."""
+    out = ME.grid_raster(X.triangles(spark, sf, 9.7, 24.1), 512, attrs=["q"], block=16)
+    return rounded(out.select("mesh_id", "y", "x", "fid", "depth", "q"), "depth", "q")
+
+
 KERNEL = [((i * 7) % 11 - 5) / 10 for i in range(27)]
 OFFS = """off as (select k::int as k, (k//9)::int-1 as dx, ((k//3)%3)::int-1 as dy, (k%3)::int-1 as dz, (((k*7)%11)-5)/10.0::double as w from unnest(range(27)) t(k)),
 nb as (select p.batch, p.x, p.y, p.z, o.k, o.w, q.feat from fx_vox p, off o, fx_vox q where q.batch=p.batch and q.x=p.x+o.dx and q.y=p.y+o.dy and q.z=p.z+o.dz)"""

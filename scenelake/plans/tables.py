@@ -299,11 +299,11 @@ def planes(spark, sf):
         zero.alias("v_x"), nz.alias("v_y"), (-ny).alias("v_z"))
 
 
-def triangles(spark, sf):
-    """Faces of the meshes on a 32-cell grid."""
+def triangles(spark, sf, kx: float = 0.6, ky: float = 1.5):
+    """Faces of the meshes in grid coordinates."""
     from ..operators.mesh import faces_with_vertices
     wide = faces_with_vertices(faces(spark, sf), vertices(spark, sf))
-    cols = [c for i in range(3) for c in ((F.col(f"x{i}") * 0.6).alias(f"sx{i}"), (F.col(f"y{i}") * 1.5).alias(f"sy{i}"),
+    cols = [c for i in range(3) for c in ((F.col(f"x{i}") * kx).alias(f"sx{i}"), (F.col(f"y{i}") * ky).alias(f"sy{i}"),
                                           (F.col(f"z{i}") + 1).alias(f"z{i}"), F.col(f"x{i}").alias(f"q{i}"))]
     return wide.select("mesh_id", "fid", *cols)
 
