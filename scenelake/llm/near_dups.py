@@ -8,8 +8,8 @@ Empty buckets borrow from full ones for the purpose of banding. Five neighbourin
 they share none of 64 bands with probability below 1e-11. Classes that share a band are compared in two steps:
 
 1. each class with the smallest class of every band it is in. This is linear, and it joins large groups of near copies;
-2. in bands whose classes are still in several components, each pair of classes from different components. Bands with many
-   classes are first cut finer by a second band, which keeps such pairs with the same certainty.
+2. classes in bands that still hold several components, by a prefix join on their rarest shingles, which is exact: in a crowd of texts that
+   resemble each other too little, the shingles of their own fill the prefixes, and few pairs are left to compare.
 
 A pair is confirmed on the full sets if its estimate, corrected for equal registers of different hashes, is not six standard
 deviations below the wanted similarity.
@@ -24,13 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.operators.components import _stars
-from scenelake.scale import attach, settle, settled
+from scenelake.scale import attach, settle, settled, skew_join
 
 from .catalog import discard, mapped, query, table, utf8
 
 BANDS, ROWS, MANTISSA = 64, 5, 10
 REGISTERS = BANDS * ROWS
-CROWDED = 64                                     # classes in a band above which it is cut finer
 SIGMAS = 6.0
 ATTEMPTS = 64
 _U = np.uint64
@@ -115,6 +114,11 @@ def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, acc[row, band].view(np.int64)
 
 
+def _fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    return tuple(int(v) for v in np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), "<i8"))
+
+
 def _signer(width: int):
     def start():
         shingles = Shingles(width)
@@ -125,7 +129,7 @@ def _signer(width: int):
                 t = text.as_py()
                 h = shingles(t)
                 n.append(len(h))
-                d = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), "<i8") if len(h) else (None, None)
+                d = _fingerprint(h) if len(h) else (None, None)
                 c1.append(d[0])
                 c2.append(d[1])
                 regs.append(registers(h).tobytes() if len(h) else None)
@@ -190,25 +194,63 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     return links
 
 
-def _second_look(crowd: DataFrame, bands: DataFrame, roots: DataFrame | None, done: DataFrame) -> DataFrame:
-    """Pairs of classes that share a band, are in different components and weren't compared yet."""
+def _open_classes(crowd: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """node and part (its component so far) of the classes in bands that still hold several components."""
     at = crowd.select("key", "node")
     if roots is not None:
         at = at.join(roots.select(F.col("label").alias("node"), "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
     else:
         at = at.withColumn("part", F.col("node"))
     at = settle(at, "parts")
-    mixed = at.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("size")).where("a <> b")
-    open_ = settle(at.join(mixed.select("key", "size"), "key"), "open", crowded=F.count_if(F.col("size") > CROWDED))
-    cells = open_.where(F.col("size") <= CROWDED).select("key", "node", "part")
-    if settled(open_)["crowded"]:
-        many = open_.where(F.col("size") > CROWDED).select("key", "node", "part")
-        finer = many.join(bands.select(F.col("key").alias("other"), "node"), "node").where("key <> other").select(F.xxhash64("key", "other").alias("key"), "node", "part")
-        cells = cells.unionByName(finer)
-    left, right = cells.select("key", F.col("node").alias("u"), F.col("part").alias("pu")), cells.select("key", F.col("node").alias("v"), F.col("part").alias("pv"))
-    pairs = left.join(right, "key").where("u > v and pu <> pv").select("u", "v").distinct()
+    mixed = at.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
+    out = settle(at.join(mixed, "key", "left_semi").select("node", "part").distinct(), "open")
+    discard(at)
+    return out
+
+
+def _setter(width: int):
+    """The shingle hashes of those texts that have their class's set: rows that share a doc_id may differ."""
+    def start():
+        shingles = Shingles(width)
+
+        def step(batch):
+            sets = [shingles(t.as_py()) for t in batch.column("t")]
+            keep = pa.array([_fingerprint(h)[1] == c.as_py() for h, c in zip(sets, batch.column("c2"))], pa.bool_())
+            return [*(batch.column(c).filter(keep) for c in ("node", "part")), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())).filter(keep)]
+        return step
+    return start
+
+
+def _second_look(open_: DataFrame, texts: DataFrame, done: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of open classes of different components that may be similar enough and weren't compared yet.
+
+    A prefix join: each set is ordered by how rare its shingles are among the open classes. Of two sets with at least `percent` in common the
+    larger one's first n - ceil(percent n / 100) + 1 shingles and the smaller one's first n - ceil(2 percent n / (100 + percent)) + 1 share one, at places
+    that leave enough for the rest (Xiao et al., PPJoin, 2008), so no pair is lost. A shingle that no other open class has counts for the places
+    only and is never joined. In each shingle's cell the members of its largest component meet those of other components, not each other.
+    """
+    sets = mapped(texts.join(open_, "node").select("node", "part", "c2", "t"), _setter(width), "node long, part long, h array<long>").dropDuplicates(["node"])
+    sets = settle(sets, "sets")
+    tokens = sets.select("node", F.explode("h").alias("h"))
+    rarity = settle(tokens.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "rarity", peak=F.max("n"))
+    shared = skew_join(tokens, rarity, ["h"], counts=rarity).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("s"))
+    size = F.col("size")
+    probe = size - F.ceil(size * percent / 100) + 1
+    index = size - F.ceil(size * (2 * percent) / (100 + percent)) + 1
+    ordered = shared.join(sets.select("node", "part", F.size("h").alias("size")), "node").withColumn("own", size - F.size("s"))
+    first = ordered.select("node", "part", "size", "own", index.alias("index"), F.posexplode(F.slice("s", F.lit(1), F.greatest(probe - F.col("own"), F.lit(0)).cast("int"))).alias("i", "s"))
+    first = settle(first.select(F.col("s.h").alias("h"), "node", "part", "size", (F.col("own") + F.col("i")).alias("place"), (F.col("own") + F.col("i") < F.col("index")).alias("indexed")), "prefixes")
+    cells = first.groupBy("h", "part").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("parts"))
+    cells = settle(cells.where("parts > 1").select("h", F.col("m.part").alias("largest")), "cells")
+    held = attach(first, cells, ["h"])
+    l, r = held.where("part <> largest").drop("largest").alias("l"), held.drop("largest").alias("r")
+    larger = (F.col("l.size") > F.col("r.size")) | ((F.col("l.size") == F.col("r.size")) & (F.col("l.node") > F.col("r.node")))
+    able = F.when(larger, F.col("r.indexed")).otherwise(F.col("l.indexed")) & (100 * F.least("l.size", "r.size") >= percent * F.greatest("l.size", "r.size"))
+    enough = F.least(F.col("l.size") - F.col("l.place"), F.col("r.size") - F.col("r.place")) * (100 + percent) >= percent * (F.col("l.size") + F.col("r.size"))
+    met = l.join(r, (F.col("l.h") == F.col("r.h")) & (F.col("l.part") != F.col("r.part")) & able & enough)
+    pairs = met.select(F.greatest("l.node", "r.node").alias("u"), F.least("l.node", "r.node").alias("v")).distinct()
     out = settle(pairs.join(done, ["u", "v"], "left_anti"), "pairs")
-    discard(at, open_)
+    discard(sets, rarity, first, cells)
     return out
 
 
@@ -218,28 +260,34 @@ def _members(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     signed = settle(mapped(docs.select("doc_id", "rid", utf8().alias("__utf8")), _signer(width), "doc_id long, rid long, n long, c1 long, c2 long, regs binary, own binary"), "signed")
     some = signed.where("n > 0")
     classes = settle(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("own").alias("own")).withColumnRenamed("c1", "node"), "classes")
+    signed, sketched = settle(signed.select("doc_id", "rid", "n", "c1", "c2"), "named"), signed
+    discard(sketched)                            # of many copies of a set only the class keeps its registers
     bands = settle(mapped(classes.select("node", "regs"), _bander, "key long, node long"), "bands")
     heads = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
     crowd = settle(bands.join(heads, "key"), "crowd")
+    discard(bands)
     by_rep = docs.select(F.col("doc_id").alias("rep"), utf8().alias("t"))
     named = classes.where("rep is not null").select("node", "c2", "rep")
     texts = by_rep.join(named, "rep").select("node", "c2", "t").unionByName(classes.where("rep is null").select("node", "c2", F.col("own").alias("t")))
     stars = settle(crowd.where("node > lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).distinct(), "stars")
     links = _linked(stars, classes, texts, width, percent)
     roots = _stars(links, []) if settled(links)["rows"] else None
-    rest = _second_look(crowd, bands, roots, stars)
-    discard(crowd, bands, stars)
-    if settled(rest)["rows"]:
+    open_ = _open_classes(crowd, roots)
+    discard(crowd)
+    if settled(open_)["rows"]:
+        rest = _second_look(open_, texts, stars, width, percent)
         more = _linked(rest, classes, texts, width, percent)
         if settled(more)["rows"]:
             links = links.unionByName(more)
             roots = _stars(links, [])
+        discard(rest)
+    discard(stars, open_)
     node = classes.select("node", "c2", "rep")
     joined = node.join(roots.select(F.col("label").alias("node"), "root"), "node", "left") if roots is not None else node.withColumn("root", F.lit(None).cast("long"))
     joined = joined.withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     members = settle(joined.join(least, "root").select(F.col("node").alias("c1"), "c2", "root", "component_id"), "members")
-    discard(classes, rest)
+    discard(classes)
     return signed, members
 
 
@@ -262,8 +310,8 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     """The rows of `docs`, with all their columns, less all but one of each component: the one with the smallest doc_id
     (a null only where all are null), and of rows that share it one. Rows without shingles all stay."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    whole = settle(docs.select(row, "doc_id", "text").withColumn("rid", F.monotonically_increasing_id()), "rows")
-    signed, members = _members(whole.select("doc_id", "rid", "text"), width, percent)
+    whole = settle(docs.select(row).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    signed, members = _members(whole.select(F.col("__row.doc_id").alias("doc_id"), "rid", F.col("__row.text").alias("text")), width, percent)
     rows = signed.where("n > 0").select("doc_id", "rid", "c1", "c2").join(members.select("c1", "c2", "root"), ["c1", "c2"])
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")).select("first.rid")
     keep = first.union(signed.where("n = 0").select("rid"))
@@ -276,7 +324,7 @@ def _same_set(width: int):
         shingles = Shingles(width)
 
         def step(batch):
-            keep = [int.from_bytes(hashlib.blake2b(shingles(t.as_py()).tobytes(), digest_size=16).digest()[8:], "little", signed=True) == c.as_py() for t, c in zip(batch.column("t"), batch.column("c2"))]
+            keep = [_fingerprint(shingles(t.as_py()))[1] == c.as_py() for t, c in zip(batch.column("t"), batch.column("c2"))]
             keep = pa.array(keep, pa.bool_())
             return [batch.column("node").filter(keep), batch.column("t").filter(keep)]
         return step

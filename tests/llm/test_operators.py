@@ -20,7 +20,7 @@ from scenelake.llm import sharding as SH
 from scenelake.llm import token_files as TF
 from scenelake.llm import topk as TK
 
-from . import brute
+from . import brute, test_pages_and_licences
 
 SCHEMA = "doc_id long, text string, source string, __row string, hit string, node long, size long, key long"
 
@@ -75,8 +75,8 @@ def test_near_duplicates(docs, rows, empty, width):
     assert ND.near_duplicates(empty, width).count() == 0
 
 
-def test_crowded_bands_lose_no_link(spark, monkeypatch):
-    """Chains of texts that each resemble the next only, in bands that are cut finer."""
+def test_crowds_lose_no_link(spark):
+    """Chains of texts that each resemble the next only, and a crowd of texts around the threshold."""
     rng = random.Random(1)
     base, out = words(rng, 100, 10**9), []
     for i in range(40):
@@ -84,9 +84,13 @@ def test_crowded_bands_lose_no_link(spark, monkeypatch):
         for _ in range(4):
             base[rng.randrange(100)] = f"x{rng.random()}"
         out.append((i, " ".join(base)))
+    for i in range(40, 160):                       # neighbours in a crowd have 70 to 90 in 100 shingles in common
+        near = list(base)
+        for _ in range(rng.randint(1, 9)):
+            near[rng.randrange(100)] = f"y{rng.random()}"
+        out.append((i, " ".join(near[:rng.randint(80, 100)])))
     rng.shuffle(out)
     want = [(d, n, name, d == name) for (d, _), (n, _, name) in zip(out, brute.components(out, 2))]
-    monkeypatch.setattr(ND, "CROWDED", 2)
     same(ND.near_duplicates(spark.createDataFrame(out, "doc_id long, text string"), 2).collect(), want)
 
 
@@ -284,6 +288,36 @@ def plain_tree(train, texts):
     return out
 
 
+def test_leader_updates_are_the_plain_ones():
+    """FTRL-proximal written out with a dictionary per coordinate."""
+    rng = random.Random(7)
+    rows = [(np.array(sorted(rng.sample(range(16), k)), np.int64), np.array([rng.random() for _ in range(k)]), rng.randint(0, 1)) for k in (rng.randint(0, 6) for _ in range(80))]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.1
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(3):
+        for at, x, y in rows:
+            given = [*zip(at.tolist(), x.tolist()), (16, 1.0)]
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in given)))
+            for i, v in given:
+                g, w = (p - y) * v, weight(i)
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w
+                n[i] += g * g
+    got = QU.follow_the_leader(rows, bits=4, rounds=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(got, [weight(i) for i in range(17)], atol=1e-12)
+
+
+def test_every_operator_has_sql_or_a_plain_version():
+    """Queries without SQL, and the tests that hold them against a plain version, an exact round trip or exact laws."""
+    from scenelake.llm import queries
+    plain = {"op3_token_files": test_token_files, "op5_quality_classifier": test_leader_updates_are_the_plain_ones, "op6_shard_two_pass": test_two_pass_shuffle,
+             "op8_html_text": test_pages_and_licences.test_layout, "op10_context_tree": test_context_tree}
+    assert set(queries.QUERIES) == set(queries.ORACLE) | set(plain)
+
+
+
 def test_context_tree(spark, docs, rows, empty, monkeypatch):
     short = [(d, t) for d, t, _ in rows if d != 707]
     coded = [b"".join(w + b" " for w in brute.low(t).split()) + b"\n" for _, t in short]
