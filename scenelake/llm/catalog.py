@@ -51,8 +51,8 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         files = t.inputFiles()
         folder = files[0].rsplit("/", 1)[0] if files else ""
-        if "/scenelake/" in folder:              # only what `settle` has written
-            context = t.sparkSession.sparkContext
+        context = t.sparkSession.sparkContext
+        if f"/scenelake/{context.applicationId}/" in folder:     # only what `settle` has written in this application
             path = context._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 

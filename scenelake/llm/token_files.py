@@ -120,13 +120,15 @@ class WordTokens:
     and a word that comes up again is looked up. New words are encoded many at a time and told apart by how many pieces each
     has at the tokenizer's own borders. A word with anything but ASCII signs and letters up to U+024F is encoded by itself,
     and so is a text with a special token in it.
-    Words kept are bounded by `keep`.
+    Words kept are two generations of about `keep`: when the present one is full it becomes the older one, from which
+    words in use are taken over, and what wasn't used again is forgotten with the next change.
     """
 
     def __init__(self, path: str, keep: int = 450_000):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.older: dict[bytes, bytes] = {}
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -146,6 +148,13 @@ class WordTokens:
     def whole(self, text: str) -> bytes:
         return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
 
+    def _unknown(self, words: set[bytes]) -> set[bytes]:
+        """Those of `words` that must be learnt; what only the older generation knows goes on into the present one."""
+        new = words.difference(self.known)
+        back = new.intersection(self.older)
+        self.known.update(zip(back, map(self.older.__getitem__, back)))
+        return new - back
+
     def _learn(self, words: list[bytes]) -> None:
         """New words. One of letters with signs behind it is known by its letters and its signs, which others share."""
         known, need, parts = self.known, set(), []
@@ -157,7 +166,7 @@ class WordTokens:
                 need.add(m[2])
             else:
                 need.add(w)
-        need.difference_update(known)
+        need = self._unknown(need)
         plain, rest = [w for w in need if w.isalpha()], [w for w in need if not w.isalpha()]     # ASCII letters only, as these are bytes
         for lo in range(0, len(plain), 4000):
             some = plain[lo:lo + 4000]
@@ -194,13 +203,13 @@ class WordTokens:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         if len(self.known) > self.keep:
-            self.known = {}
+            self.older, self.known = self.known, {}
         split = [None if b"<|" in t and any(s in t for s in self.special) else t.lower().split() for t in texts]
         new = set()
         for ws in split:
             if ws:
                 new.update(ws)
-        self._learn(list(new.difference(self.known)))
+        self._learn(list(self._unknown(new)))
         return [self.whole(t.decode(errors="replace")) if ws is None else b"".join(map(self.known.__getitem__, ws)) for t, ws in zip(texts, split)]
 
 
