@@ -168,7 +168,8 @@ def points_in_box(pixels: DataFrame, boxes: DataFrame, tile: int = 64, hot_rows:
     cut = (boxes.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
            .withColumn("_ty", F.explode(tiles(F.col("y0"), F.col("y1")))).withColumn("_tx", F.explode(tiles(F.col("x0"), F.col("x1")))))
     at = pixels.withColumns({"_ty": floor_div("y", F.lit(tile)), "_tx": floor_div("x", F.lit(tile))})
-    hit = skew_join(cut, at, ["image_id", "_ty", "_tx"], hot_rows=hot_rows)
+    # without the hint a small file that is exploded to pixels would count as small enough to be broadcast
+    hit = skew_join(cut, at.hint("merge"), ["image_id", "_ty", "_tx"], hot_rows=hot_rows)
     return hit.where((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))).drop("_ty", "_tx")
 
 
@@ -176,14 +177,13 @@ def depth_probe(depth: DataFrame, anchors: DataFrame, r: int = 6) -> DataFrame:
     """Median depth in a (2r+1)^2 window around the source and target of each move, and the resulting scale.
 
     Valid pixels decide if there are any. Every move has a row: an end without any depth in its window leaves depth and
-    scale null, and `error` says so. A window holds at most (2r+1)^2 pixels; they are joined one by one on (image, y, x).
+    scale null, and `error` says so. Windows are cut into tiles as in `points_in_box`, so they are not spelled out before the join.
     """
     ends = anchors.select("move_id", "image_id", F.explode(F.array(
         F.struct(F.lit("src").alias("end"), F.col("src_x").alias("ax"), F.col("src_y").alias("ay")),
         F.struct(F.lit("dst").alias("end"), F.col("dst_x").alias("ax"), F.col("dst_y").alias("ay")))).alias("e"))
-    steps = lambda c: F.explode(F.sequence(F.col(c) - r, F.col(c) + r))
-    wanted = ends.select("move_id", "image_id", "e.end", "e.ax", steps("e.ay").alias("y")).select("move_id", "image_id", "end", steps("ax").alias("x"), "y")
-    seen = wanted.join(depth, ["image_id", "y", "x"])
+    at = ends.select("move_id", "image_id", "e.end", *[(F.col(f"e.a{c}") + d).cast("int").alias(f"{c}{i}") for c in "yx" for i, d in ((0, -r), (1, r + 1))])
+    seen = points_in_box(depth, at, tile=16)
     med = seen.groupBy("move_id", "end").agg(F.median(F.when(F.col("valid"), F.col("z"))).alias("mv"), F.median("z").alias("ma"))
     z = F.coalesce("mv", "ma")
     both = med.groupBy("move_id").agg(F.max(F.when(F.col("end") == "src", z)).alias("z_src"), F.max(F.when(F.col("end") == "dst", z)).alias("z_dst"))
