@@ -327,7 +327,7 @@ def _(spark, sf):
 
 @query("m4_cache_fill_stream", "select 'seg_'||content_key||'_v1' as cache_key, max(size)::bigint as result from fx_assets group by 1")
 def _(spark, sf):
-    docs = ST.event_stream(spark, sf, "documents.parquet")
+    docs = ST.event_stream(spark, f"{sf}/documents.parque[t]")      # as a pattern it names a file and a folder of files alike
     a = docs.select(SK.content_key(F.col("text")).alias("content_key"), F.col("n_chars").alias("size"))
     cache, schema = new_table_path(spark, "cache"), "cache_key string, result bigint"
     for name in ("first", "again"):      # the second stream over the same assets finds everything cached

@@ -1,6 +1,7 @@
 """Streams of small event files."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from scenelake.operators import jobs as J
@@ -79,3 +80,14 @@ def test_cache_stream_computes_once(spark, tmp_path):
     ST.cache_fill_stream(src, str(tmp_path / "cache"), F.col("text"), lambda m: m.select("cache_key", "n"), str(tmp_path / "cp"), "cache_key string, n int", "s")
     rows = spark.read.parquet(str(tmp_path / "cache")).select("cache_key", "n").collect()
     assert sorted(map(tuple, rows)) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_documents_in_one_file_or_a_folder(spark, tmp_path, files):
+    from scenelake.plans.queries import QUERIES
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50)
+    if files:
+        docs.repartition(files).write.parquet(f"{tmp_path}/documents.parquet")
+    else:
+        docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["m4_cache_fill_stream"](spark, str(tmp_path)).count() == docs.select("text").distinct().count()
