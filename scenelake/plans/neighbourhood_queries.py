@@ -344,7 +344,8 @@ def holes_sql(src, mode):
     keep = ("label = 0" if mode == "corner" else
             "(image_id, mask_id, label) in (select image_id, mask_id, label from bg where y in (0, 49) or x in (0, 63))")
     return f"""keyed as (select distinct image_id, mask_id from {src}),
-inv as (select k.image_id, k.mask_id, p.y, p.x from keyed k join fx_raster p using (image_id) where not exists (select 1 from {src} t where t.image_id=k.image_id and t.mask_id=k.mask_id and t.y=p.y and t.x=p.x)),
+frame as (select image_id, y::int as y, x::int as x from fx_images, unnest(range(height)) a(y), unnest(range(width)) b(x)),
+inv as (select k.image_id, k.mask_id, p.y, p.x from keyed k join frame p using (image_id) where not exists (select 1 from {src} t where t.image_id=k.image_id and t.mask_id=k.mask_id and t.y=p.y and t.x=p.x)),
 {cc_sql('inv', 'bg', 4)}, filled as (select image_id, mask_id, y, x from {src} union all select image_id, mask_id, y, x from bg where not {keep})"""
 
 

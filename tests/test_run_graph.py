@@ -113,3 +113,13 @@ def test_region_algebra(spark):
     px = spark.createDataFrame(sparse(np.ones((H, W), bool)))
     left = RR.outside(px, da)
     assert left.columns == px.columns and (on(left) == ~ma).all()
+
+
+@pytest.mark.parametrize("name", ["g3_clean_mask", "g4_fill_holes", "g4_fill_holes_from_corner"])
+def test_incomplete_frames(spark, tmp_path, name):
+    """A frame has the size that `images` gives it, also where the table has only its first lines."""
+    from __spark_entry__ import oracle_sql, queries
+    from tests.harness import compare
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 106").toPandas().to_parquet(f"{tmp_path}/embeddings.parquet")
+    err, _, n = compare(spark, name, queries()[name], oracle_sql()[name], str(tmp_path))
+    assert err is None and n, err
