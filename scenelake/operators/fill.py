@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import attach
+from ..scale import attach, settle
 from .frames import PIXEL, RGB
 from .neighbourhood import normalised_convolution
 
@@ -14,7 +14,7 @@ def fill_from_background(pixels: DataFrame, hole: DataFrame, sigma: float, width
     Where the hole is wider than the kernel no known pixel is near, and the mean colour of the frame's known pixels is used.
     """
     marked = pixels.select(*PIXEL, *RGB).join(hole.select(*PIXEL, F.lit(True).alias("_hole")).distinct(), PIXEL, "left")
-    marked = marked.withColumn("_known", F.col("_hole").isNull())
+    marked = settle(marked.withColumn("_known", F.col("_hole").isNull()), "marked")
     near = normalised_convolution(marked, "_known", list(RGB), sigma, width=width, height=height)
     frame = marked.where("_known").groupBy("image_id").agg(*[F.avg(c).alias(f"_m{c}") for c in RGB])
     j = marked.join(near.select(*PIXEL, "confidence", *[F.col(c).alias(f"_f{c}") for c in RGB]), PIXEL)

@@ -105,6 +105,7 @@ def move_objects(pixels: DataFrame, masks: DataFrame, moves: DataFrame, images:
     """
     settings = {**cfg, "width": width, "height": height, **options}
     radius = int(cfg["dilate_radius"])
+    pixels, masks = settle(pixels, "frames"), settle(masks, "masks")         # both are read by every step below
     resolved = settle(FR.checked_moves(moves, masks, images), "resolved")
     moves, rejected = resolved.where("error is null").drop("error"), resolved.where("error is not null")
     hole = settle(N.dilate(masks, N.rect(2 * radius + 1, 2 * radius + 1), width, height), "hole")

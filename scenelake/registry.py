@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import fill, frames
 from .operators.neighbourhood import dilate, gaussian_kernel, rect, soft_mask
+from .scale import settle
 
 # Option names and their usual values. The two backends default to the model-free ones.
 DEFAULTS = {
@@ -64,7 +65,7 @@ def _paste(cfg):
 
         A move touches its footprint, grown, and what the feather's kernel reaches from there, never the whole frame.
         """
-        footprint = frames.affine_paste(original, masks, moves, images)
+        footprint = settle(frames.affine_paste(original, masks, moves, images), "footprint")
         if not feather:
             return frames.layer_fold(background, footprint, opaque=True), footprint
         keys = ["image_id", "move_idx"]
@@ -75,7 +76,7 @@ def _paste(cfg):
         alpha = soft_mask(near, wide, feather, keys, cfg["width"], cfg["height"]).where("alpha > 0")
         own = footprint.select(*keys, "y", "x", *[F.col(c).alias(f"_{c}") for c in frames.RGB])
         layer = alpha.join(background.select("image_id", "y", "x", *frames.RGB), ["image_id", "y", "x"]).join(own, [*keys, "y", "x"], "left")
-        layer = layer.select(*keys, "y", "x", "alpha", *[F.coalesce(f"_{c}", c).alias(c) for c in frames.RGB])
+        layer = settle(layer.select(*keys, "y", "x", "alpha", *[F.coalesce(f"_{c}", c).alias(c) for c in frames.RGB]), "layer")
         return frames.layer_fold(background, layer), layer
     return insert
 

@@ -145,3 +145,16 @@ def test_backends(spark):
         assert [(r.y, r.x) for r in bad.collect()] == [(0, 1)]
     finally:
         registry._BACKENDS["removal"].pop("leak")
+
+
+def test_paste_computes_its_layer_once(spark):
+    """The layer is read by the fold, twice, and by the audit: what they read is a written table, not the steps that made it."""
+    from scenelake import registry
+    px = spark.range(400).selectExpr("0L as image_id", "cast(id div 20 as int) as y", "cast(id % 20 as int) as x", "1 as r", "2 as g", "3 as b")
+    masks = px.where("y < 4 and x < 4").selectExpr("image_id", "0 as mask_id", "y", "x")
+    moves = spark.sql("select 0L as image_id, 0 as move_idx, 0 as mask_id, 1 as src_x, 1 as src_y, 9 as dst_x, 9 as dst_y, 1.0D as scale")
+    images = spark.sql("select 0L as image_id, 20 as width, 20 as height")
+    for feather in (0, 2):
+        insert = registry.make("insertion", "paste", {**registry.config(feather_px=feather), "width": 20, "height": 20})
+        for out in insert(px, px, masks, moves, images):
+            assert out.count() and "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
