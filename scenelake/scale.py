@@ -41,14 +41,18 @@ def settle(df: DataFrame, name: str = "t", **metrics: Column) -> DataFrame:
 
     This cuts the lineage so that it survives lost executors, stops a statistic from being recomputed by each
     consumer, and gives the optimiser the real size of the table. The row count and any further `metrics` are observed
-    during the write and cost no job of their own; see `settled`.
+    during the write and cost no job of their own; see `settled`. Files of pixels pack very well, so a small file may hold millions of
+    rows: a table of more than BROADCAST_ROWS is never broadcast for the size of its files.
     """
     path = new_table_path(df.sparkSession, name)
     seen = Observation()
     extra = [m.alias(k) for k, m in metrics.items()]
     df.observe(seen, F.count(F.lit(1)).alias("rows"), *extra).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._settled = seen.get
+    got = seen.get
+    if got["rows"] > BROADCAST_ROWS:
+        out = out.hint("merge")
+    out._settled = got
     return out
 
 

@@ -120,3 +120,15 @@ def test_prefix_sum_equals_running_window(spark, skewed):
 def test_settle_observes_rows(spark):
     out = S.settle(spark.range(10).toDF("a"), "t", top=F.max("a"))
     assert S.settled(out) == {"rows": 10, "top": 9} and S.settled(out.where("a > 1")) is None
+
+
+def test_many_rows_in_a_small_file_are_not_broadcast(spark):
+    """250,000 rows that pack into a few kilobytes; the optimiser knows the size of the file only."""
+    many = S.settle(spark.range(250_000).selectExpr("id % 10 as k", "1 as v"))
+    other = S.settle(spark.range(300_000).selectExpr("id % 9 as k"))
+    few = spark.range(9).selectExpr("id as k", "id as w")
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(many.where("v > 0").join(other, ["k"]))
+    assert "BroadcastHashJoin" in plan(S.attach(many, few, ["k"])) and S.attach(many, few, ["k"]).count() == 225_000
