@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import attach
+from ..scale import attach, dealt
 
 PIXEL = ["image_id", "y", "x"]
 
@@ -108,7 +108,7 @@ def ensemble_argmax(scores: DataFrame, classes: DataFrame, wanted: list[str], ex
     key columns, such as the pass of a test-time copy.
     """
     at = [*PIXEL, *extra]
-    laid = scores.repartition(*at)
+    laid = dealt(scores, at)
     per_model = Window.partitionBy(*at, "model")
     e = laid.withColumn("_e", F.exp(F.col("logit") - F.max("logit").over(per_model)))
     soft = e.withColumn("p", F.col("_e") / F.sum("_e").over(per_model))

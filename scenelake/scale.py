@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000      # statistics rows are a handful of doubles, so this stays in the tens of MB
+TASK_ROWS = 500_000           # rows that a task lays out and sorts several times over
 GROUP_ROWS = 1_000_000        # largest group that may be sorted by, or held in, one task
 SKETCH, LISTED = 131_072, 10_000   # counters of the sketch of frequent keys, and how many keys it lists
 QUANTILE_ROWS = 500_000       # above this the built-in exact quantile, which keeps every distinct value, is the slower way
@@ -74,6 +75,11 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     return skew_join(big, small, on, how, hot_rows)
 
 
+def dealt(df: DataFrame, on: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """`df` laid out by `on` over as many tasks as its row count asks for, so that what one task sorts or holds doesn't grow with the table."""
+    return df.repartition(max(-(-df.count() // task_rows), df.sparkSession.sparkContext.defaultParallelism), *on)
+
+
 def key_hash(on: list[str]) -> Column:
     return F.xxhash64(*on)
 

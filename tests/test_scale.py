@@ -132,3 +132,12 @@ def test_many_rows_in_a_small_file_are_not_broadcast(spark):
         return df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan(many.where("v > 0").join(other, ["k"]))
     assert "BroadcastHashJoin" in plan(S.attach(many, few, ["k"])) and S.attach(many, few, ["k"]).count() == 225_000
+
+
+def test_layout_follows_the_row_count(spark):
+    """Not the size of the shuffled blocks, which pack so well that few tasks would get all rows."""
+    from scenelake.operators import masks as M
+    assert [S.dealt(spark.range(n), ["id"], 100).rdd.getNumPartitions() for n in (5_000, 20_000)] == [50, 200]
+    scores = spark.range(64).selectExpr("0L as image_id", "0 as y", "cast(id div 8 as int) as x", "'a' as model", "cast(id % 8 as int) as class_id", "id / 64 as logit")
+    out = M.ensemble_argmax(scores, spark.sql("select 7 as class_id, 'floor' as name"), ["floor"])
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString() and out.where("is_wanted").count() == 8
