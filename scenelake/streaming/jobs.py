@@ -1,6 +1,7 @@
 """Job progress as a stream: exact state machine, stage log and cache filling."""
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -26,15 +27,6 @@ def event_stream(spark: SparkSession, path: str, glob: str = "*.parquet", files_
     return (spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
 
 
-def _earliest(rows: pd.DataFrame, old: tuple) -> tuple:
-    """The smaller of `old` (ts, seq, ...) and the first of `rows` by (ts, seq); `old` starts with None if there is none."""
-    if rows.empty:
-        return old
-    r = rows.sort_values(["ts", "seq"]).iloc[0]
-    new = (r["ts"].to_pydatetime(), int(r["seq"]), r["type"])[:len(old)]
-    return new if old[0] is None or new[:2] < old[:2] else old
-
-
 def job_state_stream(events: DataFrame, idle_timeout: str | None = None, reason: str = "no progress") -> DataFrame:
     """State of each job after each micro-batch that has events for it.
 
@@ -47,25 +39,36 @@ def job_state_stream(events: DataFrame, idle_timeout: str | None = None, reason:
     millis = int(pd.Timedelta(idle_timeout).total_seconds() * 1000) if idle_timeout else None
     firsts, following, renamed = {k: v[0] for k, v in STAGE_ORDER.items()}, STAGE_AFTER, RENAMED_STAGES
 
+    epoch, micro = datetime(1970, 1, 1), timedelta(microseconds=1)
+
+    # A call sees a handful of events of one job, so plain lists are used here: a pandas expression costs more than they do.
+    def earliest(ts: list, seq: list, kinds: list, wanted: tuple, old: tuple) -> tuple:
+        """The smaller of `old` (ts, seq, ...) and the first event of the wanted types by (ts, seq); `old` starts with None if there is none."""
+        new = min(((t, q, k) for t, q, k in zip(ts, seq, kinds) if k in wanted and t is not None), default=None)
+        if new is None:
+            return old
+        return new[:len(old)] if old[0] is None or new[:2] < old[:2] else old
+
     def merge(rows: pd.DataFrame, f: dict) -> None:
-        kinds = rows["kind"].dropna()
-        if len(kinds) and (f["kind"] is None or kinds.min() < f["kind"]):
-            f["kind"] = kinds.min()
-        low = rows["ts"].min().to_pydatetime()
-        f["created"] = low if f["created"] is None else min(low, f["created"])
-        f["start"] = _earliest(rows[rows["type"].isin(["started", "stage"])], f["start"])
-        f["end"] = _earliest(rows[rows["type"].isin(["done", "failed"])], f["end"])
-        stages = rows[rows["type"] == "stage"]
-        for name, new in (("us", stages["ts"].to_numpy("datetime64[us]").astype(np.int64)), ("seq", stages["seq"].to_numpy(np.int64)), ("stage", stages["stage"].to_numpy(object))):
-            f[name] = np.concatenate([f[name], new])
+        us, known = rows["ts"].to_numpy("datetime64[us]").astype(np.int64).tolist(), rows["ts"].notna().tolist()
+        ts = [epoch + t * micro if ok else None for t, ok in zip(us, known)]
+        seq, types = rows["seq"].tolist(), rows["type"].tolist()
+        kind = min((k for k in rows["kind"].tolist() if isinstance(k, str)), default=None)
+        if kind is not None and (f["kind"] is None or kind < f["kind"]):
+            f["kind"] = kind
+        low = min((t for t in ts if t is not None), default=None)
+        if low is not None:
+            f["created"] = low if f["created"] is None else min(low, f["created"])
+        f["start"] = earliest(ts, seq, types, ("started", "stage"), f["start"])
+        f["end"] = earliest(ts, seq, types, ("done", "failed"), f["end"])
+        f["stages"] += [(t, q, n) for t, q, k, n in zip(us, seq, types, rows["stage"].tolist()) if k == "stage"]
         if f["end"][0] is not None:
-            end = pd.Timestamp(f["end"][0]).value // 1000
-            keep = (f["us"] < end) | (f["us"] == end) & (f["seq"] <= f["end"][1])
-            f.update({name: f[name][keep] for name in ("us", "seq", "stage")})
+            end = ((f["end"][0] - epoch) // micro, f["end"][1])
+            f["stages"] = [s for s in f["stages"] if s[:2] <= end]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kind, created, s_ts, s_seq, e_ts, e_seq, e_type, us, seq, stage, stopped = state.get if state.exists else (None,) * 7 + ([], [], [], None)
-        f = {"kind": kind, "created": created, "start": (s_ts, s_seq), "end": (e_ts, e_seq, e_type), "us": np.array(us, np.int64), "seq": np.array(seq, np.int64), "stage": np.array(stage, object)}
+        f = {"kind": kind, "created": created, "start": (s_ts, s_seq), "end": (e_ts, e_seq, e_type), "stages": list(zip(us, seq, stage))}
         latest = None
         if state.hasTimedOut:
             if f["end"][0] is None:
@@ -74,7 +77,8 @@ def job_state_stream(events: DataFrame, idle_timeout: str | None = None, reason:
             for rows in batches:
                 if stopped is None:
                     merge(rows, f)
-                latest = rows["ts"].max() if latest is None else max(latest, rows["ts"].max())
+                if millis:
+                    latest = rows["ts"].max() if latest is None else max(latest, rows["ts"].max())
         ended, started = f["end"][0] is not None, f["start"][0]
         if started is not None and ended and f["start"] > f["end"][:2]:
             started = None
@@ -82,14 +86,14 @@ def job_state_stream(events: DataFrame, idle_timeout: str | None = None, reason:
         now = None
         if running:
             now = firsts.get(f["kind"])
-            if len(f["us"]):
-                name = f["stage"][np.lexsort((f["seq"], f["us"]))[-1]]
+            if f["stages"]:
+                name = max(enumerate(f["stages"]), key=lambda s: (*s[1][:2], s[0]))[1][2]
                 now = following.get((f["kind"], renamed.get(name, name)))
         status = "failed" if stopped is not None else f["end"][2] if ended else "running" if running else "queued"
         if millis and not ended and stopped is None and latest is not None:
             state.setTimeoutTimestamp(int(latest.timestamp() * 1000) + millis)
-        state.update((f["kind"], f["created"], *f["start"], *f["end"], f["us"].tolist(), f["seq"].tolist(), f["stage"].tolist(), stopped))
-        yield pd.DataFrame([(key[0], status, now, len(f["us"]), f["created"], started, stopped or f["end"][0], reason if stopped is not None else None)],
+        state.update((f["kind"], f["created"], *f["start"], *f["end"], *([s[i] for s in f["stages"]] for i in range(3)), stopped))
+        yield pd.DataFrame([(key[0], status, now, len(f["stages"]), f["created"], started, stopped or f["end"][0], reason if stopped is not None else None)],
                            columns=["job_id", "status", "stage", "stages_done", "created", "started", "finished", "error"])
     timeout = GroupStateTimeout.EventTimeTimeout if millis else GroupStateTimeout.NoTimeout
     return events.groupBy("job_id").applyInPandasWithState(step, OUTPUT, FACTS, "update", timeout)

@@ -91,3 +91,31 @@ def test_documents_in_one_file_or_a_folder(spark, tmp_path, files):
     else:
         docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["m4_cache_fill_stream"](spark, str(tmp_path)).count() == docs.select("text").distinct().count()
+
+
+def test_state_step_needs_no_package_on_workers(tmp_path):
+    """The function of the state runs where this package isn't installed, and on plain lists: a call sees few events."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    class Events:
+        def groupBy(self, *_):
+            return self
+
+        def applyInPandasWithState(self, step, *_):
+            return step
+    (tmp_path / "step").write_bytes(cloudpickle.dumps(ST.job_state_stream(Events())))
+    code = """if 1:
+        import pickle, pandas as pd
+        class State:
+            exists, hasTimedOut, get = False, False, None
+            def update(self, v): self.get, self.exists = v, True
+        step, state, t = pickle.load(open("step", "rb")), State(), pd.Timestamp("2024-01-01")
+        for types in (["stage", "started"], ["done", "stage"]):
+            rows = pd.DataFrame({"ts": [t, t], "seq": [1, 2], "type": types, "kind": "floor", "stage": ["render", None]})
+            out = list(step((7,), iter([rows]), state))[0].iloc[0]
+        print(out.status, out.stages_done)"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=60)
+    assert run.stdout.split() == ["done", "1"], run.stderr
