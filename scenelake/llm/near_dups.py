@@ -9,7 +9,8 @@ they share none of 64 bands with probability below 1e-11. Classes that share a b
 
 1. each class with the smallest class of every band it is in. This is linear, and it joins large groups of near copies;
 2. classes in bands that still hold several components, by a prefix join on their rarest shingles, which is exact: in a crowd of texts that
-   resemble each other too little, the shingles of their own fill the prefixes, and few pairs are left to compare.
+   resemble each other too little, the shingles of their own fill the prefixes, and few pairs are left to compare. The most typical members
+   of a large component go first, so that a class that links with one of them isn't compared with all others.
 
 A pair is confirmed on the full sets if its estimate, corrected for equal registers of different hashes, is not six standard
 deviations below the wanted similarity.
@@ -32,6 +33,7 @@ BANDS, ROWS, MANTISSA = 64, 5, 10
 REGISTERS = BANDS * ROWS
 SIGMAS = 6.0
 ATTEMPTS = 64
+CENTRES = 4
 _U = np.uint64
 _WALK = np.random.default_rng(20_170).integers(0, REGISTERS, (ATTEMPTS, REGISTERS))
 
@@ -221,13 +223,13 @@ def _setter(width: int):
     return start
 
 
-def _second_look(open_: DataFrame, texts: DataFrame, done: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of open classes of different components that may be similar enough and weren't compared yet.
+def _prefixes(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """h, node, part, size, own, place and indexed of the rarest shingles of each open class.
 
-    A prefix join: each set is ordered by how rare its shingles are among the open classes. Of two sets with at least `percent` in common the
+    Each set is ordered by how rare its shingles are among the open classes. Of two sets with at least `percent` in common the
     larger one's first n - ceil(percent n / 100) + 1 shingles and the smaller one's first n - ceil(2 percent n / (100 + percent)) + 1 share one, at places
-    that leave enough for the rest (Xiao et al., PPJoin, 2008), so no pair is lost. A shingle that no other open class has counts for the places
-    only and is never joined. In each shingle's cell the members of its largest component meet those of other components, not each other.
+    that leave enough for the rest (Xiao et al., PPJoin, 2008), so no pair is lost. A shingle that no other open class has (`own` of them) counts for
+    the places only and is never joined.
     """
     sets = mapped(texts.join(open_, "node").select("node", "part", "c2", "t"), _setter(width), "node long, part long, h array<long>").dropDuplicates(["node"])
     sets = settle(sets, "sets")
@@ -239,21 +241,74 @@ def _second_look(open_: DataFrame, texts: DataFrame, done: DataFrame, width: int
     index = size - F.ceil(size * (2 * percent) / (100 + percent)) + 1
     ordered = shared.join(sets.select("node", "part", F.size("h").alias("size")), "node").withColumn("own", size - F.size("s"))
     first = ordered.select("node", "part", "size", "own", index.alias("index"), F.posexplode(F.slice("s", F.lit(1), F.greatest(probe - F.col("own"), F.lit(0)).cast("int"))).alias("i", "s"))
-    first = settle(first.select(F.col("s.h").alias("h"), "node", "part", "size", (F.col("own") + F.col("i")).alias("place"), (F.col("own") + F.col("i") < F.col("index")).alias("indexed")), "prefixes")
-    cells = first.groupBy("h", "part").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("parts"))
-    cells = settle(cells.where("parts > 1").select("h", F.col("m.part").alias("largest")), "cells")
-    held = attach(first, cells, ["h"])
-    l, r = held.where("part <> largest").drop("largest").alias("l"), held.drop("largest").alias("r")
+    first = first.select(F.col("s.h").alias("h"), "node", "part", "size", "own", (F.col("own") + F.col("i")).alias("place"), (F.col("own") + F.col("i") < F.col("index")).alias("indexed"))
+    first = settle(first, "prefixes")
+    discard(sets, rarity)
+    return first
+
+
+def _may_link(percent: int):
+    """Condition on rows `l` and `r` of `_prefixes` that share a shingle; a pair of similar sets meets it at their first common one."""
     larger = (F.col("l.size") > F.col("r.size")) | ((F.col("l.size") == F.col("r.size")) & (F.col("l.node") > F.col("r.node")))
     able = F.when(larger, F.col("r.indexed")).otherwise(F.col("l.indexed")) & (100 * F.least("l.size", "r.size") >= percent * F.greatest("l.size", "r.size"))
     enough = F.least(F.col("l.size") - F.col("l.place"), F.col("r.size") - F.col("r.place")) * (100 + percent) >= percent * (F.col("l.size") + F.col("r.size"))
-    met = l.join(r, (F.col("l.h") == F.col("r.h")) & (F.col("l.part") != F.col("r.part")) & able & enough)
+    return able & enough
+
+
+def _new_pairs(met: DataFrame, done: DataFrame) -> DataFrame:
     pairs = met.select(F.greatest("l.node", "r.node").alias("u"), F.least("l.node", "r.node").alias("v")).distinct()
-    out = settle(pairs.join(done, ["u", "v"], "left_anti"), "pairs")
-    discard(sets, rarity, first, cells)
+    return settle(pairs.join(done, ["u", "v"], "left_anti"), "pairs")
+
+
+def _centre_pairs(first: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """In each shingle's cell the members of other components with the centres of the largest one: at most CENTRES rows a prefix row.
+
+    Centres are the members with the fewest shingles of their own. In a group of near copies they are the nearest to what all
+    are copies of, so a member that links with any of the group mostly links with them.
+    """
+    seed = F.pmod(F.xxhash64("node"), F.lit(CENTRES))
+    best = first.groupBy("h", "part", seed.alias("seed")).agg(F.count("*").alias("n"), F.min(F.struct("own", "node", "size", "place", "indexed")).alias("c"))
+    parts = best.groupBy("h", "part").agg(F.sum("n").alias("n"), F.min("c.own").alias("own"), F.array_sort(F.collect_list("c")).alias("cs"))
+    cells = parts.groupBy("h").agg(F.max(F.struct("n", (-F.col("own")).alias("own"), "part", "cs")).alias("m"), F.count("*").alias("parts"))
+    cells = settle(cells.where("parts > 1").select("h", F.col("m.part").alias("largest"), F.col("m.cs").alias("cs")), "centres")
+    near = attach(first, cells, ["h"]).where("part <> largest").select(F.struct("node", "size", "place", "indexed").alias("l"), F.explode("cs").alias("r"))
+    out = _new_pairs(near.where(_may_link(percent)), done)
+    discard(cells)
     return out
 
 
+def _crossing_pairs(first: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components. In each shingle's cell the members of its largest component meet those of other components, not each other."""
+    cells = first.groupBy("h", "part").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("parts"))
+    cells = settle(cells.where("parts > 1").select("h", F.col("m.part").alias("largest")), "cells")
+    held = attach(first, cells, ["h"])
+    l, r = held.where("part <> largest").drop("largest").alias("l"), held.drop("largest").alias("r")
+    out = _new_pairs(l.join(r, (F.col("l.h") == F.col("r.h")) & (F.col("l.part") != F.col("r.part")) & _may_link(percent)), done)
+    discard(cells)
+    return out
+
+
+def _second_look(open_: DataFrame, classes: DataFrame, texts: DataFrame, done: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between open classes of different components that make these whole; `done` are the pairs compared before.
+
+    A prefix join in two steps. Centres first: what links with one joins its component, and isn't compared with the other members, of
+    which there may be very many. Then, exactly, all pairs of those that are still apart.
+    """
+    first = _prefixes(open_, texts, width, percent)
+    near = _centre_pairs(first, done, percent)
+    links = _linked(near, classes, texts, width, percent)
+    if settled(links)["rows"]:
+        part = lambda c: open_.select(F.col("node").alias(c), F.col("part").alias(f"p{c}"))
+        joined = links.join(part("u"), "u").join(part("v"), "v").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct()
+        roots = _stars(settle(joined, "joined"), []).select(F.col("label").alias("part"), "root")
+        apart, first = first, settle(attach(first, roots, ["part"], "left").withColumn("part", F.coalesce("root", "part")).drop("root"), "prefixes")
+        discard(apart)
+    rest = _crossing_pairs(first, done.union(near), percent)
+    more = _linked(rest, classes, texts, width, percent)
+    discard(first, near, rest)
+    return settle(links.unionByName(more), "links")
+
+
 def _members(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows of `docs` (doc_id, rid, text) with the fingerprint (c1, c2) of their set, and for each fingerprint the root of its
     component and the smallest doc_id there. Equal 128-bit fingerprints count as equal sets."""
@@ -275,12 +330,10 @@ def _members(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     open_ = _open_classes(crowd, roots)
     discard(crowd)
     if settled(open_)["rows"]:
-        rest = _second_look(open_, texts, stars, width, percent)
-        more = _linked(rest, classes, texts, width, percent)
+        more = _second_look(open_, classes, texts, stars, width, percent)
         if settled(more)["rows"]:
             links = links.unionByName(more)
             roots = _stars(links, [])
-        discard(rest)
     discard(stars, open_)
     node = classes.select("node", "c2", "rep")
     joined = node.join(roots.select(F.col("label").alias("node"), "root"), "node", "left") if roots is not None else node.withColumn("root", F.lit(None).cast("long"))
