@@ -19,6 +19,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from scenelake.scale import attach, new_table_path, settle
 from .catalog import mapped, query, table, utf8
 
 MAGIC, FILE_IDS, STRIDE = 0x544F4B_454631, 2 << 20, 512
+SLICE, BLOCK = 4 << 20, 100                      # bytes of text whose words are numbered together, words learnt at once
 END_ID = 2
 _KEPT: dict[str, "WordTokens"] = {}
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint32)
@@ -117,17 +119,21 @@ class WordTokens:
     """Ids of whole texts by way of their words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words one after another,
-    and a word that comes up again is looked up. New words are encoded many at a time and told apart by how many pieces each
-    has at the tokenizer's own borders. A word with anything but ASCII signs and letters up to U+024F is encoded by itself,
+    and a word that comes up again is looked up. Arrow splits texts and numbers the distinct words of many, each of which is
+    looked up once; their ids are then laid out by these numbers. New words are encoded many at a time and told apart by how many pieces each
+    has at the tokenizer's own borders; words of ASCII letters are one piece that its normal form leaves alone, and go to its model
+    as they are. A word with anything but ASCII signs and letters up to U+024F is encoded by itself,
     and so is a text with a special token in it.
     Words kept are two generations of about `keep`: when the present one is full it becomes the older one, from which
     words in use are taken over, and what wasn't used again is forgotten with the next change.
     """
 
     def __init__(self, path: str, keep: int = 450_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.pieces = Tokenizer(self.tok.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.older: dict[bytes, bytes] = {}
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -168,12 +174,12 @@ class WordTokens:
                 need.add(w)
         need = self._unknown(need)
         plain, rest = [w for w in need if w.isalpha()], [w for w in need if not w.isalpha()]     # ASCII letters only, as these are bytes
-        for lo in range(0, len(plain), 4000):
-            some = plain[lo:lo + 4000]
-            self._learn_block(some, b" ".join(some).decode(), np.ones(len(some), np.int64))
-        for lo in range(0, len(rest), 4000):
+        for lo in range(0, len(plain), BLOCK):
+            some = plain[lo:lo + BLOCK]
+            self._learn_block(self.pieces, some, b" ".join(some).decode(), np.ones(len(some), np.int64))
+        for lo in range(0, len(rest), BLOCK):
             some, text, pieces = [], [], []
-            for w in rest[lo:lo + 4000]:
+            for w in rest[lo:lo + BLOCK]:
                 s, n = w.decode(errors="replace"), 1
                 if not _LETTERS.fullmatch(s):
                     low = s if s.isascii() else s.lower()
@@ -184,15 +190,15 @@ class WordTokens:
                 some.append(w)
                 text.append(s)
                 pieces.append(n)
-            self._learn_block(some, " ".join(text), np.array(pieces, np.int64))
+            self._learn_block(self.tok, some, " ".join(text), np.array(pieces, np.int64))
         for w, letters, signs in parts:
             known[w] = known[letters] + known[signs]
 
-    def _learn_block(self, words: list[bytes], text: str, pieces: np.ndarray) -> None:
+    def _learn_block(self, tok, words: list[bytes], text: str, pieces: np.ndarray) -> None:
         """`text` is the words with spaces between, each of which has so many pieces."""
         if not words:
             return
-        ids, last = np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"), np.cumsum(pieces)
+        ids, last = np.asarray(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"), np.cumsum(pieces)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == last[-1] and ends[-1] == len(ids):
             stops, flat = (4 * ends[last - 1]).tolist(), ids.tobytes()
@@ -200,20 +206,48 @@ class WordTokens:
         else:
             self.known.update((w, self.whole(w.decode(errors="replace"))) for w in words)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         if len(self.known) > self.keep:
             self.older, self.known = self.known, {}
-        split = [None if b"<|" in t and any(s in t for s in self.special) else t.lower().split() for t in texts]
-        new = set()
-        for ws in split:
-            if ws:
-                new.update(ws)
-        self._learn(list(self._unknown(new)))
-        return [self.whole(t.decode(errors="replace")) if ws is None else b"".join(map(self.known.__getitem__, ws)) for t, ws in zip(texts, split)]
-
-
-def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int, step: int = 256):
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        rows = texts.cast(pa.string(), safe=False)         # bytes as they are: case and white space are ASCII's
+        marked = {i: t for i in np.flatnonzero(pc.match_substring(rows, "<|")).tolist() if any(s in (t := texts[i].as_py()) for s in self.special)}
+        if marked:
+            rows = pc.if_else(pa.array(np.isin(np.arange(len(rows)), list(marked))), "", rows)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(rows))
+        coded = split.flatten().dictionary_encode()
+        words = _pieces(coded.dictionary.cast(pa.binary()))
+        self.known[b""] = b""                              # before leading and after trailing white space
+        self._learn(list(self._unknown(set(words))))
+        laid = pa.array(list(map(self.known.__getitem__, words)), pa.large_binary()).take(coded.indices)
+        word_at = split.offsets.to_numpy()
+        out = _pieces(laid, word_at - word_at[0])
+        for i, t in marked.items():
+            out[i] = self.whole(t.decode(errors="replace"))
+        return out
+
+
+def _pieces(values: pa.Array, at: np.ndarray | None = None) -> list[bytes]:
+    """The values of a binary array, or their runs between places `at`."""
+    _, offsets, data = values.buffers()
+    stops = np.frombuffer(offsets, "<i8" if pa.types.is_large_binary(values.type) else "<i4")[values.offset:values.offset + len(values) + 1] if offsets else np.zeros(1, "<i8")
+    stops = (stops if at is None else stops[at]).tolist()
+    data = memoryview(data or b"")
+    return [bytes(data[lo:hi]) for lo, hi in zip(stops, stops[1:])]
+
+
+def _slices(texts: pa.Array, size: int = SLICE) -> list[tuple[int, int]]:
+    """Consecutive rows of about `size` bytes, at least one each."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    if not len(ends):
+        return []
+    cuts = np.unique(np.searchsorted(ends, np.arange(size, int(ends[-1]) + size, size)) + 1)
+    stops = [0, *(int(c) for c in cuts if c < len(ends)), len(ends)]
+    return list(zip(stops, stops[1:]))
+
+
+def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int):
     def run(batches):
         from pyarrow import fs as pafs
         from pyspark import TaskContext
@@ -236,8 +270,8 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int, step: int =
             return out
         for b in batches:
             keys, texts = b.column("doc_id").to_pylist(), b.column("__utf8")
-            for lo in range(0, b.num_rows, step):
-                for k, x in zip(keys[lo:lo + step], enc.encode(texts.slice(lo, step).to_pylist())):
+            for lo, hi in _slices(texts):
+                for k, x in zip(keys[lo:hi], enc.encode(texts.slice(lo, hi - lo))):
                     doc_ids.append(k)
                     ids.append(x + end)
                     held += len(x) // 4 + 1

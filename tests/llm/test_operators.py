@@ -193,6 +193,30 @@ def test_words_are_the_tokenizers():
     assert enc.encode([t.encode() for t in texts]) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_words_are_looked_up_once():
+    """However often a word comes up in the texts given together; ids, white space, marks and invalid bytes as before."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        def __getitem__(self, word):
+            asked.append(word)
+            return dict.__getitem__(self, word)
+    tok, enc, asked = Tokenizer.from_file(TF.public_tokenizer()), TF.WordTokens(TF.public_tokenizer()), []
+    enc.known = Counted()
+    texts = [b" One two, " * 500, b"", b"\n", b"two, <|x|> \xff\xfe \x1c one", b"a <|endoftext|> b", b"one " * 500]
+    want = [np.array(tok.encode(t.decode(errors="replace"), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert enc.encode(texts) == want and len(asked) < 50
+    assert enc.encode(pa.array([b"left out", *texts], pa.binary()).slice(1)) == want
+    assert enc.encode([b"", b" "]) == [b"", b""] and enc.encode([]) == []
+
+
+def test_slices_of_texts():
+    import pyarrow as pa
+    cut = lambda sizes, size: TF._slices(pa.array([b"x" * n for n in sizes], pa.binary()), size)
+    assert cut([], 4) == [] and cut([0, 0, 0], 4) == [(0, 3)] and cut([1, 2, 3, 50, 0, 1], 4) == [(0, 3), (3, 4), (4, 6)] and cut([4, 4], 4) == [(0, 1), (1, 2)]
+
+
 def test_contamination(spark, docs, rows, empty):
     rng = random.Random(9)
     long_text = next(t for d, t, _ in rows if d == 707).split()
