@@ -33,7 +33,7 @@ BANDS, ROWS, MANTISSA = 64, 5, 10
 REGISTERS = BANDS * ROWS
 SIGMAS = 6.0
 ATTEMPTS = 64
-CENTRES = 4
+CENTRES, CENTRE_ROWS = 4, 25_000                  # a cell's centres take some 300 bytes, so fewer cells than of plain statistics are broadcast
 _U = np.uint64
 _WALK = np.random.default_rng(20_170).integers(0, REGISTERS, (ATTEMPTS, REGISTERS))
 
@@ -271,7 +271,7 @@ def _centre_pairs(first: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     parts = best.groupBy("h", "part").agg(F.sum("n").alias("n"), F.min("c.own").alias("own"), F.array_sort(F.collect_list("c")).alias("cs"))
     cells = parts.groupBy("h").agg(F.max(F.struct("n", (-F.col("own")).alias("own"), "part", "cs")).alias("m"), F.count("*").alias("parts"))
     cells = settle(cells.where("parts > 1").select("h", F.col("m.part").alias("largest"), F.col("m.cs").alias("cs")), "centres")
-    near = attach(first, cells, ["h"]).where("part <> largest").select(F.struct("node", "size", "place", "indexed").alias("l"), F.explode("cs").alias("r"))
+    near = attach(first, cells, ["h"], broadcast_rows=CENTRE_ROWS).where("part <> largest").select(F.struct("node", "size", "place", "indexed").alias("l"), F.explode("cs").alias("r"))
     out = _new_pairs(near.where(_may_link(percent)), done)
     discard(cells)
     return out
