@@ -57,10 +57,11 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def mapped(df: DataFrame, worker: Callable, schema: T.StructType | str) -> DataFrame:
+def mapped(df: DataFrame, worker: Callable, schema: T.StructType | str, rows: int | None = None) -> DataFrame:
     """`mapInArrow` with a worker that turns each record batch into columns (a list of arrays) of `schema`.
 
-    `worker()` is called once a task and returns the function for batches, so that caches live as long as the task.
+    `worker()` is called once a task and returns the function for batches, so that caches live as long as the task. Where a step's
+    arrays are many times its input, `rows` hands it slices of so many rows, and what comes of one goes out before the next.
     """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     fields = to_arrow_schema(schema)
@@ -68,8 +69,9 @@ def mapped(df: DataFrame, worker: Callable, schema: T.StructType | str) -> DataF
     def run(batches):
         step = worker()
         for b in batches:
-            if b.num_rows:
-                cols = step(b)
+            size = rows or b.num_rows
+            for lo in range(0, b.num_rows, size or 1):
+                cols = step(b.slice(lo, size))
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(cols, fields)], schema=fields)
     return df.mapInArrow(run, schema)

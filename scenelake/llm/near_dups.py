@@ -33,6 +33,7 @@ BANDS, ROWS, MANTISSA = 64, 5, 10
 REGISTERS = BANDS * ROWS
 SIGMAS = 6.0
 ATTEMPTS = 64
+SLICE_ROWS = 1_000                                # rows that a step in Python lays out at once: banding takes some 15 KB for each
 CENTRES, CENTRE_ROWS = 4, 25_000                  # a cell's centres take some 300 bytes, so fewer cells than of plain statistics are broadcast
 _U = np.uint64
 _WALK = np.random.default_rng(20_170).integers(0, REGISTERS, (ATTEMPTS, REGISTERS))
@@ -48,7 +49,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Sorted distinct 64-bit hashes of the word shingles of texts; hashes of words are kept up to a bound."""
 
-    def __init__(self, width: int, keep: int = 500_000):
+    def __init__(self, width: int, keep: int = 100_000):
         self.width, self.keep, self.known = width, keep, {}
 
     def __call__(self, text: bytes) -> np.ndarray:
@@ -149,6 +150,11 @@ def _bander():
     return step
 
 
+def _bands(classes: DataFrame) -> DataFrame:
+    """key and node of every band of every class."""
+    return mapped(classes.select("node", "regs"), _bander, "key long, node long", SLICE_ROWS)
+
+
 def _plausible(least: float):
     def start():
         def step(batch):
@@ -187,11 +193,11 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     """Those of `pairs` (u, v) whose full sets are similar enough."""
     end = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{'a' if c == 'u' else 'b'}"), F.col("regs").alias(f"r{'a' if c == 'u' else 'b'}"))
     sized = pairs.join(end("u"), "u").join(end("v"), "v").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    likely = settle(mapped(sized, _plausible(percent / 100), "u long, v long"), "likely")
+    likely = settle(mapped(sized, _plausible(percent / 100), "u long, v long", SLICE_ROWS), "likely")
     needed = texts.join(likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct(), "node", "left_semi")
-    needed = mapped(needed, _same_set(width), "node long, t binary").dropDuplicates(["node"])
+    needed = mapped(needed, _same_set(width), "node long, t binary", SLICE_ROWS).dropDuplicates(["node"])
     full = likely.join(needed.select(F.col("node").alias("u"), F.col("t").alias("tu")), "u").join(needed.select(F.col("node").alias("v"), F.col("t").alias("tv")), "v")
-    links = settle(mapped(full, _confirmer(width, percent), "u long, v long"), "links")
+    links = settle(mapped(full, _confirmer(width, percent), "u long, v long", SLICE_ROWS), "links")
     discard(likely)
     return links
 
@@ -231,7 +237,7 @@ def _prefixes(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     that leave enough for the rest (Xiao et al., PPJoin, 2008), so no pair is lost. A shingle that no other open class has (`own` of them) counts for
     the places only and is never joined.
     """
-    sets = mapped(texts.join(open_, "node").select("node", "part", "c2", "t"), _setter(width), "node long, part long, h array<long>").dropDuplicates(["node"])
+    sets = mapped(texts.join(open_, "node").select("node", "part", "c2", "t"), _setter(width), "node long, part long, h array<long>", SLICE_ROWS).dropDuplicates(["node"])
     sets = settle(sets, "sets")
     tokens = sets.select("node", F.explode("h").alias("h"))
     rarity = settle(tokens.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "rarity", peak=F.max("n"))
@@ -312,12 +318,12 @@ def _second_look(open_: DataFrame, classes: DataFrame, texts: DataFrame, done: D
 def _members(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows of `docs` (doc_id, rid, text) with the fingerprint (c1, c2) of their set, and for each fingerprint the root of its
     component and the smallest doc_id there. Equal 128-bit fingerprints count as equal sets."""
-    signed = settle(mapped(docs.select("doc_id", "rid", utf8().alias("__utf8")), _signer(width), "doc_id long, rid long, n long, c1 long, c2 long, regs binary, own binary"), "signed")
+    signed = settle(mapped(docs.select("doc_id", "rid", utf8().alias("__utf8")), _signer(width), "doc_id long, rid long, n long, c1 long, c2 long, regs binary, own binary", SLICE_ROWS), "signed")
     some = signed.where("n > 0")
     classes = settle(some.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("own").alias("own")).withColumnRenamed("c1", "node"), "classes")
     signed, sketched = settle(signed.select("doc_id", "rid", "n", "c1", "c2"), "named"), signed
     discard(sketched)                            # of many copies of a set only the class keeps its registers
-    bands = settle(mapped(classes.select("node", "regs"), _bander, "key long, node long"), "bands")
+    bands = settle(_bands(classes), "bands")
     heads = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
     crowd = settle(bands.join(heads, "key"), "crowd")
     discard(bands)

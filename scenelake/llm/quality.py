@@ -26,7 +26,7 @@ _TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]+")
 class Featuriser:
     """Feature numbers and weights of texts; hashes of words are kept up to a bound."""
 
-    def __init__(self, bits: int = FEATURE_BITS, keep: int = 500_000):
+    def __init__(self, bits: int = FEATURE_BITS, keep: int = 100_000):
         self.mask, self.keep, self.known = np.uint64((1 << bits) - 1), keep, {}
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:

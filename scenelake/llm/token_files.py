@@ -128,7 +128,7 @@ class WordTokens:
     words in use are taken over, and what wasn't used again is forgotten with the next change.
     """
 
-    def __init__(self, path: str, keep: int = 450_000):
+    def __init__(self, path: str, keep: int = 225_000):
         from tokenizers import Tokenizer, pre_tokenizers
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.keep, self.known = Tokenizer.from_file(path), keep, {}

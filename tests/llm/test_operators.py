@@ -4,10 +4,12 @@ columns whose names clash."""
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +119,35 @@ def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     assert pairs and sum(pairs) < 3 * len(out)
 
 
+def test_steps_of_near_duplicates_hold_little(spark):
+    """What a worker holds beside its batch: temporary arrays of a slice only, and a bounded number of words."""
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+    rng = np.random.default_rng(4)
+    regs = rng.integers(1, 1 << 15, (10_000, ND.REGISTERS)).astype("<u2")
+    regs[rng.random(regs.shape) < 0.5] = 0
+    batch = pa.RecordBatch.from_pydict({"node": np.arange(len(regs)), "regs": [r.tobytes() for r in regs]})
+    tracemalloc.start()
+    n, total = 0, 0
+    for out in ND._bands(Frame())([batch, batch.slice(0, 0)]):
+        n, total = n + out.num_rows, total ^ int(np.bitwise_xor.reduce(out.column("key").to_numpy()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+    row, key = ND.band_keys(regs)
+    assert (n, total) == (len(row), int(np.bitwise_xor.reduce(key)))
+    for words_of in (ND.Shingles(2), QU.Featuriser()):
+        most = 0
+        for i in range(150):
+            words_of(b" ".join(b"w%d" % j for j in range(2_000 * i, 2_000 * i + 2_000)))
+            most = max(most, len(words_of.known))
+        assert most < 110_000
+
+
 def test_deduplicated(docs, rows, empty):
     got = ND.deduplicated(docs)
     assert got.columns == docs.columns
