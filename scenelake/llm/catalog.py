@@ -57,6 +57,20 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give back to the system what Arrow and malloc hold free."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
+def tidied(run: Callable) -> Callable:
+    """`run`, a generator over batches, that leaves a worker small: workers live on from stage to stage, beside the executor's heap."""
+    def whole(batches):
+        yield from run(batches)
+        release()                                # by now `run` and all it held are gone
+    return whole
+
+
 def mapped(df: DataFrame, worker: Callable, schema: T.StructType | str, rows: int | None = None) -> DataFrame:
     """`mapInArrow` with a worker that turns each record batch into columns (a list of arrays) of `schema`.
 
@@ -74,7 +88,7 @@ def mapped(df: DataFrame, worker: Callable, schema: T.StructType | str, rows: in
                 cols = step(b.slice(lo, size))
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(cols, fields)], schema=fields)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def computed(worker: Callable, kind: str):
@@ -82,9 +96,12 @@ def computed(worker: Callable, kind: str):
 
     Only the argument goes to Python and only the result comes back; the other columns of a row wait in the JVM, which can spill them.
     """
-    @F.arrow_udf(kind)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def each(batches):
         step = worker()
         for b in batches:
             yield step(b)
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(each)(batches)
     return run

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from scenelake.scale import attach, new_table_path, settle
 
-from .catalog import mapped, query, table, utf8
+from .catalog import mapped, query, table, tidied, utf8
 
 MAGIC, FILE_IDS, STRIDE = 0x544F4B_454631, 2 << 20, 512
 SLICE, BLOCK = 4 << 20, 100                      # bytes of text whose words are numbered together, words learnt at once
@@ -295,7 +295,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     path.getFileSystem(docs.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
     tie = F.xxhash64("__utf8")
     rows = docs.select("doc_id", utf8().alias("__utf8")).repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
-    files = settle(rows.mapInArrow(_writer(folder, tokenizer, end_id, file_ids), "file string, part long, seq long, docs long, ids long"), "manifest")
+    files = settle(rows.mapInArrow(tidied(_writer(folder, tokenizer, end_id, file_ids)), "file string, part long, seq long, docs long, ids long"), "manifest")
     ahead = F.sum("ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
     return folder, files.withColumn("start", F.coalesce(ahead, F.lit(0)))
 

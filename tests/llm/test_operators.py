@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scenelake.llm import catalog as CA
 from scenelake.llm import contamination as CO
 from scenelake.llm import context_tree as CT
 from scenelake.llm import mixing as MI
@@ -148,6 +150,26 @@ def test_steps_of_near_duplicates_hold_little(spark):
         assert most < 110_000
 
 
+def test_workers_give_memory_back(spark, monkeypatch):
+    """At the end of a task, when its step and caches are gone."""
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    class State:
+        pass
+    made, seen = [], []
+
+    def worker():
+        state = State()
+        made.append(weakref.ref(state))
+        return lambda batch: [batch.column("x"), [id(state) > 0] * batch.num_rows]
+    monkeypatch.setattr(CA, "release", lambda: seen.append(made[0]() is None))
+    run = CA.mapped(Frame(), worker, "x long, y boolean", 2)
+    got = [b.num_rows for b in run([pa.RecordBatch.from_pydict({"x": [1, 2, 3, 4, 5]})])]
+    assert got == [2, 2, 1] and seen == [True]
+
+
 def test_deduplicated(docs, rows, empty):
     got = ND.deduplicated(docs)
     assert got.columns == docs.columns
